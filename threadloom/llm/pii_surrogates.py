@@ -1,0 +1,251 @@
+"""PII: keyed, type-consistent surrogates for e-mail addresses, phones, IPs, numbers and titled names.
+
+Detection reads whole texts. Each entity has a canonical form (lower-cased
+address, bare digits, folded name); its surrogate is made from a keyed hash of
+type and canonical form, so the same entity has the same surrogate everywhere
+(coreference), and keeps the format: digits stay digits in their places, a valid
+Luhn number or IBAN-like block keeps that property, letters keep their script
+and case, a name keeps the gender that its title states.
+
+Distinctness is checked over the whole corpus: entities are counted once, and
+an entity whose surrogate is already some other entity's, or is itself a real
+entity of the corpus, tries its next attempt until none collides. Only entities
+that needed another attempt are sent back to the texts.
+
+Edge cases: null and empty texts have no entities and pass unchanged; null ids
+are allowed; repeated rows are replaced alike; an empty table gives an empty
+result; columns named ``entities`` or ``n_entities`` are replaced.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from threadloom.llm import store
+
+KEY = b"threadloom"
+ATTEMPTS = 16
+ENTITY = "array<struct<type:string,start:int,end:int,surrogate:string>>"
+
+_EMAIL = re.compile(r"[^\W_][\w.+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,5}")
+_NUMBER = re.compile(
+    r"(?<![\w.])(?:(?P<ip>(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3})(?![\w]|\.\d)"
+    r"|(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])"
+    r"|(?P<card>\d(?:[ -]?\d){12,18})(?![\w-])"
+    r"|(?P<phone>(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{3,4}[ .-]\d{3,4}(?:[ .-]\d{3,4})?)(?![\w-])"
+    r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?)\b)"
+    r"|(?P<plus>\+\d{1,3}[ .-]?(?:\(\d{2,4}\)[ .-]?)?\d{3,4}[ .-]?\d{3,4}(?:[ .-]?\d{2,4})?)(?![\w-])"
+)
+_FEMALE, _MALE = "Mrs|Ms|Miss|Mme|Mlle|Madame|Frau|Sra|Señora|Doña|госпожа|г-жа", "Mr|Herr|Monsieur|Sr|Señor|Don|господин|г-н"
+_NAME = re.compile(rf"\b(?:(?P<f>{_FEMALE})|(?P<m>{_MALE})|(?P<n>Dr|Prof))\.?[  ](?P<name>[^\W\d_][\w'’-]+(?: [^\W\d_][\w'’-]+)?)")
+
+_GIVEN = {
+    ("latin", "f"): "Alice Clara Diana Elena Flora Greta Helena Irene Julia Karla Laura Maria Nora Olga Paula Rosa Sofia Tessa Vera Wilma".split(),
+    ("latin", "m"): "Adam Bruno Carlo David Emil Felix Georg Hugo Ivan Jonas Karl Leon Max Nils Oscar Peter Robert Simon Thomas Viktor".split(),
+    ("cyrillic", "f"): "Анна Вера Галина Дарья Елена Инна Лидия Мария Нина Ольга Софья Юлия".split(),
+    ("cyrillic", "m"): "Андрей Борис Виктор Глеб Денис Егор Иван Лев Максим Олег Пётр Юрий".split(),
+}
+_FAMILY = {
+    "latin": ("Al Ber Cor Dal Els Fen Gar Hol Ing Jor Kel Lin Mar Nor Orm Pel Ros Sten Tor Wen".split(), "berg den feld ham ler man ner sen son stein ton vik".split()),
+    "cyrillic": ("Бел Вор Гор Дуб Зим Кар Лаз Мор Нов Ор Пет Рож Сок Тих Федот".split(), "ов ин ский енко ев як".split()),
+}
+
+
+def _stream(key: bytes, kind: str, norm: str, attempt: int) -> Iterator[int]:
+    """Keyed pseudo-random bytes of an entity and attempt."""
+    block = 0
+    while True:
+        yield from hashlib.blake2b(f"{kind}\0{norm}\0{attempt}\0{block}".encode(), key=key[:64], digest_size=64).digest()
+        block += 1
+
+
+def _luhn(digits: str) -> bool:
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + i % 2)
+        total += d - 9 * (d > 9)
+    return total % 10 == 0
+
+
+def _script(name: str) -> str:
+    return "cyrillic" if re.search("[Ѐ-ӿ]", name) else "latin"
+
+
+def canonical_surrogate(kind: str, norm: str, attempt: int, key: bytes = KEY) -> str:
+    """The canonical form of the surrogate: what :func:`render` writes in the format of an occurrence."""
+    rnd = _stream(key, kind, norm, attempt)
+    number = lambda n: (next(rnd) << 16 | next(rnd) << 8 | next(rnd)) % n
+    if kind == "email":
+        local, _, domain = norm.partition("@")
+        swap = lambda c: str(number(10)) if c.isdigit() else (chr(ord("а") + number(32)) if "Ѐ" <= c <= "ӿ" else chr(97 + number(26))) if c.isalpha() else c
+        top = domain.rpartition(".")[2]
+        top = top if top in ("com", "org", "net", "edu") else "net"
+        return "".join(map(swap, local)) + f"@{chr(97 + number(26))}{chr(97 + number(26))}{number(10_000):04d}.example.{top}"
+    if kind == "ip":
+        first = norm.split(".")[0]
+        return ".".join([first if first in ("10", "127") else str(11 + number(212))] + [str(number(256)) for _ in range(3)])
+    if kind.startswith("name"):
+        _, gender, script = kind.split(":")
+        given = _GIVEN[script, gender] if gender in "fm" else _GIVEN[script, "fm"[number(2)]]
+        stems, ends = _FAMILY[script]
+        family = stems[number(len(stems))] + stems[number(len(stems))].lower() + ends[number(len(ends))]
+        return (f"{given[number(len(given))]} {family}" if " " in norm else family).casefold()
+    if kind == "iban":
+        return norm[:2] + "".join(str(number(10)) if c.isdigit() else chr(65 + number(26)) for c in norm[2:])
+    digits = "".join(str(number(10)) for _ in norm)
+    if kind == "card" and _luhn(norm):
+        digits = next(digits[:-1] + str(d) for d in range(10) if _luhn(digits[:-1] + str(d)))
+    return digits
+
+
+def render(kind: str, shown: str, surrogate: str) -> str:
+    """The surrogate in the format of one occurrence: its case, its separators."""
+    if kind in ("phone", "card", "ssn", "iban"):
+        rest = iter(surrogate)
+        return "".join(next(rest) if c.isalnum() else c for c in shown)
+    if shown.isupper() and not shown.islower():
+        return surrogate.upper()
+    if kind.startswith("name"):
+        return " ".join(w.capitalize() for w in surrogate.split(" "))
+    return surrogate
+
+
+def find(text: str) -> list[tuple[int, int, str, str]]:
+    """(start, end, type, canonical form) of the entities of a text, in order, not overlapping."""
+    out = []
+    if "@" in text:
+        out += [(m.start(), m.end(), "email", m[0].casefold()) for m in _EMAIL.finditer(text)]
+    if _DIGIT.search(text):
+        for m in _NUMBER.finditer(text):
+            kind = m.lastgroup
+            norm = m[0] if kind == "ip" else "".join(c for c in m[0] if c.isalnum())
+            kind = {"plus": "phone"}.get(kind, kind)
+            if kind == "phone" and not 7 <= len(norm) <= 15:
+                continue
+            out.append((m.start(), m.end(), kind, norm))
+    for m in _NAME.finditer(text):
+        name = m["name"]
+        words = name.split(" ")
+        if not words[0][:1].isupper():
+            continue
+        if len(words) > 1 and not words[1][:1].isupper():
+            name = words[0]
+        out.append((m.start("name"), m.start("name") + len(name), f"name:{m.lastgroup if m.lastgroup != 'name' else 'f' if m['f'] else 'm' if m['m'] else 'n'}:{_script(name)}", name.casefold()))
+    out.sort(key=lambda x: (x[0], -x[1]))
+    kept, end = [], 0
+    for x in out:
+        if x[0] >= end:
+            kept.append(x)
+            end = x[1]
+    return kept
+
+
+_DIGIT = re.compile("[0-9]")
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct entities of a task (flushed when there are many)."""
+    seen: set = set()
+
+    def rows():
+        found = pa.RecordBatch.from_pydict({"type": pa.array([x[0] for x in seen], pa.string()), "norm": pa.array([x[1] for x in seen], pa.string())})
+        seen.clear()
+        return found
+
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            if text:
+                seen.update((k, n) for _, _, k, n in find(text))
+        if len(seen) > 100_000:
+            yield rows()
+    if seen:
+        yield rows()
+
+
+def exceptions(entities: DataFrame, key: bytes = KEY) -> DataFrame | None:
+    """(type, norm, attempt) of the entities whose first surrogate collides; None when there are none.
+
+    ``entities``: distinct (type, norm). Collisions are judged within a family
+    of types that look alike: all names are one family."""
+    family = F.substring_index("type", ":", 1)
+
+    def made(attempt: int):
+        def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                kinds, norms = b.column(0).to_pylist(), b.column(1).to_pylist()
+                yield pa.RecordBatch.from_pydict({"type": b.column(0), "norm": b.column(1), "surrogate": pa.array([canonical_surrogate(k, n, attempt, key) for k, n in zip(kinds, norms)], pa.string())})
+
+        return make
+
+    schema = "type string, norm string, surrogate string"
+    real = entities.select(family.alias("family"), F.col("norm").alias("surrogate")).distinct()
+    pending, taken, out = entities, None, None
+    for attempt in range(ATTEMPTS):
+        tried = store.table(pending.select("type", "norm").mapInArrow(made(attempt), schema).withColumn("family", family), "surrogates")
+        winner = tried.groupBy("family", "surrogate").agg(F.min(F.struct("norm", "type")).alias("first"))
+        free = winner.join(real, ["family", "surrogate"], "left_anti")
+        if taken is not None:
+            free = free.join(taken, ["family", "surrogate"], "left_anti")
+        won = store.table(free.select("family", "surrogate", F.col("first.type").alias("type"), F.col("first.norm").alias("norm")), "surrogates")
+        if attempt:
+            done = won.select("type", "norm", F.lit(attempt).alias("attempt"))
+            out = done if out is None else out.unionByName(done)
+        pending = tried.join(won, ["type", "norm"], "left_anti").select("type", "norm")
+        taken = won.select("family", "surrogate") if taken is None else taken.unionByName(won.select("family", "surrogate"))
+        if pending.isEmpty():
+            return out
+    raise ValueError("an entity type has too few distinct surrogates; give its format more room")
+
+
+def replace(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, key: bytes = KEY) -> DataFrame:
+    """``docs`` with ``text`` rewritten and ``entities`` (type, start, end in the old text, surrogate) and ``n_entities`` added."""
+    entities = store.table(docs.select(text).mapInArrow(_listed, "type string, norm string").distinct(), "entities")
+    again = exceptions(entities, key)
+    rows = docs.drop("entities", "n_entities")
+    keep = rows.columns
+    if again is None:
+        rows = rows.withColumn("__tl_again", F.lit(None).cast("array<struct<type:string,norm:string,attempt:int>>"))
+    else:
+        rows = _with_attempts(rows, text, again)
+    fields = [rows.schema[c] for c in keep] + [T.StructField("entities", T._parse_datatype_string(ENTITY)), T.StructField("n_entities", T.LongType())]
+    kind = pa.list_(pa.struct([("type", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("surrogate", pa.string())]))
+
+    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, found = b.column(keep.index(text)).to_pylist(), []
+            for i, (t, other) in enumerate(zip(texts, b.column(len(keep)).to_pylist())):
+                attempts = {(x["type"], x["norm"]): x["attempt"] for x in other or ()}
+                spans, parts, at = [], [], 0
+                for start, end, k, norm in find(t) if t else ():
+                    new = render(k, t[start:end], canonical_surrogate(k, norm, attempts.get((k, norm), 0), key))
+                    spans.append({"type": k.split(":")[0], "start": start, "end": end, "surrogate": new})
+                    parts += [t[at:start], new]
+                    at = end
+                found.append(spans)
+                if spans:
+                    texts[i] = "".join([*parts, t[at:]])
+            columns = [pa.array(texts, pa.string()) if c == text else b.column(j) for j, c in enumerate(keep)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, kind), pa.array([len(x) for x in found], pa.int64())], [*keep, "entities", "n_entities"])
+
+    return rows.mapInArrow(rewrite, T.StructType(fields))
+
+
+def _with_attempts(rows: DataFrame, text: str, again: DataFrame) -> DataFrame:
+    """Attach to each text the attempts of its entities that collided."""
+
+    def holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hits = [(h, k, n) for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t for k, n in {(k, n) for _, _, k, n in find(t)}]
+            yield pa.RecordBatch.from_pydict({"th": pa.array([x[0] for x in hits], pa.int64()), "type": pa.array([x[1] for x in hits], pa.string()), "norm": pa.array([x[2] for x in hits], pa.string())})
+
+    met = rows.select(F.xxhash64(text).alias("th"), F.col(text).alias("t")).mapInArrow(holders, "th long, type string, norm string")
+    lists = met.join(again, ["type", "norm"]).groupBy("th").agg(F.collect_set(F.struct("type", "norm", "attempt")).alias("__tl_again"))
+    lists = lists.select(F.col("th").alias("__th"), "__tl_again")
+    return rows.join(lists, F.xxhash64(text) == F.col("__th"), "left").drop("__th")
