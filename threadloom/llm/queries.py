@@ -5,13 +5,55 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import quality_rules, store, substring_dedup
+from threadloom.llm import embedding_dedup, line_dedup, pii_surrogates, piece_sampling, quality_rules, secret_scan, source_mixing, store, substring_dedup, url_filters
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines of three-line windows that occur earlier."""
+    out = line_dedup.remove_repeated_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors by cosine of 0.9 or more."""
+    return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds personal data, with surrogates in its place."""
+    out = pii_surrogates.replace(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.filter("n_entities > 0").select("doc_id", "n_entities", "entities", "text")
+
+
+def op5_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two distinct sampled segmentations of every document; the ids as a digest."""
+    out = piece_sampling.sample_segmentations(read(spark, sf_dir, "documents"), k=2)
+    return out.select("doc_id", "sample", "n_pieces", "log_prob", "inclusion", F.xxhash64("ids").alias("ids_xxhash64"), "round_trip")
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict of the five rules on every page."""
+    rules = spark.sql(f"SELECT * FROM ({url_filters.RULES}) AS t(action, host, path)")
+    return url_filters.judge(read(spark, sf_dir, "pages"), rules)
+
+
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mixture takes."""
+    out, _ = source_mixing.mix(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate of every document with its score; the secret itself only as a digest."""
+    forest = secret_scan.train(secret_scan.labelled_findings(spark))
+    out = secret_scan.scan(read(spark, sf_dir, "documents"), forest)
+    return out.select("doc_id", "no", "before", F.sha2("candidate", 256).alias("candidate_sha256"), F.length("candidate").alias("n_chars"), "score", "is_secret")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of every document, the base rule, and the verdict of a list learnt from ``labels``."""
     docs = read(spark, sf_dir, "documents")
@@ -26,5 +68,5 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op8_quality_rules, op9_substring_dedup)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_embedding_dedup, op4_pii_surrogates, op5_piece_sampling, op6_url_filters, op7_secret_scan, op8_quality_rules, op9_substring_dedup, op10_source_mixing)}
+ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op6_url_filters": url_filters.ORACLE}
