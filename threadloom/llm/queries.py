@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import embedding_dedup, line_dedup, pii_surrogates, piece_sampling, quality_rules, secret_scan, source_mixing, store, substring_dedup, url_filters
+from threadloom.llm import embedding_dedup, line_dedup, ngram_join, pii_surrogates, piece_sampling, quality_rules, secret_scan, source_mixing, store, substring_dedup, url_filters
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents by shingles of five words and a similarity of 0.8."""
+    return ngram_join.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all vectors by cosine of 0.9 or more."""
     return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
@@ -68,5 +73,5 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_embedding_dedup, op4_pii_surrogates, op5_piece_sampling, op6_url_filters, op7_secret_scan, op8_quality_rules, op9_substring_dedup, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_ngram_join, op3_embedding_dedup, op4_pii_surrogates, op5_piece_sampling, op6_url_filters, op7_secret_scan, op8_quality_rules, op9_substring_dedup, op10_source_mixing)}
 ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op6_url_filters": url_filters.ORACLE}
