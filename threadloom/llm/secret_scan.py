@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _RUN = r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{16,}+"
-CANDIDATE = r"(?:(\w{1,40}+)[^\w]{1,4}+)?(" + _RUN + r")(?=(?:[^\w]{1,4}+(\w{1,40}+))?)"
+CANDIDATE = r"(?:(?!" + _RUN + r")(\w{1,40}+)[^\w]{1,4}+)?(" + _RUN + r")(?=(?:[^\w]{1,4}+(\w{1,40}+))?)"
 MAX_FINDINGS = 20_000
 
 #: Words whose letters count as covered by the dictionary.
