@@ -91,7 +91,17 @@ def decode_ids(vocabulary: Vocabulary, ids: list[int]) -> str:
 
 
 class Lattice:
-    """Arcs of distinct chunks, laid end to end; node ``p`` is byte position ``p``."""
+    """Arcs of distinct chunks, laid end to end.
+
+    Nodes are numbered by their distance from the end of their chunk, so that
+    the backward pass works on contiguous stretches; number 0 is the end of any
+    chunk. ``pos`` is a node's byte position, ``head`` and ``to`` are the nodes
+    of an arc, ``size`` its bytes. Arcs of a node come longest first, which
+    mostly is likeliest first.
+    """
+
+    #: Up to this distance the pass multiplies plain weights; further on it adds logarithms.
+    PLAIN = 56
 
     def __init__(self, vocabulary: Vocabulary, data: np.ndarray, start: np.ndarray):
         n = len(data)
@@ -99,11 +109,17 @@ class Lattice:
         until = np.repeat(end, end - start)  # where the chunk of each position ends
         boundary = np.append((data & 0xC0) != 0x80, True)
         nodes = np.flatnonzero(boundary[:-1])
-        src, dst, ids, weight = [], [], [], []
+        left = until[nodes] - nodes
+        order = np.argsort(left.astype(np.uint16) if left.max() < 1 << 16 else left, kind="stable")
+        rank = np.zeros(n + 1, dtype=np.int32)
+        rank[nodes[order]] = np.arange(1, len(nodes) + 1, dtype=np.int32)
+        self.rank, left = rank, left[order]
+        self.pos = np.concatenate([[0], nodes[order]])
+        wide = np.minimum(np.diff(np.append(nodes, n)), until[nodes] - nodes)
+        width = np.zeros(n, dtype=np.int64)
+        width[nodes] = wide
         single = np.zeros(n, dtype=bool)  # characters that are a piece
-        wide = np.ones(n, dtype=np.int64)
-        wide[nodes] = np.diff(np.append(nodes, n))
-        wide = np.minimum(wide, until - np.arange(n))
+        at, size, ids, weight = [], [], [], []
         live, h = nodes, np.zeros(len(nodes), dtype=np.uint64)
         for length, (keys, piece, log_weight) in sorted(vocabulary.tables.items()):
             inside = live + length <= until[live]
@@ -117,46 +133,57 @@ class Lattice:
             hit = keys[found] == key  # positions at which some piece may go on
             live, h, found = live[hit], h[hit], found[hit]
             whole = piece[found] >= 0
-            at, found = live[whole], found[whole]
-            single[at[wide[at] == length]] = True
-            src.append(at), dst.append(at + length), ids.append(piece[found]), weight.append(log_weight[found])
+            here, found = live[whole], found[whole]
+            single[here[width[here] == length]] = True
+            at.append(here), size.append(np.full(len(here), length, np.int64)), ids.append(piece[found]), weight.append(log_weight[found])
         lone = nodes[~single[nodes]]
-        src.append(lone), dst.append(lone + wide[lone]), ids.append(np.full(len(lone), -1, np.int32)), weight.append(vocabulary.byte_weight * wide[lone])
-        src, dst, ids, weight = (np.concatenate(x) for x in (src, dst, ids, weight))
-        order = np.lexsort((dst, src))
-        self.src, self.dst, self.ids, self.weight = src[order], dst[order], ids[order], weight[order]
-        self.first = np.searchsorted(self.src, np.arange(n + 1))
-        self.until = until
-        self._backward(n, nodes, end)
-
-    def _backward(self, n: int, nodes: np.ndarray, end: np.ndarray) -> None:
-        beta = np.full(n + 1, -np.inf)
-        left = self.until[nodes] - nodes  # nodes by their distance from the end of the chunk
-        order = np.argsort(left, kind="stable")
-        nodes, left = nodes[order], left[order]
-        cut = np.flatnonzero(np.diff(left, prepend=-1))
-        ends = np.zeros(n + 1, dtype=bool)
-        ends[end] = True
-        reach = np.zeros(len(self.src))
-        for a, b in zip(cut, np.append(cut[1:], len(nodes))):
-            at = nodes[a:b]
-            lo, hi = self.first[at], self.first[at + 1]
-            size = hi - lo
-            arcs = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            value = self.weight[arcs] + np.where(self.dst[arcs] == self.until[self.src[arcs]], 0.0, beta[self.dst[arcs]])
-            reach[arcs] = value
-            opening = np.cumsum(size) - size
-            top = np.maximum.reduceat(value, opening)
-            beta[at] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, size)), opening))
-        order = np.lexsort((beta[self.src] - reach, self.src))  # likeliest first, so that a draw mostly stops at once
-        for name in ("dst", "ids", "weight"):
-            setattr(self, name, getattr(self, name)[order])
-        self.log_p = (reach - beta[self.src])[order]
+        at.append(lone), size.append(width[lone]), ids.append(np.full(len(lone), -1, np.int32)), weight.append(vocabulary.byte_weight * width[lone])
+        at, size, ids, weight = (np.concatenate(x) for x in (at, size, ids, weight))
+        head = rank[at]
+        order = np.argsort(head.astype(np.int64) * 64 + (63 - np.minimum(size, 63)))
+        to = at + size
+        self.to = np.where(to == until[at], 0, rank[to])[order].astype(np.int32)
+        self.head, self.size, self.ids, weight = head[order], size[order], ids[order], weight[order]
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(self.head, minlength=len(nodes) + 1))])
+        self._backward(weight, left)
+
+    def _backward(self, weight: np.ndarray, left: np.ndarray) -> None:
+        n = len(left)
+        cuts = np.append(np.flatnonzero(np.diff(left, prepend=-1)), n) + 1
+        plain = int(np.searchsorted(left, self.PLAIN, side="right")) + 1
+        mass, value, w = np.ones(n + 1), np.zeros(len(weight)), np.exp(weight)
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if a >= plain:
+                break
+            i, j = self.first[a], self.first[b]
+            v = w[i:j] * mass[self.to[i:j]]
+            mass[a:b] = np.add.reduceat(v, self.first[a:b] - i)
+            value[i:j] = v
+        at = self.first[plain]
+        with np.errstate(divide="ignore"):
+            log_mass, log_value = np.log(mass), np.log(value)
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if a < plain:
+                continue
+            i, j = self.first[a], self.first[b]
+            v = weight[i:j] + log_mass[self.to[i:j]]
+            opening = self.first[a:b] - i
+            top = np.maximum.reduceat(v, opening)
+            log_mass[a:b] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, np.diff(self.first[a : b + 1]))), opening))
+            log_value[i:j] = v
+        self.log_p = log_value - log_mass[self.head]
         self.p = np.exp(self.log_p)
-        total = np.cumsum(self.p)
-        before = np.where(self.first[self.src] > 0, total[self.first[self.src] - 1], 0.0)
-        self.within = total - before
-        self.within[self.first[1:][np.diff(self.first) > 0] - 1] = 2.0  # the last arc takes what is left
+        self.p[:at] = value[:at] / mass[self.head[:at]]
+        # shares summed node by node, so that a draw does not depend on what else is in the batch
+        self.within = self.p.copy()
+        size = np.diff(self.first)
+        at, step = np.flatnonzero(size > 1), 1
+        while len(at):
+            arc = self.first[at] + step
+            self.within[arc] += self.within[arc - 1]
+            step += 1
+            at = at[size[at] > step]
+        self.within[self.first[2:] - 1] = 2.0  # the last arc takes what is left
 
     def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An arc out of each node, by its share of the mass behind the node."""
@@ -211,18 +238,17 @@ class Batch:
     def paths(self, chunk: np.ndarray, node: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Arcs from ``node`` to the end of each chunk: (arc, its chunk, arcs per chunk), in order."""
         lattice, live, steps = self.lattice, np.arange(len(chunk)), []
-        at, shift = node.copy(), self.start[chunk] - self.origin[self.kind[chunk]]
+        at = node.copy()
+        shift = self.start[chunk] - self.origin[self.kind[chunk]] - self.offsets[self.doc[chunk]]
         count = np.zeros(len(chunk), dtype=np.int64)
-        stop = self.origin[self.kind[chunk]] + self.end[chunk] - self.start[chunk]
-        seeds, base = self.seeds[self.doc[chunk]], self.offsets[self.doc[chunk]]
-        live = live[at < stop]
+        seeds = self.seeds[self.doc[chunk]]
+        live = live[at > 0]
         while len(live):
-            position = at[live] + shift[live] - base[live]
-            arc = lattice.draw(at[live], uniform(seeds[live], sample, position, 0))
+            arc = lattice.draw(at[live], uniform(seeds[live], sample, lattice.pos[at[live]] + shift[live], 0))
             steps.append((live, arc))
             count[live] += 1
-            at[live] = lattice.dst[arc]
-            live = live[at[live] < stop[live]]
+            at[live] = lattice.to[arc]
+            live = live[at[live] > 0]
         out = np.empty(count.sum(), dtype=np.int64)
         first = np.cumsum(count) - count
         for t, (who, arc) in enumerate(steps):
@@ -240,7 +266,7 @@ class Batch:
         zero = np.zeros(len(docs), dtype=np.int64)
         value = -np.log(-np.log(uniform(self.seeds[docs], 0, zero, 1)))
         chunks = np.arange(len(self.start))
-        arcs, of, _ = self.paths(chunks, self.origin[self.kind], 0)
+        arcs, of, _ = self.paths(chunks, self.lattice.rank[self.origin][self.kind], 0)
         bounds = np.searchsorted(self.doc[of], np.append(docs, self.n))
         state = {"docs": docs, "value": value, "arcs": arcs, "of": of, "bounds": bounds, "fresh": bounds[:-1].copy()}
         frontier: list[list[tuple]] = [[] for _ in range(self.n)]  # (value, paths, row, step, arcs ruled out)
@@ -262,20 +288,20 @@ class Batch:
 
     def _emit(self, state: dict, out: list[list[tuple]]) -> None:
         lattice, b = self.lattice, state["bounds"]
-        total = np.concatenate([[0.0], np.cumsum(lattice.log_p[state["arcs"]])])
+        total = np.add.reduceat(lattice.log_p[state["arcs"]], b[:-1])
         ids, n = self._ids(state["arcs"], state["of"])
         place = np.concatenate([[0], np.cumsum(n)])
         for row, d in enumerate(state["docs"].tolist()):
-            out[d].append((ids[place[b[row]] : place[b[row + 1]]], float(total[b[row + 1]] - total[b[row]]), 1.0))
+            out[d].append((ids[place[b[row]] : place[b[row + 1]]], float(total[row]), 1.0))
 
     def _ids(self, arcs: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of arcs, and how many each arc has; an arc of bytes has one for each."""
         lattice = self.lattice
-        n = np.where(lattice.ids[arcs] < 0, lattice.dst[arcs] - lattice.src[arcs], 1)
+        n = np.where(lattice.ids[arcs] < 0, lattice.size[arcs], 1)
         ids = np.repeat(lattice.ids[arcs], n).astype(np.int32)
         raw = np.flatnonzero(lattice.ids[arcs] < 0)
         if len(raw):
-            at = self.start[of[raw]] + lattice.src[arcs[raw]] - self.origin[self.kind[of[raw]]]
+            at = self.start[of[raw]] + lattice.pos[lattice.head[arcs[raw]]] - self.origin[self.kind[of[raw]]]
             where = _ranges((np.cumsum(n) - n)[raw], n[raw])
             ids[where] = self.vocabulary.bytes_of[self.buffer[_ranges(at, n[raw])]]
         return ids, n
@@ -289,7 +315,8 @@ class Batch:
         size = np.diff(b)
         prefix = total[:-1] - np.repeat(total[b[:-1]], size)
         other = -np.expm1(np.minimum(log_p, 0.0))
-        other[lattice.first[lattice.src[arcs] + 1] - lattice.first[lattice.src[arcs]] == 1] = 0.0
+        head_node = lattice.head[arcs]
+        other[lattice.first[head_node + 1] - lattice.first[head_node] == 1] = 0.0
         with np.errstate(divide="ignore"):
             location = prefix + np.log(other)
         doc = np.repeat(state["docs"], size)
@@ -298,7 +325,7 @@ class Batch:
         x = np.full(len(arcs), -np.inf)
 
         def value(at: np.ndarray) -> None:
-            position = self.start[of[at]] + lattice.src[arcs[at]] - self.origin[self.kind[of[at]]] - self.offsets[doc[at]]
+            position = self.start[of[at]] + lattice.pos[head_node[at]] - self.origin[self.kind[of[at]]] - self.offsets[doc[at]]
             limit = np.repeat(state["value"], size)[at]
             x[at] = truncated(location[at], limit, uniform(self.seeds[doc[at]], r, position, 2))
 
@@ -325,12 +352,12 @@ class Batch:
         """The next sample of each text: the popped set's sampled arc, then a fresh path to the end."""
         lattice, docs, heads, new_arc = self.lattice, np.array([d for d, _ in picks]), [], []
         for d, (x, state, row, step, out) in picks:
-            node = int(lattice.src[state["arcs"][step]])
+            node = int(lattice.head[state["arcs"][step]])
             lo, hi = int(lattice.first[node]), int(lattice.first[node + 1])
             p = lattice.p[lo:hi].copy()
             p[[a - lo for a in out]] = 0.0
             of = int(state["of"][step])
-            position = np.array([self.start[of] + node - self.origin[self.kind[of]] - self.offsets[d]])
+            position = np.array([self.start[of] + lattice.pos[node] - self.origin[self.kind[of]] - self.offsets[d]])
             total = np.cumsum(p)
             arc = lo + min(int(np.searchsorted(total, float(uniform(self.seeds[[d]], r, position, 3)[0]) * total[-1], side="right")), int(np.flatnonzero(p)[-1]))
             heads.append((state, row, step, of)), new_arc.append(arc)
@@ -344,9 +371,9 @@ class Batch:
         first_chunk = np.array([h[3] for h in heads])
         size = self.doc_first[docs + 1] - first_chunk
         chunk = _ranges(first_chunk, size)
-        node = self.origin[self.kind[chunk]].copy()
+        node = lattice.rank[self.origin][self.kind[chunk]]
         opening = np.cumsum(size) - size
-        node[opening] = lattice.dst[new_arc]
+        node[opening] = lattice.to[new_arc]
         arcs, of, count = self.paths(chunk, node, r)
         per_doc = np.add.reduceat(count, opening)
         parts_a, parts_o, bounds, fresh, at = [], [], [0], [], 0
