@@ -599,12 +599,12 @@ def text_alignment_diff(spark, sf):
 
 
 @query("""SELECT 'b' || doc_id AS aid, CASE WHEN doc_id % 7 = 0 THEN 'added' WHEN doc_id % 7 = 1 THEN 'removed' ELSE 'modified' END AS change,
-  CASE WHEN doc_id % 7 <> 0 THEN sha256(text) END AS base_sha256, CASE WHEN doc_id % 7 <> 0 THEN strlen(text) END AS base_size
+  CASE WHEN doc_id % 7 <> 0 THEN sha256(text) END AS base_sha256, CASE WHEN doc_id % 7 <> 0 THEN strlen(text) ELSE 0 END AS base_size
 FROM documents WHERE doc_id % 7 IN (0, 1) OR doc_id % 5 <= 1""")
 def binary_diff(spark, sf):
     """Binaries by content hash."""
     base, target = (f.select(F.col("block_id").alias("aid"), F.encode("content", "UTF-8").alias("content")) for f in _text_sides(spark, sf))
-    return diff.binary_diff(base, target).select("aid", "change", "base_sha256", "base_size")
+    return diff.binary_diff(base, target).select("aid", "change", "base_sha256", F.coalesce("base_size", F.lit(0).cast("long")).alias("base_size"))
 
 
 # --- edit plans, search, ids ---------------------------------------------------------------------------------------
