@@ -121,6 +121,7 @@ FEATURES = {
     "words": ("n_words", None),
     "word_length": ("word_chars", "n_words"),
     "symbol_share": ("n_symbols", "word_chars"),
+    "symbols_per_word": ("n_symbols", "n_words"),
     "dup_line_share": ("n_dup_lines", "n_lines"),
     "repeat_share": ("n_repeat_words", "n_words"),
     "words_per_line": ("n_words", "n_lines"),
@@ -189,7 +190,9 @@ def learn(rows: dict[str, np.ndarray], bad: np.ndarray, *, max_rules: int = 12,
     x, bad = features_of(rows), np.asarray(bad, dtype=bool)
     left, out = np.ones(len(bad), dtype=bool), DecisionList()
     hold_out = np.arange(len(bad)) % 3 == 2
-    edges = {k: np.unique(np.quantile(v, np.linspace(0, 1, cuts))) if len(v) else np.zeros(0) for k, v in x.items()}
+    # thresholds: quantiles of the good and of the bad rows, extremes included
+    levels = np.linspace(0, 1, cuts)
+    edges = {k: np.unique(np.concatenate([np.quantile(v[m], levels) for m in (bad, ~bad) if m.any()] or [np.zeros(0)])) for k, v in x.items()}
     while len(out.rules) < max_rules and (left & bad).any():
         grow, rule = left & ~hold_out, []
         covered = grow.copy()
