@@ -99,3 +99,18 @@ def tree_paths(links: DataFrame, tops: DataFrame, limit: int = DEPTH_LIMIT) -> D
             break
         out = out.unionByName(level)
     return out
+
+
+def suspicious_nodes(links: DataFrame, stale_children: DataFrame, limit: int = DEPTH_LIMIT) -> DataFrame:
+    """(aid, outdated): the nodes that a pruned tree keeps: stale children (outdated) and all their ancestors."""
+    edges = cut(links.select("child_id", "pid").distinct(), "edges")
+    level = cut(stale_children.select(F.col("child_id").alias("aid")).distinct(), "nodes")
+    found = level
+    for _ in range(limit):
+        up = level.join(edges, F.col("aid") == F.col("child_id")).select(F.col("pid").alias("aid")).distinct()
+        level = cut(up.join(found, "aid", "left_anti"), "nodes")
+        if level.isEmpty():
+            break
+        found = found.unionByName(level)
+    marked = stale_children.select(F.col("child_id").alias("aid")).distinct().withColumn("outdated", F.lit(True))
+    return found.join(marked, "aid", "left").withColumn("outdated", F.coalesce("outdated", F.lit(False)))

@@ -736,3 +736,102 @@ def roundtrip_scan(spark, sf):
     blocks = scan_markdown(files.select(F.lit("orders").alias("record"), F.concat(F.lit("f"), F.col("f").cast("string"), F.lit(".md")).alias("path"), "value"), marker="ORD", atype="ORD")
     value = lambda n: F.col("fields")[n]["vals"][0].alias(n)
     return blocks.filter("kind = 'artifact'").select("aid", "atype", value("parent"), value("status"), value("contents"))
+
+
+# --- ranges, images, headings, text functions ----------------------------------------------------------------------
+
+
+@query(f"""WITH {LIN} SELECT aid, true AS outdated FROM lin JOIN orders ON o_orderkey = l_orderkey WHERE o_orderdate > l_shipdate
+UNION ALL SELECT DISTINCT p, false FROM (SELECT l_orderkey, l_partkey, l_suppkey, o_custkey FROM lin JOIN orders ON o_orderkey = l_orderkey WHERE o_orderdate > l_shipdate) x
+  JOIN customer ON c_custkey = o_custkey JOIN nation n ON n.n_nationkey = c_nationkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation m ON m.n_nationkey = s_nationkey,
+  LATERAL (VALUES ('ORD-' || l_orderkey), ('PRT-' || l_partkey), ('SUP-' || l_suppkey), ('CUS-' || o_custkey), ('NTN-' || n.n_nationkey), ('NTN-' || m.n_nationkey), ('RGN-' || n.n_regionkey), ('RGN-' || m.n_regionkey)) v(p)""")
+def suspicious_subtree(spark, sf):
+    """Stale lines and everything above them."""
+    first = t.first_lines(spark, sf)
+    latest = first.select("aid", "ts").unionByName(t.orders(spark, sf).select("aid", "ts"))
+    stale = impact.stale_by_time(first.select(F.col("aid").alias("child_id"), F.col("parent").alias("pid")), latest)
+    return graph.suspicious_nodes(t.hierarchy_links(spark, sf, deep=True), stale)
+
+
+@query("""SELECT DISTINCT 'CUS-' || c_custkey AS aid, sha256(event_type || (e.event_id % 40)) AS hash_long FROM customer JOIN events e
+ON e.event_id % 20 = c_custkey % 20 AND e.event_id BETWEEN c_custkey * 3 AND c_custkey * 3 + 60""")
+def blame_ranges(spark, sf):
+    """Commits of the lines that an artifact spans."""
+    from threadloom.sources.git import revisions
+
+    key = F.col("c_custkey")
+    spans = t.read(spark, sf, "customer").select(
+        t.make_id("CUS", "c_custkey").alias("aid"), F.struct(F.concat(F.lit("f"), (key % 20).cast("string")).alias("file"), (key * 3).cast("int").alias("line_start"), (key * 3 + 60).cast("int").alias("line_end")).alias("loc")
+    )
+    digest = F.sha2(F.concat("event_type", (F.col("event_id") % 40).cast("string")), 256)
+    lines = t.read(spark, sf, "events").select(F.concat(F.lit("f"), (F.col("event_id") % 20).cast("string")).alias("path"), F.col("event_id").alias("line"), digest.alias("hash_long"), F.substring(digest, 1, 7).alias("hash_short"), "ts", F.col("event_type").alias("author_email"))
+    return revisions(spans, lines).select("aid", "hash_long")
+
+
+@query("""WITH f AS (SELECT CASE WHEN p_size % 5 = 0 THEN 'att/' ELSE p_brand || '/' END || p_partkey || '/' || 'img' || (p_partkey % 300) || '.png' AS path, p_size % 5 = 0 AS preferred, 'img' || (p_partkey % 300) || '.png' AS name FROM part)
+SELECT name, path FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY preferred DESC, path) AS k FROM f) WHERE k = 1 AND name <> 'img7.png'""")
+def image_resolution(spark, sf):
+    """The file that an image name means."""
+    from threadloom.sources.files import first_match
+
+    key = F.col("p_partkey")
+    name = F.concat(F.lit("img"), (key % 300).cast("string"), F.lit(".png"))
+    inside = F.col("p_size") % 5 == 0
+    files = t.read(spark, sf, "part").select(F.concat_ws("/", F.when(inside, "att").otherwise(F.col("p_brand")), key.cast("string"), name).alias("path"), inside.alias("preferred"))
+    wanted = t.read(spark, sf, "part").select(name.alias("name")).filter("name != 'img7.png'")
+    return first_match(wanted, files)
+
+
+@query("SELECT 'M' || (doc_id % 3) AS marker, 'b' || (doc_id % 300) AS block_id, count(*) AS n FROM documents WHERE doc_id % 2 = 0 GROUP BY 1, 2 HAVING count(*) > 1")
+def duplicate_block_ids(spark, sf):
+    """Explicit block ids that occur twice in the project."""
+    from threadloom.plans.publish import duplicate_block_ids as found
+
+    k = F.col("doc_id")
+    return found(t.read(spark, sf, "documents").select(F.concat(F.lit("M"), (k % 3).cast("string")).alias("marker"), F.concat(F.lit("b"), (k % 300).cast("string")).alias("block_id"), (k % 2 == 0).alias("explicit_id")))
+
+
+@query("""WITH f AS (SELECT DISTINCT lang AS record, source, (doc_id % 4)::VARCHAR AS leaf FROM documents),
+g AS (SELECT record, '1. ' || source || '/' || leaf || '. part.md' AS path, source, leaf FROM f),
+h AS (SELECT *, lag('1. ' || source) OVER (PARTITION BY record ORDER BY path) AS before FROM g)
+SELECT record, path, CASE WHEN before IS DISTINCT FROM '1. ' || source THEN '# ' || source || chr(10) || chr(10) ELSE '' END || '## part' || chr(10) || chr(10) AS heading FROM h""")
+def path_headings(spark, sf):
+    """Heading lines where a path leaves the one before it."""
+    from threadloom.plans.publish import path_headings as headings
+    from threadloom.sources.config import Publish
+
+    path = F.concat(F.lit("1. "), F.col("source"), F.lit("/"), (F.col("doc_id") % 4).cast("string"), F.lit(". part.md"))
+    return headings(t.read(spark, sf, "documents").select(F.col("lang").alias("record"), path.alias("path")), Publish()).select("record", "path", "heading")
+
+
+@query(r"""SELECT page_id, translate(url, '/\:*?"<>|', '---------') AS file_name, replace(replace(url, '|', '\|'), chr(10), '<br>') AS cell,
+  CASE WHEN page_id % 3 = 0 THEN 'line ' || page_id ELSE 'lines ' || page_id || '–' || (page_id + page_id % 3) END AS lines,
+  CASE WHEN length(page_id::VARCHAR) >= 3 THEN 'P-' || page_id ELSE 'P-' || lpad(page_id::VARCHAR, 3, '0') END AS numbered,
+  CASE WHEN length(url) > 40 THEN substr(url, 1, 40) || '...' ELSE url END AS short FROM pages""")
+def text_functions(spark, sf):
+    """Text functions on page addresses."""
+    from threadloom.functions import lines
+
+    k = F.col("page_id")
+    return t.read(spark, sf, "pages").select(
+        "page_id", lines.file_name(F.col("url")).alias("file_name"), lines.table_cell(F.col("url")).alias("cell"), lines.lines_text(k, k + k % 3).alias("lines"),
+        model.numbered_id(F.lit("P-"), k).alias("numbered"), lines.short(F.col("url"), 40).alias("short"),
+    )
+
+
+@query(rf"""WITH {_FENCED}, q AS (SELECT *, (fences % 2 = 1 OR line LIKE '```%') AS fenced, lead(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS follow FROM p)
+SELECT doc_id, count(*) AS n_soft FROM q WHERE NOT fenced AND trim(line) <> '' AND follow IS NOT NULL AND trim(follow) <> ''
+  AND NOT regexp_matches(line, '^\s*(#{{1,6}}\s|[-*+]\s|\d+[.)]\s|>|\||```|~~~|(-{{3,}}|\*{{3,}}|_{{3,}})\s*$)') AND NOT regexp_matches(line, '( {{2,}}|\\)$') GROUP BY 1""")
+def soft_breaks(spark, sf):
+    """Lines that get a hard break."""
+    from threadloom.functions.lines import soft_breaks as broken
+
+    before = _fenced(spark, sf)
+    after = broken(before.withColumn("old", F.col("line")), "doc_id")
+    return after.filter("line != old").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_soft"))
+
+
+@query("SELECT 'ORD-' || o_orderkey AS aid FROM orders ORDER BY 1 LIMIT 10")
+def first_ids(spark, sf):
+    """H6: the first ten ids that a lookup offers (the limit is the feature)."""
+    return t.orders(spark, sf).select("aid").orderBy("aid").limit(10)
