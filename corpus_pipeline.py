@@ -30,7 +30,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group stays: the one with the smallest id."""
     groups = ngram_join.near_duplicates(docs)
     others = groups.filter("component_id != doc_id").select(F.col("doc_id").alias("__other"))
-    return docs.join(others, F.col("doc_id") == F.col("__other"), "left_anti")
+    return docs.join(others.hint("merge"), F.col("doc_id") == F.col("__other"), "left_anti")  # the list grows with the corpus: never broadcast
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = docs.withColumn("__th", F.xxhash64("text"))
     taken, _ = source_mixing.mix(keyed, carry=["__th"])
     share = taken.groupBy(F.col("doc_id").alias("__id"), F.col("__th").alias("__t"), "size").agg(F.avg("taken").cast("long").alias("taken")).filter("taken > 0")
-    rows = keyed.join(share, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__t")))
+    rows = keyed.join(share.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__t")))
     rest = F.col("taken") % F.col("size")
     passes = F.array_repeat(F.col("size"), F.floor(F.col("taken") / F.col("size")).cast("int"))
     each = rows.withColumn("__words", F.explode(F.when(rest > 0, F.concat(passes, F.array(rest))).otherwise(passes)))
