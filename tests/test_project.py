@@ -196,3 +196,37 @@ def test_command_line_init_and_schema(tmp_path, capsys):
         (tmp_path / "bad.toml").write_text(bad)
         with pytest.raises(config.ConfigError):
             config.load(tmp_path / "bad.toml")
+
+
+def test_driver_side_outputs(tmp_path):
+    from threadloom.plans import outputs
+
+    assert outputs.ordered_steps("impact")[-1] == "impact" and "validate" not in outputs.ordered_steps("impact")
+    with pytest.raises(ValueError):
+        outputs.ordered_steps("nope")
+    for name in ("a/i.png", "b/i.png"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(name.encode())
+    got = outputs.copy_images([("x", "a/i.png"), ("y", "b/i.png"), ("z", "a/i.png"), ("out", "../secret"), ("gone", "none.png")], tmp_path, tmp_path / "out")
+    assert got == {"x": "images/i.png", "y": "images/i-1.png", "z": "images/i.png"} and (tmp_path / "out/images/i-1.png").read_bytes() == b"b/i.png"
+    row = {"task_id": "T-1", "atype": "TASK", "child_id": "C", "pid": "P", "child_rev": "1", "parent_rev": "2", "file_name": "T-1.md", "action": "create"}
+    assert outputs.write_tasks([row, row | {"action": "skip", "file_name": "no.md"}], tmp_path / "t") == {"create": 1, "update": 0, "skip": 1}
+    text = (tmp_path / "t/T-1.md").read_text()
+    assert not (tmp_path / "t/no.md").exists() and outputs.check_task(text, text.replace("open", "done")) == [] and outputs.check_task(text, text.replace("id: T-1", "id: T-2")) == ["id was changed"]
+
+
+def test_attribute_lookup_plans_and_path_matches(spark):
+    from pyspark.sql import functions as F
+
+    from threadloom.operators import diff, edit
+
+    value = lambda *v: {"is_list": len(v) > 1, "vals": list(v)}
+    rows = spark.createDataFrame([("A", {"Status": value("x"), "tags": value("a", "b"), "blank": value(" ")}), ("B", {})], f"aid string, fields map<string,{model.VALUE}>")
+    got = {r.aid: (r.s, r.t, r.b) for r in rows.select("aid", model.attribute_any_case("STATUS").alias("s"), model.attribute_any_case("Tags").alias("t"), model.attribute_any_case("blank").alias("b")).collect()}
+    assert got == {"A": ("x", "a, b", None), "B": (None, None, None)}
+    plan = lambda op: {(r.aid, r.action) for r in edit.attribute_plan(rows, op, ["Status"], "TBD").collect()}
+    assert plan("add") == {("A", "keep"), ("B", "write")} and plan("replace") == {("A", "write"), ("B", "keep")} and plan("del") == {("A", "delete"), ("B", "keep")}
+    schemas = spark.createDataFrame([("X-{num}", "R-{num:2}"), ("X-1", "R-{num:2}"), (None, None)], "a string, b string").select(edit.schema_of(F.col("a"), F.col("b")).alias("s"))
+    assert [r.s for r in schemas.collect()] == ["X-{num}", "R-{num:2}", "{atype}-{num:3}"]
+    paths = lambda *p: spark.createDataFrame([(x,) for x in p], "path string")
+    assert {tuple(r) for r in diff.match_paths(paths("base/REQ/a.md", "b.md", "x/c.md"), paths("REQ/a.md", "a.md", "b.md", "c.txt")).collect()} == {("base/REQ/a.md", "REQ/a.md"), ("b.md", "b.md")}

@@ -104,3 +104,10 @@ def numbered_id(prefix: Column, number: Column, width: int = 3) -> Column:
     """``prefix`` and a zero-padded number that is never cut."""
     n = number.cast("string")
     return F.concat(prefix, F.when(F.length(n) >= width, n).otherwise(F.lpad(n, width, "0")))
+
+
+def attribute_any_case(name: str, of: str = "fields") -> Column:
+    """An attribute by its name in any case, items joined by ``, ``; of names that differ in case only, the last one counts; blank is null."""
+    hits = F.filter(F.map_entries(of), lambda e: F.lower(e["key"]) == name.lower())
+    text = F.array_join(F.element_at(hits, -1)["value"]["vals"], ", ")
+    return F.when(F.size(hits) > 0, F.when(F.trim(text) != "", text))

@@ -97,3 +97,19 @@ def size_text(size: Column) -> Column:
         F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1024**2, F.format_string("%.1f KB", size / kib))
         .when(size < 1024**3, F.format_string("%.1f MB", size / kib**2)).otherwise(F.format_string("%.1f GB", size / kib**3))
     )
+
+
+def match_paths(changed: DataFrame, scanned: DataFrame) -> DataFrame:
+    """(changed_path, path): the scanned file that a changed path means: the same path, else the one it ends with.
+
+    Paths meet on their file name, so no pair of unlike names is looked at.
+    """
+    from pyspark.sql import Window
+
+    name = lambda c: F.substring_index(c, "/", -1)
+    left = changed.select(F.col("path").alias("changed_path"), name("path").alias("__n"))
+    met = left.join(scanned.select("path", name("path").alias("__n")), "__n")
+    same = F.col("changed_path") == F.col("path")
+    met = met.filter(same | F.col("changed_path").endswith(F.concat(F.lit("/"), F.col("path"))))
+    best = Window.partitionBy("changed_path").orderBy(same.desc(), F.length("path").desc(), "path")
+    return met.withColumn("__k", F.row_number().over(best)).filter("__k = 1").select("changed_path", "path")

@@ -56,3 +56,25 @@ def search(artifacts: DataFrame, query: str) -> DataFrame:
     q = F.lit(query.lower())
     has = lambda c: F.contains(F.lower(c), q)
     return artifacts.filter(has(F.col("aid")) | has(F.col("atype")) | F.exists(F.map_values("fields"), lambda v: F.exists(v["vals"], has)))
+
+
+def schema_of(template: Column, rule: Column) -> Column:
+    """The id schema that holds: one written as a template id, else the metamodel's, else the default."""
+    return F.coalesce(F.when(F.contains(template, F.lit("{num")), template), rule, F.lit("{atype}-{num:3}"))
+
+
+def attribute_plan(artifacts: DataFrame, operation: str, names: list[str], literal: str | None = None, mapping: DataFrame | None = None) -> DataFrame:
+    """(aid, name, old, value, action) of adding, replacing or deleting attributes.
+
+    ``add`` keeps what is there, ``replace`` and ``del`` leave alone what is not;
+    values come from a mapping, else the literal.
+    """
+    rows = artifacts.withColumn("name", F.explode(F.array(*[F.lit(n) for n in names])))
+    rows = rows.withColumn("old", F.array_join(F.col("fields")[F.col("name")]["vals"], "; "))
+    if mapping is not None:
+        rows = fill_from_mapping(rows, mapping, literal)
+    else:
+        rows = rows.withColumn("value", F.lit(literal))
+    has, given = F.map_contains_key("fields", F.col("name")), F.col("value").isNotNull()
+    action = {"add": F.when(has, "keep").when(given, "write"), "replace": F.when(~has, "keep").when(given, "write"), "del": F.when(has, "delete").otherwise("keep")}[operation]
+    return rows.select("aid", "name", "old", "value", F.coalesce(action, F.lit("skip")).alias("action"))
