@@ -325,10 +325,9 @@ def _edges(found: Iterator[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
 
-def _verified(tasks: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Links of the tasks (block, chunk, digest, rep): texts are fetched by id."""
-    texts = tasks.join(docs, F.col("rep") == F.col("__id")).select("block", "chunk", "digest", "rep", "text")
-    dealt = texts.repartition("block", "chunk").sortWithinPartitions("block", "chunk")
+def _verified(tasks: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links of the tasks (block, chunk, digest, rep, text)."""
+    dealt = tasks.repartition("block", "chunk").sortWithinPartitions("block", "chunk")
     return store.table(dealt.mapInArrow(_joined(k, num, den), "a long, b long"), "links")
 
 
@@ -353,29 +352,35 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     known = classes.select("digest", "rep").mapInArrow(_class_key, "digest binary, rep long, cls long")
     size = blocks.groupBy("root").agg(F.count(F.lit(1)).alias("size")).select(F.xxhash64("root").alias("__k"), F.col("root").alias("__r"), "size")
     placed = blocks.join(size, (F.xxhash64("root") == F.col("__k")) & (F.col("root") == F.col("__r"))).select("node", F.col("root").alias("block"), F.ceil(F.col("size") / chunk).cast("int").alias("chunks"))
-    cut = store.table(
-        known.join(placed, F.col("cls") == F.col("node")).select("block", F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int").alias("chunk"), "digest", "rep", "chunks"), "cut"
-    )
+    columns = ["block", "chunk", "digest", "rep", "text"]
+    cut = known.join(placed, F.col("cls") == F.col("node")).select("block", F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int").alias("chunk"), "digest", "rep", "chunks")
+    # texts are fetched once, by a merge join at every size, and kept for the members of blocks alone
+    source = rows.select(F.col("doc_id").alias("__id"), "text")
+    cut = store.table(cut.hint("merge").join(source, F.col("rep") == F.col("__id")).select(*columns, "chunks"), "blocks")
+    large = cut.filter("chunks > 1")
     hubs = (
-        cut.filter("chunks > 1").groupBy("block", "chunks", F.pmod(F.xxhash64("rep"), F.lit(HUBS)).alias("hub")).agg(F.min(F.struct("rep", "digest")).alias("first"))
+        large.groupBy("block", "chunks", F.pmod(F.xxhash64("rep"), F.lit(HUBS)).alias("hub")).agg(F.min(F.struct("rep", "digest")).alias("first"))
         .select("block", "chunks", F.col("first.digest").alias("digest"), F.col("first.rep").alias("rep"))
     )
-    everywhere = lambda some: some.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("block", "chunk", "digest", "rep")
-    source = rows.select(F.col("doc_id").alias("__id"), "text")
-    links = _verified(cut.drop("chunks").unionByName(everywhere(hubs)), source, k, num, den)
+
+    def everywhere(some: DataFrame) -> DataFrame:
+        """Members as tasks of every chunk of their block."""
+        texts = some.join(large.select("digest", "rep", "text"), ["digest", "rep"])
+        return texts.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(*columns)
+
+    links = _verified(cut.select(*columns).unionByName(everywhere(hubs)), k, num, den)
     roots = components(links)
-    large = cut.filter("chunks > 1")
     if not large.isEmpty():
         linked = roots.select(F.col("node").alias("__n"), F.col("root").alias("__root"))
-        seat = large.join(linked, F.col("rep") == F.col("__n"), "left").select("block", "chunks", "chunk", "digest", "rep", F.coalesce("__root", "rep").alias("at"))
+        seat = large.join(linked, F.col("rep") == F.col("__n"), "left").select("block", "chunks", "digest", "rep", F.coalesce("__root", "rep").alias("at"))
         main = hubs.groupBy("block").agg(F.min("rep").alias("hub")).join(linked, F.col("hub") == F.col("__n"), "left").select(F.xxhash64("block").alias("__k"), F.col("block").alias("__b"), F.coalesce("__root", "hub").alias("main"))
         seat = seat.join(main, (F.xxhash64("block") == F.col("__k")) & (F.col("block") == F.col("__b")))
         outside = store.table(seat.filter("at != main").select("block", "chunks", "digest", "rep"), "outside")
         if not outside.isEmpty():
             concerned = outside.groupBy("block").agg(F.count(F.lit(1)).alias("n")).select(F.xxhash64("block").alias("__k"), F.col("block").alias("__b"))
-            again = large.join(concerned, (F.xxhash64("block") == F.col("__k")) & (F.col("block") == F.col("__b"))).select("block", "chunk", "digest", "rep")
-            more = _verified(again.unionByName(everywhere(outside)), source, k, num, den)
-            roots = components(links.unionByName(more))
+            again = large.join(concerned, (F.xxhash64("block") == F.col("__k")) & (F.col("block") == F.col("__b"))).select(*columns)
+            more = _verified(again.unionByName(everywhere(outside)), k, num, den)
+            roots = components(roots.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     named = classes.join(roots.select(F.col("node").alias("__n"), "root"), F.col("rep") == F.col("__n"), "left")
     named = named.select(F.xxhash64("digest").alias("__k"), F.col("digest").alias("__digest"), F.coalesce("root", "rep").alias("root"))
     out = members.join(named, (F.xxhash64("digest") == F.col("__k")) & (F.col("digest") == F.col("__digest")) & F.col("doc_id").isNotNull(), "left")
