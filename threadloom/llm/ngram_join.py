@@ -41,8 +41,8 @@ from threadloom.llm.words import Words, mix, slices, tokenize, window_hashes, wi
 
 #: Sets of this size or more publish the tokens under ``SHARE`` only; the chance that one has too few of them is under 1e-15.
 WIDE, SHARE = 400, int(0.4 * (1 << 32))
-#: Members of a task's tree, hubs of a chunked block, bytes of packed tokens in a partition.
-CHUNK, HUBS, PACKED = 512, 4, 24_000_000
+#: Members and shingles of a task's tree, hubs of a chunked block, bytes of packed tokens in a partition.
+CHUNK, CHUNK_SHINGLES, HUBS, PACKED = 512, 1_000_000, 4, 24_000_000
 _LEAF = 16
 
 
@@ -349,11 +349,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     least = prefix.groupBy("token").agg(F.min("cls").alias("m"), F.max("cls").alias("x")).filter("m < x").select(F.xxhash64("token").alias("__k"), F.col("token").alias("__t"), "m")
     meets = prefix.join(least, (F.xxhash64("token") == F.col("__k")) & (F.col("token") == F.col("__t"))).filter("cls != m").select(F.col("cls").alias("a"), F.col("m").alias("b"))
     blocks = store.table(components(meets), "blocks")
-    known = classes.select("digest", "rep").mapInArrow(_class_key, "digest binary, rep long, cls long")
-    size = blocks.groupBy("root").agg(F.count(F.lit(1)).alias("size")).select(F.xxhash64("root").alias("__k"), F.col("root").alias("__r"), "size")
-    placed = blocks.join(size, (F.xxhash64("root") == F.col("__k")) & (F.col("root") == F.col("__r"))).select("node", F.col("root").alias("block"), F.ceil(F.col("size") / chunk).cast("int").alias("chunks"))
+    known = classes.select("digest", "rep", "n").mapInArrow(_class_key, "digest binary, rep long, n long, cls long")
+    member = store.table(known.join(blocks, F.col("cls") == F.col("node")).select(F.col("root").alias("block"), "digest", "rep", "n"), "members")
+    chunks = F.greatest(F.ceil(F.count(F.lit(1)) / chunk), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("int").alias("chunks")
+    size = member.groupBy("block").agg(chunks).select(F.xxhash64("block").alias("__k"), F.col("block").alias("__b"), "chunks")
     columns = ["block", "chunk", "digest", "rep", "text"]
-    cut = known.join(placed, F.col("cls") == F.col("node")).select("block", F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int").alias("chunk"), "digest", "rep", "chunks")
+    cut = member.join(size, (F.xxhash64("block") == F.col("__k")) & (F.col("block") == F.col("__b"))).select("block", F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int").alias("chunk"), "digest", "rep", "chunks")
     # texts are fetched once, by a merge join at every size, and kept for the members of blocks alone
     source = rows.select(F.col("doc_id").alias("__id"), "text")
     cut = store.table(cut.hint("merge").join(source, F.col("rep") == F.col("__id")).select(*columns, "chunks"), "blocks")
@@ -390,4 +391,4 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def _class_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = [int.from_bytes(d[:8], "little", signed=True) for d in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_pydict({"digest": batch.column(0), "rep": batch.column(1), "cls": pa.array(keys, pa.int64())})
+        yield pa.RecordBatch.from_pydict({"digest": batch.column(0), "rep": batch.column(1), "n": batch.column(2), "cls": pa.array(keys, pa.int64())})
