@@ -135,16 +135,25 @@ class Lattice:
             whole = piece[found] >= 0
             here, found = live[whole], found[whole]
             single[here[width[here] == length]] = True
-            at.append(here), size.append(np.full(len(here), length, np.int64)), ids.append(piece[found]), weight.append(log_weight[found])
+            at.append(here), size.append(length), ids.append(piece[found]), weight.append(log_weight[found])
         lone = nodes[~single[nodes]]
         at.append(lone), size.append(width[lone]), ids.append(np.full(len(lone), -1, np.int32)), weight.append(vocabulary.byte_weight * width[lone])
-        at, size, ids, weight = (np.concatenate(x) for x in (at, size, ids, weight))
-        head = rank[at]
-        order = np.argsort(head.astype(np.int64) * 64 + (63 - np.minimum(size, 63)))
-        to = at + size
-        self.to = np.where(to == until[at], 0, rank[to])[order].astype(np.int32)
-        self.head, self.size, self.ids, weight = head[order], size[order], ids[order], weight[order]
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(self.head, minlength=len(nodes) + 1))])
+        # place arcs by node, longest first: one pass per length, in which no node occurs twice
+        heads = [rank[x] for x in at]
+        count = np.zeros(len(nodes) + 1, dtype=np.int64)
+        for x in heads:
+            count[x] += 1
+        self.first = np.concatenate([[0], np.cumsum(count)])
+        total, cursor = int(self.first[-1]), self.first[:-1].copy()
+        self.to, self.head, self.ids = (np.empty(total, dtype=np.int32) for _ in range(3))
+        self.size, weight_of = np.empty(total, dtype=np.int32), np.empty(total)
+        for x, here, width_of, piece, w in reversed(list(zip(heads, at, size, ids, weight))):
+            slot = cursor[x]
+            cursor[x] += 1
+            to = here + width_of
+            self.to[slot] = np.where(to == until[here], 0, rank[to])
+            self.head[slot], self.size[slot], self.ids[slot], weight_of[slot] = x, width_of, piece, w
+        weight = weight_of
         self._backward(weight, left)
 
     def _backward(self, weight: np.ndarray, left: np.ndarray) -> None:
@@ -235,6 +244,16 @@ class Batch:
         self.origin = np.cumsum(long) - long  # of each distinct chunk in the lattice
         self.lattice = Lattice(vocabulary, buffer[_ranges(self.start[index], long)], self.origin) if len(index) else None
 
+    def spells(self, docs: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Whether each run of ids decodes to the bytes of its text."""
+        n = self.vocabulary.length[ids]
+        bytes_of = np.diff(np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(sizes)])])
+        same = bytes_of == np.diff(self.offsets)[docs]
+        if same.all():
+            wrong = self.vocabulary.decode_bytes(ids) != self.buffer[_ranges(self.offsets[docs], bytes_of)]
+            same = np.diff(np.concatenate([[0], np.cumsum(wrong)])[np.concatenate([[0], np.cumsum(bytes_of)])]) == 0
+        return same
+
     def paths(self, chunk: np.ndarray, node: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Arcs from ``node`` to the end of each chunk: (arc, its chunk, arcs per chunk), in order."""
         lattice, live, steps = self.lattice, np.arange(len(chunk)), []
@@ -313,30 +332,30 @@ class Batch:
         log_p = lattice.log_p[arcs]
         total = np.concatenate([[0.0], np.cumsum(log_p)])
         size = np.diff(b)
-        prefix = total[:-1] - np.repeat(total[b[:-1]], size)
-        other = -np.expm1(np.minimum(log_p, 0.0))
-        head_node = lattice.head[arcs]
-        other[lattice.first[head_node + 1] - lattice.first[head_node] == 1] = 0.0
-        with np.errstate(divide="ignore"):
-            location = prefix + np.log(other)
+        prefix = state["prefix"] = total[:-1] - np.repeat(total[b[:-1]], size)
         doc = np.repeat(state["docs"], size)
         old = np.arange(len(arcs)) < np.repeat(fresh, size)
         head = np.repeat(prefix[np.minimum(fresh, b[1:] - 1)], size)
         x = np.full(len(arcs), -np.inf)
 
         def value(at: np.ndarray) -> None:
-            position = self.start[of[at]] + lattice.pos[head_node[at]] - self.origin[self.kind[of[at]]] - self.offsets[doc[at]]
+            node = lattice.head[arcs[at]]
+            other = -np.expm1(np.minimum(log_p[at], 0.0))
+            other[lattice.first[node + 1] - lattice.first[node] == 1] = 0.0
+            with np.errstate(divide="ignore"):
+                location = prefix[at] + np.log(other)
+            position = self.start[of[at]] + lattice.pos[node] - self.origin[self.kind[of[at]]] - self.offsets[doc[at]]
             limit = np.repeat(state["value"], size)[at]
-            x[at] = truncated(location[at], limit, uniform(self.seeds[doc[at]], r, position, 2))
+            x[at] = truncated(location, limit, uniform(self.seeds[doc[at]], r, position, 2))
 
         near = ~old & (prefix >= head - 60.0)
         value(np.flatnonzero(near))
-        # a value is at most 38 above its location, and locations fall along a path: look further only where that could matter
+        # a value is at most 38 above its location, which is under its prefix, and prefixes fall along a path: look further only where that could matter
         rest = x.copy()
         for _ in range(keep - 1):
             rest[rest == np.repeat(np.maximum.reduceat(rest, b[:-1]), size)] = -np.inf
         worst = np.maximum.reduceat(rest, b[:-1])
-        value(np.flatnonzero(~old & ~near & (location + 38.0 >= np.repeat(worst, size))))
+        value(np.flatnonzero(~old & ~near & (prefix + 38.0 >= np.repeat(worst, size))))
         for _ in range(keep):
             top = np.maximum.reduceat(x, b[:-1])
             hit = np.flatnonzero((x == np.repeat(top, size)) & (x > -np.inf))
@@ -351,22 +370,26 @@ class Batch:
     def _deviate(self, last: dict, r: int, picks: list, frontier: list[list[tuple]], keep: int) -> dict:
         """The next sample of each text: the popped set's sampled arc, then a fresh path to the end."""
         lattice, docs, heads, new_arc = self.lattice, np.array([d for d, _ in picks]), [], []
-        for d, (x, state, row, step, out) in picks:
-            node = int(lattice.head[state["arcs"][step]])
-            lo, hi = int(lattice.first[node]), int(lattice.first[node + 1])
+        ofs = np.array([int(p[1]["of"][p[3]]) for _, p in picks])
+        nodes = np.array([int(lattice.head[p[1]["arcs"][p[3]]]) for _, p in picks])
+        position = self.start[ofs] + lattice.pos[nodes] - self.origin[self.kind[ofs]] - self.offsets[docs]
+        which, level = uniform(self.seeds[docs], r, position, 3), uniform(self.seeds[docs], r, position, 2)
+        rests = np.zeros(len(picks))
+        for i, (d, (x, state, row, step, out)) in enumerate(picks):
+            lo, hi = int(lattice.first[nodes[i]]), int(lattice.first[nodes[i] + 1])
             p = lattice.p[lo:hi].copy()
             p[[a - lo for a in out]] = 0.0
-            of = int(state["of"][step])
-            position = np.array([self.start[of] + lattice.pos[node] - self.origin[self.kind[of]] - self.offsets[d]])
-            total = np.cumsum(p)
-            arc = lo + min(int(np.searchsorted(total, float(uniform(self.seeds[[d]], r, position, 3)[0]) * total[-1], side="right")), int(np.flatnonzero(p)[-1]))
-            heads.append((state, row, step, of)), new_arc.append(arc)
+            total = p.cumsum()
+            arc = lo + min(int(total.searchsorted(which[i] * total[-1], side="right")), int(p.nonzero()[0][-1]))
+            heads.append((state, row, step, int(ofs[i]))), new_arc.append(arc)
             p[arc - lo] = 0.0
-            if (rest := p.sum()) > 0:
-                a = state["bounds"][row]
-                prefix = float(lattice.log_p[state["arcs"][a:step]].sum())
-                again = truncated(np.array([prefix + np.log(rest)]), np.array([x]), uniform(self.seeds[[d]], r, position, 2))
-                frontier[d].append((float(again[0]), state, row, step, (*out, arc)))
+            rests[i] = p.sum()
+        prefixes = np.array([float(p[1]["prefix"][p[3]]) for _, p in picks])
+        with np.errstate(divide="ignore"):
+            again = truncated(prefixes + np.log(rests), np.array([p[0] for _, p in picks]), level)
+        for i, (d, (x, state, row, step, out)) in enumerate(picks):
+            if rests[i] > 0:
+                frontier[d].append((float(again[i]), state, row, step, (*out, new_arc[i])))
         new_arc = np.array(new_arc)
         first_chunk = np.array([h[3] for h in heads])
         size = self.doc_first[docs + 1] - first_chunk
@@ -407,9 +430,9 @@ def sample_segmentations(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
                 texts = part.column(1)
                 work = Batch(vocabulary, texts, row_seed(part.column(0).to_pylist(), texts, seed))
                 rows = [(d, i, *s) for d, found in enumerate(work.sample(k)) for i, s in enumerate(found)]
-                trip = [np.array_equal(vocabulary.decode_bytes(ids.astype(np.int64)), work.buffer[work.offsets[d] : work.offsets[d + 1]]) for d, _, ids, _, _ in rows]
                 sizes = np.array([len(x[2]) for x in rows], dtype=np.int64)
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate([x[2] for x in rows]), pa.int32()))
+                trip = work.spells(np.array([x[0] for x in rows]), sizes, flat := np.concatenate([x[2] for x in rows]))
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat.astype(np.int32)))
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": part.column(0).take(pa.array([x[0] for x in rows])), "sample": pa.array([x[1] for x in rows], pa.int32()), "ids": ids,
                     "n_pieces": pa.array(sizes), "log_prob": pa.array([x[3] for x in rows], pa.float64()), "inclusion": pa.array([x[4] for x in rows], pa.float64()),
