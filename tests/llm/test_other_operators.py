@@ -38,6 +38,23 @@ def test_embeddings_match_brute_force(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("distinct", [2, 5, 10])
+def test_embedding_links_of_few_distinct_vectors(spark, distinct):
+    rng = np.random.default_rng(distinct)
+    base = rng.normal(size=16) + rng.normal(size=(distinct, 16)) * 0.3
+    x = base[rng.integers(0, distinct, size=300)]
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    linked = u @ u.T >= 0.9
+    np.fill_diagonal(linked, False)
+    root = np.arange(len(x))
+    for _ in range(distinct):
+        root = np.minimum(root, np.where(linked, root[None, :], len(x)).min(axis=1))
+    assert [got[i].n_links for i in range(len(x))] == linked.sum(axis=1).tolist()
+    assert [got[i].component_id for i in range(len(x))] == root.tolist()
+
+
 def test_quantised_bound_holds():
     rng = np.random.default_rng(4)
     u = rng.normal(size=(300, 64))

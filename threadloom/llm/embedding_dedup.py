@@ -98,13 +98,14 @@ def _unpack(table: pa.Table, length: int):
     return ids, counts, np.frombuffer(data, dtype=np.float64).reshape(len(ids), length // 8)
 
 
-def _pair(threshold: float):
+def _pair(threshold: float, groups: int):
     def pair(table: pa.Table) -> pa.Table:
         out_a, out_b, out_n = [], [], []
+        number = table.column("pair")[0].as_py()
+        alone = number // groups == number % groups  # an empty side says nothing: its group may hold no class
         sides = [table.filter(pa.compute.equal(table.column("side"), s)) for s in (0, 1)]
         for length in pa.compute.unique(pa.compute.binary_length(sides[0].column("vec"))).to_pylist():
             ids, counts, x = _unpack(sides[0], length)
-            alone = sides[1].num_rows == 0
             ids_y, counts_y, y = (ids, counts, None) if alone else _unpack(sides[1], length)
             if not len(ids) or not len(ids_y):
                 continue
@@ -159,7 +160,7 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     sent = dealt.withColumn("other", F.explode(others)).select(
         (F.least("g", "other") * groups + F.greatest("g", "other")).alias("pair"), (F.col("g") > F.col("other")).cast("int").alias("side"), "rep", "n", "vec"
     )
-    met = store.table(sent.groupBy("pair").applyInArrow(_pair(threshold), "a long, b long, links long"), "links")
+    met = store.table(sent.groupBy("pair").applyInArrow(_pair(threshold, groups), "a long, b long, links long"), "links")
     roots = components(met.select("a", "b"))
     links = met.groupBy(F.col("a").alias("__a")).agg(F.sum("links").alias("links"))
     marked = classes.join(links, F.col("key") == F.col("__a"), "left").join(roots.withColumnRenamed("node", "__node"), F.col("key") == F.col("__node"), "left")
