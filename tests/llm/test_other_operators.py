@@ -1,6 +1,7 @@
 """Embeddings, personal data, URLs, secrets, mixing, sampling: brute force, invariants and edge cases."""
 
 import collections
+import itertools
 import math
 import random
 import re
@@ -111,6 +112,37 @@ def test_pii_collisions_are_resolved(spark, monkeypatch):
     assert {r.norm for r in again} >= {"0000000", "0000001", "0000002"} and all(r.attempt >= 1 for r in again)
 
 
+def test_pii_surrogates_never_run_out(spark):
+    syllables = "ba ce di fo gu ha ke li mo nu pa re si to vu wa xe yi zo qu da fe".split()
+    names = ["".join(p) for p in itertools.product(syllables, repeat=3)][:10_000]
+    rows = [(i, " and ".join(f"{'Mr' if j % 2 else 'Dr'} {n.capitalize()}" for j, n in enumerate(names[i : i + 10]))) for i in range(0, len(names), 10)]
+    rows += [(-i, f"Mr {n.capitalize()} again") for i, n in enumerate(names[1:400:2], 1)]
+    out = pii_surrogates.replace(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    shown = collections.defaultdict(set)
+    for (_, text), r in zip(sorted(rows), sorted(out, key=lambda r: r.doc_id)):
+        for e in r.entities:
+            shown[text[e.start : e.end].casefold()].add(e.surrogate.casefold())
+    assert len(shown) == len(names) and all(len(x) == 1 for x in shown.values())
+    new = {x for v in shown.values() for x in v}
+    assert len(new) == len(names) and not new & set(names)
+
+
+def test_pii_formats_widen_when_they_are_full(spark, monkeypatch):
+    entities = spark.createDataFrame([("phone", f"555{i:04d}") for i in range(30)] + [("ip", "10.0.0.1"), ("ip", "10.0.0.2")], "type string, norm string")
+    original = pii_surrogates.canonical_surrogate
+
+    def full(kind, norm, attempt, key=b"k"):
+        made = original(kind, norm, attempt, key)
+        return "5550000" if kind == "phone" and len(made) == 7 else "10.0.0.1" if made.startswith("10.") else made
+
+    monkeypatch.setattr(pii_surrogates, "canonical_surrogate", full)
+    again = pii_surrogates.exceptions(entities, b"k").collect()
+    made = {full(r.type, r.norm, r.attempt, b"k") for r in again}
+    assert len(again) == len(made) == 32
+    shown = pii_surrogates.render("phone", "555-0000", "12345678")
+    assert shown == "123-45678"
+
+
 def test_urls_match_brute_force(spark):
     rules = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"), ("block", "a.b.com", ""), ("block", "tie.net", "/x"), ("allow", "tie.net", "/x")]
     hosts = ["example.org", "WWW.Example.ORG", "notexample.org", "org", "x.com", "a.b.com", "z.a.b.com", "ab.com", "tie.net", "", "münchen.org", ".com"]

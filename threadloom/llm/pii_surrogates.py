@@ -9,8 +9,11 @@ and case, a name keeps the gender that its title states.
 
 Distinctness is checked over the whole corpus: entities are counted once, and
 an entity whose surrogate is already some other entity's, or is itself a real
-entity of the corpus, tries its next attempt until none collides. Only entities
-that needed another attempt are sent back to the texts.
+entity of the corpus, tries its next attempt until none collides. Later attempts
+have more room (names more syllables, phone numbers and the like more digits,
+private IPs any first byte), so that no number of entities uses it up; IPs alone
+cannot grow past their 212 * 2**24 addresses. Only entities that needed another
+attempt are sent back to the texts.
 
 Edge cases: null and empty texts have no entities and pass unchanged; null ids
 are allowed; repeated rows are replaced alike; an empty table gives an empty
@@ -31,7 +34,8 @@ from pyspark.sql import types as T
 from threadloom.llm import store
 
 KEY = b"threadloom"
-ATTEMPTS = 16
+#: Attempts in the format of the entity itself; from here on digits are added. Attempts after which IPs are taken for used up.
+WIDEN, ATTEMPTS = 8, 256
 ENTITY = "array<struct<type:string,start:int,end:int,surrogate:string>>"
 
 _EMAIL = re.compile(r"[^\W_][\w.+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,5}")
@@ -90,16 +94,18 @@ def canonical_surrogate(kind: str, norm: str, attempt: int, key: bytes = KEY) ->
         return "".join(map(swap, local)) + f"@{chr(97 + number(26))}{chr(97 + number(26))}{number(10_000):04d}.example.{top}"
     if kind == "ip":
         first = norm.split(".")[0]
-        return ".".join([first if first in ("10", "127") else str(11 + number(212))] + [str(number(256)) for _ in range(3)])
+        return ".".join([first if first in ("10", "127") and attempt < WIDEN else str(11 + number(212))] + [str(number(256)) for _ in range(3)])
     if kind.startswith("name"):
         _, gender, script = kind.split(":")
         given = _GIVEN[script, gender] if gender in "fm" else _GIVEN[script, "fm"[number(2)]]
         stems, ends = _FAMILY[script]
-        family = stems[number(len(stems))] + stems[number(len(stems))].lower() + ends[number(len(ends))]
+        more = 1 + max(0, attempt - 1)  # the room grows twentyfold or so with each attempt after the second
+        family = "".join(stems[number(len(stems))] for _ in range(1 + more)) + ends[number(len(ends))]
         return (f"{given[number(len(given))]} {family}" if " " in norm else family).casefold()
     if kind == "iban":
         return norm[:2] + "".join(str(number(10)) if c.isdigit() else chr(65 + number(26)) for c in norm[2:])
-    digits = "".join(str(number(10)) for _ in norm)
+    longer = 0 if kind == "card" else max(0, attempt - WIDEN + 1)
+    digits = "".join(str(number(10)) for _ in range(len(norm) + longer))
     if kind == "card" and _luhn(norm):
         digits = next(digits[:-1] + str(d) for d in range(10) if _luhn(digits[:-1] + str(d)))
     return digits
@@ -109,7 +115,7 @@ def render(kind: str, shown: str, surrogate: str) -> str:
     """The surrogate in the format of one occurrence: its case, its separators."""
     if kind in ("phone", "card", "ssn", "iban"):
         rest = iter(surrogate)
-        return "".join(next(rest) if c.isalnum() else c for c in shown)
+        return "".join([*(next(rest) if c.isalnum() else c for c in shown), *rest])
     if shown.isupper() and not shown.islower():
         return surrogate.upper()
     if kind.startswith("name"):
@@ -201,7 +207,7 @@ def exceptions(entities: DataFrame, key: bytes = KEY) -> DataFrame | None:
         taken = won.select("family", "surrogate") if taken is None else taken.unionByName(won.select("family", "surrogate"))
         if pending.isEmpty():
             return out
-    raise ValueError("an entity type has too few distinct surrogates; give its format more room")
+    raise ValueError("the corpus holds more distinct IPs than surrogates can be found for")
 
 
 def replace(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, key: bytes = KEY) -> DataFrame:
