@@ -127,6 +127,16 @@ def test_pii_surrogates_never_run_out(spark):
     assert len(new) == len(names) and not new & set(names)
 
 
+def test_pii_names_keep_their_script(spark):
+    names = {"Dr Παπαδόπουλος": "[Ͱ-Ͽ]+", "Mrs Ελένη Καρρά": "[Ͱ-Ͽ]+ [Ͱ-Ͽ]+", "Mr Սարգսյան": "[\u0531-\u0588]+", "господин Петров": "[Ѐ-ӿ]+", "Dr Jones": "[A-Za-z]+"}
+    out = pii_surrogates.replace(spark.createDataFrame(list(enumerate(names)), "doc_id long, text string")).collect()
+    for r, (name, script) in zip(sorted(out, key=lambda r: r.doc_id), names.items()):
+        (entity,) = r.entities
+        assert re.fullmatch(script, entity.surrogate) and entity.surrogate not in name and entity.surrogate.istitle()
+        assert r.text == name.split(" ")[0] + " " + entity.surrogate
+    assert pii_surrogates.render("name:m:greek", "Κώστας", "γιώργοσ") == "Γιώργος"
+
+
 def test_pii_formats_widen_when_they_are_full(spark, monkeypatch):
     entities = spark.createDataFrame([("phone", f"555{i:04d}") for i in range(30)] + [("ip", "10.0.0.1"), ("ip", "10.0.0.2")], "type string, norm string")
     original = pii_surrogates.canonical_surrogate

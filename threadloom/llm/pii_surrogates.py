@@ -55,10 +55,16 @@ _GIVEN = {
     ("latin", "m"): "Adam Bruno Carlo David Emil Felix Georg Hugo Ivan Jonas Karl Leon Max Nils Oscar Peter Robert Simon Thomas Viktor".split(),
     ("cyrillic", "f"): "Анна Вера Галина Дарья Елена Инна Лидия Мария Нина Ольга Софья Юлия".split(),
     ("cyrillic", "m"): "Андрей Борис Виктор Глеб Денис Егор Иван Лев Максим Олег Пётр Юрий".split(),
+    ("greek", "f"): "Άννα Βασιλική Δήμητρα Ελένη Ζωή Ιωάννα Κατερίνα Μαρία Νίκη Σοφία Φωτεινή Χριστίνα".split(),
+    ("greek", "m"): "Αλέξανδρος Βασίλης Γιώργος Δημήτρης Θανάσης Κώστας Λευτέρης Μιχάλης Νίκος Πέτρος Σπύρος Χρήστος".split(),
+    ("armenian", "f"): "Անահիտ Գայանե Եվա Լիլիթ Կարինե Հասմիկ Մարիամ Նարե Նունե Շուշան Սոնա Տաթև".split(),
+    ("armenian", "m"): "Արամ Արմեն Գագիկ Դավիթ Կարեն Հակոբ Նարեկ Պետրոս Սարգիս Տիգրան Վահան Րաֆֆի".split(),
 }
 _FAMILY = {
     "latin": ("Al Ber Cor Dal Els Fen Gar Hol Ing Jor Kel Lin Mar Nor Orm Pel Ros Sten Tor Wen".split(), "berg den feld ham ler man ner sen son stein ton vik".split()),
     "cyrillic": ("Бел Вор Гор Дуб Зим Кар Лаз Мор Нов Ор Пет Рож Сок Тих Федот".split(), "ов ин ский енко ев як".split()),
+    "greek": ("Αγγ Βασ Γερ Δημ Ζαχ Θεο Καρ Λαζ Μαν Νικ Παν Ραφ Σταμ Τσακ Φιλ".split(), "ίδης άκης όπουλος άτος έας ούδης".split()),
+    "armenian": ("Աբ Բաղ Գրիգ Դան Եղ Զաք Թոր Կար Հով Մար Նազ Պող Սար Տեր Վարդ".split(), "յան ունի ենց ունց".split()),
 }
 
 
@@ -78,8 +84,12 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+_SCRIPTS = {"cyrillic": re.compile("[Ѐ-ԯ]"), "greek": re.compile("[Ͱ-Ͽἀ-῿]"), "armenian": re.compile("[\u0531-\u0588]")}
+
+
 def _script(name: str) -> str:
-    return "cyrillic" if re.search("[Ѐ-ӿ]", name) else "latin"
+    """The script of a name; what has no pool of its own counts as Latin, so that it is replaced all the same."""
+    return next((s for s, letters in _SCRIPTS.items() if letters.search(name)), "latin")
 
 
 def canonical_surrogate(kind: str, norm: str, attempt: int, key: bytes = KEY) -> str:
@@ -119,7 +129,7 @@ def render(kind: str, shown: str, surrogate: str) -> str:
     if shown.isupper() and not shown.islower():
         return surrogate.upper()
     if kind.startswith("name"):
-        return " ".join(w.capitalize() for w in surrogate.split(" "))
+        return " ".join(w.upper().capitalize() for w in surrogate.split(" "))  # by way of capitals: a last sigma takes its final form
     return surrogate
 
 
