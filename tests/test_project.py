@@ -94,6 +94,32 @@ def test_git_sources_impact_and_change_report(spark, home):
     assert [r.hash_short for r in git.last_commits(spark, home, ["REQ/new.md", "absent"]).collect()] == [git.git(home, "rev-parse", "HEAD").strip()[:7]]
 
 
+def test_change_report_of_ids_binaries_and_errors(spark, tmp_path):
+    run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=n", "-c", "user.email=e@x", *a], check=True, capture_output=True)
+    for d in ("doc", "pic", "nb"):
+        (tmp_path / d).mkdir()
+    note = lambda i, t: f"[NOTE {i}] {t} [/NOTE]\n\n"
+    (tmp_path / "doc/a.md").write_text(note("n1", "first") + note("n2", "second") + note("n3", "third"))
+    for name in ("same", "new"):
+        (tmp_path / f"pic/{name}.png").write_bytes(b"old")
+        (tmp_path / f"pic/{name}.png.stmx").write_text(f"id: P-{name}\n")
+    (tmp_path / "nb/x.ipynb").write_text('{"cells": []}')
+    run("init", "-q")
+    run("add", ".")
+    run("commit", "-qm", "one")
+    (tmp_path / "doc/a.md").write_text(note("n3", "third") + note("n1", "first") + note("n2", "changed"))
+    (tmp_path / "pic/new.png").write_bytes(b"newer")
+    (tmp_path / "nb/x.ipynb").write_text("{ broken")
+    records = [config.InputRecord("doc", "doc", "obsidian", marker="REQ", markers=["NOTE"], atype="REQ"), config.InputRecord("pic", "pic", "sidecar", atype="PIC"), config.InputRecord("nb", "nb", "ipynb", atype="REQ")]
+    rules = project.metamodel.Metamodel()
+    text = project.changes(spark, config.Config(tmp_path, records), rules, tmp_path, "HEAD", "working")
+    assert "| text fragments | 0 | 0 | 1 |" in text and "modified in doc/a.md" in text and "changed" in text
+    assert "| binaries | 0 | 0 | 1 |" in text and "- modified P-new: 3 B" in text and "P-same" not in text
+    assert "## Errors in x.ipynb" in text and "+{ broken" in text and '-{"cells": []}' in text
+    with pytest.raises(git.GitError):
+        project.changes(spark, config.Config(tmp_path, [config.InputRecord("out", "..", "text", atype="REQ")]), rules, tmp_path, "HEAD", "working")
+
+
 def test_other_drivers(spark, tmp_path):
     (tmp_path / "n.ipynb").write_text('{"cells": [{"cell_type": "markdown", "source": ["[REQ]\\n", "t\\n", "[id] R-1\\n"]}, {"cell_type": "code", "source": "x = 1"}]}')
     (tmp_path / "bad.ipynb").write_text("{")

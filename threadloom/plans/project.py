@@ -5,6 +5,7 @@ Everything relational stays a lazy DataFrame; only what a report prints is colle
 
 from __future__ import annotations
 
+import difflib
 import importlib.util
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -22,6 +23,10 @@ from threadloom.sources import files as small
 from threadloom.sources import git, scan
 
 
+#: Endings of sidecars.
+SIDE = r"\.(stmx|side\.yaml)$"
+
+
 @dataclass
 class Plugin:
     """User callables: blocks -> blocks, row filter, text -> text, matrix consumer."""
@@ -284,15 +289,44 @@ def _folder(paths: dict[str, str]):
     return out
 
 
+def _inside(config: settings.Config, repo: str | Path) -> None:
+    """Every input folder must lie in the repository (M2)."""
+    root = Path(repo).resolve()
+    outside = [r.name for r in config.input if not (Path(config.base) / r.dir).resolve().is_relative_to(root)]
+    if outside:
+        raise git.GitError(f"outside the repository {root}: {', '.join(outside)}")
+
+
+def _fallback(broken: DataFrame, base: DataFrame | None, target: DataFrame | None) -> DataFrame:
+    """(record, path, message, diff) of the files with error blocks on a side, with their unified diff (M6)."""
+
+    def compare(frames):
+        for f in frames:
+            lines = [[(x or "").splitlines() for x in f[c]] for c in ("old", "new")]
+            f["diff"] = ["\n".join(difflib.unified_diff(o, n, f"a/{p}", f"b/{p}", lineterm="")) for o, n, p in zip(*lines, f["path"])]
+            yield f[["record", "path", "message", "diff"]]
+
+    out = broken.groupBy("record", "path").agg(F.array_join(F.array_sort(F.collect_set("message")), "; ").alias("message"))
+    for name, side in (("old", base), ("new", target)):
+        out = out.withColumn(name, F.lit(None).cast("string")) if side is None else out.join(side.groupBy("record", "path").agg(F.max("value").alias(name)), ["record", "path"], "left")
+    return out.mapInPandas(compare, "record string, path string, message string, diff string").orderBy("record", "path")
+
+
 def changes(spark: SparkSession, config: settings.Config, rules: metamodel.Metamodel, repo: str | Path, base: str, target: str, *, summary: bool = False) -> str:
-    """The change report between two revisions: only changed files are parsed, on both sides (M1-M8)."""
+    """The change report between two revisions: only changed files are parsed, on both sides (M1-M8).
+
+    Texts with ids of their own meet by id, all others by position; files of sidecar
+    records are compared by content; changed files with error blocks are shown as a unified diff.
+    """
+    _inside(config, repo)
     ends = [git.resolve(repo, r) for r in (base, target)]
     with git.snapshot(repo, ends[0]) as a, git.snapshot(repo, ends[1]) as b:
         inside = Path(config.base).resolve().relative_to(Path(repo).resolve())
         changed = git.changed_files(spark, repo, *ends)
-        sides = []
+        sides, contents, broken, raw = [], [], None, []
         for place in (a, b):
             project, out = Project(spark, config, rules, base=Path(place) / inside), None
+            held, read = None, None
             for record in config.input:
                 folder = str((inside / record.dir).as_posix())
                 only = git.of_record(changed, folder)
@@ -302,15 +336,36 @@ def changes(spark: SparkSession, config: settings.Config, rules: metamodel.Metam
                     continue
                 part = project.record_blocks(record, only)
                 out = part if out is None else out.unionByName(part)
+                touched = only.select(F.regexp_replace("path", SIDE, "").alias("path")) if record.driver == "sidecar" else only.select("path")
+                faults = part.filter("kind = 'error'").join(touched, "path", "left_semi").select("record", "path", "message")
+                broken = faults if broken is None else broken.unionByName(faults)
+                texts = scan.files(spark, str(Path(place) / inside / record.dir))
+                texts = texts.filter(F.col("path").rlike(SIDE)).withColumn("path", F.regexp_replace("path", SIDE, "")) if record.driver == "sidecar" else texts
+                texts = texts.select(F.lit(record.name).alias("record"), "path", "value")
+                read = texts if read is None else read.unionByName(texts)
+                if record.driver == "sidecar":
+                    held_by = part.filter("kind = 'artifact'").groupBy("aid").agg(F.max("path").alias("path"))
+                    files = held_by.join(scan.binaries(spark, str(Path(place) / inside / record.dir)), "path").select("aid", "content")
+                    held = files if held is None else held.unionByName(files)
             sides.append(out)
+            contents.append(held)
+            raw.append(read)
         empty = spark.createDataFrame([], model.schema(model.BLOCKS))
         sides = [s if s is not None else empty for s in sides]
         found = [s.filter("kind = 'artifact'").select("record", "aid", "atype", F.to_json(F.array_sort(F.map_entries("fields"))).alias("all"), "fields") for s in sides]
         artifacts = diff.artifact_diff(*found, ["record", "aid"], ["atype", "all"]).collect()
         fields = diff.field_diff(*found).collect()
-        plain = [s.filter("kind = 'text'") for s in sides]
-        texts = diff.text_alignment(*plain).collect()
-    return report.change_report(artifacts, fields, texts, base=ends[0][:7], target=ends[1][:7], summary=summary)
+        place = F.concat(_folder({r.name: r.dir for r in config.input}), "path")
+        plain = [s.filter("kind = 'text'").withColumn("path", place) for s in sides]
+        named = F.coalesce(F.col("explicit_id"), F.lit(False)) & (F.coalesce("block_id", F.lit("")) != "")
+        # of several blocks with one id the last counts
+        own = [p.filter(named).groupBy("path", "block_id").agg(F.max_by("content", "block_no").alias("content")) for p in plain]
+        by_id = diff.text_by_id(*own).select("path", "change", F.col("base_content").alias("old"), F.col("target_content").alias("new"))
+        texts = by_id.unionByName(diff.text_alignment(*[p.filter(~named) for p in plain])).orderBy("path", "change", "old", "new").collect()
+        none = spark.createDataFrame([], "aid string, content binary")
+        binaries = diff.binary_diff(*[none if c is None else c for c in contents]).collect() if any(c is not None for c in contents) else []
+        errors = _fallback(broken, *raw).collect() if broken is not None else []
+    return report.change_report(artifacts, fields, texts, binaries, errors, base=ends[0][:7], target=ends[1][:7], summary=summary)
 
 
 def generate_tasks(stale: DataFrame, existing: DataFrame, atype_map: dict[str, str]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -91,13 +92,15 @@ def tree(paths: DataFrame) -> DataFrame:
     return rows.join(drawn, "path", "left").select("path", F.concat(F.coalesce(bars, F.lit("")), "aid").alias("line"))
 
 
-def change_report(artifacts: Iterable, fields: Iterable, texts: Iterable = (), binaries: Iterable = (), *, base: str = "", target: str = "", summary: bool = False) -> str:
+def change_report(artifacts: Iterable, fields: Iterable, texts: Iterable = (), binaries: Iterable = (), errors: Iterable = (), *, base: str = "", target: str = "", summary: bool = False) -> str:
     """A change report as Markdown, from collected rows (M7, M8)."""
-    artifacts, fields, texts, binaries = list(artifacts), list(fields), list(texts), list(binaries)
+    artifacts, fields, texts, binaries, errors = list(artifacts), list(fields), list(texts), list(binaries), list(errors)
     count = lambda rows, kind: sum(r.change == kind for r in rows)
     out = [f"# Changes {base} .. {target}".rstrip(), "", "| | added | removed | modified |", "| --- | --- | --- | --- |"]
     for name, rows in (("artifacts", artifacts), ("text fragments", texts), ("binaries", binaries)):
         out.append(f"| {name} | {count(rows, 'added')} | {count(rows, 'removed')} | {count(rows, 'modified')} |")
+    if errors:
+        out += ["", f"Files with errors: {len(errors)}"]
     if summary:
         return "\n".join(out) + "\n"
     by: dict = {}
@@ -112,6 +115,13 @@ def change_report(artifacts: Iterable, fields: Iterable, texts: Iterable = (), b
             out += [f"  - {f.field}: {cell(f.old)} -> {cell(f.new)}" for f in sorted(by.get(a.aid, []), key=lambda f: f.field)]
     if texts:
         out += ["", "## Text", "", *[f"- {t.change} in {t.path}: {cell(t.old)} -> {cell(t.new)}" for t in texts]]
+    if binaries:
+        shown = lambda size, digest: "" if digest is None else f"{size} B `{digest[:12]}`"
+        out += ["", "## Binaries", ""]
+        out += [f"- {b.change} {b.aid}: {shown(b.base_size, b.base_sha256)} -> {shown(b.target_size, b.target_sha256)}" for b in sorted(binaries, key=lambda b: b.aid)]
+    for e in errors:
+        fence = "`" * max(3, 1 + max((len(x) for x in re.findall("`+", e.diff)), default=0))
+        out += ["", f"## Errors in {e.path}", "", e.message or "", *(["", f"{fence}diff", e.diff, fence] if e.diff else [])]
     return "\n".join(out) + "\n"
 
 
