@@ -1,6 +1,7 @@
 """Every registered core query against its SQL in DuckDB, on the smallest tables."""
 
 import collections
+import random
 import os
 
 import duckdb
@@ -44,3 +45,33 @@ def test_query_matches_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_without_sql_runs(spark, name):
     assert QUERIES[name](spark, SF).count() >= 0
+
+
+def by_hand(a, b):
+    """The longest common run, the first in ``a``, then in ``b``; what lies before and after it likewise."""
+    n, i, j = max(((n, -i, -j) for i in range(len(a)) for j in range(len(b)) for n in range(1, 1 + min(len(a) - i, len(b) - j)) if a[i : i + n] == b[j : j + n]), default=(0, 0, 0))
+    i, j = -i, -j
+    if n:
+        return by_hand(a[:i], b[:j]) + by_hand(a[i + n :], b[j + n :])
+    k = min(len(a), len(b))
+    return [("modified", *p) for p in zip(a[:k], b[:k])] + [("removed", x, None) for x in a[k:]] + [("added", None, x) for x in b[k:]]
+
+
+def test_alignment_matches_brute_force():
+    from threadloom.operators.diff import _aligned
+
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = ([rng.choice("abcde") for _ in range(rng.randint(0, 9))] for _ in range(2))
+        assert list(_aligned(a, b)) == by_hand(a, b)
+
+
+def test_alignment_groups_are_bounded(spark, tmp_path):
+    rows = [(i, "one source", f"text {i}") for i in range(1000)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["text_alignment_diff"](spark, str(tmp_path)).collect()
+    per_path = collections.Counter(r.path for r in got)
+    assert len(per_path) == 5 and max(per_path.values()) <= 400
+    changes = collections.Counter(r.change for r in got)
+    added, removed = sum(i % 7 == 0 for i in range(1000)), sum(i % 7 == 1 for i in range(1000))
+    assert changes["added"] - changes["removed"] == added - removed

@@ -595,7 +595,9 @@ def text_by_id_diff(spark, sf):
 @query()
 def text_alignment_diff(spark, sf):
     """Text blocks aligned in file order."""
-    return diff.text_alignment(*_text_sides(spark, sf)).select("path", "change", F.length("old").alias("n_old"), F.length("new").alias("n_new"))
+    # a file is a range of 200 ids of a source, alike on both sides: a source alone grows with the table
+    name = F.concat("path", F.lit("/"), F.floor(F.col("block_no") / 200).cast("string"))
+    return diff.text_alignment(*[side.withColumn("path", name) for side in _text_sides(spark, sf)]).select("path", "change", F.length("old").alias("n_old"), F.length("new").alias("n_new"))
 
 
 @query("""SELECT 'b' || doc_id AS aid, CASE WHEN doc_id % 7 = 0 THEN 'added' WHEN doc_id % 7 = 1 THEN 'removed' ELSE 'modified' END AS change,
