@@ -27,7 +27,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest id."""
+    """One document of each group stays: the one with the smallest id.
+
+    Rows are removed by id alone: all rows of the id that stays remain, and so do rows with a null id.
+    """
     groups = ngram_join.near_duplicates(docs)
     others = groups.filter("component_id != doc_id").select(F.col("doc_id").alias("__other"))
     return docs.join(others.hint("merge"), F.col("doc_id") == F.col("__other"), "left_anti")  # the list grows with the corpus: never broadcast

@@ -35,6 +35,13 @@ def test_pipeline_stages_on_a_small_table(spark, corpus, tmp_path):
     assert docs.count() == 2 * spark.read.parquet(str(tmp_path / "s3")).count()
 
 
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, text, "a"), (1, text, "a"), (2, text, "a"), (None, text, "a"), (3, "other words", "a")]
+    out = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "")
+    assert sorted(str(r.doc_id) for r in out.collect()) == ["1", "1", "3", "None"]
+
+
 def test_entry_registers_all_operators():
     import __spark_entry__
 
