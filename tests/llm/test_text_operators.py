@@ -177,3 +177,102 @@ def test_signature_tree_finds_every_connection():
                 a, b = root[i], root[j]
                 root = [min(a, b) if r in (a, b) else r for r in root]
     assert [tree.find(i) for i in range(len(sets))] == root
+
+
+def thue_morse(n, a="a", b="b"):
+    """Two texts of ``n`` letters that polynomial hashes cannot tell apart."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_structured_words_and_lines_are_told_apart(spark, n):
+    x, y = thue_morse(n)
+    filler = " ".join(f"f{i}" for i in range(60))
+    rows = [(1, x, "a"), (2, y, "a"), (3, f"{x}\n{y}\n{x}", "a"), (4, f"{filler} {x} {filler}", "a"), (5, f"{filler} {y} {filler}", "a"), (6, f"{x} p q r s {y} p q r s {x} p q r s", "a")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(docs).collect()}
+    assert got == brute_classes(rows) and got[1][1] != got[2][1]
+    for r in quality_rules.text_statistics(docs, keep=["doc_id", "text"]).collect():
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute_statistics(r.text)
+    for k in (50, 4):
+        check_substring(spark, rows, k)
+
+
+def test_structured_word_sequences_are_told_apart(spark):
+    x, y = (" ".join(t) for t in thue_morse(256, "u", "v"))
+    rows = [(1, x, "a"), (2, y, "a"), (3, f"{y} {x}", "a"), (4, "w " * 900, "a"), (5, "w " * 600 + "z " + "w " * 300, "a")]
+    check_substring(spark, rows, 50)
+    check_substring(spark, rows, 50, hot=1)
+
+
+def check_substring(spark, rows, k, **options):
+    got = {r.doc_id: r for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, SCHEMA).repartition(3), k=k, m=min(8, k - 2), **options).collect()}
+    words = {d: WORD.findall(t or "") for d, t, _ in rows}
+    first = {}
+    for d in sorted(words):
+        for i in range(len(words[d]) - k + 1):
+            first.setdefault(tuple(words[d][i : i + k]), d)
+    for d, w in words.items():
+        gone = {j for i in range(len(w) - k + 1) if first[tuple(w[i : i + k])] < d for j in range(i, i + k)}
+        assert (got[d].n_words, got[d].n_removed, got[d].kept_text) == (len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone))
+
+
+def test_equal_keys_are_confirmed_on_the_bytes():
+    import numpy as np
+
+    from threadloom.llm import words
+
+    data = np.frombuffer(b"abcabxabcab", dtype=np.uint8)
+    start, end = np.array([0, 3, 6, 9, 0]), np.array([3, 6, 9, 11, 2])
+    same = words.first_equal(np.zeros(5, np.uint64), data, start, end)
+    assert same.tolist() == [0, 1, 0, 3, 3]
+    assert words.first_equal(np.zeros(5, np.uint64), data, start, end, np.array([0, 0, 1, 0, 0])).tolist() == [0, 1, 2, 3, 3]
+
+
+def test_substring_dedup_of_a_megabyte(spark):
+    import random
+
+    rng = random.Random(8)
+    long = " ".join(rng.choice(["lorem", "ipsum", "dolor", "x"]) + str(rng.randrange(5000)) for _ in range(110_000))
+    rows = [(1, long, "a"), (2, "own start " + long[400_000:] + " own end", "a"), (3, "y " * 500_000, "a"), (4, "b" * 1_000_000, "a"), (5, "c " + "b" * 1_000_000, "a")]
+    check_substring(spark, rows, 50)
+
+
+@pytest.mark.parametrize("wide", [400, 40])
+def test_ngram_join_of_large_blocks(spark, monkeypatch, wide):
+    """Several families that share a passage: chunks, their largest component and what lies outside of it; sets of which the published part is too small."""
+    import random
+
+    rng = random.Random(13)
+    monkeypatch.setattr(ngram_join, "WIDE", wide)
+    passage = [f"p{i}" for i in range(30)]
+    rows = []
+    for family in range(9):
+        base = [f"f{family}_{i}" for i in range(90)] + passage
+        for i in range(2 + 3 * family):
+            text = list(base)
+            for _ in range(rng.randint(0, 3)):
+                text[rng.randrange(len(text))] = f"e{rng.randrange(10**6)}"
+            rows.append((100 * family + i, " ".join(text), "s"))
+    rng.shuffle(rows)
+    for chunk in (4, 16):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3), chunk=chunk).collect()}
+        assert got == brute_classes(rows)
+
+
+def test_sets_with_too_small_a_part_publish_everything(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "WIDE", 6)
+    monkeypatch.setattr(ngram_join, "SHARE", int(0.2 * (1 << 32)))  # of a dozen shingles, often none or one is published
+    rows = []
+    for family in range(40):
+        base = " ".join(f"{family}_{i}" for i in range(30))
+        rows += [(2 * family, base, "s"), (2 * family + 1, base + " tail", "s")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == brute_classes(rows) and all(c == d - d % 2 for d, (_, c) in got.items())
+
+
+def test_class_numbers_are_unique(spark, monkeypatch):
+    digests = [bytes([i % 2] * 8 + [i] * 8) for i in range(6)]
+    turns = ngram_join._class_numbers(spark.createDataFrame([(bytearray(d),) for d in digests], "digest binary"))
+    assert len({ngram_join._number(d, turns) for d in digests}) == 6 and turns

@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 
 from threadloom.llm import store
 
-MAX_ROUNDS = 40
-
 
 def _with_least(pairs: DataFrame) -> DataFrame:
     """(u, v, m): each pair with the smallest of u's neighbours and u."""
@@ -45,12 +43,10 @@ def _is_forest_of_stars(edges: DataFrame) -> bool:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of an edge (a, b); the root is the smallest node of its component."""
     now = store.table(edges.select("a", "b").filter("a != b").distinct(), "edges")
-    for _ in range(MAX_ROUNDS):
+    while True:  # the rounds shrink the graph until stars are left, some log2 of its longest path in practice
         after = store.table(_small_star(_large_star(now)), "edges")
         store.drop(now)
         now = after
         if _is_forest_of_stars(now):
             break
-    else:
-        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

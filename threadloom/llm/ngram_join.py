@@ -9,25 +9,34 @@ similarity of ``num / den`` or more. No link between different texts is lost:
    shingles of two linked sets meet. The order is by rarity: shingles of one
    class alone come first and meet nothing, so a text with more of them than it
    may lack is out, whatever passages it shares. Shingles travel in packed
-   arrays, cut to coarse tokens (which can only add candidates); for sets of
-   ``WIDE`` or more, a fixed part of all tokens suffices. Blocks are the
-   components of "meets".
+   arrays, cut to coarse tokens (which can only add candidates). Sets of ``WIDE``
+   or more publish a fixed part of the token space only, as long as that part
+   holds more than they may lack; sizes near a set that fails this (almost none)
+   publish everything. Blocks are the components of "meets".
 3. Each block, or chunk of a large block with a few hub texts added, gets a
    signature tree: nodes hold OR-combined token bitmaps and size ranges, and a
    dual traversal prunes node pairs whose largest possible overlap is too small
-   or that are connected already; leaves are compared exactly on whole sets.
-4. Members of a chunked block that ended outside its hubs' component are
-   compared with every chunk, so chunking loses nothing.
+   or that are connected already; leaves are compared exactly on whole sets,
+   and what passes is confirmed on the words themselves.
+4. Members of a chunked block that ended outside its largest component are dealt
+   into chunks of their own. These meet each other and the chunks of the rest in
+   tasks of two chunks, of which only those run that have sizes near enough and
+   a shingle in common among their prefixes: the tree's pruning one level up.
+   No task holds more than two chunks and the hubs.
 
 Edge cases: a text with fewer words than a shingle is one shingle; null and
 empty texts have none and link with nothing; null ids take no part; rows of
 equal id count as one node; equal texts share a class; an empty table gives an
-empty result; other input columns are dropped.
+empty result; other input columns are dropped. Very long texts are compared as
+wholes; one takes some thirty times its bytes in one worker. Shingles are known
+by 64-bit hashes while they are counted: two different shingles of one text with
+one hash (a chance of 1e-12 in a text of 6,000 words) would count as one.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,11 +48,13 @@ from threadloom.llm import store
 from threadloom.llm.components import components
 from threadloom.llm.words import Words, mix, slices, tokenize, window_hashes, window_ok
 
-#: Sets of this size or more publish the tokens under ``SHARE`` only; the chance that one has too few of them is under 1e-15.
+#: Sets of this size or more publish the tokens under ``SHARE`` only, where these are enough.
 WIDE, SHARE = 400, int(0.4 * (1 << 32))
-#: Members and shingles of a task's tree, hubs of a chunked block, bytes of packed tokens in a partition.
-CHUNK, CHUNK_SHINGLES, HUBS, PACKED = 512, 1_000_000, 4, 24_000_000
-_LEAF = 16
+#: Members and shingles of a chunk, hubs of a chunked block, bytes of packed tokens in a partition.
+CHUNK, CHUNK_SHINGLES, HUBS, PACKED = 512, 500_000, 4, 24_000_000
+#: Digests that a task remembers; members of a leaf.
+SEEN, _LEAF = 500_000, 16
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,19 +79,41 @@ def _digest(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
-def _members(k: int):
+def _band(n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Bands of sizes: linked sets are at most one apart."""
+    return np.floor(np.log(np.maximum(n, 1)) / np.log(den / num + 1e-9)).astype(np.int64)
+
+
+def _members(k: int, num: int, den: int):
+    """Of each text its set's size, digest and smallest hash, and the band of sizes if its part of the token space may be too small."""
+
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 key, b = shingle_sets(tokenize(part.column(1), lower=True), k)
+                n = np.diff(b)
+                thin = [None] * part.num_rows
+                for d in np.flatnonzero(n >= WIDE).tolist():
+                    token = (key[b[d] : b[d + 1]] >> np.uint64(16)).astype(np.uint32)
+                    if len(np.unique(token[token < SHARE])) <= n[d] - -(-num * n[d] // den):
+                        thin[d] = int(_band(n[d], num, den))
+                some = n > 0
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": part.column(0), "n": pa.array(np.diff(b).astype(np.int64)),
-                    "digest": pa.array([_digest(key[b[d] : b[d + 1]]) if b[d + 1] > b[d] else None for d in range(part.num_rows)], pa.binary()),
+                    "doc_id": part.column(0), "n": pa.array(n.astype(np.int64)),
+                    "digest": pa.array([_digest(key[b[d] : b[d + 1]]) if some[d] else None for d in range(part.num_rows)], pa.binary()),
+                    "low": pa.array([int(key[b[d]] >> np.uint64(1)) if some[d] else None for d in range(part.num_rows)], pa.int64()), "thin": pa.array(thin, pa.int64()),
                 })
 
     return measure
 
 
+def _number(digest: bytes, turns: dict[bytes, int]) -> int:
+    """The number by which a class travels: the first half of its digest, or another one if that is taken."""
+    if digest in turns:
+        digest = hashlib.blake2b(digest + turns[digest].to_bytes(4, "little"), digest_size=8).digest()
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
 _PACK = "bucket int, kind int, token binary, cls binary, x binary, y binary"
 
 
@@ -97,11 +130,11 @@ def _pack(bucket: np.ndarray, kind: int, *columns: np.ndarray) -> Iterator[pa.Re
     yield pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), pa.array(np.full(len(first), kind, np.int32)), *binary], ["bucket", "kind", "token", "cls", "x", "y"])
 
 
-def _send(k: int, buckets: int):
+def _send(k: int, buckets: int, num: int, den: int, full: list[int], turns: dict[bytes, int]):
     """Coarse tokens of each class to the token's bucket (kind 0), sizes of each class to the class's bucket (kind 1)."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set = set()
+        seen: set[bytes] = set()
         held, size = [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -117,15 +150,18 @@ def _send(k: int, buckets: int):
                 for d in range(part.num_rows):
                     if b[d + 1] > b[d]:
                         digest = _digest(key[b[d] : b[d + 1]])
-                        cls[d] = int.from_bytes(digest[:8], "little", signed=True)
-                        fresh[d] = cls[d] not in seen
-                        seen.add(int(cls[d]))
+                        cls[d] = _number(digest, turns)
+                        if len(seen) >= SEEN:  # forgetting sends a class twice, which changes nothing
+                            seen.clear()
+                        fresh[d] = digest not in seen
+                        seen.add(digest)
                 n = np.diff(b)
                 doc = np.repeat(np.arange(part.num_rows), n)
                 token = (key >> np.uint64(16)).astype(np.uint32)
                 bucket = (key % np.uint64(buckets)).astype(np.int32)
                 low = token < SHARE
-                use = fresh[doc] & (low | (n[doc] < WIDE))
+                every_token = (n < WIDE) | np.isin(_band(n, num, den), full)
+                use = fresh[doc] & (low | every_token[doc])
                 # coarse tokens of a class are counted once each
                 code = (bucket[use].astype(np.uint64) << np.uint64(32)) | token[use].astype(np.uint64)
                 who = doc[use]
@@ -141,7 +177,7 @@ def _send(k: int, buckets: int):
                 sizes = np.stack([n[one], every[one], inside[one]]).astype(np.int64)
                 held.append((bucket, token, cls[who], (cls[one] % buckets).astype(np.int32), cls[one], sizes[0], (sizes[1] << 32) | sizes[2]))
                 size += len(token)
-                if size > 2_500_000:
+                if size > 1_000_000:
                     yield from flush()
                     size = 0
         if held:
@@ -189,7 +225,7 @@ def _count(buckets: int):
     return count
 
 
-def _prefixes(num: int, den: int):
+def _prefixes(num: int, den: int, full: list[int]):
     """(token, cls) of the shared tokens in each class's prefix."""
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,8 +242,8 @@ def _prefixes(num: int, den: int):
             low = (code & 0xFFFFFFFF) < SHARE
             lack = n - -(-num * n // den)
             take = np.zeros(len(code), dtype=bool)
-            # sets under WIDE meet each other on all tokens; those that a set of WIDE or more may match, on the fixed part too
-            for use, total, of in ((np.ones(len(code), dtype=bool), every, n < WIDE), (low, inside, n * den >= num * WIDE)):
+            # sets that published all tokens meet each other on these; those that a set with a part of them may match, on that part too
+            for use, total, of in ((np.ones(len(code), dtype=bool), every, (n < WIDE) | np.isin(_band(n, num, den), full)), (low, inside, n * den >= num * WIDE)):
                 at = np.flatnonzero(use & of[row])
                 shared = np.bincount(row[at], minlength=len(who))
                 room = lack + 1 - (total - shared)  # how many of the shared tokens the prefix reaches
@@ -218,11 +254,19 @@ def _prefixes(num: int, den: int):
     return pick
 
 
+def shingles_of(text: str, k: int) -> set[bytes]:
+    """The shingles themselves, not their hashes."""
+    words = _WORD.findall(text.encode().lower())
+    return {b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}
+
+
 class Tree:
-    """A signature tree over sets: a heap of nodes with OR-combined bitmaps, size ranges and spare counts."""
+    """A signature tree over sets: a heap of nodes with OR-combined bitmaps, size ranges and spare counts.
+
+    ``known`` says which members are connected already (equal numbers); ``confirm`` is asked before a link is taken."""
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.sets = sets
+    def __init__(self, sets: list[np.ndarray], known: list | None = None, confirm=None):
+        self.sets, self.confirm = sets, confirm
         self.size = np.array([len(s) for s in sets])
         bits = 64
         while bits < 4 * self.size.max() and bits < 1 << 17:
@@ -234,6 +278,9 @@ class Tree:
         #: Tokens that share a bit with another token of their set: what a count of bits may miss.
         self.spare = self.size - np.bitwise_count(self.map).sum(axis=1).astype(np.int64)
         self.root = np.arange(len(sets))
+        first: dict = {}
+        for i, x in enumerate(known or ()):
+            self.root[i] = first.setdefault(x, i)
 
     def node(self, a: int, b: int) -> tuple:
         part = slice(a, b)
@@ -282,25 +329,33 @@ class Tree:
                 continue
             if (p := self.find(i)) != (q := self.find(j)):
                 common = len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True))
-                if den * common >= num * (len(self.sets[i]) + len(self.sets[j]) - common):
+                if den * common >= num * (len(self.sets[i]) + len(self.sets[j]) - common) and (self.confirm is None or self.confirm(i, j)):
                     self.root[max(p, q)] = min(p, q)
                     yield i, j
 
 
 def _joined(k: int, num: int, den: int):
-    """Rows of (block, chunk, digest, rep, text), sorted by block and chunk, to the links that connect them."""
+    """Rows of (task, digest, rep, root, text), sorted by task, to the links that connect different roots."""
 
     def solve(rows: list) -> Iterator[tuple[int, int]]:
-        key, b = shingle_sets(tokenize(pa.array([r[4] for r in rows], pa.string()), lower=True), k)
+        sets = [x for part in range(0, len(rows), 256) for x in _sets([r[4] for r in rows[part : part + 256]], k)]
         groups: dict = {}
-        for i, (block, chunk, digest, rep, _) in enumerate(rows):
-            s = key[b[i] : b[i + 1]]
+        for (task, digest, rep, root, text), s in zip(rows, sets):
             if len(s) and _digest(s) == digest:
-                groups.setdefault((block, chunk), {})[digest] = (rep, s)
+                groups.setdefault(task, {})[digest] = (rep, s, root, text)
         for members in groups.values():
             if len(members) > 1:
                 found = sorted(members.values(), key=lambda m: (len(m[1]), int(m[1][0]), m[0]))
-                for i, j in Tree([m[1] for m in found]).links(num, den):
+                last: list = [-1, set()]
+
+                def confirm(i: int, j: int) -> bool:
+                    if last[0] != i:
+                        last[:] = [i, shingles_of(found[i][3], k)]
+                    other = shingles_of(found[j][3], k)
+                    common = len(last[1] & other)
+                    return den * common >= num * (len(last[1]) + len(other) - common)
+
+                for i, j in Tree([m[1] for m in found], [m[2] for m in found], confirm).links(num, den):
                     yield found[i][0], found[j][0]
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,10 +363,10 @@ def _joined(k: int, num: int, den: int):
         for batch in batches:
             for part in slices(batch, "text"):
                 for row in zip(*(c.to_pylist() for c in part.columns)):
-                    if row[:2] != now and size > 3_000_000:
+                    if row[0] != now and size > 1_000_000:
                         yield _edges(solve(rows))
                         rows, size = [], 0
-                    now = row[:2]
+                    now = row[0]
                     rows.append(row)
                     size += len(row[4])
         if rows:
@@ -320,75 +375,134 @@ def _joined(k: int, num: int, den: int):
     return join
 
 
+def _sets(texts: list[str], k: int) -> list[np.ndarray]:
+    key, b = shingle_sets(tokenize(pa.array(texts, pa.string()), lower=True), k)
+    return [key[b[i] : b[i + 1]].copy() for i in range(len(texts))]
+
+
 def _edges(found: Iterator[tuple[int, int]]) -> pa.RecordBatch:
     pairs = list(found)
     return pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
 
+_TASK = ["task", "digest", "rep", "root", "text"]
+
+
 def _verified(tasks: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Links of the tasks (block, chunk, digest, rep, text)."""
-    dealt = tasks.repartition("block", "chunk").sortWithinPartitions("block", "chunk")
+    """Links of the tasks (task, digest, rep, root, text)."""
+    dealt = tasks.select(*_TASK).repartition("task").sortWithinPartitions("task")
     return store.table(dealt.mapInArrow(_joined(k, num, den), "a long, b long"), "links")
 
 
+def _on(left: DataFrame, right: DataFrame, *keys: str, how: str = "inner") -> DataFrame:
+    """A join on keys of which one may be hot: both sides are exchanged, so that the adaptive skew join can split them."""
+    named = right.select(F.xxhash64(*keys).alias("__k"), *[F.col(c).alias(f"__on_{c}") if c in keys else F.col(c) for c in right.columns])
+    on = F.xxhash64(*keys) == F.col("__k")
+    for c in keys:
+        on &= F.col(c) == F.col(f"__on_{c}")
+    return left.join(named, on, how).drop("__k", *[f"__on_{c}" for c in keys])
+
+
+def _class_numbers(classes: DataFrame) -> dict[bytes, int]:
+    """Digests whose number another class has, with the turn that tells them apart: some hundred among 1e11 classes."""
+    turns: dict[bytes, int] = {}
+    while True:
+        numbered = classes.select("digest").mapInArrow(_numbered(turns), "digest binary, cls long")
+        twice = numbered.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.max("digest").alias("digest")).filter("n > 1").select("digest").collect()
+        if not twice:
+            return turns
+        for r in twice:
+            turns[bytes(r.digest)] = turns.get(bytes(r.digest), 0) + 1
+
+
+def _numbered(turns: dict[bytes, int]):
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cls = pa.array([_number(d, turns) for d in batch.column(0).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, cls], [*batch.schema.names, "cls"])
+
+    return number
+
+
+def _chunked(members: DataFrame, chunk: int, num: int, den: int) -> DataFrame:
+    """``members`` (block, digest, n, low, ...) of large blocks with a ``chunk``: texts of like size and, as far as can
+    be, of like content, ``chunk`` of them at most on average, whatever the size of the block."""
+    banded = members.withColumn("band", F.floor(F.log(F.greatest("n", F.lit(1))) / F.log(F.lit(den / num + 1e-9))))
+    per_band = banded.groupBy("block", "band").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("buckets"))
+    dealt = _on(banded, per_band, "block", "band").withColumn("bucket", F.pmod("low", "buckets"))
+    splits = F.greatest(F.ceil(F.count(F.lit(1)) / chunk), F.ceil(F.sum("n") / CHUNK_SHINGLES)).alias("splits")
+    per_bucket = dealt.groupBy("block", "band", "bucket").agg(splits)
+    split = _on(dealt, per_bucket, "block", "band", "bucket").withColumn("split", F.pmod(F.xxhash64("digest"), "splits"))
+    return split.withColumn("chunk", F.xxhash64("block", "band", "bucket", "split")).drop("buckets", "bucket", "splits", "split")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, k: int = 5, num: int = 80, den: int = 100, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    members = store.table(rows.mapInArrow(_members(k), "doc_id long, n long, digest binary"), "members")
+    members = store.table(rows.mapInArrow(_members(k, num, den), "doc_id long, n long, digest binary, low long, thin long"), "members")
     able = members.filter("doc_id is not null and digest is not null")
-    classes = store.table(able.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
+    classes = store.table(able.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("low").alias("low")), "classes")
+    # a few numbers, however many texts there are: bands of sizes, of which there are some hundred in all
+    full = sorted({b + x for (b,) in members.filter("thin is not null").select("thin").distinct().collect() for x in (-2, -1, 0, 1, 2)})
+    turns = _class_numbers(classes)
 
     total = classes.agg(F.sum("n")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * 12 // PACKED))
     buckets = 2 * parts
-    sent = rows.filter("doc_id is not null").select("text").mapInArrow(_send(k, buckets), _PACK)
+    sent = rows.filter("doc_id is not null").select("text").mapInArrow(_send(k, buckets, num, den, full, turns), _PACK)
     counted = sent.repartition(parts, "bucket").mapInArrow(_count(buckets), _PACK)
-    prefix = store.table(counted.repartition(parts, "bucket").mapInArrow(_prefixes(num, den), "token long, cls long"), "prefixes")
+    prefix = store.table(counted.repartition(parts, "bucket").mapInArrow(_prefixes(num, den, full), "token long, cls long"), "prefixes")
 
-    least = prefix.groupBy("token").agg(F.min("cls").alias("m"), F.max("cls").alias("x")).filter("m < x").select(F.xxhash64("token").alias("__k"), F.col("token").alias("__t"), "m")
-    meets = prefix.join(least, (F.xxhash64("token") == F.col("__k")) & (F.col("token") == F.col("__t"))).filter("cls != m").select(F.col("cls").alias("a"), F.col("m").alias("b"))
+    least = prefix.groupBy("token").agg(F.min("cls").alias("m"), F.max("cls").alias("x")).filter("m < x").select("token", "m")
+    meets = _on(prefix, least, "token").filter("cls != m").select(F.col("cls").alias("a"), F.col("m").alias("b"))
     blocks = store.table(components(meets), "blocks")
-    known = classes.select("digest", "rep", "n").mapInArrow(_class_key, "digest binary, rep long, n long, cls long")
-    member = store.table(known.join(blocks, F.col("cls") == F.col("node")).select(F.col("root").alias("block"), "digest", "rep", "n"), "members")
-    chunks = F.greatest(F.ceil(F.count(F.lit(1)) / chunk), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("int").alias("chunks")
-    size = member.groupBy("block").agg(chunks).select(F.xxhash64("block").alias("__k"), F.col("block").alias("__b"), "chunks")
-    columns = ["block", "chunk", "digest", "rep", "text"]
-    cut = member.join(size, (F.xxhash64("block") == F.col("__k")) & (F.col("block") == F.col("__b"))).select("block", F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int").alias("chunk"), "digest", "rep", "chunks")
+    known = classes.select("digest", "rep", "n", "low").mapInArrow(_numbered(turns), "digest binary, rep long, n long, low long, cls long")
+    member = store.table(known.join(blocks, F.col("cls") == F.col("node")).select(F.col("root").alias("block"), "digest", "rep", "n", "low", "cls"), "members")
+    size = member.groupBy("block").agg(((F.count(F.lit(1)) > chunk) | (F.sum("n") > CHUNK_SHINGLES)).alias("large"))
     # texts are fetched once, by a merge join at every size, and kept for the members of blocks alone
     source = rows.select(F.col("doc_id").alias("__id"), "text")
-    cut = store.table(cut.hint("merge").join(source, F.col("rep") == F.col("__id")).select(*columns, "chunks"), "blocks")
-    large = cut.filter("chunks > 1")
-    hubs = (
-        large.groupBy("block", "chunks", F.pmod(F.xxhash64("rep"), F.lit(HUBS)).alias("hub")).agg(F.min(F.struct("rep", "digest")).alias("first"))
-        .select("block", "chunks", F.col("first.digest").alias("digest"), F.col("first.rep").alias("rep"))
-    )
-
-    def everywhere(some: DataFrame) -> DataFrame:
-        """Members as tasks of every chunk of their block."""
-        texts = some.join(large.select("digest", "rep", "text"), ["digest", "rep"])
-        return texts.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(*columns)
-
-    links = _verified(cut.select(*columns).unionByName(everywhere(hubs)), k, num, den)
-    roots = components(links)
-    if not large.isEmpty():
-        linked = roots.select(F.col("node").alias("__n"), F.col("root").alias("__root"))
-        seat = large.join(linked, F.col("rep") == F.col("__n"), "left").select("block", "chunks", "digest", "rep", F.coalesce("__root", "rep").alias("at"))
-        main = hubs.groupBy("block").agg(F.min("rep").alias("hub")).join(linked, F.col("hub") == F.col("__n"), "left").select(F.xxhash64("block").alias("__k"), F.col("block").alias("__b"), F.coalesce("__root", "hub").alias("main"))
-        seat = seat.join(main, (F.xxhash64("block") == F.col("__k")) & (F.col("block") == F.col("__b")))
-        outside = store.table(seat.filter("at != main").select("block", "chunks", "digest", "rep"), "outside")
+    cut = store.table(_on(member, size, "block").hint("merge").join(source, F.col("rep") == F.col("__id")).drop("__id"), "blocks")
+    first = cut.filter("not large").select(F.xxhash64("block").alias("task"), "digest", "rep", F.col("rep").alias("root"), "text")
+    large = cut.filter("large")
+    some_large = not large.isEmpty()
+    if some_large:
+        dealt = store.table(_chunked(large.drop("text", "large"), chunk, num, den), "chunks")
+        hubs = dealt.groupBy("block", F.pmod(F.xxhash64("rep"), F.lit(HUBS)).alias("hub")).agg(F.min(F.struct("rep", "digest")).alias("first")).select("block", "first.rep", "first.digest")
+        everywhere = _on(dealt.select("block", "chunk").distinct(), hubs, "block").select("chunk", "rep", "digest")
+        seats = dealt.select("chunk", "rep", "digest").unionByName(everywhere)
+        first = first.unionByName(_texts(seats, large).select(F.xxhash64("chunk").alias("task"), "digest", "rep", F.col("rep").alias("root"), "text"))
+    roots = components(_verified(first, k, num, den))
+    if some_large:
+        linked = roots.select("node", F.col("root").alias("found"))
+        seat = dealt.join(linked, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("found", "rep")).drop("node", "found")
+        main = seat.groupBy("block", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("block").agg(F.max_by("root", F.struct("n", -F.col("root"))).alias("main"))
+        seat = _on(seat, main, "block")
+        outside = seat.filter("root != main")
         if not outside.isEmpty():
-            concerned = outside.groupBy("block").agg(F.count(F.lit(1)).alias("n")).select(F.xxhash64("block").alias("__k"), F.col("block").alias("__b"))
-            again = large.join(concerned, (F.xxhash64("block") == F.col("__k")) & (F.col("block") == F.col("__b"))).select(*columns)
-            more = _verified(again.unionByName(everywhere(outside)), k, num, den)
+            apart = _chunked(outside.drop("chunk", "band"), chunk, num, den).withColumns({"out": F.lit(True), "chunk": F.xxhash64(F.lit("outside"), "chunk")})
+            dealt = apart.unionByName(seat.filter("root = main").withColumn("out", F.lit(False)))
+            dealt = store.table(dealt.select("block", "band", "chunk", "out", "digest", "rep", "root", "cls"), "chunks")
+            more = _verified(_pair_tasks(dealt, prefix, large), k, num, den)
             roots = components(roots.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-    named = classes.join(roots.select(F.col("node").alias("__n"), "root"), F.col("rep") == F.col("__n"), "left")
-    named = named.select(F.xxhash64("digest").alias("__k"), F.col("digest").alias("__digest"), F.coalesce("root", "rep").alias("root"))
-    out = members.join(named, (F.xxhash64("digest") == F.col("__k")) & (F.col("digest") == F.col("__digest")) & F.col("doc_id").isNotNull(), "left")
+    named = classes.join(roots.select(F.col("node").alias("__n"), "root"), F.col("rep") == F.col("__n"), "left").select("digest", F.coalesce("root", "rep").alias("root"))
+    out = _on(members.withColumn("digest", F.when(F.col("doc_id").isNotNull(), F.col("digest"))), named, "digest", how="left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
 
 
-def _class_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys = [int.from_bytes(d[:8], "little", signed=True) for d in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_pydict({"digest": batch.column(0), "rep": batch.column(1), "n": batch.column(2), "cls": pa.array(keys, pa.int64())})
+def _texts(seats: DataFrame, large: DataFrame) -> DataFrame:
+    """``seats`` (digest, rep, ...) with the texts."""
+    return seats.hint("merge").join(large.select("digest", "rep", "text"), ["digest", "rep"])
+
+
+def _pair_tasks(dealt: DataFrame, prefix: DataFrame, large: DataFrame) -> DataFrame:
+    """Tasks of two chunks, one of them outside its block's largest component: those pairs that have sizes near enough and
+    a prefix token in common. Tokens that the same chunks hold ask once."""
+    held = prefix.hint("merge").join(dealt.select(F.col("cls").alias("__c"), "chunk", "band", "out"), F.col("cls") == F.col("__c"))
+    lists = held.groupBy("token").agg(F.collect_set(F.struct("chunk", "band", "out")).alias("all")).filter(F.exists("all", lambda x: x["out"]))
+    asked = lists.select(F.array_sort("all").alias("all")).distinct()
+    pairs = asked.select("all", F.explode(F.filter("all", lambda x: x["out"])).alias("a")).select("a", F.explode("all").alias("b"))
+    near = pairs.filter((F.abs(F.col("a.band") - F.col("b.band")) <= 1) & (~F.col("b.out") | (F.col("a.chunk") <= F.col("b.chunk"))))
+    near = near.select(F.col("a.chunk").alias("one"), F.col("b.chunk").alias("two")).distinct().withColumn("task", F.xxhash64("one", "two"))
+    sides = near.select("task", F.explode(F.array_distinct(F.array("one", "two"))).alias("chunk"))
+    return _texts(_on(dealt.select("chunk", "digest", "rep", "root"), sides, "chunk"), large)

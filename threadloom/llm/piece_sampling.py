@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.words import _PW, mix, slices, span_hashes, text_bytes
+from threadloom.llm.words import cells, mix, slices, span_hashes, text_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _SHIFT, _UNSEEN = 2.7, 1e9
@@ -68,7 +68,7 @@ class Vocabulary:
             own = {p[0]: p for p in by_length.get(length, [])}
             heads = sorted({p[0][:length] for p in every if len(p[0]) >= length})
             data = np.frombuffer(b"".join(heads), dtype=np.uint8).reshape(len(heads), length)
-            key = mix(((data.astype(np.uint64) + _U(1)) * _PW[:length]).sum(axis=1, dtype=np.uint64))
+            key = mix(sum(cells(i, data[:, i]) for i in range(length)))
             order = np.argsort(key)
             if len(np.unique(key)) != len(key):
                 raise ValueError("two prefixes of pieces have one hash")
@@ -126,7 +126,7 @@ class Lattice:
             live, h = live[inside], h[inside]
             if not len(live):
                 break
-            h = h + (data[live + (length - 1)].astype(np.uint64) + _U(1)) * _PW[length - 1]
+            h = h + cells(length - 1, data[live + (length - 1)])
             key = mix(h)
             found = np.searchsorted(keys, key)
             found[found == len(keys)] = 0

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadloom.llm.words import mix, slices, span_hashes, tokenize, window_hashes, window_ok
+from threadloom.llm.words import first_equal, joined, mix, slices, span_hashes, tokenize, window_hashes, window_ok
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 STATISTICS = [*BASE, "n_lines", "n_upper", "n_marks"]
@@ -40,19 +40,6 @@ _UPPER[65:91] = True
 _WINDOW = 5
 
 
-def _repeats(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each entry how often its key occurs, and whether it is not the first of its key."""
-    order = np.argsort(key, kind="stable")
-    k = key[order]
-    new = np.ones(len(k), dtype=bool)
-    new[1:] = k[1:] != k[:-1]
-    group = np.cumsum(new) - 1
-    count, again = np.empty(len(k), dtype=np.int64), np.empty(len(k), dtype=bool)
-    count[order] = np.bincount(group, minlength=1)[group] if len(k) else 0
-    again[order] = ~new
-    return count, again
-
-
 def statistics_of(texts: pa.Array) -> dict[str, np.ndarray]:
     """All statistics of each text, in whole texts."""
     words = tokenize(texts)
@@ -79,14 +66,16 @@ def statistics_of(texts: pa.Array) -> dict[str, np.ndarray]:
     end = end - ((end > start) & newline[np.maximum(end, 1) - 1]) if len(end) else end
     holds = np.searchsorted(words.start, end) > np.searchsorted(words.start, start)
     start, end, doc = start[holds], end[holds], doc[holds]
-    _, again = _repeats(mix(span_hashes(data, start, end) ^ mix(doc.astype(np.uint64) + np.uint64(1))))
+    line = first_equal(mix(span_hashes(data, start, end) ^ mix(doc.astype(np.uint64) + np.uint64(1))), data, start, end, doc)
+    again = line != np.arange(len(line))
     out["n_lines"] = np.bincount(doc, minlength=n_docs)
     out["n_dup_lines"] = np.bincount(doc[again], minlength=n_docs)
 
     windows = np.flatnonzero(window_ok(words, _WINDOW))
     key = mix(window_hashes(words.hashes(), _WINDOW)[windows] ^ mix(of[windows].astype(np.uint64) + np.uint64(1)))
-    count, _ = _repeats(key)
-    twice = windows[count > 1]
+    plain, begin, until = joined(words)
+    window = first_equal(key, plain, begin[windows], until[windows + _WINDOW - 1], of[windows])
+    twice = windows[np.bincount(window, minlength=1)[window] > 1]
     edge = np.zeros(len(of) + 1, dtype=np.int64)
     np.add.at(edge, twice, 1)
     np.add.at(edge, twice + _WINDOW, -1)

@@ -13,13 +13,17 @@ hashes are confirmed on the words).
 3. Buckets return, per packed string, the runs of windows with the smallest
    document id that also holds them; occurrences look their string up.
 
-A minimiser with more than ``hot`` distinct super-k-mers would fill one task: its
-windows travel singly instead, each to the bucket of its own words.
+A minimiser with more than ``hot`` distinct super-k-mers, or over ``HOT_BYTES`` of
+them, would fill one task: its windows travel singly instead, each to the bucket
+of its own words. A super-k-mer of more than ``RUN`` windows is cut.
 
 Edge cases: rows without an id take no part and stay whole; rows of equal id do
 not affect each other (equal rows get equal results); a text with fewer than
 ``k`` words, empty or null stays whole; an empty table gives an empty result.
-Other input columns are dropped.
+Other input columns are dropped. Texts are handled one by one beyond a megabyte:
+a very long one takes some twenty times its bytes in one worker, and nothing of
+it is cut off. Equal hashes are told apart by the words, so results do not rest
+on hashes.
 """
 
 from __future__ import annotations
@@ -33,7 +37,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm import store
-from threadloom.llm.words import Words, joined, mix, slices, tokenize, window_hashes, window_ok
+from threadloom.llm.words import Words, first_equal, joined, mix, slices, tokenize, window_hashes, window_ok
+
+#: Windows of a super-k-mer at most (longer ones travel in pieces), and bytes of the distinct ones of a minimiser that travel together.
+RUN, HOT_BYTES = 256, 8_000_000
 
 
 def runs_of(words: Words, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,6 +60,11 @@ def runs_of(words: Words, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.nd
     new[1:] = (low[1:] != low[:-1]) | (of[1:] != of[:-1])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(at)) - 1
+    pieces = -(-(last - first + 1) // RUN)
+    if len(pieces) and pieces.max() > 1:  # in texts like "x x x ..." every window has the same minimiser
+        part = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        first, last = np.repeat(first, pieces) + RUN * part, np.repeat(last, pieces)
+        last = np.minimum(first + RUN - 1, last)
     return at[first], at[last], low[first]
 
 
@@ -71,8 +83,9 @@ def _minimisers(k: int, m: int):
                 of = words.of()[first]
                 sums = np.concatenate([[np.uint64(0)], np.cumsum(words.hashes(), dtype=np.uint64)])
                 content = mix(sums[last + k] - sums[first])
-                rows = np.unique(np.stack([of.astype(np.int64), low.view(np.int64), content.view(np.int64)]), axis=1)
-                yield _rows(low=pa.array(rows[1]), content=pa.array(rows[2]), doc=pa.array(np.asarray(part.column(0))[rows[0]]))
+                size = words.end[last + k - 1] - words.start[first]
+                rows = np.unique(np.stack([of.astype(np.int64), low.view(np.int64), content.view(np.int64), size]), axis=1)
+                yield _rows(low=pa.array(rows[1]), content=pa.array(rows[2]), doc=pa.array(np.asarray(part.column(0))[rows[0]]), size=pa.array(rows[3].astype(np.int32)))
 
     return listed
 
@@ -156,19 +169,10 @@ def repeats_in(packed: list[bytes], low_doc: np.ndarray, high_doc: np.ndarray, k
     words = tokenize(pa.array(packed, pa.binary()).cast(pa.string()))
     at = np.flatnonzero(window_ok(words, k))
     key, of = window_hashes(words.hashes(), k)[at], words.of()[at]
-    order = np.argsort(key, kind="stable")
-    k_sorted = key[order]
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = k_sorted[1:] != k_sorted[:-1]
-    group = np.cumsum(new) - 1
-    head = np.flatnonzero(new)
-    for i in np.flatnonzero(~new).tolist():  # equal hashes must be equal words
-        x, y = at[order[i]], at[order[head[group[i]]]]
-        if words.data[words.start[x] : words.end[x + k - 1]].tobytes() != words.data[words.start[y] : words.end[y + k - 1]].tobytes():
-            raise ValueError("two different windows have one hash")
-    low = np.minimum.reduceat(low_doc[of[order]], head)[group]
-    smallest = np.empty(len(order), dtype=np.int64)
-    smallest[order] = low
+    window = first_equal(key, words.data, words.start[at], words.end[at + k - 1])
+    low = np.full(len(at), np.iinfo(np.int64).max)
+    np.minimum.at(low, window, low_doc[of])
+    smallest = low[window]
     hit = np.flatnonzero(smallest < high_doc[of])
     if not len(hit):
         return []
@@ -254,11 +258,11 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """(doc_id, n_words, n_removed, kept_text) per row: words covered by a window that a smaller id also holds are gone."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     with_id = rows.filter(F.col("doc_id").isNotNull())
-    lows = store.table(with_id.mapInArrow(_minimisers(k, m), "low long, content long, doc long"), "minimisers")
+    lows = store.table(with_id.mapInArrow(_minimisers(k, m), "low long, content long, doc long, size int"), "minimisers")
     met = (
-        lows.groupBy("low", "content").agg(F.min("doc").alias("a"), F.max("doc").alias("b"))
-        .groupBy("low").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.count(F.lit(1)).alias("n"))
-        .filter("a < b").select(F.xxhash64("low").alias("__key"), F.col("low").alias("__low"), (F.col("n") > hot).alias("hot"))
+        lows.groupBy("low", "content").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.max("size").cast("long").alias("size"))
+        .groupBy("low").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+        .filter("a < b").select(F.xxhash64("low").alias("__key"), F.col("low").alias("__low"), ((F.col("n") > hot) | (F.col("size") > HOT_BYTES)).alias("hot"))
     )
     lists = (
         lows.join(met, (F.xxhash64("low") == F.col("__key")) & (F.col("low") == F.col("__low")))

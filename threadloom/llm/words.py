@@ -19,22 +19,9 @@ SEPARATOR = r"[\x20\x09-\x0D]+"
 _IS_SEP = np.zeros(256, dtype=bool)
 _IS_SEP[[0x20, *range(0x09, 0x0E)]] = True
 
-_M64 = (1 << 64) - 1
-_P = 0x9E3779B97F4A7C15
-_PINV = pow(_P, -1, 1 << 64)
-_Q = 0xD6E8FEB86659FD93
-_QINV = pow(_Q, -1, 1 << 64)
-#: Bytes (or words) whose powers are tabulated at a time; bounds the scratch memory.
-_SEGMENT = 1 << 18
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_PW, _PIW = _powers(_P, _SEGMENT + 1), _powers(_PINV, _SEGMENT + 1)
+_U = np.uint64
+#: Bytes of a stretch that is hashed at a time; bounds the scratch memory. Positions in a word with a table of their own.
+_SEGMENT, _DEPTH = 1 << 18, 64
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -46,6 +33,20 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _cells(position: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """A pseudo-random number for each byte at each position: no two positions share a table."""
+    return mix((position.astype(np.uint64) * _U(256) + byte.astype(np.uint64) + _U(1)) * _U(0x9E3779B97F4A7C15))
+
+
+#: ``CELLS[256 * i + c]`` belongs to byte ``c`` at position ``i`` of a span.
+CELLS = _cells(np.repeat(np.arange(_DEPTH), 256), np.tile(np.arange(256), _DEPTH))
+
+
+def cells(position: int, byte: np.ndarray) -> np.ndarray:
+    """What each byte adds to the hash of a span if it stands at ``position``."""
+    return CELLS[256 * position + byte.astype(np.int64)] if position < _DEPTH else _cells(np.full(len(byte), position), byte)
+
+
 @dataclass
 class Words:
     """Words of some texts. ``first[d] : first[d + 1]`` are the words of text ``d``."""
@@ -101,42 +102,101 @@ def tokenize(texts: pa.Array, lower: bool = False) -> Words:
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span; spans are disjoint and ascending."""
+    """A 64-bit hash of each byte span; spans are disjoint and ascending.
+
+    The sum of a table entry for each byte at its position (tabulation): unlike a
+    polynomial, it has no structure that words made by a rule could meet."""
     out = np.empty(len(start), dtype=np.uint64)
     at = 0
     while at < len(start):
         low = start[at]
         to = max(at + 1, int(np.searchsorted(end, low + _SEGMENT, side="right")))
-        high = end[to - 1]
-        if high - low <= _SEGMENT:
-            part = data[low:high].astype(np.uint64) + np.uint64(1)
-            part *= _PW[: high - low]
-            total = np.zeros(high - low + 1, dtype=np.uint64)
-            np.cumsum(part, out=total[1:])
+        if end[to - 1] - low <= _SEGMENT:
             s, e = start[at:to] - low, end[at:to] - low
-            out[at:to] = (total[e] - total[s]) * _PIW[s]
-        else:  # one word longer than a segment: fold it piece by piece
-            h, scale = 0, 1
-            for x in range(low, high, _SEGMENT):
-                part = data[x : min(high, x + _SEGMENT)].astype(np.uint64) + np.uint64(1)
-                h = (h + scale * int((part * _PW[: len(part)]).sum(dtype=np.uint64))) & _M64
-                scale = scale * pow(_P, len(part), 1 << 64) & _M64
+            part = data[low : low + e[-1]]
+            position = np.arange(len(part), dtype=np.int32)
+            position -= np.repeat(s, np.diff(np.append(s, len(part)))).astype(np.int32)
+            deep = np.flatnonzero(position >= _DEPTH)
+            far = position[deep]
+            position[deep] = 0
+            each = CELLS[(position << 8) + part]
+            each[deep] = _cells(far, part[deep])
+            total = np.zeros(len(part) + 1, dtype=np.uint64)
+            np.cumsum(each, out=total[1:])
+            out[at:to] = total[e] - total[s]
+        else:  # one word longer than a segment: piece by piece
+            h = _U(0)
+            for x in range(low, end[at], _SEGMENT):
+                part = data[x : min(end[at], x + _SEGMENT)]
+                h = h + _cells(np.arange(x - low, x - low + len(part)), part).sum(dtype=np.uint64)
             out[at] = h
         at = to
     return mix(out)
 
 
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two hashes in order; not linear in either."""
+    h = a * _U(0xD6E8FEB86659FD93)
+    h += b
+    h ^= h >> _U(32)
+    h *= _U(0xBF58476D1CE4E5B9)
+    h ^= h >> _U(29)
+    return h
+
+
 def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
-    """A hash of each run of ``k`` consecutive word hashes (over all words, so mask runs that leave a text)."""
+    """A hash of each run of ``k`` consecutive word hashes (over all words, so mask runs that leave a text).
+
+    Runs of doubled width are paired; the last pair overlaps where ``k`` is no power of two."""
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    step = _SEGMENT
-    if n > step:
-        return np.concatenate([window_hashes(h[x : min(n, x + step) + k - 1], k) for x in range(0, n, step)])
-    total = np.zeros(len(h) + 1, dtype=np.uint64)
-    np.cumsum(h * _powers(_Q, len(h)), out=total[1:])
-    return mix((total[k:] - total[:n]) * _powers(_QINV, n))
+    if n > _SEGMENT:
+        return np.concatenate([window_hashes(h[x : min(n, x + _SEGMENT) + k - 1], k) for x in range(0, n, _SEGMENT)])
+    width = 1
+    while 2 * width <= k:
+        h = _pair(h[:-width], h[width:])
+        width *= 2
+    return mix(h[:n]) if width == k else mix(_pair(h[:n], h[k - width : k - width + n]))
+
+
+def same_bytes(data: np.ndarray, a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray) -> np.ndarray:
+    """Whether the span ``a`` holds the bytes of the span ``b``, for each pair of spans."""
+    size = a_end - a
+    same = size == b_end - b
+    at, live = 0, np.flatnonzero(same & (size > 0))
+    reach = np.cumsum(size[live])
+    while at < len(live):  # a bounded number of bytes at a time
+        to = max(at + 1, int(np.searchsorted(reach, (reach[at - 1] if at else 0) + _SEGMENT, side="right")))
+        x, n = live[at:to], size[live[at:to]]
+        if to == at + 1:
+            same[x[0]] = np.array_equal(data[a[x[0]] : a_end[x[0]]], data[b[x[0]] : b_end[x[0]]])
+        else:
+            first = np.cumsum(n) - n
+            inside = np.arange(n.sum()) - np.repeat(first, n)
+            same[x] = np.logical_and.reduceat(data[np.repeat(a[x], n) + inside] == data[np.repeat(b[x], n) + inside], first)
+        at = to
+    return same
+
+
+def first_equal(key: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray, apart: np.ndarray | None = None) -> np.ndarray:
+    """For each span the first span with the same bytes (and the same ``apart``): equal keys are confirmed on the bytes."""
+    order = np.argsort(key, kind="stable")
+    k = key[order]
+    new = np.ones(len(k), dtype=bool)
+    new[1:] = k[1:] != k[:-1]
+    head = order[np.flatnonzero(new)][np.cumsum(new) - 1] if len(k) else order
+    out = np.empty(len(key), dtype=np.int64)
+    out[order] = head
+    again = order[~new]
+    wrong = ~same_bytes(data, start[again], end[again], start[out[again]], end[out[again]])
+    if apart is not None:
+        wrong |= apart[again] != apart[out[again]]
+    if wrong.any():  # two contents have one key: tell them apart by their bytes
+        known: dict = {}
+        for i in np.flatnonzero(np.isin(key, key[again[wrong]])).tolist():
+            out[i] = known.setdefault((None if apart is None else int(apart[i]), data[start[i] : end[i]].tobytes()), i)
+    return out
 
 
 def window_ok(words: Words, k: int) -> np.ndarray:
@@ -148,7 +208,7 @@ def window_ok(words: Words, k: int) -> np.ndarray:
     return np.arange(k, n + k) <= last[:n]
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, limit: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds about ``limit`` bytes of text at most (one row at least)."""
     _, offsets = text_bytes(batch.column(batch.schema.get_field_index(column)))
     at, rows = 0, batch.num_rows
