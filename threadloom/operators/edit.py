@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.model import numbered_id
+from threadloom.operators.order import numbered
 
 
 def renumber(rows: DataFrame, *, valid: Column, number: Column, order: str = "location", width: int = 3, force: bool = False) -> DataFrame:
@@ -17,8 +18,7 @@ def renumber(rows: DataFrame, *, valid: Column, number: Column, order: str = "lo
         todo, base = rows, None
     else:
         todo, base = rows.filter(~valid), rows.filter(valid).groupBy("atype").agg(F.max(number).alias("__max"))
-    rank = F.row_number().over(Window.partitionBy("atype").orderBy(order))
-    todo = todo.withColumn("__k", rank)
+    todo = numbered(todo, ["atype"], [order], "__k")
     n = F.col("__k")
     if base is not None:  # one row per type
         todo = todo.join(F.broadcast(base), "atype", "left")
@@ -30,9 +30,8 @@ def renumber_markers(blocks: DataFrame) -> DataFrame:
     """(marker, record, path, block_no, new_id): blocks without an id count on from the largest numeric id of their marker."""
     numeric = F.when(F.col("block_id").rlike(r"^\s*\d+\s*$"), F.trim("block_id").cast("decimal(38,0)"))
     largest = blocks.groupBy("marker").agg(F.max(numeric).alias("__max"))
-    todo = blocks.filter("block_id is null")
-    rank = F.row_number().over(Window.partitionBy("marker").orderBy("record", "path", "block_no"))
-    return todo.withColumn("__k", rank).join(F.broadcast(largest), "marker").select("marker", "record", "path", "block_no", (F.coalesce("__max", F.lit(0)) + F.col("__k")).cast("string").alias("new_id"))
+    todo = numbered(blocks.filter("block_id is null"), ["marker"], ["record", "path", "block_no"], "__k")
+    return todo.join(F.broadcast(largest), "marker").select("marker", "record", "path", "block_no", (F.coalesce("__max", F.lit(0)) + F.col("__k")).cast("string").alias("new_id"))
 
 
 def fill_from_mapping(artifacts: DataFrame, mapping: DataFrame, literal: str | None) -> DataFrame:

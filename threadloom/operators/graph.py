@@ -2,32 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom import scratch
 from threadloom.model import DEPTH_LIMIT, link_revision, link_target, split_list
 
 
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Cut lineage by a table in the session's shared checkpoint folder (a temporary one where none is set)."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or _scratch(spark)
-    path = f"{base.rstrip('/')}/threadloom/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _scratch(spark: SparkSession) -> str:
-    name = spark.conf.get("spark.threadloom.scratch", None)
-    if name is None:
-        name = "file://" + tempfile.mkdtemp(prefix="threadloom-")
-        spark.conf.set("spark.threadloom.scratch", name)
-    return name
-
-
 def parent_links(artifacts: DataFrame, parent_rules: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links of ``reference to parent`` attributes, and the conflicting ones.
 
@@ -65,12 +46,12 @@ def closure(links: DataFrame, limit: int = DEPTH_LIMIT) -> DataFrame:
     Semi-naive: only pairs that are new in a level are joined again, so cycles
     end and diamonds stay polynomial.
     """
-    edges = cut(links.select(F.col("pid").alias("anc_id"), F.col("child_id").alias("desc_id")).distinct(), "edges")
+    edges = scratch.table(links.select(F.col("pid").alias("anc_id"), F.col("child_id").alias("desc_id")).distinct(), "edges")
     found = edges.withColumn("depth", F.lit(1))
     fresh = edges
     for depth in range(2, limit + 1):
         step = fresh.select(F.col("anc_id"), F.col("desc_id").alias("__mid")).join(edges.select(F.col("anc_id").alias("__mid"), "desc_id"), "__mid").select("anc_id", "desc_id").distinct()
-        fresh = cut(step.join(found.select("anc_id", "desc_id"), ["anc_id", "desc_id"], "left_anti"), "level")
+        fresh = scratch.table(step.join(found.select("anc_id", "desc_id"), ["anc_id", "desc_id"], "left_anti"), "level")
         if fresh.isEmpty():
             break
         found = found.unionByName(fresh.withColumn("depth", F.lit(depth)))
@@ -79,12 +60,12 @@ def closure(links: DataFrame, limit: int = DEPTH_LIMIT) -> DataFrame:
 
 def too_deep(links: DataFrame, limit: int = DEPTH_LIMIT) -> DataFrame:
     """(start): nodes from which a walk of more than ``limit`` edges towards the parents exists, cycles included."""
-    edges = cut(links.select("child_id", "pid").distinct(), "edges")
+    edges = scratch.table(links.select("child_id", "pid").distinct(), "edges")
     alive = edges.select(F.col("child_id").alias("start")).distinct()
     for i in range(limit):  # the start of a walk of i + 1 edges is a child whose parent starts one of i edges
         alive = edges.join(alive.withColumnRenamed("start", "pid"), "pid", "left_semi").select(F.col("child_id").alias("start")).distinct()
         if i % 5 == 4:
-            alive = cut(alive, "walks")
+            alive = scratch.table(alive, "walks")
     return alive
 
 
@@ -94,7 +75,7 @@ def tree_paths(links: DataFrame, tops: DataFrame, limit: int = DEPTH_LIMIT) -> D
     level = tops.select(F.col("aid").alias("path"), "aid", F.lit(0).alias("depth"))
     out = level
     for depth in range(1, limit + 1):
-        level = cut(level.join(edges, F.col("aid") == F.col("__p")).select(F.concat_ws("/", "path", "__c").alias("path"), F.col("__c").alias("aid"), F.lit(depth).alias("depth")), "paths")
+        level = scratch.table(level.join(edges, F.col("aid") == F.col("__p")).select(F.concat_ws("/", "path", "__c").alias("path"), F.col("__c").alias("aid"), F.lit(depth).alias("depth")), "paths")
         if level.isEmpty():
             break
         out = out.unionByName(level)
@@ -103,12 +84,12 @@ def tree_paths(links: DataFrame, tops: DataFrame, limit: int = DEPTH_LIMIT) -> D
 
 def suspicious_nodes(links: DataFrame, stale_children: DataFrame, limit: int = DEPTH_LIMIT) -> DataFrame:
     """(aid, outdated): the nodes that a pruned tree keeps: stale children (outdated) and all their ancestors."""
-    edges = cut(links.select("child_id", "pid").distinct(), "edges")
-    level = cut(stale_children.select(F.col("child_id").alias("aid")).distinct(), "nodes")
+    edges = scratch.table(links.select("child_id", "pid").distinct(), "edges")
+    level = scratch.table(stale_children.select(F.col("child_id").alias("aid")).distinct(), "nodes")
     found = level
     for _ in range(limit):
         up = level.join(edges, F.col("aid") == F.col("child_id")).select(F.col("pid").alias("aid")).distinct()
-        level = cut(up.join(found, "aid", "left_anti"), "nodes")
+        level = scratch.table(up.join(found, "aid", "left_anti"), "nodes")
         if level.isEmpty():
             break
         found = found.unionByName(level)

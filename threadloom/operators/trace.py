@@ -2,38 +2,15 @@
 
 from __future__ import annotations
 
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.operators import order
 
-def number_rows(df: DataFrame, *keys: str, name: str = "record_number", ranges: int = 64) -> DataFrame:
-    """Number rows 1..n in the order of ``keys`` without one task seeing all rows.
-
-    Rows are put into key ranges by a bounded sample of the first key (any
-    bounds give the right numbers), numbered inside their range, and shifted by
-    the sizes of the ranges before.
-    """
-    lead = keys[0]
-    # a sample by hash, so the bounds do not depend on how rows are dealt; 64 of at most 4096 values reach the driver
-    sample = sorted(r[0] for r in df.select(lead).filter(F.col(lead).isNotNull()).orderBy(F.xxhash64(lead)).limit(4096).distinct().collect())
-    bounds = [sample[i * len(sample) // ranges] for i in range(1, ranges)] if len(sample) >= ranges else []
-    bounds = sorted(set(bounds))
-    if not bounds:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(*keys)))
-
-    def tree(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(F.col(lead) < F.lit(bounds[mid]), tree(low, mid)).otherwise(tree(mid + 1, high))
 
-    ranged = df.withColumn("__range", F.when(F.col(lead).isNull(), F.lit(-1)).otherwise(tree(0, len(bounds))))
-    sizes = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("__range", F.coalesce(F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
-    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*keys))
-    numbered = ranged.withColumn("__inside", inside).join(F.broadcast(before), "__range")  # one row per range: 65 at most
-    return numbered.withColumn(name, (F.col("__base") + F.col("__inside")).cast("long")).drop("__range", "__inside", "__base")
+def number_rows(df: DataFrame, *keys: str, name: str = "record_number") -> DataFrame:
+    """Number rows 1..n in the order of ``keys`` without one task seeing all rows."""
+    return order.numbered(df, [], list(keys), name)
 
 
 def reverse(leads: DataFrame, links: DataFrame) -> DataFrame:
@@ -50,9 +27,9 @@ def forward(leads: DataFrame, links: DataFrame, known: DataFrame, parent_type: s
     return out.select("lead_id", F.coalesce("pos", F.lit(0)).alias("pos"), F.coalesce("linked_id", F.lit("")).alias("linked_id"))
 
 
-def flat(pairs: DataFrame, order: str) -> DataFrame:
-    """One row per lead with its linked ids joined by ``; `` in ``order``."""
-    ids = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), "linked_id")))
+def flat(pairs: DataFrame, by: str) -> DataFrame:
+    """One row per lead with its linked ids joined by ``; `` in the order of ``by``."""
+    ids = F.array_sort(F.collect_list(F.struct(F.col(by).alias("at"), "linked_id")))
     return pairs.groupBy("lead_id").agg(F.array_join(F.transform(ids, lambda x: x["linked_id"]), "; ").alias("linked_ids"))
 
 

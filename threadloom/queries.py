@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom import metamodel, model
-from threadloom.operators import diff, edit, graph, impact, metrics, trace, validate
+from threadloom.operators import diff, edit, graph, impact, metrics, order, trace, validate
 from threadloom.sources import tables as t
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -681,8 +681,8 @@ def block_ids(spark, sf):
 def line_numbers(spark, sf):
     """The estimated line of each text block of a file."""
     lines = 1 + F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
-    before = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    return t.read(spark, sf, "documents").select(F.col("source").alias("path"), F.col("doc_id").alias("block_no"), (1 + F.coalesce(F.sum(lines).over(before), F.lit(0))).cast("long").alias("line_no"))
+    blocks = t.read(spark, sf, "documents").select(F.col("source").alias("path"), F.col("doc_id").alias("block_no"), lines.alias("n_lines"))
+    return order.running(blocks, ["path"], ["block_no"], line_no=F.col("n_lines")).select("path", "block_no", (1 + F.col("line_no")).cast("long").alias("line_no"))
 
 
 _FENCED = r"""l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
