@@ -1,6 +1,7 @@
 """Embeddings, personal data, URLs, secrets, mixing, sampling: brute force, invariants and edge cases."""
 
 import collections
+import hashlib
 import itertools
 import math
 import random
@@ -200,47 +201,116 @@ def test_secret_forest_held_out_accuracy(spark):
     assert secret_scan.train(secret_scan.labelled_findings(spark, 10).filter("false")).trees == []
 
 
-def test_mixing_reaches_targets_and_caps(spark, corpus):
-    rows = [*corpus, *corpus[:6], (None, "n u l l", "s9")]
-    out, mixture = source_mixing.mix(spark.createDataFrame(rows, SCHEMA).repartition(3), block=16)
-    got = out.collect()
-    assert len(got) == len(rows)
-    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+def size_of(text):
+    return len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+
+
+def brute_mixture(rows, block, cap=3, point=None):
+    """Per document (by row number): target and the words (slot, pass, first, last) that the mixture holds."""
     by = collections.Counter()
     for _, t, s in rows:
-        by[s] += size(t)
-    names = sorted((s for s in by if s is not None)) + [None]
+        by[s] += size_of(t)
+    names = sorted(s for s in by if s is not None) + [None] * (None in by)
     weight = {s: i % 3 + 1 for i, s in enumerate(names)}
-    total, target, capped = sum(by.values()), {}, set()
+    total, capped = sum(by.values()), set()
     while True:
-        rest = total - sum(3 * by[s] for s in capped)
-        share = rest / sum(weight[s] for s in names if s not in capped)
-        over = {s for s in names if s not in capped and share * weight[s] > 3 * by[s]}
+        rest = total - sum(cap * by[s] for s in capped)
+        share = rest / max(1, sum(weight[s] for s in names if s not in capped))
+        over = {s for s in names if s not in capped and share * weight[s] > cap * by[s]}
         if not over:
             break
         capped |= over
-    target = {s: 3 * by[s] if s in capped else share * weight[s] for s in names}
-    taken = collections.Counter()
-    for r in got:
-        assert r.source_size == by[r.source] and math.isclose(r.target, target[r.source], rel_tol=1e-9) and 0 <= r.taken <= 3 * r.size
-        taken[r.source] += r.taken
+    target = {s: cap * by[s] if s in capped else share * weight[s] for s in names}
+    words = {s: int(target[s]) for s in names}
+    every = sum(words.values())
+    edges = list(itertools.accumulate((words[s] for s in names), initial=0))
+    need = {s: -(-words[s] // block) for s in names}
+    plan = {s: [] for s in names}
+    slots = -(-every // block)
+    for i in range(slots):
+        u = point(i) if point else math.fmod(i * source_mixing.GOLDEN, 1.0)
+        s = next(n for n, lo, hi in zip(names, edges, edges[1:]) if lo / every <= u < hi / every)
+        if len(plan[s]) < need[s]:
+            plan[s].append(i)
     for s in names:
-        assert abs(taken[s] - target[s]) <= 1
-    pieces = mixture.collect()
-    assert sum(p.last_word - p.first_word + 1 for p in pieces) == sum(taken.values())
-    again, _ = source_mixing.mix(spark.createDataFrame(rows, SCHEMA).repartition(5), block=16)
+        while len(plan[s]) < need[s]:
+            plan[s].append(slots)
+            slots += 1
+    out = [[] for _ in rows]
+    for s in names:
+        turn = lambda i: hashlib.md5(f"1:{'' if rows[i][0] is None else rows[i][0]}:{size_of(rows[i][1])}".encode()).hexdigest()
+        own = sorted((i for i in range(len(rows)) if rows[i][2] == s), key=lambda i: (turn(i), rows[i][0] if rows[i][0] is not None else -1, size_of(rows[i][1])))
+        at = 0
+        for p in range(cap):
+            for i in own:
+                n = size_of(rows[i][1])
+                for x in range(at, min(at + n, words[s])):
+                    slot = plan[s][x // block]
+                    if out[i] and out[i][-1][:2] == [slot, p] and out[i][-1][3] == x - at - 1:
+                        out[i][-1][3] += 1
+                    else:
+                        out[i].append([slot, p, x - at, x - at])
+                at += n
+    return target, by, out
+
+
+def shown(pieces):
+    return hashlib.md5(";".join(f"{s}:{p}:{a}-{b}" for s, p, a, b in sorted(pieces)).encode()).hexdigest() if pieces else None
+
+
+@pytest.mark.parametrize("cap", [3, 5])
+def test_mixing_matches_brute_force(spark, corpus, cap):
+    rows = [*corpus, (None, "n u l l", "s9"), (9001, "a " * 700, None), (9002, None, "t"), (9003, "", "t")]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, source string, size string, slot long")
+    got = source_mixing.mix(docs.repartition(3), block=16, cap=float(cap)).collect()
+    target, by, held = brute_mixture(rows, 16, cap)
+    want = collections.Counter()
+    for (d, t, s), pieces in zip(rows, held):
+        want[(d, s, size_of(t), by[s], round(target[s], 6), sum(b - a + 1 for _, _, a, b in pieces), min((p[0] for p in pieces), default=None), len(pieces), shown(pieces))] += 1
+    assert collections.Counter((*r[:4], round(r.target, 6), *r[5:]) for r in got) == want
+    again = source_mixing.mix(docs.repartition(5), block=16, cap=float(cap))
     assert collections.Counter(map(tuple, again.collect())) == collections.Counter(map(tuple, got))
-    assert source_mixing.mix(spark.createDataFrame([], SCHEMA))[0].count() == 0
+    assert source_mixing.mix(docs.limit(0)).count() == 0
 
 
-def test_schedule_spreads_sources_evenly(spark):
-    sources = spark.createDataFrame([(1, 0.0, 0.2, 2000.0), (2, 0.2, 0.5, 3000.0), (3, 0.5, 1.0, 5000.0)], "sid int, lo double, hi double, target double")
-    slots = source_mixing.schedule(sources, 10_000, 10).orderBy("slot").collect()
-    assert collections.Counter(r.sid for r in slots) == {1: 200, 2: 300, 3: 500}
-    assert all(sorted(r.rank for r in slots if r.sid == s) == list(range(n)) for s, n in ((1, 200), (2, 300), (3, 500)))
-    for n in (50, 100, 400):
-        seen = collections.Counter(r.sid for r in slots[:n])
-        assert all(abs(seen[s] - n * p) <= 4 for s, p in ((1, 0.2), (2, 0.3), (3, 0.5)))
+def test_mixing_of_repeated_rows_and_ties(spark, corpus):
+    rows = [*corpus[:8], *corpus[:8], (3, corpus[3][1].replace("w", "v"), corpus[3][2])]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = source_mixing.mix(docs.repartition(3), block=16).collect()
+    target, by, held = brute_mixture(rows, 16)
+    taken, want = collections.Counter(), collections.Counter()
+    for r in got:
+        assert 0 <= r.taken <= 3 * r.size
+        taken[r.source] += r.taken
+    assert len(got) == len(rows) and all(abs(taken[s] - target[s]) <= 1 for s in by)
+    again = source_mixing.mix(docs.repartition(5), block=16).collect()
+    assert collections.Counter(map(tuple, again)) == collections.Counter(map(tuple, got))
+
+
+def test_the_schedule_decides_the_mixture(spark, corpus):
+    """Another schedule, another result; and the golden one keeps every prefix near its shares."""
+    docs = spark.createDataFrame(corpus, SCHEMA)
+    digests = []
+    for point in (source_mixing.golden, lambda i: (i * 0.25) % 1, lambda i: i / 10_000):
+        got = source_mixing.mix(docs, block=16, point=point).collect()
+        digests.append({r.doc_id: r.slots_md5 for r in got})
+    changed = lambda a, b: sum(a[d] != b[d] for d in a) / len(a)
+    assert changed(digests[0], digests[1]) > 0.5 and changed(digests[0], digests[2]) > 0.5
+    sources = spark.createDataFrame([(1, 0, 20_000), (2, 20_000, 30_000), (3, 50_000, 50_000)], "sid long, before long, words long")
+    slots = sorted(map(tuple, source_mixing.schedule(sources, 10).collect()))
+    assert collections.Counter(s for _, s, _ in slots) == {1: 2000, 2: 3000, 3: 5000} and len({i for i, _, _ in slots}) == 10_000
+    for s in (1, 2, 3):
+        assert [r for _, x, r in slots if x == s] == list(range((2000, 3000, 5000)[s - 1]))
+    seen = collections.Counter()
+    for i, (_, s, _) in enumerate(slots, 1):
+        seen[s] += 1
+        assert all(abs(seen[x] - i * p) <= 2 + 1.5 * math.log(i + 1) for x, p in ((1, 0.2), (2, 0.3), (3, 0.5)))
+
+
+def test_mixing_of_many_sources(spark):
+    rows = [(i, "w " * (1 + i % 5), f"host{i % 700}") for i in range(2100)]
+    got = source_mixing.mix(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sum(r.taken for r in got) == sum(int(t) for t in {r.source: r.target for r in got}.values())
 
 
 MODEL = pytest.importorskip("threadloom.llm.piece_sampling").MODEL

@@ -1,19 +1,67 @@
 """Connected components of an undirected graph given as edges, without collecting any of it.
 
 Alternating large-star and small-star rounds turn the edges into stars around
-the smallest node of each component. Joins exchange both of their sides, so the
-adaptive skew join can split the neighbours of a hub; the minimum per node is a
-partially aggregated sum over tasks. Each round is cut by a table in the shared
-folder.
+the smallest node of each component; before and after each round every task
+contracts the edges that it holds to stars of its own, a bounded number at a
+time. Joins exchange both of their sides, so the adaptive skew join can split
+the neighbours of a hub; the minimum per node is a partially aggregated sum over
+tasks. Each round is cut by a table in the shared folder.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm import store
 
+#: Edges that a task contracts together.
+_HELD = 1_000_000
+
+
+def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest node that each of ``n`` nodes reaches over links (a, b)."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        new = new[new]
+        while not np.array_equal(new, new[new]):
+            new = new[new]
+        if np.array_equal(new, root):
+            return root
+        root = new
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) to the stars that connect the same nodes."""
+    held: list[np.ndarray] = []
+
+    def stars() -> pa.RecordBatch:
+        nodes, ends = np.unique(np.concatenate(held, axis=1), return_inverse=True)
+        held.clear()
+        a, b = ends.reshape(2, -1)
+        root = forest(a, b, len(nodes))
+        at = np.flatnonzero(root != np.arange(len(nodes)))
+        return pa.RecordBatch.from_pydict({"a": pa.array(nodes[at]), "b": pa.array(nodes[root[at]])})
+
+    for batch in batches:
+        held.append(np.stack([np.asarray(c) for c in batch.columns]))
+        if sum(x.shape[1] for x in held) > _HELD:
+            yield stars()
+    if held:
+        yield stars()
+
+
+def _contract(edges: DataFrame) -> DataFrame:
+    return edges.mapInArrow(_contracted, "a long, b long")
+
 
 def _with_least(pairs: DataFrame) -> DataFrame:
     """(u, v, m): each pair with the smallest of u's neighbours and u."""
@@ -42,11 +90,9 @@ def _is_forest_of_stars(edges: DataFrame) -> bool:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of an edge (a, b); the root is the smallest node of its component."""
-    now = store.table(edges.select("a", "b").filter("a != b").distinct(), "edges")
-    while True:  # the rounds shrink the graph until stars are left, some log2 of its longest path in practice
-        after = store.table(_small_star(_large_star(now)), "edges")
+    now = store.table(_contract(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a != b").distinct()), "edges")
+    while not _is_forest_of_stars(now):  # rounds shrink the graph until stars are left, some log2 of its longest path in practice
+        after = store.table(_contract(_small_star(_large_star(now))), "edges")
         store.drop(now)
         now = after
-        if _is_forest_of_stars(now):
-            break
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm import store
-from threadloom.llm.components import components
+from threadloom.llm.components import components, forest
 
 #: Vectors of a group at most; bounds a task's memory. Tasks per side at least.
 GROUP, LEAST_GROUPS, TILE = 65_536, 8, 2048
@@ -55,22 +55,6 @@ def possible(a, b, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     return i[fine], j[fine]
 
 
-def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """The smallest node that each of ``n`` nodes reaches over links (a, b)."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, root[a], low)
-        np.minimum.at(new, root[b], low)
-        new = new[new]
-        while not np.array_equal(new, new[new]):
-            new = new[new]
-        if np.array_equal(new, root):
-            return root
-        root = new
-
-
 def links_between(x: np.ndarray, y: np.ndarray | None, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of linked rows, tile by tile; with ``y`` None, pairs i < j inside ``x``."""
     other = x if y is None else y
@@ -174,3 +158,17 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
         F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"),
     )
+
+
+ORACLE = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CASE WHEN len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0 THEN e END AS e
+  FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)),
+l AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e) WHERE list_cosine_similarity(x.e, y.e) >= 0.9),
+r(node, root) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.a, r.root FROM r JOIN l ON l.b = r.node AND r.root < l.a),
+c AS (SELECT node, min(root) AS component_id FROM r GROUP BY 1),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM v JOIN c ON c.node = v.vec_id LEFT JOIN n ON n.a = v.vec_id
+"""

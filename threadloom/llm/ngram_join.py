@@ -506,3 +506,19 @@ def _pair_tasks(dealt: DataFrame, prefix: DataFrame, large: DataFrame) -> DataFr
     near = near.select(F.col("a.chunk").alias("one"), F.col("b.chunk").alias("two")).distinct().withColumn("task", F.xxhash64("one", "two"))
     sides = near.select("task", F.explode(F.array_distinct(F.array("one", "two"))).alias("chunk"))
     return _texts(_on(dealt.select("chunk", "digest", "rep", "root"), sides, "chunk"), large)
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS a FROM documents),
+g AS (
+  SELECT DISTINCT doc_id, shingle FROM (
+    SELECT doc_id, unnest(list_transform(range(1, greatest(len(a) - 3, 2)), lambda i: array_to_string(a[i : i + 4], ' '))) AS shingle FROM d WHERE len(a) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+i AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM g x JOIN g y ON x.shingle = y.shingle AND x.doc_id > y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM i JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * common >= 80 * (p.n + q.n - common)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(node, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.a, r.root FROM r JOIN e ON e.b = r.node AND r.root < e.a),
+c AS (SELECT node, min(root) AS component_id FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN c ON c.node = d.doc_id
+"""

@@ -19,7 +19,10 @@ only. All texts of a batch advance together in numpy.
 Edge cases: null and empty texts give one sample without pieces; a text with
 fewer than ``k`` segmentations gives all of them, with inclusion 1; equal rows
 give equal samples; null keys are keyed by their text; U+2581 decodes as a
-space, as in SentencePiece; an empty table gives an empty result.
+space, as in SentencePiece; an empty table gives an empty result; columns of the
+input other than the two that are used are dropped, whatever their names. Texts
+are handled together up to half a megabyte; a longer one alone, as a whole, in
+some 500 times its bytes of one worker's memory.
 """
 
 from __future__ import annotations
@@ -426,7 +429,7 @@ def sample_segmentations(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(proto)
         for batch in batches:
-            for part in slices(batch, "text", 2_000_000):
+            for part in slices(batch, "text", 500_000):
                 texts = part.column(1)
                 work = Batch(vocabulary, texts, row_seed(part.column(0).to_pylist(), texts, seed))
                 rows = [(d, i, *s) for d, found in enumerate(work.sample(k)) for i, s in enumerate(found)]

@@ -1,21 +1,26 @@
 """Quality rules: a learned decision list over text statistics.
 
-``text_statistics`` computes per-text statistics in Arrow batches. ``learn``
+``text_statistics`` computes per-text statistics in an Arrow function, whole texts
+at a time, from which only numbers return. ``learn``
 fits ordered threshold conjunctions by sequential covering on labelled
 statistics: each rule is grown on one part of the rows by information gain and
 pruned on the other part. ``DecisionList.verdict`` emits the ordered rules as
 one nested Spark conditional, so applying the list stays in the JVM.
 
 Edge cases: a null or empty text has all statistics 0 and fails the base rule;
-null labels and labels without a document are not used; equal scores prefer the
+null labels and labels without a document are not used (the latter still count
+towards the bound); equal scores prefer the
 earlier statistic and the lower threshold; no labelled rows give an empty list,
 which keeps all that passes the base rule; columns of the input that clash with
-a statistic's name are replaced.
+a statistic's name are replaced; repeated rows are judged alike; an empty table
+gives an empty result; a very long text is measured as a whole, in some forty
+times its bytes of one worker's memory. Lines and windows count as equal by
+their bytes, not by a hash.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -83,21 +88,20 @@ def statistics_of(texts: pa.Array) -> dict[str, np.ndarray]:
     return {k: np.asarray(v, dtype=np.int64) for k, v in out.items()}
 
 
-def text_statistics(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``df`` (its columns in ``keep``, else all) with one long column per statistic of ``text``."""
-    keep = [c for c in (df.columns if keep is None else keep) if c not in STATISTICS]
-    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(c, T.LongType()) for c in STATISTICS])
-    read = list(dict.fromkeys([*keep, text]))
+def _measured(texts: pa.Array) -> pa.Array:
+    """A struct of all statistics for each text, made in parts of bounded size."""
+    parts = [statistics_of(part.column(0)) for part in slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text")]
+    return pa.StructArray.from_arrays([pa.array(np.concatenate([p[c] for p in parts]) if parts else np.zeros(0, np.int64)) for c in STATISTICS], STATISTICS)
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, text):
-                found = statistics_of(part.column(part.schema.get_field_index(text)))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(part.schema.get_field_index(c)) for c in keep] + [pa.array(found[c]) for c in STATISTICS], [*keep, *STATISTICS]
-                )
 
-    return df.select(*read).mapInArrow(add, schema)
+def text_statistics(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``df`` (its columns in ``keep``, else all) with one long column per statistic of ``text``.
+
+    Texts go to Python once and only numbers come back: the other columns stay in the JVM."""
+    keep = [c for c in (df.columns if keep is None else keep) if c not in STATISTICS]
+    measure = F.arrow_udf(_measured, T.StructType([T.StructField(c, T.LongType()) for c in STATISTICS]))
+    found = df.select(*keep, measure(F.col(text).cast("string")).alias("__tl_found"))
+    return found.select(*keep, *[F.col("__tl_found")[c].alias(c) for c in STATISTICS])
 
 
 def base_failed() -> Column:
@@ -220,19 +224,37 @@ def learn(rows: dict[str, np.ndarray], bad: np.ndarray, *, max_rules: int = 12,
     return out
 
 
-def fit(statistics: DataFrame, labels: DataFrame, *, key: str = "doc_id", label: str = "quality", max_labelled: int = MAX_LABELLED) -> DecisionList:
-    """Fit on labelled rows (label 0: bad, 1: good), ``max_labelled`` of them at most, picked by a hash of the key."""
-    marks = labels.filter(F.col(label).isin(0, 1)).groupBy(key).agg(F.min(label).alias("__tl_label"))
-    rows = (
-        statistics.select(key, *STATISTICS).join(marks, key)
-        .orderBy(F.xxhash64(F.col(key)), F.col(key), *STATISTICS).limit(max_labelled)
-        .select("__tl_label", *STATISTICS).toPandas()
-    )
+def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", max_labelled: int = MAX_LABELLED) -> DecisionList:
+    """Fit on the texts of labelled rows (label 0: bad, 1: good), ``max_labelled`` of them at most, picked by a hash of the key.
+
+    Only these texts are measured. A key with both labels counts as bad; of rows with one key the smallest statistics count."""
+    marks = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("__tl_key")).agg(F.min(label).alias("__tl_label"))
+    turn = F.xxhash64("__tl_key")
+    n = marks.count()
+    if n > max_labelled:  # a bound on the hash first, so that no task ranks more than about the rows that are used
+        share = min(1.0, 1.2 * max_labelled / n + 100 / n)
+        marks = marks.filter(turn < int((2 * share - 1) * ((1 << 63) - 1))).orderBy(turn, "__tl_key").limit(max_labelled)
+    # at most max_labelled keys and labels: the one thing that is broadcast, and as many rows reach the driver
+    rows = docs.select(key, text).join(F.broadcast(marks), F.col(key) == F.col("__tl_key"))
+    found = text_statistics(rows, text, keep=["__tl_key", "__tl_label"]).groupBy("__tl_key", "__tl_label").agg(F.min(F.struct(*STATISTICS)).alias("s"))
+    rows = found.select("__tl_key", "__tl_label", "s.*").toPandas()
+    rows = rows.assign(turn=_turn(rows["__tl_key"])).sort_values(["turn", "__tl_key"])
     return learn({c: rows[c].to_numpy() for c in STATISTICS}, rows["__tl_label"].to_numpy() == 0)
 
 
+def _turn(keys) -> np.ndarray:
+    """An order of keys that has nothing to do with their values: it decides which rows prune."""
+    return np.array([int.from_bytes(hashlib.blake2b(repr(k).encode(), digest_size=8).digest(), "little") for k in keys], dtype=np.uint64)
+
+
 def judge(statistics: DataFrame, rules: DecisionList) -> DataFrame:
     """Add ``base_failed``, ``rule`` (number of the rejecting rule, null for none) and ``kept``."""
     return statistics.withColumns({"base_failed": base_failed(), "rule": rules.rule_number()}).withColumn(
         "kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(rules.verdict())
     )
+
+
+def kept(docs: DataFrame, rules: DecisionList, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the base rule and the list keep, with all their columns, whatever their names."""
+    whole = docs.select(F.struct("*").alias("__tl_row"), F.col(text).alias("__tl_text"))
+    return judge(text_statistics(whole, "__tl_text", keep=["__tl_row"]), rules).filter("kept").select("__tl_row.*")

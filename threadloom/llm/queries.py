@@ -47,9 +47,8 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many words of every document the mixture takes."""
-    out, _ = source_mixing.mix(read(spark, sf_dir, "documents"))
-    return out.select("doc_id", "size", "source_size", "target", "taken")
+    """How many words of every document the mixture takes, and in which of its slots."""
+    return source_mixing.mix(read(spark, sf_dir, "documents")).drop("source")
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,9 +61,8 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of every document, the base rule, and the verdict of a list learnt from ``labels``."""
     docs = read(spark, sf_dir, "documents")
-    found = store.table(quality_rules.text_statistics(docs, keep=["doc_id"]), "statistics")
-    rules = quality_rules.fit(found, read(spark, sf_dir, "labels"))
-    return quality_rules.judge(found, rules)
+    rules = quality_rules.fit(docs, read(spark, sf_dir, "labels"))
+    return quality_rules.judge(quality_rules.text_statistics(docs, keep=["doc_id"]), rules)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,4 +72,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_ngram_join, op3_embedding_dedup, op4_pii_surrogates, op5_piece_sampling, op6_url_filters, op7_secret_scan, op8_quality_rules, op9_substring_dedup, op10_source_mixing)}
-ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op6_url_filters": url_filters.ORACLE}
+ORACLES: dict[str, str] = {
+    "op1_line_dedup": line_dedup.ORACLE, "op2_ngram_join": ngram_join.ORACLE, "op3_embedding_dedup": embedding_dedup.ORACLE, "op6_url_filters": url_filters.ORACLE,
+    "op9_substring_dedup": substring_dedup.ORACLE, "op10_source_mixing": source_mixing.ORACLE,
+}

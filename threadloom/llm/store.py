@@ -1,44 +1,7 @@
-"""Where intermediate tables live.
-
-Every lineage cut is a Parquet table in the shared folder that the session
-names in ``spark.checkpoint.dir``; only where that is unset (tests, local
-runs) a private temporary folder is made and set.
-"""
+"""Where intermediate tables live: see :mod:`threadloom.scratch`."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session, without a trailing slash."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.conf.get("spark.threadloom.scratch", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="threadloom-")
-        spark.conf.set("spark.threadloom.scratch", named)
-    return named.rstrip("/")
-
-
-def table(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and return the reader of it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/threadloom/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._tl_path = path
-    return out
-
+from threadloom.scratch import drop, table
 
-def drop(df: DataFrame) -> None:
-    """Delete a table made by :func:`table` that nothing will read again."""
-    path = getattr(df, "_tl_path", None)
-    if path is None:
-        return
-    spark = df.sparkSession
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+__all__ = ["drop", "table"]

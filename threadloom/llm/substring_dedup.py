@@ -283,3 +283,20 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
     keyed = rows.join(spans, (F.col("doc_id") == F.col("__doc")) & (F.xxhash64("text") == F.col("__th")), "left")
     return keyed.select("doc_id", "text", "spans").mapInArrow(_strike(k), "doc_id long, n_words long, n_removed long, kept_text string")
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS a FROM documents),
+w AS (SELECT doc_id, unnest(a) AS word, generate_subscripts(a, 1) AS j, len(a) AS n, a FROM d),
+v AS (SELECT doc_id, j, array_to_string(a[j : j + 49], chr(10)) AS k FROM w WHERE j + 49 <= n),
+f AS (SELECT k, min(doc_id) AS m FROM v GROUP BY 1),
+s AS (SELECT DISTINCT v.doc_id, v.j FROM v JOIN f ON f.k = v.k AND f.m < v.doc_id),
+c AS (
+  SELECT w.doc_id, w.j, w.word, max(s.j) OVER (PARTITION BY w.doc_id ORDER BY w.j ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last
+  FROM w LEFT JOIN s ON s.doc_id = w.doc_id AND s.j = w.j),
+g AS (
+  SELECT doc_id, count(*) FILTER (WHERE j - last < 50) AS n_removed, string_agg(word, ' ' ORDER BY j) FILTER (WHERE last IS NULL OR j - last >= 50) AS kept
+  FROM c GROUP BY 1)
+SELECT d.doc_id, len(d.a)::BIGINT AS n_words, coalesce(g.n_removed, 0) AS n_removed, sha256(coalesce(g.kept, '')) AS kept_sha256
+FROM d LEFT JOIN g ON g.doc_id = d.doc_id
+"""
