@@ -178,27 +178,48 @@ def test_urls_match_brute_force(spark):
 def test_secret_candidates_match_brute_force(spark):
     run = "[A-Za-z0-9_+/=-]"
     rng = random.Random(9)
-    parts = ["token", "=", '"', "deadbeefdeadbeef1234", "short1", "averylongwordwithoutdigits", "1234567890123456", "a_b-c/d+e=f0123456789", ",", " ", "\n", "é", "key:", "zz9" * 12]
-    texts = ["".join(rng.choice(parts) + rng.choice(["", " ", " "]) for _ in range(30)) for _ in range(40)] + [None, "", "x" * 5000, "1" * 5000]
-    rows = [(i, t, "src/test") for i, t in enumerate(texts)]
-    got = collections.Counter((r.doc_id, r.candidate) for r in secret_scan.candidates(spark.createDataFrame(rows, SCHEMA), "doc_id", "text", "source").collect())
-    want = collections.Counter((i, m) for i, t, _ in rows for m in re.findall(rf"{run}{{16,}}", t or "") if re.search("[0-9]", m))
-    assert got == want
-
-
-def test_secret_forest_held_out_accuracy(spark):
-    forest = secret_scan.train(secret_scan.labelled_findings(spark, 2400, seed=11))
-    held = secret_scan.labelled_findings(spark, 1200, seed=99).filter("length(candidate) >= 16")
-    scored = held.select("is_secret", *[c.alias(n) for n, c in secret_scan.features().items()]).select("*", forest.column().alias("score"))
-    rows = scored.collect()
-    assert sum((r.score >= 0.5) == r.is_secret for r in rows) / len(rows) > 0.95
-    for r in rows[:50]:
-        assert abs(forest.score(r.asDict()) - r.score) < 1e-9
-    docs = spark.createDataFrame([(1, 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" end', "src0"), (2, "card 9807915762804490 here", None), (None, None, None)], SCHEMA)
-    out = {r.doc_id: r.is_secret for r in secret_scan.scan(docs, forest).collect()}
-    assert out == {1: True, 2: False}
-    assert secret_scan.scan(docs.limit(0), forest).count() == 0
-    assert secret_scan.train(secret_scan.labelled_findings(spark, 10).filter("false")).trees == []
+    parts = ["token", "=", '"', "deadbeefdeadbeef1234", "short1", "averylongwordwithoutdigits", "1234567890123456", "a_b-c/d+e=f0123456789", ",", " ", "\n", "é", "key:", "zz9" * 12, ": '", '= "', "w" * 45, " . . . ", "пароль"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " ", " "]) for _ in range(30)) for _ in range(60)] + [None, "", "x" * 5000, "1" * 5000, "1" * 20, "y " * 500_000 + "z = \"" + "q7" * 40 + "\"\n" + "w" * 1_000_000]
+    rows = [(i, t, "src/test", "c", 1) for i, t in enumerate(texts)] * 2
+    got = collections.Counter((r.doc_id, r.no, r.before, r.candidate, r.after, r.assigned) for r in secret_scan.candidates(spark.createDataFrame(rows, SCHEMA + ", candidate string, no int"), "doc_id", "text", "source").collect())
+    want = collections.Counter()
+    for i, t, *_ in rows:
+        spans = [m.span() for m in re.finditer(rf"{run}{{16,}}", t or "") if re.search("[0-9]", m[0])]
+        edges = [0, *itertools.chain(*spans), len(t or "")]
+        for no, (a, b) in enumerate(spans):
+            left, right = t[edges[2 * no] : a], t[b : edges[2 * no + 3]]
+            # neighbours are words of ASCII letters, digits and underscores
+            before, after = re.search(r"(?:^|\W)(\w{1,40})\W{1,4}$", left[-48:], re.A), re.search(r"^\W{1,4}(\w{1,40})(?:\W|$)", right[:48], re.A)
+            assigned = bool(re.search("[=:]\\s?[\"']$", left)) and right[:1] in ("'", '"') and right != ""
+            want[(i, no, before[1] if before else "", t[a:b], after[1] if after else "", assigned)] += 1
+    assert got == want and sum(want.values()) > 60
+
+
+def test_secret_forest_against_a_walk_and_on_held_out_paths(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    found, known = secret_scan.candidates(docs, "doc_id", "text", "source").cache(), secret_scan.dictionary(docs)
+    assert len(known) == secret_scan.DICTIONARY_WORDS == len(set(known))
+    figures = secret_scan.held_out(found, known, spark)
+    assert figures["secrets"] > 20 and figures["others"] > 50 and figures["precision"] > 0.95 and figures["recall"] > 0.95
+    forest = secret_scan.train(secret_scan.label(found).select("before", "candidate", "after", "path", "is_secret").unionByName(secret_scan.findings_by_rule(spark)), known)
+    rows = secret_scan.judge(found, forest, known).join(found.select("doc_id", "no", *[c.alias(n) for n, c in secret_scan.features(known).items()]), ["doc_id", "no"]).collect()
+    assert len(rows) == found.count() > 400
+    for r in rows:  # every score and verdict of the table
+        assert abs(forest.score(r.asDict()) - r.score) < 1e-8 and r.is_secret == (r.score >= 0.5)
+    made = secret_scan.judge(secret_scan.findings_by_rule(spark, 1200, seed=99).withColumnRenamed("is_secret", "wanted"), forest, known).collect()
+    assert sum(r.is_secret == r.wanted for r in made) / len(made) > 0.9
+
+
+def test_secret_scan_edge_cases(spark):
+    forest = secret_scan.train(secret_scan.findings_by_rule(spark, 2400))
+    docs = spark.createDataFrame([(1, 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" end', "src0", "x"), (2, "card 9807915762804490 here", None, "x"), (2, "card 9807915762804490 here", None, "x"), (None, None, None, None)], SCHEMA + ", score string")
+    out = sorted((r.doc_id, r.is_secret) for r in secret_scan.scan(docs, forest).collect())
+    assert out == [(1, True), (2, False), (2, False)]
+    assert secret_scan.scan(docs.limit(0), forest).count() == 0 and secret_scan.dictionary(docs.limit(0)) == []
+    none = secret_scan.train(secret_scan.findings_by_rule(spark, 10).filter("false"))
+    assert none.trees == [] and all(r.is_secret for r in secret_scan.scan(docs, none).collect())
+    few = secret_scan.train(secret_scan.findings_by_rule(spark, 3000), max_findings=500)
+    assert len(few.trees) == 15
 
 
 def size_of(text):

@@ -4,14 +4,21 @@ A candidate is a run of 16 or more of ``[A-Za-z0-9_+/=-]`` with a digit in it,
 found in whole texts together with the word before and the word after. A
 random forest over its length, character classes and transitions, dictionary
 coverage, path and neighbouring words decides whether it is a secret. The
-forest is trained on labelled findings (``MAX_FINDINGS`` of them at most) and
-applied as ordinary nested conditionals, one per tree.
+dictionary is the corpus's own: its most frequent words, counted over all texts.
+
+The forest is trained on labelled findings (``MAX_FINDINGS`` of them at most).
+``label`` makes labels from the corpus by a rule that looks at nothing the forest
+sees: a candidate is a secret if it is assigned, that is, stands in quotes after
+``=`` or ``:``. ``findings_by_rule`` adds kinds that a corpus may lack. The forest
+is applied as ordinary nested conditionals, one per tree.
 
 Edge cases: null and empty texts have no candidates; null ids, paths and
-neighbours are allowed (a missing neighbour is an empty word); every repeated
-row and every repeated candidate is reported; an empty table gives an empty
-result; without labelled findings every candidate scores 0.5 and counts as a
-secret; other input columns are dropped.
+neighbours are allowed; a neighbour is empty where no word stands within four
+separators, where it has more than 40 letters, or where it is a candidate itself;
+every repeated row and every repeated candidate is reported; an empty table gives
+an empty result; without labelled findings every candidate scores 0.5 and counts
+as a secret; other input columns, whatever their names, are dropped; a very long
+text is searched as a whole.
 """
 
 from __future__ import annotations
@@ -22,33 +29,36 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_RUN = r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{16,}+"
-CANDIDATE = r"(?:(?!" + _RUN + r")(\w{1,40}+)[^\w]{1,4}+)?(" + _RUN + r")(?=(?:[^\w]{1,4}+(\w{1,40}+))?)"
-MAX_FINDINGS = 20_000
-
-#: Words whose letters count as covered by the dictionary.
-DICTIONARY = (
-    "account address admin alpha amount article author backup beta buffer build cache change channel client cluster code column comment commit config "
-    "content count country customer data date default delete demo description document draft dummy east error event example export fake file filter "
-    "folder format group handler header history image import index information insert item label language length level library license line link list "
-    "local location manager message method model module monitor name network north note number object order output page parent part password path phone "
-    "placeholder process product project query record region release report request resource response result sample schema search section secret server "
-    "service session setting source south state status string style summary system table target task template temp test text theme thread ticket time "
-    "title token total trace type update user value version video view west window word your"
-).split()
-_DICT = "(?:" + "|".join(sorted((w for w in DICTIONARY if len(w) > 3), key=lambda w: (-len(w), w))) + ")"
+RUN = r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{16,}+"
+MAX_FINDINGS, DICTIONARY_WORDS = 20_000, 400
+_BEFORE, _AFTER = r"(?:^|\W)(\w{1,40})\W{1,4}$", r"^\W{1,4}(\w{1,40})(?:\W|$)"
 _SECRET_WORD = r"(?i)key|token|secret|passw|pwd|auth|cred|bearer|signature"
 _PLAIN_WORD = r"(?i)sha|commit|md5|hash|uuid|guid|check|digest|version|etag|revision|order|invoice|card|iban|phone|serial|trace|isbn"
 _TEST_PATH = r"(?i)test|example|sample|fixture|mock|doc|demo"
 
 
 def candidates(docs: DataFrame, doc_id: str, text: str, path: str | None) -> DataFrame:
-    """(doc_id, no, before, candidate, after, path), one row per candidate of every text."""
+    """(doc_id, no, before, candidate, after, assigned, path), one row per candidate of every text.
+
+    One search over every text; those with a candidate are then cut at their candidates once."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), (F.col(path) if path else F.lit(None)).cast("string").alias("path"))
-    rows = rows.filter(F.col("text").rlike(_RUN))
-    parts = [F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(i)) for i in (1, 2, 3)]
-    found = rows.select("doc_id", "path", F.posexplode(F.arrays_zip(*[p.alias(n) for p, n in zip(parts, ("before", "candidate", "after"))])).alias("no", "x"))
-    return found.select("doc_id", "no", "x.before", "x.candidate", "x.after", "path")
+    rows = rows.filter(F.col("text").rlike(RUN))
+    found = rows.select("doc_id", "path", F.split("text", RUN, -1).alias("__between"), F.posexplode(F.regexp_extract_all("text", F.lit(RUN), F.lit(0))).alias("no", "candidate"))
+    left, right = F.get("__between", F.col("no")), F.get("__between", F.col("no") + 1)
+    found = found.select("doc_id", "no", "candidate", "path", F.substring(left, -48, 48).alias("__left"), F.substring(right, 1, 48).alias("__right"))
+    assigned = F.col("__left").rlike(r"[=:]\s?[\"']$") & F.col("__right").rlike(r"^[\"']")
+    return found.select("doc_id", "no", F.regexp_extract("__left", _BEFORE, 1).alias("before"), "candidate", F.regexp_extract("__right", _AFTER, 1).alias("after"), assigned.alias("assigned"), "path")
+
+
+def label(found: DataFrame) -> DataFrame:
+    """Findings labelled by the rule: assigned ones are secrets."""
+    return found.withColumn("is_secret", F.col("assigned"))
+
+
+def dictionary(docs: DataFrame, text: str = "text", size: int = DICTIONARY_WORDS) -> list[str]:
+    """The ``size`` most frequent words of 4 to 16 plain letters, over all texts; ties in the order of the words."""
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"(?<![\w])[a-z]{4,16}+(?![\w])"), F.lit(0))).alias("word"))
+    return [r.word for r in words.groupBy("word").count().orderBy(F.col("count").desc(), "word").limit(size).collect()]
 
 
 def _share(pattern: str) -> Column:
@@ -56,8 +66,9 @@ def _share(pattern: str) -> Column:
     return (F.length(c) - F.length(F.regexp_replace(c, pattern, ""))) / F.length(c)
 
 
-def features() -> dict[str, Column]:
-    """Feature name -> expression over (before, candidate, after, path)."""
+def features(known: list[str] = ()) -> dict[str, Column]:
+    """Feature name -> expression over (before, candidate, after, path); ``known`` is the dictionary."""
+    spelled = "|".join(sorted((w for w in {*known, *NAMING} if len(w) > 3), key=lambda w: (-len(w), w)))
     c, low = F.col("candidate"), F.lower("candidate")
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[a-z]", "a"), "[A-Z]", "B"), "[0-9]", "1")
     near = lambda name, pattern: F.coalesce(F.col(name).rlike(pattern), F.lit(False)).cast("double")
@@ -71,7 +82,7 @@ def features() -> dict[str, Column]:
         "transitions": F.length(F.regexp_replace(classes, r"(.)\1+", "$1")) / F.length(c),
         "distinct": F.size(F.array_distinct(F.split(c, ""))) / F.least(F.length(c), F.lit(36)),
         "repeats": (F.length(c) - F.length(F.regexp_replace(c, r"(.)\1\1+", "$1"))) / F.length(c),
-        "dictionary": (F.length(c) - F.length(F.regexp_replace(low, _DICT, ""))) / F.length(c),
+        "dictionary": (F.length(c) - F.length(F.regexp_replace(low, f"(?:{spelled})", ""))) / F.length(c),
         "letters_run": F.length(F.regexp_extract(c, "([A-Za-z]{5,})", 1)) / F.length(c),
         "secret_before": near("before", _SECRET_WORD),
         "plain_before": near("before", _PLAIN_WORD),
@@ -144,10 +155,15 @@ class Forest:
         return sum(t.score(row) for t in self.trees) / len(self.trees) if self.trees else 0.5
 
 
-def train(findings: DataFrame, *, trees: int = 15, depth: int = 6, least: int = 4, seed: int = 7, max_findings: int = MAX_FINDINGS) -> Forest:
+def train(findings: DataFrame, known: list[str] = (), *, trees: int = 15, depth: int = 6, least: int = 4, seed: int = 7, max_findings: int = MAX_FINDINGS) -> Forest:
     """Fit on labelled findings (before, candidate, after, path, is_secret), picked by a hash of the candidate if there are more."""
-    named = features()
-    rows = findings.filter("is_secret is not null and candidate is not null").orderBy(F.xxhash64("candidate"), "candidate", "before", "after", "is_secret").limit(max_findings)
+    named = features(known)
+    rows = findings.filter("is_secret is not null and candidate is not null").select("before", "candidate", "after", "path", "is_secret")
+    turn, n = F.xxhash64("candidate", "before", "after", "path"), rows.count()
+    if n > max_findings:  # a bound on the hash first, so that no task ranks more than about the rows that are used
+        share = min(1.0, 1.2 * max_findings / n + 100 / n)
+        rows = rows.filter(turn < int((2 * share - 1) * ((1 << 63) - 1)))
+    rows = rows.orderBy(turn, "candidate", "before", "after", "path", "is_secret").limit(max_findings)
     rows = rows.select(*[c.alias(n) for n, c in named.items()], F.col("is_secret").cast("double").alias("y")).collect()
     if not rows:
         return Forest([])
@@ -160,15 +176,39 @@ def train(findings: DataFrame, *, trees: int = 15, depth: int = 6, least: int =
     return Forest(out)
 
 
-def scan(docs: DataFrame, forest: Forest, doc_id: str = "doc_id", text: str = "text", path: str | None = "source", *, at_least: float = 0.5) -> DataFrame:
-    """(doc_id, no, before, candidate, after, path, score, is_secret) per candidate."""
-    found = candidates(docs, doc_id, text, path)
-    with_features = found.select("*", *[c.alias(n) for n, c in features().items()])
-    scored = with_features.select(*found.columns, F.round(forest.column(), 9).alias("score"))
+def judge(found: DataFrame, forest: Forest, known: list[str] = (), *, at_least: float = 0.5) -> DataFrame:
+    """``found`` with ``score`` and ``is_secret``."""
+    columns = [c for c in found.columns if c not in ("score", "is_secret")]
+    scored = found.select("*", *[c.alias(n) for n, c in features(known).items()]).select(*columns, F.round(forest.column(), 9).alias("score"))
     return scored.withColumn("is_secret", F.col("score") >= at_least)
 
 
-def labelled_findings(spark: SparkSession, n: int = 4000, seed: int = 11) -> DataFrame:
+def scan(docs: DataFrame, forest: Forest, doc_id: str = "doc_id", text: str = "text", path: str | None = "source", *, known: list[str] = (), at_least: float = 0.5) -> DataFrame:
+    """(doc_id, no, before, candidate, after, assigned, path, score, is_secret) per candidate."""
+    return judge(candidates(docs, doc_id, text, path), forest, known, at_least=at_least)
+
+
+def held_out(found: DataFrame, known: list[str] = (), spark: SparkSession | None = None) -> dict[str, float]:
+    """Precision and recall against the rule's labels on half of the paths, trained on the other half."""
+    side = F.pmod(F.xxhash64(F.coalesce("path", F.lit(""))), F.lit(2))
+    learn = label(found).filter(side == 0).select("before", "candidate", "after", "path", "is_secret")
+    forest = train(learn if spark is None else learn.unionByName(findings_by_rule(spark)), known)
+    # what the training paths hold as well says nothing: copies are left out
+    fresh = label(found).filter(side == 1).join(learn.select("candidate").distinct(), "candidate", "left_anti").withColumnRenamed("is_secret", "wanted")
+    n = judge(fresh, forest, known).agg(*[F.count(F.when(F.col("is_secret") == x, F.when(F.col("wanted") == y, 1))).alias(f"{a}{b}") for a, x in (("p", True), ("n", False)) for b, y in (("t", True), ("f", False))]).first()
+    return {"secrets": n.pt + n.nt, "others": n.pf + n.nf, "precision": n.pt / max(1, n.pt + n.pf), "recall": n.pt / max(1, n.pt + n.nt)}
+
+
+#: Words of the findings made by rule.
+NAMING = (
+    "account address alpha article branch buffer build cache channel client column config content customer data default document error event example filter "
+    "group header history image index invoice label layer length level line list location manager message method model module name network note number "
+    "order page parent path process product project query record region release report request resource response result sample schema section server "
+    "service session source status string style summary system table target task template text theme ticket time title total type user value version view"
+).split()
+
+
+def findings_by_rule(spark: SparkSession, n: int = 4000, seed: int = 11) -> DataFrame:
     """Labelled findings made by rule, half of them secrets: random keys beside naming words against
     numbers, digests and identifiers of ordinary text, placeholders and test values."""
     def pick(tag: str, values: list[str]) -> Column:
@@ -179,7 +219,7 @@ def labelled_findings(spark: SparkSession, n: int = 4000, seed: int = 11) -> Dat
     base64 = F.regexp_replace(F.base64(F.unhex(digest)), "[\r\n]", "")
     size = (F.pmod(F.xxhash64("id", F.lit(f"n{seed}")), F.lit(25)) + 20).cast("int")
     digits = F.translate(more, "abcdef", "012345")
-    words = F.concat_ws("_", *[pick(f"w{i}", DICTIONARY) for i in range(3)], F.substring(digits, 1, 2))
+    words = F.concat_ws("_", *[pick(f"w{i}", NAMING) for i in range(3)], F.substring(digits, 1, 2))
     kind = F.pmod("id", F.lit(12))
     secret = (
         F.when(kind == 0, F.substring(digest, 1, 40)).when(kind == 1, F.upper(F.substring(digest, 1, 40)))
@@ -191,7 +231,7 @@ def labelled_findings(spark: SparkSession, n: int = 4000, seed: int = 11) -> Dat
         F.when(kind == 6, F.substring(digits, 1, 16)).when(kind == 7, words)
         .when(kind == 8, F.concat(F.lit("xxxxxxxxxxxxxxxxxxxx"), F.substring(digits, 1, 1)))
         .when(kind == 9, F.concat_ws("-", F.substring(more, 1, 8), F.substring(more, 9, 4), F.substring(more, 13, 4), F.substring(more, 17, 12)))
-        .when(kind == 10, F.substring(more, 1, 40)).when(kind == 11, F.concat(pick("a", DICTIONARY), pick("b", DICTIONARY), pick("c", DICTIONARY), F.lit("1234")))
+        .when(kind == 10, F.substring(more, 1, 40)).when(kind == 11, F.concat(pick("a", NAMING), pick("b", NAMING), pick("c", NAMING), F.lit("1234")))
     )
     good = pick("g", ["token", "api_key", "secret", "password", "auth", "TOKEN", "access_key", "client_secret"])
     bare = pick("h", ["the", "value", "with", "that", "la", "der", "", "de"])
