@@ -154,11 +154,11 @@ def test_pii_formats_widen_when_they_are_full(spark, monkeypatch):
     assert shown == "123-45678"
 
 
-def test_urls_match_brute_force(spark):
-    rules = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"), ("block", "a.b.com", ""), ("block", "tie.net", "/x"), ("allow", "tie.net", "/x")]
+def test_urls_match_brute_force(spark, monkeypatch):
+    rules = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"), ("block", "a.b.com", ""), ("block", "tie.net", "/x"), ("allow", "tie.net", "/x"), ("block", "b.com", "/fr/"), ("allow", "long.net", "/" + "p" * 3000)]
     hosts = ["example.org", "WWW.Example.ORG", "notexample.org", "org", "x.com", "a.b.com", "z.a.b.com", "ab.com", "tie.net", "", "münchen.org", ".com"]
     paths = ["", "/", "/es/1", "/es", "/en/12?q=/de/", "/fr/#x", "/de/x/y", "/x1", "?a=b", "#f", "/DE/", "/fr/a/b\n"]
-    urls = [f"{s}://{h}{p}" for s in ("http", "x") for h in hosts for p in paths] + [None, "", "no url", "://", "a://b://c.com/de/1"]
+    urls = [f"{s}://{h}{p}" for s in ("http", "x") for h in hosts for p in paths] + [None, "", "no url", "://", "a://b://c.com/de/1", "http://long.net/" + "p" * 300_000, "http://long.net/" + "p" * 2999, "http://" + "h." * 50_000 + "com/fr/x", "http://q.b.com/fr/"]
     rows = [(i if i % 50 else None, u, "v") for i, u in enumerate(urls * 2)]
     out = url_filters.judge(spark.createDataFrame(rows, "page_id long, url string, verdict string").repartition(3), spark.createDataFrame(rules, "action string, host string, path string"))
     want = []
@@ -170,6 +170,9 @@ def test_urls_match_brute_force(spark):
         best = max(fit, key=lambda r: (len(r[1]), len(r[2]), r[0]), default=None)
         want.append((i, host, path, best and best[1] + best[2], best[0] if best else "allow"))
     assert collections.Counter(tuple(r) for r in out.collect()) == collections.Counter(want)
+    monkeypatch.setattr(url_filters, "BROADCAST_BYTES", 10)
+    merged = url_filters.judge(spark.createDataFrame(rows, "page_id long, url string, verdict string").repartition(3), spark.createDataFrame(rules, "action string, host string, path string"))
+    assert collections.Counter(tuple(r) for r in merged.collect()) == collections.Counter(want)
     assert url_filters.judge(spark.createDataFrame([], "page_id long, url string"), spark.createDataFrame(rules, "action string, host string, path string")).count() == 0
     none = url_filters.judge(spark.createDataFrame(rows, "page_id long, url string, x string"), spark.createDataFrame([], "action string, host string, path string"))
     assert {r.verdict for r in none.collect()} == {"allow"} and none.count() == len(rows)

@@ -1,16 +1,17 @@
 """URL filters by hashed host-suffix and path-prefix expressions, in DataFrame functions only.
 
-Each distinct URL is expanded into the expressions that a rule could have: the
-last ``n`` labels of its host, for every label count that rules have, times the
-first ``l`` characters of its path, for every length that rule paths have.
-Expressions meet rules in an equi-join on the first 32 bits of their SHA-256;
-the full digest confirms, and the rule with the longest host, then the longest
-path, wins. Rules are broadcast only up to ``BROADCAST_RULES`` of them.
+Each URL is expanded into the expressions that a rule could have: the last ``n``
+labels of its host with the first ``l`` characters of its path, for each pair
+(n, l) that some rule has. Expressions meet rules in an equi-join on the first
+32 bits of their SHA-256; the full digest confirms, and the rule with the longest
+host, then the longest path, wins. Rules are broadcast only up to
+``BROADCAST_BYTES`` of them, which is measured; beyond, both sides are exchanged.
 
 Edge cases: a null URL, or one without ``://``, has an empty host and path and
 fits no rule; equal rules with opposite actions give ``block``; repeated rows
 each get their verdict; an empty table gives an empty result; no rules leave
-the default verdict. Other input columns are dropped.
+the default verdict. Other input columns, whatever their names, are dropped. A
+very long URL is judged as a whole: the work follows the rules, not its length.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_RULES = 50_000
+#: Bytes of rules (with their digests) that may be broadcast.
+BROADCAST_BYTES = 16_000_000
 DEFAULT_VERDICT = "allow"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -41,30 +43,28 @@ def _digest(host: Column, path: Column) -> Column:
     return F.sha2(F.concat(host, F.lit("\n"), path), 256)
 
 
-def _expressions(host: Column, path: Column, labels: list[int], lengths: list[int]) -> Column:
-    have = F.size(F.split(host, r"\."))
-    out = [
-        F.when((have >= n) & (host != "") & (F.length(path) >= size), F.struct(F.lit(n).alias("n"), F.lit(size).alias("l"), _digest(F.substring_index(host, ".", -n), F.substring(path, 1, size)).alias("digest")))
-        for n in labels
-        for size in lengths
-    ]
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+def _expressions(host: Column, path: Column, pairs: list[tuple[int, int]]) -> Column:
+    """The digests of the expressions of a URL, for the pairs that its host and path are long enough for."""
+    labels = F.split(host, r"\.")
+    # a constant of two lists, however many pairs there are: no expression for each of them
+    every = F.arrays_zip(F.lit([n for n, _ in pairs]).alias("n"), F.lit([size for _, size in pairs]).alias("l"))
+    fit = F.filter(every, lambda x: (x["n"] <= F.size(labels)) & (x["l"] <= F.length(path)) & (host != ""))
+    return F.transform(fit, lambda x: _digest(F.array_join(F.slice(labels, -x["n"], x["n"]), "."), F.substring(path, F.lit(1), x["l"])))
 
 
 def judge(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url: str = "url", default: str = DEFAULT_VERDICT) -> DataFrame:
     """(page_id, host, path, rule, verdict) per page. ``rules``: (action, host, path)."""
-    labels = [r[0] for r in rules.select(F.size(F.split("host", r"\."))).distinct().collect()]
-    lengths = [r[0] for r in rules.select(F.length("path")).distinct().collect()]
+    # as many pairs as there are label counts times path lengths among the rules: some thousand at most
+    pairs = sorted(map(tuple, rules.select(F.size(F.split("host", r"\.")).alias("n"), F.length("path").alias("l")).distinct().collect()))
     keyed = rules.select(
         F.substring(_digest(F.col("host"), F.col("path")), 1, 8).alias("short"), _digest(F.col("host"), F.col("path")).alias("full"), "action", "host", "path"
     ).groupBy("short", "full", "host", "path").agg(F.max("action").alias("action"))
-    if rules.count() <= BROADCAST_RULES:
-        keyed = F.broadcast(keyed)
+    held = rules.agg(F.sum(F.length("host") + F.length("path") + 160)).first()[0] or 0
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("__url"))
-    if labels:
-        urls = rows.select("__url").filter(F.instr("__url", "://") > 0).distinct()
-        asked = urls.select("__url", F.explode(_expressions(host_of(F.col("__url")), path_of(F.col("__url")), sorted(labels), sorted(lengths))).alias("e"))
-        met = asked.withColumn("short", F.substring("e.digest", 1, 8)).join(keyed, "short").filter(F.col("e.digest") == F.col("full"))
+    if pairs:
+        asked = rows.filter(F.instr("__url", "://") > 0).select("__url", F.explode(_expressions(host_of(F.col("__url")), path_of(F.col("__url")), pairs)).alias("__digest"))
+        asked = asked.withColumn("short", F.substring("__digest", 1, 8))
+        met = asked.join(F.broadcast(keyed) if held <= BROADCAST_BYTES else keyed.hint("merge"), "short").filter(F.col("__digest") == F.col("full"))
         rank = F.struct(F.length("host"), F.length("path"), "host", "path")
         best = met.groupBy("__url").agg(F.max_by(F.struct("action", "host", "path"), rank).alias("best"))
         best = best.select(F.xxhash64("__url").alias("__k"), F.col("__url").alias("__u"), "best")
