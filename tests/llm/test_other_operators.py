@@ -138,6 +138,62 @@ def test_pii_names_keep_their_script(spark):
     assert pii_surrogates.render("name:m:greek", "Κώστας", "γιώργοσ") == "Γιώργος"
 
 
+def test_pii_finds_more_formats(spark):
+    texts = {
+        "Pay to DE89 3704 0044 0532 0130 00 or GB82WEST12345698765432 now": ["iban", "iban"], "number 078-05-1120 is taken": ["ssn"], "call 5557713 or +33 6 12 34 56 78": ["phone", "phone"],
+        "We met John Smith and Maria Garcia in May": ["name", "name"], "Dr John Smith, John Smith": ["name", "name"], "May June 5557714 items, version 2.0, The House": [], "встретил Сергей Петров": ["name"],
+        "Tel: 5557713, ref 5557713": ["phone"],
+    }
+    rows = [(i, t) for i, t in enumerate(texts)]
+    out = sorted(pii_surrogates.replace(spark.createDataFrame(rows, "doc_id long, text string")).collect(), key=lambda r: r.doc_id)
+    for r, (text, kinds) in zip(out, texts.items()):
+        assert [e.type for e in r.entities] == kinds, text
+    ibans = [e.surrogate for e in out[0].entities]
+    assert all(pii_surrogates._mod97(x.replace(" ", "")) == 1 for x in ibans) and re.fullmatch(r"DE\d\d( \d{4}){4} \d\d", ibans[0]) and re.fullmatch(r"GB\d\d[A-Z]{4}\d{14}", ibans[1])
+    assert re.fullmatch(r"\d{3}-\d\d-\d{4}", out[1].entities[0].surrogate) and re.fullmatch(r"\+\d\d \d( \d\d){4}", out[2].entities[1].surrogate)
+    john = out[3].entities[0].surrogate
+    assert john.split(" ")[0] in pii_surrogates._GIVEN["latin", "m"] and out[3].entities[1].surrogate.split(" ")[0] in pii_surrogates._GIVEN["latin", "f"]
+    assert {e.surrogate for e in out[4].entities} == {john}
+    assert out[7].entities[0].surrogate == out[2].entities[0].surrogate
+
+
+def test_pii_spans_match_brute_force(spark):
+    """Texts put together from known entities and clean words: what is found is what was put in, and all else stays."""
+    rng = random.Random(21)
+    kinds = {
+        "email": lambda: f"{rng.choice('abcxyz')}{rng.randrange(10**4)}@host{rng.randrange(50)}.example.org", "phone": lambda: f"+{rng.randint(1, 99)} {rng.randint(100, 999)} {rng.randint(100, 999)} {rng.randint(1000, 9999)}",
+        "ip": lambda: ".".join(str(rng.randint(1, 250)) for _ in range(4)), "ssn": lambda: f"{rng.randint(100, 899)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}", "card": lambda: str(rng.randint(10**15, 10**16 - 1)),
+        "name": lambda: f"{rng.choice(['John', 'Mary'])} {rng.choice(['Smith', 'Jones', 'Brown'])}{rng.choice(['', 'son'])}",
+    }
+    rows, put = [], {}
+    for i in range(120):
+        parts, spans, at = [], [], 0
+        for _ in range(rng.randint(0, 400 if i else 60_000)):  # the first one is a text of half a megabyte
+            if rng.random() < 0.1:
+                kind = rng.choice(list(kinds))
+                word = kinds[kind]()
+                spans.append((kind, at, at + len(word)))
+            else:
+                word = rng.choice(["lorem", "ipsum", "dolor", "sit,", "1.5", "x2", "été"])
+            parts.append(word)
+            at += len(word) + 3
+        rows.append((i, " ; ".join(parts), "x"))
+        put[i] = spans
+    out = pii_surrogates.replace(spark.createDataFrame(rows, "doc_id long, text string, n_entities string").repartition(3)).collect()
+    given, made = {}, collections.defaultdict(set)
+    for r in out:
+        text = rows[r.doc_id][1]
+        assert [(e.type, e.start, e.end) for e in r.entities] == put[r.doc_id] and r.n_entities == len(put[r.doc_id])
+        at, back = 0, []
+        for e in r.entities:
+            back += [text[at : e.start], e.surrogate]
+            at = e.end
+            assert given.setdefault((e.type, text[e.start : e.end].casefold()), e.surrogate) == e.surrogate and e.surrogate != text[e.start : e.end]
+            made[e.type, e.surrogate].add(text[e.start : e.end].casefold())
+        assert r.text == "".join([*back, text[at:]])
+    assert all(len(x) == 1 for x in made.values())
+
+
 def test_pii_formats_widen_when_they_are_full(spark, monkeypatch):
     entities = spark.createDataFrame([("phone", f"555{i:04d}") for i in range(30)] + [("ip", "10.0.0.1"), ("ip", "10.0.0.2")], "type string, norm string")
     original = pii_surrogates.canonical_surrogate

@@ -1,11 +1,13 @@
-"""PII: keyed, type-consistent surrogates for e-mail addresses, phones, IPs, numbers and titled names.
+"""PII: keyed, type-consistent surrogates for e-mail addresses, phones, IPs, numbers and names.
 
 Detection reads whole texts. Each entity has a canonical form (lower-cased
 address, bare digits, folded name); its surrogate is made from a keyed hash of
 type and canonical form, so the same entity has the same surrogate everywhere
 (coreference), and keeps the format: digits stay digits in their places, a valid
-Luhn number or IBAN-like block keeps that property, letters keep their script
-and case, a name keeps the gender that its title states.
+Luhn number or IBAN stays valid, letters keep their script and case, a name
+keeps the gender that its title or given name states. Names are found after a
+title, or by a known given name before a capitalised word; numbers of seven
+digits without separators after a word for a phone.
 
 Distinctness is checked over the whole corpus: entities are counted once, and
 an entity whose surrogate is already some other entity's, or is itself a real
@@ -17,7 +19,8 @@ attempt are sent back to the texts.
 
 Edge cases: null and empty texts have no entities and pass unchanged; null ids
 are allowed; repeated rows are replaced alike; an empty table gives an empty
-result; columns named ``entities`` or ``n_entities`` are replaced.
+result; columns named ``entities`` or ``n_entities`` are replaced; a very long
+text is searched and rewritten as a whole.
 """
 
 from __future__ import annotations
@@ -45,8 +48,9 @@ _NUMBER = re.compile(
     r"|(?P<card>\d(?:[ -]?\d){12,18})(?![\w-])"
     r"|(?P<phone>(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{3,4}[ .-]\d{3,4}(?:[ .-]\d{3,4})?)(?![\w-])"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?)\b)"
-    r"|(?P<plus>\+\d{1,3}[ .-]?(?:\(\d{2,4}\)[ .-]?)?\d{3,4}[ .-]?\d{3,4}(?:[ .-]?\d{2,4})?)(?![\w-])"
+    r"|(?P<plus>\+\d{1,3}(?:[ .-]?(?:\(\d{1,4}\)|\d{1,4})){2,6})(?![\w-])"
 )
+_BARE = re.compile(r"(?i)\b(?:phone|tel|telephone|call|fax|mobile|cell|ring|telefon|teléfono|téléphone|тел|телефон)\b[^\w+]{1,3}(?:(?:at|no|number|nr|is)\b[^\w+]{1,3})?(\d{7})(?![\w-]|\.\d)")
 _FEMALE, _MALE = "Mrs|Ms|Miss|Mme|Mlle|Madame|Frau|Sra|Señora|Doña|госпожа|г-жа", "Mr|Herr|Monsieur|Sr|Señor|Don|господин|г-н"
 _NAME = re.compile(rf"\b(?:(?P<f>{_FEMALE})|(?P<m>{_MALE})|(?P<n>Dr|Prof))\.?[  ](?P<name>[^\W\d_][\w'’-]+(?: [^\W\d_][\w'’-]+)?)")
 
@@ -66,6 +70,17 @@ _FAMILY = {
     "greek": ("Αγγ Βασ Γερ Δημ Ζαχ Θεο Καρ Λαζ Μαν Νικ Παν Ραφ Σταμ Τσακ Φιλ".split(), "ίδης άκης όπουλος άτος έας ούδης".split()),
     "armenian": ("Աբ Բաղ Գրիգ Դան Եղ Զաք Թոր Կար Հով Մար Նազ Պող Սար Տեր Վարդ".split(), "յան ունի ենց ունց".split()),
 }
+_FULL = re.compile(r"\b([A-ZÀ-ÖØ-ÞА-ЯЁͰ-Ͽ\u0531-\u0556][\w'’-]+)[  ](?=([^\W\d_][\w'’-]+))")
+#: Given names that make a capitalised word after them a family name, beside those of the surrogates.
+_KNOWN = {
+    "f": "Amanda Amy Andrea Angela Anita Ann Anna Anne Barbara Beatriz Brigitte Carla Carmen Carol Catherine Charlotte Chloé Christine Claire Cristina Deborah Elisabeth Elizabeth Emily Emma Eva Françoise "
+    "Frieda Hannah Heidi Ingrid Isabel Jane Janet Jennifer Jessica Joan Judith Karen Kate Katharina Laura Lisa Lucía Lucy Margaret Marie Marta Mary Michelle Monika Nancy Nathalie Nicole Olivia Patricia "
+    "Petra Rachel Rebecca Sabine Sandra Sarah Sophie Susan Susanne Teresa Ursula Victoria Анастасия Екатерина Ирина Наталья Светлана Татьяна".split(),
+    "m": "Alan Alejandro Alexander Andreas Andrew Anthony Antonio Arthur Benjamin Bernd Brian Carlos Charles Christian Christopher Claude Daniel Dieter Diego Edward Eric Ernst Fernando Francisco Frank "
+    "François Franz George Günter Hans Henri Henry Jack Jacques James Jan Javier Jean Jeff Joe John Jorge José Joseph Juan Jürgen Kevin Klaus Luis Manuel Marc Mark Martin Matthew Michael Miguel Nicolas "
+    "Olivier Otto Pablo Patrick Paul Pedro Philippe Pierre Rafael Ralf Richard Roger Stefan Stephen Steven Tim Tom Walter William Wolfgang Александр Алексей Дмитрий Михаил Николай Сергей".split(),
+}
+_GENDER = {n: g for (_, g), names in _GIVEN.items() for n in names} | {n: g for g, names in _KNOWN.items() for n in names}
 
 
 def _stream(key: bytes, kind: str, norm: str, attempt: int) -> Iterator[int]:
@@ -84,6 +99,11 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _mod97(iban: str) -> int:
+    """What is left of an IBAN by its check; 1 if it is valid."""
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
 _SCRIPTS = {"cyrillic": re.compile("[Ѐ-ԯ]"), "greek": re.compile("[Ͱ-Ͽἀ-῿]"), "armenian": re.compile("[\u0531-\u0588]")}
 
 
@@ -113,7 +133,8 @@ def canonical_surrogate(kind: str, norm: str, attempt: int, key: bytes = KEY) ->
         family = "".join(stems[number(len(stems))] for _ in range(1 + more)) + ends[number(len(ends))]
         return (f"{given[number(len(given))]} {family}" if " " in norm else family).casefold()
     if kind == "iban":
-        return norm[:2] + "".join(str(number(10)) if c.isdigit() else chr(65 + number(26)) for c in norm[2:])
+        made = norm[:2] + "".join(str(number(10)) if c.isdigit() else chr(65 + number(26)) for c in norm[2:])
+        return f"{made[:2]}{98 - _mod97(made[:2] + '00' + made[4:]):02d}{made[4:]}" if _mod97(norm) == 1 else made
     longer = 0 if kind == "card" else max(0, attempt - WIDEN + 1)
     digits = "".join(str(number(10)) for _ in range(len(norm) + longer))
     if kind == "card" and _luhn(norm):
@@ -146,6 +167,12 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             if kind == "phone" and not 7 <= len(norm) <= 15:
                 continue
             out.append((m.start(), m.end(), kind, norm))
+        if _SEVEN.search(text):
+            out += [(m.start(1), m.end(1), "phone", m[1]) for m in _BARE.finditer(text)]
+    for m in _FULL.finditer(text):
+        if m[1] in _GENDER and m[2][:1].isupper():
+            name = f"{m[1]} {m[2]}"
+            out.append((m.start(), m.end(2), f"name:{_GENDER[m[1]]}:{_script(name)}", name.casefold()))
     for m in _NAME.finditer(text):
         name = m["name"]
         words = name.split(" ")
@@ -153,7 +180,8 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             continue
         if len(words) > 1 and not words[1][:1].isupper():
             name = words[0]
-        out.append((m.start("name"), m.start("name") + len(name), f"name:{m.lastgroup if m.lastgroup != 'name' else 'f' if m['f'] else 'm' if m['m'] else 'n'}:{_script(name)}", name.casefold()))
+        gender = "f" if m["f"] else "m" if m["m"] else _GENDER.get(words[0], "n") if " " in name else "n"
+        out.append((m.start("name"), m.start("name") + len(name), f"name:{gender}:{_script(name)}", name.casefold()))
     out.sort(key=lambda x: (x[0], -x[1]))
     kept, end = [], 0
     for x in out:
@@ -163,7 +191,7 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     return kept
 
 
-_DIGIT = re.compile("[0-9]")
+_DIGIT, _SEVEN = re.compile("[0-9]"), re.compile("[0-9]{7}")
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
