@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from threadloom.llm import store
 from threadloom.llm.components import components, forest
 
-#: Vectors of a group at most; bounds a task's memory. Tasks per side at least.
-GROUP, LEAST_GROUPS, TILE = 65_536, 8, 2048
+#: Vectors and bytes of a group at most, which bounds a task's memory whatever the length of vectors. Groups at least, rows of a tile.
+GROUP, GROUP_BYTES, LEAST_GROUPS, TILE = 65_536, 32_000_000, 8, 2048
 _SLACK = 1e-6
 
 
@@ -137,8 +137,8 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     classes = store.table(able.groupBy("digest", "vec").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
     # rows of one id may hold different vectors: classes are told apart by a number of their own
     classes = classes.withColumn("key", F.xxhash64("digest"))
-    total = classes.count()
-    groups = max(LEAST_GROUPS, -(-total // group))
+    total, longest = classes.agg(F.count(F.lit(1)), F.coalesce(F.max(F.length("vec")), F.lit(1))).first()
+    groups = max(LEAST_GROUPS, -(-total // max(1, min(group, GROUP_BYTES // longest))))
     dealt = classes.select(F.col("key").alias("rep"), "n", "vec", F.pmod("key", F.lit(groups)).cast("int").alias("g"))
     others = F.sequence(F.lit(0), F.lit(groups - 1))
     sent = dealt.withColumn("other", F.explode(others)).select(

@@ -333,9 +333,10 @@ class Batch:
         lattice, b, fresh = self.lattice, state["bounds"], state["fresh"]
         arcs, of = state["arcs"], state["of"]
         log_p = lattice.log_p[arcs]
-        total = np.concatenate([[0.0], np.cumsum(log_p)])
         size = np.diff(b)
-        prefix = state["prefix"] = total[:-1] - np.repeat(total[b[:-1]], size)
+        prefix = state["prefix"] = np.zeros(len(arcs))
+        for i, j in zip(b[:-1].tolist(), b[1:].tolist()):  # summed text by text, so that no digit depends on what else is in the batch
+            np.cumsum(log_p[i : j - 1], out=prefix[i + 1 : j])
         doc = np.repeat(state["docs"], size)
         old = np.arange(len(arcs)) < np.repeat(fresh, size)
         head = np.repeat(prefix[np.minimum(fresh, b[1:] - 1)], size)
@@ -414,6 +415,36 @@ class Batch:
         return {"docs": docs, "value": np.array([p[1][0] for p in picks]), "arcs": np.concatenate(parts_a), "of": np.concatenate(parts_o), "bounds": np.array(bounds), "fresh": np.array(fresh)}
 
 
+def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, model: str = MODEL) -> DataFrame:
+    """(doc_id, ids, n_pieces): the model's own segmentation of every text, with the model's normaliser; a null text has no pieces."""
+    proto = open(model, "rb").read()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import sentencepiece
+
+        processor = sentencepiece.SentencePieceProcessor(model_proto=proto)
+        for batch in batches:
+            for part in slices(batch, "text", 500_000):
+                ids = processor.encode([t or "" for t in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "ids": pa.array(ids, pa.list_(pa.int32())), "n_pieces": pa.array([len(x) for x in ids], pa.int64())})
+
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, ids array<int>, n_pieces long")
+
+
+def decode(rows: DataFrame, ids: str = "ids", text: str = "text", *, model: str = MODEL) -> DataFrame:
+    """``rows`` with the text that their piece ids spell: for samples the very text, for the model's own pieces its normalised form."""
+    proto = open(model, "rb").read()
+    known: dict[str, Vocabulary] = {}
+
+    def spell(column: pa.Array) -> pa.Array:
+        if not known:
+            known["v"] = Vocabulary(proto)
+        return pa.array([None if x is None else decode_ids(known["v"], x) for x in column.to_pylist()], pa.string())
+
+    return rows.withColumn(text, F.arrow_udf(spell, "string")(F.col(ids)))
+
+
 def row_seed(keys: list, texts: pa.Array, seed: int) -> np.ndarray:
     out = []
     for key, text in zip(keys, texts):
