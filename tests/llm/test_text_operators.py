@@ -76,10 +76,37 @@ def test_decision_list_learns_and_keeps_clean(spark):
 
 def test_quality_fit_without_labels_keeps_what_passes_the_base_rule(spark, corpus):
     stats = quality_rules.text_statistics(spark.createDataFrame(corpus, SCHEMA), keep=["doc_id"])
-    rules = quality_rules.fit(stats, spark.createDataFrame([(1, None)], "doc_id long, quality int"))
+    rules = quality_rules.fit(spark.createDataFrame(corpus, SCHEMA), spark.createDataFrame([(1, None)], "doc_id long, quality int"))
     assert all(r.kept == (not r.base_failed) for r in quality_rules.judge(stats, rules).collect())
 
 
+def test_quality_fit_on_a_bounded_pick_and_odd_labels(spark):
+    """Any bound gives a list learnt from as many labelled rows; repeated, contradicting and lone labels and repeated rows do no harm."""
+    import random
+
+    rng = random.Random(2)
+    good = lambda: " ".join(rng.choice(["plain", "words", "of", "text"]) + str(rng.randrange(50)) for _ in range(60))
+    rows = [(i, good() if i % 3 else " ".join(["#$%", good()] * 4)) for i in range(300)] + [(5, good()), (5, None), (None, good())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(300)] + [(4, 1), (9, 1), (7777, 0), (None, 0), (8, None), (11, 5)], "doc_id long, quality int")
+    wanted = {i: i % 3 > 0 for i in range(300) if i != 5}
+    for most in (1, 120, 299, 300, 301, 20_000):
+        rules = quality_rules.fit(docs, labels, max_labelled=most)
+        again = quality_rules.fit(docs.repartition(7), labels.repartition(3), max_labelled=most)
+        assert rules.describe() == again.describe()
+        if most > 100:
+            kept = {r.doc_id: r.kept for r in quality_rules.judge(quality_rules.text_statistics(docs, keep=["doc_id"]), rules).collect()}
+            assert sum(kept[i] == w for i, w in wanted.items()) > 285
+    assert quality_rules.fit(docs.limit(0), labels).rules == []
+    assert quality_rules.judge(quality_rules.text_statistics(docs.limit(0)), rules).count() == 0
+
+
+def test_quality_statistics_of_a_megabyte(spark):
+    text = "a b c d e\n" * 60_000 + "é" * 500_000 + "\n" + " ".join(f"w{i}" for i in range(60_000))
+    (r,) = quality_rules.text_statistics(spark.createDataFrame([(1, text)], "doc_id long, text string"), keep=["doc_id"]).collect()
+    assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute_statistics(text)
+
+
 def brute_lines(rows):
     first, windows = {}, {}
     for d, t, _ in sorted((r for r in rows if r[0] is not None and r[1] is not None), key=lambda r: r[0]):

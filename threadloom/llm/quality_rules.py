@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from threadloom.llm import store
 from threadloom.llm.words import first_equal, joined, mix, slices, span_hashes, tokenize, window_hashes, window_ok
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -229,11 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
 
     Only these texts are measured. A key with both labels counts as bad; of rows with one key the smallest statistics count."""
     marks = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("__tl_key")).agg(F.min(label).alias("__tl_label"))
-    turn = F.xxhash64("__tl_key")
-    n = marks.count()
-    if n > max_labelled:  # a bound on the hash first, so that no task ranks more than about the rows that are used
-        share = min(1.0, 1.2 * max_labelled / n + 100 / n)
-        marks = marks.filter(turn < int((2 * share - 1) * ((1 << 63) - 1))).orderBy(turn, "__tl_key").limit(max_labelled)
+    marks = store.pick(marks, F.xxhash64("__tl_key"), max_labelled, "__tl_key")
     # at most max_labelled keys and labels: the one thing that is broadcast, and as many rows reach the driver
     rows = docs.select(key, text).join(F.broadcast(marks), F.col(key) == F.col("__tl_key"))
     found = text_statistics(rows, text, keep=["__tl_key", "__tl_label"]).groupBy("__tl_key", "__tl_label").agg(F.min(F.struct(*STATISTICS)).alias("s"))

@@ -29,6 +29,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.llm import store
+
 RUN = r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{16,}+"
 MAX_FINDINGS, DICTIONARY_WORDS = 20_000, 400
 _BEFORE, _AFTER = r"(?:^|\W)(\w{1,40})\W{1,4}$", r"^\W{1,4}(\w{1,40})(?:\W|$)"
@@ -159,11 +161,7 @@ def train(findings: DataFrame, known: list[str] = (), *, trees: int = 15, depth:
     """Fit on labelled findings (before, candidate, after, path, is_secret), picked by a hash of the candidate if there are more."""
     named = features(known)
     rows = findings.filter("is_secret is not null and candidate is not null").select("before", "candidate", "after", "path", "is_secret")
-    turn, n = F.xxhash64("candidate", "before", "after", "path"), rows.count()
-    if n > max_findings:  # a bound on the hash first, so that no task ranks more than about the rows that are used
-        share = min(1.0, 1.2 * max_findings / n + 100 / n)
-        rows = rows.filter(turn < int((2 * share - 1) * ((1 << 63) - 1)))
-    rows = rows.orderBy(turn, "candidate", "before", "after", "path", "is_secret").limit(max_findings)
+    rows = store.pick(rows, F.xxhash64("candidate", "before", "after", "path"), max_findings, "candidate", "before", "after", "path", "is_secret")
     rows = rows.select(*[c.alias(n) for n, c in named.items()], F.col("is_secret").cast("double").alias("y")).collect()
     if not rows:
         return Forest([])
