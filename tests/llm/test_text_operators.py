@@ -299,7 +299,9 @@ def test_sets_with_too_small_a_part_publish_everything(spark, monkeypatch):
     assert got == brute_classes(rows) and all(c == d - d % 2 for d, (_, c) in got.items())
 
 
-def test_class_numbers_are_unique(spark, monkeypatch):
+def test_class_numbers_are_unique(spark):
     digests = [bytes([i % 2] * 8 + [i] * 8) for i in range(6)]
-    turns = ngram_join._class_numbers(spark.createDataFrame([(bytearray(d),) for d in digests], "digest binary"))
-    assert len({ngram_join._number(d, turns) for d in digests}) == 6 and turns
+    classes = spark.createDataFrame([(bytearray(d), ngram_join._number(d, {})) for d in digests], "digest binary, cls long")
+    numbered, turns = ngram_join._class_numbers(classes)
+    got = {bytes(r.digest): r.cls for r in numbered.collect()}
+    assert len(set(got.values())) == 6 and turns and got == {d: ngram_join._number(d, turns) for d in digests}

@@ -1,9 +1,9 @@
 """Connected components of an undirected graph given as edges, without collecting any of it.
 
 Alternating large-star and small-star rounds turn the edges into stars around
-the smallest node of each component; before and after each round every task
-contracts the edges that it holds to stars of its own, a bounded number at a
-time. Joins exchange both of their sides, so the adaptive skew join can split
+the smallest node of each component; after each round every task contracts the
+edges that it holds to stars of its own, a bounded number at a time, and a graph
+that fits one task is done then. Joins exchange both of their sides, so the adaptive skew join can split
 the neighbours of a hub; the minimum per node is a partially aggregated sum over
 tasks. Each round is cut by a table in the shared folder.
 """
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from threadloom.llm import store
 
-#: Edges that a task contracts together.
-_HELD = 1_000_000
+#: Edges that a task contracts together: some 50 MB of work space.
+_HELD = 500_000
 
 
 def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -90,9 +90,13 @@ def _is_forest_of_stars(edges: DataFrame) -> bool:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of an edge (a, b); the root is the smallest node of its component."""
-    now = store.table(_contract(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a != b").distinct()), "edges")
-    while not _is_forest_of_stars(now):  # rounds shrink the graph until stars are left, some log2 of its longest path in practice
-        after = store.table(_contract(_small_star(_large_star(now))), "edges")
-        store.drop(now)
-        now = after
+    now = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a != b")
+    while True:  # rounds shrink the graph until one task can contract what is left, or stars are left: some log2 of its longest path
+        raw = store.table(now, "edges")
+        tasks = 1 + raw.count() // _HELD  # as many edges in a task as it contracts together
+        now = store.table(_contract(raw.coalesce(tasks)), "edges")
+        store.drop(raw)
+        if tasks == 1 or _is_forest_of_stars(now):
+            break
+        now = _small_star(_large_star(now))
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

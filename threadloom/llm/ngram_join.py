@@ -98,9 +98,10 @@ def _members(k: int, num: int, den: int):
                     if len(np.unique(token[token < SHARE])) <= n[d] - -(-num * n[d] // den):
                         thin[d] = int(_band(n[d], num, den))
                 some = n > 0
+                digests = [_digest(key[b[d] : b[d + 1]]) if some[d] else None for d in range(part.num_rows)]
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": part.column(0), "n": pa.array(n.astype(np.int64)),
-                    "digest": pa.array([_digest(key[b[d] : b[d + 1]]) if some[d] else None for d in range(part.num_rows)], pa.binary()),
+                    "doc_id": part.column(0), "n": pa.array(n.astype(np.int64)), "digest": pa.array(digests, pa.binary()),
+                    "cls": pa.array([None if x is None else _number(x, {}) for x in digests], pa.int64()),
                     "low": pa.array([int(key[b[d]] >> np.uint64(1)) if some[d] else None for d in range(part.num_rows)], pa.int64()), "thin": pa.array(thin, pa.int64()),
                 })
 
@@ -403,25 +404,17 @@ def _on(left: DataFrame, right: DataFrame, *keys: str, how: str = "inner") -> Da
     return left.join(named, on, how).drop("__k", *[f"__on_{c}" for c in keys])
 
 
-def _class_numbers(classes: DataFrame) -> dict[bytes, int]:
-    """Digests whose number another class has, with the turn that tells them apart: some hundred among 1e11 classes."""
+def _class_numbers(classes: DataFrame) -> tuple[DataFrame, dict[bytes, int]]:
+    """``classes`` (digest, cls, ...) with numbers that no two share, and the turns of the digests whose first number
+    another class has: some hundred among 1e11 classes."""
     turns: dict[bytes, int] = {}
-    while True:
-        numbered = classes.select("digest").mapInArrow(_numbered(turns), "digest binary, cls long")
-        twice = numbered.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.max("digest").alias("digest")).filter("n > 1").select("digest").collect()
-        if not twice:
-            return turns
+    numbered = classes
+    while twice := numbered.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.max("digest").alias("digest")).filter("n > 1").select("digest").collect():
         for r in twice:
             turns[bytes(r.digest)] = turns.get(bytes(r.digest), 0) + 1
-
-
-def _numbered(turns: dict[bytes, int]):
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cls = pa.array([_number(d, turns) for d in batch.column(0).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, cls], [*batch.schema.names, "cls"])
-
-    return number
+        other = F.create_map(*[F.lit(x) for d in turns for x in (d.hex().upper(), _number(d, turns))])
+        numbered = classes.withColumn("cls", F.coalesce(other[F.hex("digest")], F.col("cls")))
+    return numbered, turns
 
 
 def _chunked(members: DataFrame, chunk: int, num: int, den: int) -> DataFrame:
@@ -440,12 +433,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """(doc_id, n_shingles, component_id) per row."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    members = store.table(rows.mapInArrow(_members(k, num, den), "doc_id long, n long, digest binary, low long, thin long"), "members")
+    members = store.table(rows.mapInArrow(_members(k, num, den), "doc_id long, n long, digest binary, cls long, low long, thin long"), "members")
     able = members.filter("doc_id is not null and digest is not null")
-    classes = store.table(able.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("low").alias("low")), "classes")
+    classes = store.table(able.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("low").alias("low"), F.max("cls").alias("cls")), "classes")
     # a few numbers, however many texts there are: bands of sizes, of which there are some hundred in all
     full = sorted({b + x for (b,) in members.filter("thin is not null").select("thin").distinct().collect() for x in (-2, -1, 0, 1, 2)})
-    turns = _class_numbers(classes)
+    numbered, turns = _class_numbers(classes)
 
     total = classes.agg(F.sum("n")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * 12 // PACKED))
@@ -457,8 +450,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     least = prefix.groupBy("token").agg(F.min("cls").alias("m"), F.max("cls").alias("x")).filter("m < x").select("token", "m")
     meets = _on(prefix, least, "token").filter("cls != m").select(F.col("cls").alias("a"), F.col("m").alias("b"))
     blocks = store.table(components(meets), "blocks")
-    known = classes.select("digest", "rep", "n", "low").mapInArrow(_numbered(turns), "digest binary, rep long, n long, low long, cls long")
-    member = store.table(known.join(blocks, F.col("cls") == F.col("node")).select(F.col("root").alias("block"), "digest", "rep", "n", "low", "cls"), "members")
+    member = store.table(numbered.join(blocks, F.col("cls") == F.col("node")).select(F.col("root").alias("block"), "digest", "rep", "n", "low", "cls"), "members")
     size = member.groupBy("block").agg(((F.count(F.lit(1)) > chunk) | (F.sum("n") > CHUNK_SHINGLES)).alias("large"))
     # texts are fetched once, by a merge join at every size, and kept for the members of blocks alone
     source = rows.select(F.col("doc_id").alias("__id"), "text")
