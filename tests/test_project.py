@@ -256,3 +256,143 @@ def test_attribute_lookup_plans_and_path_matches(spark):
     assert [r.s for r in schemas.collect()] == ["X-{num}", "R-{num:2}", "{atype}-{num:3}"]
     paths = lambda *p: spark.createDataFrame([(x,) for x in p], "path string")
     assert {tuple(r) for r in diff.match_paths(paths("base/REQ/a.md", "b.md", "x/c.md"), paths("REQ/a.md", "a.md", "b.md", "c.txt")).collect()} == {("base/REQ/a.md", "REQ/a.md"), ("b.md", "b.md")}
+
+
+def test_edit_commands_end_to_end(spark, home, capsys):
+    from threadloom import cli
+
+    conf = str(home / ".tl/config.toml")
+    run = lambda *a: cli.main(["--config", conf, "edit", *a])
+    assert run("identification") == 2 and run("markers", "renumber") == 2
+    before = {p: p.read_bytes() for p in home.rglob("*.md")}
+    assert run("identification", "--all", "--dry-run") == 0 and before == {p: p.read_bytes() for p in home.rglob("*.md")}
+    out = capsys.readouterr().out
+    assert "changed: 2" in out and "files: 2" in out and "SYS-001" in out  # the duplicate is told, not changed
+    (home / "REQ/b.md").write_bytes(REQ.replace("\n", "\r\n").encode())
+    assert run("identification", "--atype", "REQ") == 0
+    text = (home / "REQ/b.md").read_bytes().decode()
+    assert "[id] REQ-003" in text and "[id] REQ-001" in text and text.count("\r\n") == text.count("\n") and "[id] REQ-002" in (home / "REQ/2. part/c.md").read_text()
+    assert run("identification", "--atype", "REQ", "--force") == 0
+    assert "[id] REQ-001" in (home / "REQ/2. part/c.md").read_text() and "[id] REQ-002" in (home / "REQ/b.md").read_text()
+    assert run("attrs", "-s", "req", "-n", "owner", "-l", "me") == 0
+    text = (home / "REQ/b.md").read_text()
+    assert "  owner: me" in text and "[owner] me" in text
+    (home / "m.csv").write_text("id;value\nREQ-002;you\n")
+    assert run("attrs", "-s", "req", "-o", "replace", "-n", "owner", "--csv", str(home / "m.csv"), "-d", ";") == 0
+    assert "modified: 1" in capsys.readouterr().out and "owner: you" in (home / "REQ/b.md").read_text()
+    assert run("attrs", "-s", "req", "-o", "del", "-n", "owner") == 0 and "owner" not in (home / "REQ/b.md").read_text()
+    assert run("attrs", "-s", "req") == 0 and "[parent] TBD" in (home / "REQ/2. part/c.md").read_text()  # mandatory ones
+    assert run("attrs", "-s", "req", "-o", "del") == 3 and run("attrs", "-s", "nope", "-n", "x") == 3
+    (home / "REQ/d.md").write_text("[note]one[/note]\n\n[NOTE 4]two[/NOTE]\n\n[Note]three[/Note]\n")
+    assert run("markers", "renumber", "--section", "req") == 0
+    assert (home / "REQ/d.md").read_text() == "[note 5]one[/note]\n\n[NOTE 4]two[/NOTE]\n\n[Note 6]three[/Note]\n"
+    (home / "REQ/bad.md").write_text("[REQ]\nx\n```yaml\nnot: attrs\n```\n")
+    assert run("identification", "--all") == 3 and "no attrs" in capsys.readouterr().err
+
+
+def test_edits_of_other_drivers(spark, tmp_path):
+    (tmp_path / "a.py").write_text("# [< ID = S-7 >>> kept >]\n# [< parent = x >>> new >]\n")
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f/one.md").write_text("---\nid: F-\n---\nbody\n")
+    rules = metamodel.parse("artifact SRC:\n    id is string as S-{num}\n    attribute contents is mandatory string\nartifact FRO:\n    id is string as F-{num:2}\n    attribute contents is mandatory string\n")
+    inputs = [config.InputRecord("code", ".", "text", filter="*.py", atype="SRC"), config.InputRecord("front", "f", "simple-markdown", atype="FRO")]
+    p = project.Project(spark, config.Config(tmp_path, inputs), rules)
+    assert p.renumber() == {"changed": 2, "files": 2, "duplicates": []}
+    assert (tmp_path / "a.py").read_text() == "# [< ID = S-7 >>> kept >]\n# [< ID = S-8\nparent = x >>> new >]\n" and (tmp_path / "f/one.md").read_text() == "---\nid: F-01\n---\nbody\n"
+
+
+def test_analysis_with_git_tasks_and_languages(spark, home):
+    conf = home / ".tl/config.toml"
+    conf.write_text('language = "ru"\n' + conf.read_text() + "[impact]\ntasks_enabled = true\n")
+    run = lambda *a, **k: subprocess.run(["git", "-C", str(home), "-c", "user.email=a@b.c", "-c", "user.name=n", *a], check=True, capture_output=True, **k)
+    (home / "SYS/a.md").write_text(SYS.replace("The system flies.", "The system flies far."))
+    (home / "SYS/z.md").write_text("[ROOT]\n[REQ]\n")
+    load = lambda: project.Project.load(spark, conf)
+    text = load().analyze(use_git=True)
+    assert "ревизии неизвестны" in text and "повторный идентификатор" in text and "нет обязательной трассировки" in text
+    run("add", ".")
+    run("commit", "-qm", "two", env={"GIT_COMMITTER_DATE": "2037-01-01T00:00:00Z", "PATH": "/usr/bin:/bin"})
+    text = load().analyze(use_git=True)
+    assert "## Suspicious links (1)" in text and "- REQ-001 -> SYS-001" in text and "[!] OUTDATED" in text and "SYS-001 [*] UPDATED" in text
+    assert "Tasks: 1 written, 0 skipped" in text
+    task = (home / "tasks/TASK-IMPACT-REQ-001-SYS-001.md").read_text()
+    assert "- **ID:** SYS-001" in task and "- **File:** b.md" in task
+    facts = files.impact_task(spark.createDataFrame([("t", task)], "path string, value string")).first()
+    assert facts.parent["ID"] == "SYS-001" and facts.child["ID"] == "REQ-001" and facts.child["Input Record"] == "req"
+    p = load()
+    revisions = p.git_revisions()
+    assert p.write_tasks(p.stale_links(revisions), revisions) == {"create": 0, "update": 0, "skip": 1}
+    told = p.revisions_text("SYS-001")
+    assert told[0].endswith("by a@b.c)") and len(told) == 2
+    (home / "REQ/b.md").write_text(REQ + "[NOTE n1]twice[/NOTE]\n\n[REQ]\nx\n[id] REQ-9\n[status] active\n[parent] @abc\n")
+    p = load()
+    p.blocks = p.blocks.withColumn("atype", project.F.when(project.F.col("aid") == "SYS-002", "ROOT").otherwise(project.F.col("atype")))
+    assert {"duplicate_block_id", "malformed_reference", "root_count"} <= {r.code for r in p.violations().collect()}
+
+
+def test_sidecar_revisions(spark, tmp_path):
+    run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=n", "-c", "user.email=e@x", *a], check=True, capture_output=True)
+    (tmp_path / "pic").mkdir()
+    (tmp_path / "pic/a.png").write_bytes(b"one")
+    (tmp_path / "pic/a.png.stmx").write_text("id: P-1\n")
+    run("init", "-q")
+    run("add", ".")
+    run("commit", "-qm", "one")
+    (tmp_path / "pic/a.png").write_bytes(b"two")
+    run("add", ".")
+    run("commit", "-qm", "two")
+    p = project.Project(spark, config.Config(tmp_path, [config.InputRecord("pic", "pic", "sidecar", atype="PIC")]))
+    assert p.git_revisions().filter("aid = 'P-1'").count() == 2
+
+
+def test_publish_of_several_records_images_and_breaks(spark, tmp_path):
+    from threadloom.plans import publish as pub
+
+    (tmp_path / "REQ/1. part").mkdir(parents=True)
+    (tmp_path / "img").mkdir()
+    (tmp_path / "img/i.png").write_bytes(b"png")
+    (tmp_path / "REQ/1. part/2. _CONTENTS_.md").write_text("one\ntwo\n\n![[i.png]]\n")
+    (tmp_path / "REQ/b.md").write_text("text\n")
+    conf = config.Config(tmp_path, [config.InputRecord("3. req", "REQ", "obsidian", atype="REQ")], strict_line_breaks="off")
+    out = project.Project(spark, conf).publish(tmp_path / "out", single=True)[0]
+    text = out.read_text()
+    assert text.startswith("# req\n\n## part\n\none  \ntwo\n\n![](images/i.png)\n\n## b\n\ntext") and (tmp_path / "out/images/i.png").read_bytes() == b"png"
+    assert pub.hard_breaks("a\n```\nb\nc\n```\n- d\ne") == "a  \n```\nb\nc\n```\n- d\ne"
+
+
+def test_change_files_and_counters(spark, home):
+    (home / "REQ/b.md").write_text(REQ.replace("[NOTE n1]mind this[/NOTE]", "[NOTE n1]# now <that>[/NOTE]"))
+    p = project.Project.load(spark, home / ".tl/config.toml")
+    paths = project.change_files(spark, p.config, p.rules, home, "HEAD", "working", home / "out", "20300101", summary=False)
+    head = git.git(home, "rev-parse", "HEAD").strip()[:7]
+    assert [x.name for x in paths] == [f"sys-{head}-to-working-20300101.md", f"req-{head}-to-working-20300101.md"]
+    text = paths[1].read_text()
+    assert "Files: 1 changed, 0 added, 0 removed" in text and "> \\# now <that>" in text and "Files: 0 changed" in paths[0].read_text()
+    assert report.change_name("a b/c", "abcdef012", "working", "d", True) == "a-b_c-abcdef0-to-working-d-summary.md"
+
+
+def test_globs_jpeg_csv_and_conditions(spark, tmp_path):
+    import re
+
+    from threadloom.operators import validate
+    from threadloom.sources import scan
+
+    match = lambda g, p: bool(re.match(scan.glob_pattern(g), p))
+    assert match("*.md", "a/b.md") and match("sub/*.md", "sub/b.md") and not match("sub/*.md", "sub/x/b.md") and match("**/s/?.md", "a/s/b.md") and match("**/*", "a.b") and not match("sub/*.md", "a/sub/b.md")
+    for name in ("sub/a.md", "b.md"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("[REQ]\nx\n[id] R\n")
+    p = project.Project(spark, config.Config(tmp_path, []))
+    assert [r.path for r in p.record_blocks(config.InputRecord("r", ".", "obsidian", filter="sub/*.md", atype="REQ")).collect()] == ["sub/a.md"]
+    jpeg = bytes.fromhex("FFD8FFE000104A46494600010100000100010000FFC0001108") + (33).to_bytes(2) + (44).to_bytes(2) + b"\x03rest"
+    frame = spark.createDataFrame([("a.jpg", bytearray(jpeg)), ("b.jpg", bytearray(b"\xff\xd8\xff")), ("c.txt", bytearray(b"x")), ("d", None)], "path string, content binary")
+    assert {r.path: (r.width, r.height) for r in files.binary_properties(frame).collect()} == {"a.jpg": (44, 33), "b.jpg": (None, None), "c.txt": (None, None), "d": (None, None)}
+    (tmp_path / "m.csv").write_text("\ufeffid,v\nA,\"two\nlines\"\nB,1\nA,last\n", encoding="utf-8")
+    assert [(r.id, r.value) for r in files.csv_mapping(spark, str(tmp_path / "m.csv"), "id", "v").orderBy("line_no").collect()] == [("A", "two\nlines"), ("B", "1"), ("A", "last")]
+    twice = "- **A:** 1\n- **A:** 2\n- **B:** 3\n"
+    assert files.impact_task(spark.createDataFrame([("t", twice)], "path string, value string")).first().fields == {"A": "2", "B": "3"}
+    rules = metamodel.parse("artifact A:\n    id is string\n    attribute contents is mandatory string\n    attribute on is optional boolean [true: On, false: off]\n    attribute why is mandatory string if on\n")
+    value = lambda v: {"is_list": False, "vals": [v]}
+    rows = spark.createDataFrame([(x, "A", "r", {"contents": value("c"), "on": value(x)}) for x in ("On", "ON", " on", "true", "off", "")], f"aid string, atype string, record string, fields map<string,{model.VALUE}>")
+    missing = validate.missing_mandatory(rows, rules.frames(spark)[0]).collect()
+    assert {r.artifact_id for r in missing} == {"On", "ON"}

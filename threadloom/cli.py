@@ -1,4 +1,4 @@
-"""Command line: analyze, trace, change, publish, search, renumber plans, schema, init."""
+"""Command line: analyze, trace, change, baseline, publish, edit, search, show, schema, init."""
 
 from __future__ import annotations
 
@@ -23,6 +23,9 @@ def parser() -> argparse.ArgumentParser:
     sub.add_parser("init")
     a = sub.add_parser("analyze")
     a.add_argument("--suppress-tracing", action="store_true")
+    a.add_argument("--no-git", action="store_true")
+    a.add_argument("--allow-dirty-worktree", action="store_true")
+    a.add_argument("--violations", help="write all violations as a Parquet table to this folder")
     t = sub.add_parser("trace")
     t.add_argument("--child", required=True)
     t.add_argument("--parent", required=True)
@@ -36,15 +39,68 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--target", default="working")
     c.add_argument("--repo", default=".")
     c.add_argument("--summary", action="store_true")
+    c.add_argument("--output", default="console", help="a folder for one report per input record")
+    b = sub.add_parser("baseline")
+    b.add_argument("name")
+    b.add_argument("--message", default="")
+    b.add_argument("--repo", action="append")
+    b.add_argument("--force", action="store_true")
+    e = sub.add_parser("edit").add_subparsers(dest="what", required=True)
+    i = e.add_parser("identification")
+    i.add_argument("--all", action="store_true")
+    i.add_argument("--atype")
+    i.add_argument("--force", action="store_true")
+    i.add_argument("--dry-run", action="store_true")
+    n = e.add_parser("attrs")
+    n.add_argument("-o", "--operation", choices=["add", "del", "replace"], default="add")
+    n.add_argument("-t", "--type", choices=["attr", "field"], default="attr")
+    n.add_argument("-n", "--name")
+    n.add_argument("-l", "--value")
+    n.add_argument("-s", "--section", required=True)
+    n.add_argument("--csv")
+    n.add_argument("--csv-id-column", default="id")
+    n.add_argument("--csv-value-column", default="value")
+    n.add_argument("-d", "--csv-delimiter", default=",")
+    n.add_argument("--dry-run", action="store_true")
+    m = e.add_parser("markers").add_subparsers(dest="act", required=True).add_parser("renumber")
+    m.add_argument("--all", action="store_true")
+    m.add_argument("--section")
+    m.add_argument("--marker")
+    m.add_argument("--dry-run", action="store_true")
     p = sub.add_parser("publish")
     p.add_argument("--output", default="outputs")
     p.add_argument("--single", action="store_true")
+    p.add_argument("--format", choices=["docx", "html", "pdf"], help="convert the documents as well")
     s = sub.add_parser("search")
     s.add_argument("query")
+    w = sub.add_parser("show")
+    w.add_argument("aid")
+    w.add_argument("--revisions", action="store_true")
     sub.add_parser("schema")
     return top
 
 
+def edit(project, args) -> int:
+    """The edit commands; a dry run only counts."""
+    from threadloom.sources import files
+
+    if args.what == "identification":
+        if not (args.all or args.atype):
+            print("either --all or --atype", file=sys.stderr)
+            return 2
+        done = project.renumber(args.atype, args.force, args.dry_run)
+    elif args.what == "attrs":
+        mapping = files.csv_mapping(project.spark, args.csv, args.csv_id_column, args.csv_value_column, args.csv_delimiter) if args.csv else None
+        done = project.edit_attributes(args.section, args.operation, args.name, args.value, mapping, args.dry_run, args.type == "field")
+    else:
+        if args.all == bool(args.section):
+            print("either --all or --section", file=sys.stderr)
+            return 2
+        done = project.renumber_fragments(args.section, args.marker, args.dry_run)
+    print(", ".join(f"{k}: {v}" for k, v in done.items()))
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     """Exit codes: 0 well, 1 violations, 2 wrong use, 3 fatal."""
     args = parser().parse_args(argv)
@@ -62,12 +118,15 @@ def main(argv: list[str] | None = None) -> int:
 
     from threadloom.plans import project as plans
     from threadloom.plans import report
+    from threadloom.sources import git
 
     spark = SparkSession.builder.appName("threadloom").getOrCreate()
     try:
         project = plans.Project.load(spark, args.config, settings.home())
         if args.command == "analyze":
-            text = project.analyze(suppress_tracing=args.suppress_tracing)
+            text = project.analyze(suppress_tracing=args.suppress_tracing, use_git=not args.no_git, allow_dirty=args.allow_dirty_worktree)
+            if args.violations:
+                project.violations(args.suppress_tracing).write.mode("overwrite").parquet(args.violations)
             print(text)
             return int("No errors." not in text)
         if args.command == "trace":
@@ -78,16 +137,30 @@ def main(argv: list[str] | None = None) -> int:
             elif text is not None:
                 suffix = "tsv" if args.delimiter == "\t" else "csv"
                 Path(args.output or report.output_name(args.child, args.parent, args.forward, datetime.date.today().isoformat(), suffix)).write_text(text, encoding="utf-8")
+        elif args.command == "change" and args.output != "console":
+            for path in plans.change_files(spark, project.config, project.rules, args.repo, args.base, args.target, args.output, f"{datetime.date.today():%Y%m%d}", summary=args.summary):
+                print(path)
+        elif args.command == "baseline":
+            repos = args.repo or [project.root / r.dir for r in project.config.input]
+            print("\n".join(git.tag_baseline([git.git(r, "rev-parse", "--show-toplevel").strip() for r in repos], args.name, args.message or args.name, project.config.tag_pattern, args.force)))
+        elif args.command == "edit":
+            return edit(project, args)
+        elif args.command == "show":
+            text = project.content(args.aid)
+            print(text if text is not None else f"no artifact {args.aid}")
+            if text is not None and args.revisions:
+                print("\n".join(f"- {r}" for r in project.revisions_text(args.aid)))
+            return int(text is None)
         elif args.command == "change":
             print(plans.changes(spark, project.config, project.rules, args.repo, args.base, args.target, summary=args.summary))
         elif args.command == "publish":
-            for path in project.publish(args.output, single=args.single):
+            for path in project.publish(args.output, single=args.single, suffix=args.format):
                 print(path)
         elif args.command == "search":
             for r in project.search(args.query).select("aid", "atype").orderBy("aid").toLocalIterator():
                 print(r.aid, r.atype)
         return 0
-    except (settings.ConfigError, plans.PluginError, OSError, ValueError) as e:
+    except (settings.ConfigError, plans.PluginError, git.GitError, OSError, ValueError) as e:
         print(f"fatal: {e}", file=sys.stderr)
         return 3
 

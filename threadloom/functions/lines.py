@@ -38,7 +38,8 @@ def shift_heading(line: Column, by: Column) -> Column:
 
 def strip_number(text: Column) -> Column:
     """A heading without its leading section number."""
-    return F.regexp_replace(text, r"^\d+(?:\.\d+)*[.)]?[\s_-]+", "")
+    number = r"^\s*[0-9]+(?:\.[0-9]+)*\s*[-.]?"
+    return F.when(text.rlike(number), F.regexp_replace(F.regexp_replace(text, number, ""), r"^\s+|\s+$", "")).otherwise(text)
 
 
 def table_cell(text: Column) -> Column:

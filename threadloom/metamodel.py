@@ -29,7 +29,6 @@ _TRACE = re.compile(
     rf"trace\s+from\s+(?P<source>{_NAME})\s+to\s+(?P<targets>{_NAME}(?:\s+or\s+{_NAME})*)\s+is\s+(?P<presence>mandatory|optional)"
     rf"(?:\s+via\s+(?P<mode>commit|timestamp))?{_COND}$"
 )
-TRUE, FALSE = ["true", "yes", "1"], ["false", "no", "0"]
 
 
 class MetamodelError(ValueError):
@@ -72,7 +71,7 @@ def _values(text: str) -> list[str]:
 def _labels(items: str | None) -> tuple[list[str], list[str]]:
     """Custom boolean labels, which replace the usual ones."""
     if items is None:
-        return TRUE, FALSE
+        return model.TRUE, model.FALSE
     m = re.fullmatch(r"\s*true\s*:(.*?),\s*false\s*:(.*)", items, re.S)
     if not m:
         raise MetamodelError(f"boolean values must name true and false: [{items}]")
@@ -96,7 +95,7 @@ def parse(text: str) -> Metamodel:
                 rule = traces[m["source"]] = traces.get(m["source"], 0) + 1
                 out.trace_rules.append({
                     "source": m["source"], "rule_no": rule, "targets": re.split(r"\s+or\s+", m["targets"]), "presence": m["presence"],
-                    "mode": m["mode"] or "timestamp", "cond_anchor": m["anchor"], "cond_negated": bool(m["neg"]),
+                    "mode": m["mode"] or "timestamp", "cond_anchor": m["anchor"], "cond_negated": bool(m["neg"]), "cond_true": None,
                 })
             else:
                 raise MetamodelError(f"line {number}: {body}")
@@ -106,7 +105,7 @@ def parse(text: str) -> Metamodel:
         counts[current] += 1
         rule = {
             "atype": current, "rule_no": counts[current], "multiple": False, "allowed": None, "true_vals": None, "false_vals": None, "to_parent": False,
-            "id_schema": None, "cond_anchor": None, "cond_negated": False,
+            "id_schema": None, "cond_anchor": None, "cond_negated": False, "cond_true": None,
         }
         if m := _ID.match(body):
             out.attr_rules.append(rule | {"attr": "id", "presence": "mandatory", "type": m["type"], "id_schema": m["schema"].strip().strip('"') if m["schema"] else None})
@@ -125,6 +124,10 @@ def parse(text: str) -> Metamodel:
         else:
             raise MetamodelError(f"line {number}: {body}")
     check(out)
+    for r in (*out.attr_rules, *out.trace_rules):
+        if r["cond_anchor"]:
+            own = [a["true_vals"] for a in out.rules(r.get("atype") or r["source"], r["cond_anchor"])]
+            r["cond_true"] = next((labels for labels in own if labels != model.TRUE), model.TRUE)
     return out
 
 

@@ -13,16 +13,18 @@ ARTIFACTS = f"seq long, record string, driver string, atype string, aid string,
 LINKS = "child_id string, pos int, pid string, nominal_revision string"
 REVISIONS = "aid string, hash_long string, hash_short string, ts timestamp, author_email string"
 BLOCKS = (
-    "record string, path string, block_no int, kind string, content string, marker string, block_id string, explicit_id boolean, "
+    "record string, path string, block_no long, kind string, content string, marker string, block_id string, explicit_id boolean, "
     f"source_offset int, message string, raw_text string, atype string, aid string, loc {LOCATION}, fields map<string,{VALUE}>"
 )
 ATTR_RULES = (
     "atype string, attr string, rule_no int, presence string, multiple boolean, type string, allowed array<string>, true_vals array<string>, "
-    "false_vals array<string>, to_parent boolean, id_schema string, cond_anchor string, cond_negated boolean"
+    "false_vals array<string>, to_parent boolean, id_schema string, cond_anchor string, cond_negated boolean, cond_true array<string>"
 )
-TRACE_RULES = "source string, rule_no int, targets array<string>, presence string, mode string, cond_anchor string, cond_negated boolean"
+TRACE_RULES = "source string, rule_no int, targets array<string>, presence string, mode string, cond_anchor string, cond_negated boolean, cond_true array<string>"
 VIOLATIONS = "code string, message string, category string, input_record string, artifact_id string, artifact_type string, file_path string, line_start int, line_end int"
 
+#: Labels of truth and falsehood of booleans that name none of their own.
+TRUE, FALSE = ["true", "yes", "1"], ["false", "no", "0"]
 UNDEFINED = "<undefined>"
 ROOT = "ROOT"
 DEPTH_LIMIT = 20
@@ -92,11 +94,12 @@ def link_revision(c: Column) -> Column:
     return F.when(rest != "", rest)
 
 
-def condition(anchor: Column, negated: Column, of: str = "fields") -> Column:
-    """Whether a rule's condition holds on a row; no anchor always holds."""
+def condition(anchor: Column, negated: Column, labels: Column, of: str = "fields") -> Column:
+    """Whether a rule's condition holds on a row; no anchor always holds. ``labels`` are the anchor's own labels of truth, in lower case."""
     value = F.element_at(F.col(of), anchor)
-    first = F.lower(F.trim(F.element_at(value["vals"], 1)))
-    truth = F.when(value.isNull(), False).when(value["is_list"], F.size(value["vals"]) > 0).otherwise(F.coalesce(first.isin("true", "yes", "1"), F.lit(False)))
+    first = F.element_at(value["vals"], 1)
+    named = F.array_contains(F.coalesce(labels, F.array(*[F.lit(x) for x in TRUE])), F.lower(first)) & (strip(first) != "")
+    truth = F.when(value.isNull(), False).when(value["is_list"], F.size(value["vals"]) > 0).otherwise(F.coalesce(named, F.lit(False)))
     return F.when(anchor.isNull(), F.lit(True)).otherwise(F.when(negated, ~truth).otherwise(truth))
 
 

@@ -21,18 +21,18 @@ def artifact_diff(base: DataFrame, target: DataFrame, keys: list[str], compared:
     return b.join(t, keys, "full_outer").withColumn("change", change).filter("change is not null").drop("__b", "__t")
 
 
-def field_diff(base: DataFrame, target: DataFrame) -> DataFrame:
-    """(aid, field, old, new) of artifacts on both sides; lists compare as multisets, ``contents`` is left out."""
+def field_diff(base: DataFrame, target: DataFrame, keys: tuple[str, ...] = ("aid",)) -> DataFrame:
+    """(keys, field, old, new) of artifacts on both sides; lists compare as multisets, ``contents`` is left out."""
 
     def entries(df: DataFrame, name: str) -> DataFrame:
-        rows = df.select("aid", F.explode(F.map_entries("fields")).alias("e")).filter("e.key != 'contents'")
-        return rows.select("aid", F.col("e.key").alias("field"), F.struct(F.col("e.value.is_list").alias("is_list"), F.array_sort("e.value.vals").alias("vals")).alias(name))
+        rows = df.select(*keys, F.explode(F.map_entries("fields")).alias("e")).filter("e.key != 'contents'")
+        return rows.select(*keys, F.col("e.key").alias("field"), F.struct(F.col("e.value.is_list").alias("is_list"), F.array_sort("e.value.vals").alias("vals")).alias(name))
 
-    both = base.select("aid").join(target.select("aid"), "aid")
-    old = entries(base.join(both, "aid", "left_semi"), "o")
-    new = entries(target.join(both, "aid", "left_semi"), "n")
-    changed = old.join(new, ["aid", "field"], "full_outer").filter(~F.col("o").eqNullSafe(F.col("n")))
-    return changed.select("aid", "field", F.array_join("o.vals", "; ").alias("old"), F.array_join("n.vals", "; ").alias("new"))
+    both = base.select(*keys).join(target.select(*keys), list(keys))
+    old = entries(base.join(both, list(keys), "left_semi"), "o")
+    new = entries(target.join(both, list(keys), "left_semi"), "n")
+    changed = old.join(new, [*keys, "field"], "full_outer").filter(~F.col("o").eqNullSafe(F.col("n")))
+    return changed.select(*keys, "field", F.array_join("o.vals", "; ").alias("old"), F.array_join("n.vals", "; ").alias("new"))
 
 
 def text_by_id(base: DataFrame, target: DataFrame) -> DataFrame:
@@ -85,6 +85,26 @@ def summary(changes: DataFrame, *by: str) -> DataFrame:
     return changes.groupBy(*by).agg(*counts, F.count(F.lit(1)).alias("n_changes"))
 
 
+#: The counters of a change summary, in their order.
+COUNTERS = [
+    "files_changed", "files_added", "files_removed", "artifacts_added", "artifacts_modified", "artifacts_removed", "text_fragments_modified", "binary_added", "binary_modified", "binary_removed",
+    "extraction_errors",
+]
+
+
+def counters(files: DataFrame, artifacts: DataFrame, texts: DataFrame, binaries: DataFrame, errors: DataFrame, *by: str) -> DataFrame:
+    """The eleven counters of a change report, one row (per ``by``). ``files`` has git's ``status``, the others ``change``; each row of ``errors`` counts."""
+    status = F.when(F.col("status") == "A", "added").when(F.col("status") == "D", "removed").otherwise("changed")
+    parts = [
+        files.select(*by, F.concat(F.lit("files_"), status).alias("what")), artifacts.select(*by, F.concat(F.lit("artifacts_"), "change").alias("what")),
+        texts.select(*by, F.lit("text_fragments_modified").alias("what")), binaries.select(*by, F.concat(F.lit("binary_"), "change").alias("what")), errors.select(*by, F.lit("extraction_errors").alias("what")),
+    ]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    return rows.groupBy(*by).agg(*[F.count(F.when(F.col("what") == c, 1)).alias(c) for c in COUNTERS])
+
+
 def by_file(changes: DataFrame, path: str = "path", name: str = "aid") -> DataFrame:
     """Changed objects of each file, sorted."""
     return changes.groupBy(path).agg(F.count(F.lit(1)).alias("n_objects"), F.array_join(F.array_sort(F.collect_list(name)), ";").alias("objects"))

@@ -26,6 +26,16 @@ def renumber(rows: DataFrame, *, valid: Column, number: Column, order: str = "lo
     return todo.select("aid", "atype", order, numbered_id(F.concat(F.col("atype"), F.lit("-")), n, width).alias("new_id"))
 
 
+def duplicate_valid(rows: DataFrame, valid: Column) -> DataFrame:
+    """(aid, n) of valid ids that occur more than once, about which renumbering warns."""
+    return rows.filter(valid).groupBy("aid").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+def plan_summary(plan: DataFrame) -> DataFrame:
+    """(modified, skipped, unmatched) of an attribute plan."""
+    return plan.agg(*[F.count(F.when(F.col("action").isin(*a), 1)).alias(n) for n, a in (("modified", ("write", "delete")), ("skipped", ("keep",)), ("unmatched", ("skip",)))])
+
+
 def renumber_markers(blocks: DataFrame) -> DataFrame:
     """(marker, record, path, block_no, new_id): blocks without an id count on from the largest numeric id of their marker."""
     numeric = F.when(F.col("block_id").rlike(r"^\s*\d+\s*$"), F.trim("block_id").cast("decimal(38,0)"))
@@ -62,8 +72,8 @@ def schema_of(template: Column, rule: Column) -> Column:
     return F.coalesce(F.when(F.contains(template, F.lit("{num")), template), rule, F.lit("{atype}-{num:3}"))
 
 
-def attribute_plan(artifacts: DataFrame, operation: str, names: list[str], literal: str | None = None, mapping: DataFrame | None = None) -> DataFrame:
-    """(aid, name, old, value, action) of adding, replacing or deleting attributes.
+def attribute_plan(artifacts: DataFrame, operation: str, names: list[str], literal: str | None = None, mapping: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(aid, name, old, value, action and ``keep``) of adding, replacing or deleting attributes.
 
     ``add`` keeps what is there, ``replace`` and ``del`` leave alone what is not;
     values come from a mapping, else the literal.
@@ -76,4 +86,4 @@ def attribute_plan(artifacts: DataFrame, operation: str, names: list[str], liter
         rows = rows.withColumn("value", F.lit(literal))
     has, given = F.map_contains_key("fields", F.col("name")), F.col("value").isNotNull()
     action = {"add": F.when(has, "keep").when(given, "write"), "replace": F.when(~has, "keep").when(given, "write"), "del": F.when(has, "delete").otherwise("keep")}[operation]
-    return rows.select("aid", "name", "old", "value", F.coalesce(action, F.lit("skip")).alias("action"))
+    return rows.select("aid", "name", "old", "value", F.coalesce(action, F.lit("skip")).alias("action"), *keep)

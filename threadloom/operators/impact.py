@@ -10,6 +10,14 @@ def distinct_revisions(revisions: DataFrame) -> DataFrame:
     return revisions.dropDuplicates(["aid", "hash_long"])
 
 
+def newest_first(revisions: DataFrame) -> DataFrame:
+    """(aid, n_revisions, newest, revisions) with all revisions of an artifact as text, the newest first (H3)."""
+    shown = F.concat("hash_short", F.lit(" ("), F.date_format("ts", "yyyy-MM-dd HH:mm"), F.lit(" by "), "author_email", F.lit(")"))
+    listed = F.sort_array(F.collect_list(F.struct("ts", "hash_long", shown.alias("shown"))), asc=False)
+    rows = distinct_revisions(revisions).groupBy("aid").agg(listed.alias("r"))
+    return rows.select("aid", F.size("r").cast("long").alias("n_revisions"), F.get("r", F.lit(0))["shown"].alias("newest"), F.array_join(F.transform("r", lambda x: x["shown"]), "; ").alias("revisions"))
+
+
 def latest_revision(revisions: DataFrame) -> DataFrame:
     """The newest revision of each artifact; equal times are decided by the full hash."""
     rest = [c for c in revisions.columns if c != "aid"]

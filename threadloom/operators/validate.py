@@ -32,7 +32,7 @@ def unknown_types(artifacts: DataFrame, rules: DataFrame) -> DataFrame:
 def active(artifacts: DataFrame, rules: DataFrame) -> DataFrame:
     """Artifacts times the rules of their type that hold for them. A metamodel is a text of bounded size: rules are broadcast."""
     pairs = artifacts.join(F.broadcast(rules), "atype")
-    return pairs.filter(condition(F.col("cond_anchor"), F.col("cond_negated")))
+    return pairs.filter(condition(F.col("cond_anchor"), F.col("cond_negated"), F.col("cond_true")))
 
 
 def missing_mandatory(artifacts: DataFrame, rules: DataFrame) -> DataFrame:
@@ -42,9 +42,9 @@ def missing_mandatory(artifacts: DataFrame, rules: DataFrame) -> DataFrame:
 
 def extra_attributes(artifacts: DataFrame, rules: DataFrame) -> DataFrame:
     """K6: attributes that no active rule of the type covers. The covered names of a row are gathered from its few rules, without a join on attributes."""
-    names = F.collect_list(F.struct("attr", "cond_anchor", "cond_negated")).alias("__rules")
+    names = F.collect_list(F.struct("attr", "cond_anchor", "cond_negated", "cond_true")).alias("__rules")
     by_type = F.broadcast(rules.groupBy("atype").agg(names))
-    held = F.transform(F.filter("__rules", lambda r: condition(r["cond_anchor"], r["cond_negated"])), lambda r: r["attr"])
+    held = F.transform(F.filter("__rules", lambda r: condition(r["cond_anchor"], r["cond_negated"], r["cond_true"])), lambda r: r["attr"])
     rows = artifacts.join(by_type, "atype").withColumn("__attr", F.explode(F.array_except(F.map_keys("fields"), held)))
     return _emit(rows, "extra_attribute", F.col("__attr"))
 
@@ -81,8 +81,19 @@ def references(artifacts: DataFrame, rules: DataFrame) -> DataFrame:
     return rows.withColumn("__v", F.explode("__value.vals")).withColumn("__target", link_target(F.col("__v")))
 
 
+def malformed(refs: DataFrame) -> DataFrame:
+    """References that name no id."""
+    return _emit(refs.filter("__target = ''"), "malformed_reference", F.col("attr"), F.col("__v"))
+
+
+def extra_roots(artifacts: DataFrame) -> DataFrame:
+    """The root is implied, so a declared one is one too many."""
+    return _emit(artifacts.filter("atype = 'ROOT'"), "root_count")
+
+
 def dangling(refs: DataFrame, known: DataFrame) -> DataFrame:
     """References to ids that do not exist."""
+    refs = refs.filter("__target != ''")
     return _emit(refs.join(known.select(F.col("aid").alias("__target")), "__target", "left_anti"), "dangling_reference", F.col("attr"), F.col("__target"))
 
 
@@ -106,9 +117,9 @@ def edges(links: DataFrame, artifacts: DataFrame) -> DataFrame:
 
 def forbidden_traces(resolved: DataFrame, trace_rules: DataFrame) -> DataFrame:
     """An edge to a type that no active trace rule of the source allows; sources without any rule are free."""
-    listed = F.collect_list(F.struct("targets", "cond_anchor", "cond_negated")).alias("__rules")
+    listed = F.collect_list(F.struct("targets", "cond_anchor", "cond_negated", "cond_true")).alias("__rules")
     by_source = F.broadcast(trace_rules.groupBy(F.col("source").alias("atype")).agg(listed))
-    allowed = F.flatten(F.transform(F.filter("__rules", lambda r: condition(r["cond_anchor"], r["cond_negated"])), lambda r: r["targets"]))
+    allowed = F.flatten(F.transform(F.filter("__rules", lambda r: condition(r["cond_anchor"], r["cond_negated"], r["cond_true"])), lambda r: r["targets"]))
     rows = resolved.join(by_source, "atype").filter(~F.array_contains(allowed, F.col("__ptype")))
     return _emit(rows, "forbidden_trace", None, F.concat_ws(" ", "pid", "__ptype"))
 
@@ -116,7 +127,7 @@ def forbidden_traces(resolved: DataFrame, trace_rules: DataFrame) -> DataFrame:
 def missing_traces(artifacts: DataFrame, resolved: DataFrame, trace_rules: DataFrame) -> DataFrame:
     """An active mandatory trace rule without a resolved parent of its targets."""
     rules = F.broadcast(trace_rules.filter("presence = 'mandatory'").withColumnRenamed("source", "atype"))
-    wanted = artifacts.join(rules, "atype").filter(condition(F.col("cond_anchor"), F.col("cond_negated")))
+    wanted = artifacts.join(rules, "atype").filter(condition(F.col("cond_anchor"), F.col("cond_negated"), F.col("cond_true")))
     have = resolved.groupBy("aid").agg(F.collect_set("__ptype").alias("__have"))
     lacking = wanted.join(have, "aid", "left").filter(~F.arrays_overlap(F.coalesce("__have", F.array().cast("array<string>")), "targets"))
     return _emit(lacking, "missing_trace", None, F.array_join("targets", " or "))
@@ -125,7 +136,7 @@ def missing_traces(artifacts: DataFrame, resolved: DataFrame, trace_rules: DataF
 def trace_modes(resolved: DataFrame, trace_rules: DataFrame) -> DataFrame:
     """A timestamp rule forbids a pinned revision, a commit rule requires one; judged per rule and parent."""
     rows = resolved.join(F.broadcast(trace_rules.withColumnRenamed("source", "atype")), "atype")
-    rows = rows.filter(condition(F.col("cond_anchor"), F.col("cond_negated")) & F.array_contains("targets", F.col("__ptype")))
+    rows = rows.filter(condition(F.col("cond_anchor"), F.col("cond_negated"), F.col("cond_true")) & F.array_contains("targets", F.col("__ptype")))
     pinned = F.col("nominal_revision").isNotNull()
     return _emit(rows.filter(F.when(F.col("mode") == "commit", ~pinned).otherwise(pinned)), "trace_mode", None, F.concat_ws(" ", "mode", "pid"))
 

@@ -32,8 +32,10 @@ def _renamed(part: str, new: str) -> str:
     return body + "\n" + line.rstrip("\n") + part[len(body) :]
 
 
-def set_attribute(part: str, name: str, value: str | None, mode: str) -> str:
-    """Add, replace or delete an attribute of one segment or frontmatter file; ``add`` keeps an existing value."""
+def set_attribute(part: str, name: str, value: str | None, mode: str, as_field: bool = False) -> str:
+    """Add, replace or delete an attribute of one segment or frontmatter file; ``add`` keeps an existing value.
+
+    ``as_field`` adds it as an inline field also where there is a YAML block."""
     inline = re.compile(rf"(?im)^\[{re.escape(name)}\][ \t]*[^\r\n]*(?:\r?\n(?!\[|```|\s*$)[^\r\n]*)*(\r?\n|\Z)")
     front = part.startswith("---")
     block = re.compile(rf"(?m)^(?P<i>[ \t]*){re.escape(name)}:[^\r\n]*(?:\r?\n(?P=i)[ \t]+[^\r\n]*)*(\r?\n|\Z)")
@@ -52,6 +54,8 @@ def set_attribute(part: str, name: str, value: str | None, mode: str) -> str:
         return part
     if scope and front:
         return part[: scope.end() - 3] + f"{name}: {value}\n" + part[scope.end() - 3 :]
+    if scope and as_field:
+        return part[: scope.start()] + f"[{name}] {value}\n" + part[scope.start() :]
     if scope and (attrs := re.search(r"(?m)^([ \t]*)attrs:[ \t]*$", part[scope.start() : scope.end()])):
         at = scope.start() + attrs.end()
         return part[:at] + f"\n{attrs[1]}  {name}: {value}" + part[at:]
@@ -62,10 +66,16 @@ def set_attribute(part: str, name: str, value: str | None, mode: str) -> str:
     return body + f"\n[{name}] {value}" + part[len(body) :]
 
 
-def set_attributes(text: str, edits: Iterable[tuple[int, int, str, str | None, str]]) -> str:
-    """(first offset, end offset, name, value, mode) edits of one file, applied bottom up (H5)."""
-    for start, end, name, value, mode in sorted(edits, key=lambda e: -e[0]):
-        text = text[:start] + set_attribute(text[start:end], name, value, mode) + text[end:]
+def set_attributes(text: str, edits: Iterable[tuple]) -> str:
+    """(first offset, end offset, name, value, mode) edits of one file, applied bottom up, those of one segment together (H5)."""
+    by: dict[tuple[int, int], list] = {}
+    for start, end, *edit in edits:
+        by.setdefault((start, end), []).append(edit)
+    for (start, end), own in sorted(by.items(), reverse=True):
+        part = text[start:end]
+        for name, value, mode, *inline in own:
+            part = set_attribute(part, name, value, mode, *inline)
+        text = text[:start] + part + text[end:]
     return text
 
 

@@ -56,7 +56,16 @@ def convert(path: str | Path, suffix: str, template: str | None = None, timeout:
     return out
 
 
-TASK = "---\nid: {task_id}\natype: {atype}\nstatus: open\nchild_revision: {child_rev}\nparent_revision: {parent_rev}\n---\n# Check {child_id} against {pid}\n\n- **Child:** {child_id}\n- **Parent:** {pid}\n"
+TASK = (
+    "---\nid: {task_id}\natype: {atype}\nstatus: open\nchild_revision: {child_rev}\nparent_revision: {parent_rev}\n---\n# Check {child_id} against {pid}\n\n"
+    "## Parent (Updated)\n\n- **ID:** {pid}\n- **Type:** {parent_type}\n- **File:** {parent_file}\n- **Input Record:** {parent_record}\n\n"
+    "## Child (Outdated)\n\n- **ID:** {child_id}\n- **Type:** {child_type}\n- **File:** {child_file}\n- **Input Record:** {child_record}\n"
+)
+
+
+class _Known(dict):
+    def __missing__(self, key: str) -> str:
+        return ""
 
 
 def write_tasks(rows: Iterable, folder: str | Path, template: str = TASK) -> dict[str, int]:
@@ -66,7 +75,7 @@ def write_tasks(rows: Iterable, folder: str | Path, template: str = TASK) -> dic
     for r in rows:
         counts[r["action"]] += 1
         if r["action"] != "skip":
-            (folder / r["file_name"]).write_text(template.format(**r), encoding="utf-8")
+            (folder / r["file_name"]).write_text(template.format_map(_Known((k, "" if v is None else v) for k, v in r.items())), encoding="utf-8")
     return counts
 
 

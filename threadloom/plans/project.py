@@ -6,23 +6,27 @@ Everything relational stays a lazy DataFrame; only what a report prints is colle
 from __future__ import annotations
 
 import difflib
+import importlib.metadata
 import importlib.util
+import re
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import cached_property
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom import metamodel, model
+from threadloom import metamodel, model, scratch
 from threadloom.operators import diff, edit, graph, impact, metrics, trace, validate
-from threadloom.plans import publish, report
+from threadloom.operators.order import numbered
+from threadloom.plans import apply, outputs, publish, report
 from threadloom.sources import config as settings
 from threadloom.sources import files as small
 from threadloom.sources import git, scan
 
 
+_HOOKS = ("transform_blocks", "filter_block", "transform_markdown", "export_trace")
 #: Endings of sidecars.
 SIDE = r"\.(stmx|side\.yaml)$"
 
@@ -48,7 +52,14 @@ def load_plugin(name: str, folder: str | Path) -> Plugin:
         raise PluginError(f"bad plugin name {name!r}")
     path = Path(folder) / f"{name}.py"
     if not path.exists():
-        raise PluginError(f"no plugin {path}")
+        for entry in importlib.metadata.entry_points(group="threadloom.plugins"):
+            if entry.name == name:
+                try:
+                    found = entry.load()
+                except Exception as e:
+                    raise PluginError(f"plugin {name}: {e}") from e
+                return Plugin(name, *[getattr(found, f, None) for f in _HOOKS])
+        raise PluginError(f"no plugin {path}, and no installed one named {name}")
     spec = importlib.util.spec_from_file_location(name, path)
     module = importlib.util.module_from_spec(spec)
     try:
@@ -58,7 +69,7 @@ def load_plugin(name: str, folder: str | Path) -> Plugin:
     active = SparkSession.getActiveSession()
     if active is not None:
         active.sparkContext.addPyFile(str(path))
-    return Plugin(name, *[getattr(module, f, None) for f in ("transform_blocks", "filter_block", "transform_markdown", "export_trace")])
+    return Plugin(name, *[getattr(module, f, None) for f in _HOOKS])
 
 
 def apply_plugins(blocks: DataFrame, plugins: list[Plugin]) -> DataFrame:
@@ -109,19 +120,18 @@ class Project:
     def record_blocks(self, record: settings.InputRecord, only: DataFrame | None = None) -> DataFrame:
         """Blocks of one input; ``only`` (path) prunes files before they are parsed."""
         folder = str(self.root / record.dir)
-        pattern = (record.filter or scan.GLOBS.get(record.driver, "*")).split("/")[-1]
+        pattern = record.filter or scan.GLOBS.get(record.driver, "*")
         rules = self._attribute_rules(record.atype)
         named = lambda df: df.select(F.lit(record.name).alias("record"), *df.columns)
         prune = lambda df: df if only is None else df.join(only.select("path"), "path", "left_semi")
         if record.driver == "sidecar":
-            ends = ("stmx", "side.yaml")
-            names = scan.binaries(self.spark, folder).select("path")
-            is_side = F.lit(False)
-            for e in ends:
-                is_side = is_side | F.col("path").endswith("." + e)
-            sides = named(scan.files(self.spark, folder).filter(is_side))
-            return scan.scan_sidecars(sides, named(names.filter(~is_side)), record.atype, tuple("." + e for e in ends))
-        source = named(prune(scan.files(self.spark, folder, pattern)))
+            ends = tuple("." + e.lstrip(".") for e in record.sidecars)
+            side = "(" + "|".join(re.escape(e) for e in ends) + ")$"
+            # a file and its sidecar are read when either of them changed
+            near = lambda df: df if only is None else df.withColumn("__of", F.regexp_replace("path", side, "")).join(only.select(F.regexp_replace("path", side, "").alias("__of")).distinct(), "__of", "left_semi").drop("__of")
+            names = near(scan.names(self.spark, folder).filter(~F.col("path").rlike(side) & F.col("path").rlike(scan.glob_pattern(pattern))))
+            return scan.scan_sidecars(named(near(scan.files(self.spark, folder).filter(F.col("path").rlike(side)))), named(names), record.atype, ends)
+        source = named(prune(scan.files(self.spark, folder, pattern.split("/")[-1]).filter(F.col("path").rlike(scan.glob_pattern(pattern)))))
         if record.driver in ("obsidian", "markdown"):
             return scan.scan_markdown(source, record.marker, record.atype, fragments=tuple(record.markers), exclude=record.exclude_elements, **rules)
         if record.driver == "ipynb":
@@ -160,16 +170,17 @@ class Project:
         rows = validate.known_types(self.artifacts, rules)
         resolved = validate.edges(self.links, rows)
         patterns = {r["atype"]: metamodel.id_pattern(r["id_schema"], r["atype"]) for r in self.rules.attr_rules if r["attr"] == "id" and r["id_schema"]}
-        found = [validate.unknown_types(self.artifacts, rules), validate.missing_mandatory(rows, rules), validate.extra_attributes(rows, rules.select("atype", "attr", "cond_anchor", "cond_negated")), validate.multiplicity(rows, rules), validate.bad_values(rows, rules)]
+        found = [validate.unknown_types(self.artifacts, rules), validate.missing_mandatory(rows, rules), validate.extra_attributes(rows, rules.select("atype", "attr", "cond_anchor", "cond_negated", "cond_true")), validate.multiplicity(rows, rules), validate.bad_values(rows, rules)]
         if patterns:
             found.append(validate.id_schema(rows, patterns))
         conflicts = graph.parent_links(self.artifacts, rules)[1].withColumnRenamed("child_id", "aid").join(self.artifacts.select("aid", "atype", "record"), "aid")
         found.append(validate._emit(conflicts, "conflicting_revisions", None, F.col("pid")))
+        found.append(validate.extra_roots(self.artifacts))
         deep = graph.too_deep(self.links).withColumnRenamed("start", "aid").join(self.artifacts.select("aid", "atype", "record"), "aid")
         found.append(validate._emit(deep, "too_deep"))
         if not suppress_tracing:
             refs = validate.references(rows, rules)
-            found += [validate.dangling(refs, self.artifacts), validate.unknown_type_references(refs, self.artifacts, rules)]
+            found += [validate.malformed(refs), validate.dangling(refs, self.artifacts), validate.unknown_type_references(refs, self.artifacts, rules)]
             found += [validate.forbidden_traces(resolved, traces), validate.missing_traces(rows, resolved, traces), validate.trace_modes(resolved, traces)]
         out = validate.all_of(*found).join(place, "artifact_id", "left")
         doubles = validate.duplicate_ids(self.occurrences.filter(F.col("aid") != model.UNDEFINED), "record", "path", "block_no")
@@ -183,7 +194,13 @@ class Project:
             )
             extra = part if extra is None else extra.unionByName(part)
         every = out.select(extra.columns).unionByName(extra)
-        text = F.concat_ws(": ", report.message(F.col("code")), F.concat_ws(" ", "attr", "detail"))
+        twice = publish.duplicate_block_ids(self.blocks)
+        none = F.lit(None).cast("string")
+        every = every.unionByName(twice.select(
+            F.lit("duplicate_block_id").alias("code"), none.alias("artifact_id"), none.alias("artifact_type"), none.alias("input_record"), none.alias("attr"), F.concat_ws(" ", "marker", "block_id").alias("detail"),
+            none.alias("file_path"), F.lit(None).cast("int").alias("line_start"), F.lit(None).cast("int").alias("line_end"),
+        ))
+        text = F.concat_ws(": ", report.message(F.col("code"), self.config.language), F.concat_ws(" ", "attr", "detail"))
         return every.withColumn("category", report.category(F.col("code"))).withColumn("message", F.regexp_replace(text, ": $", ""))
 
     # --- questions -----------------------------------------------------------------------------------------------
@@ -204,16 +221,57 @@ class Project:
     def requirements(self) -> DataFrame:
         return self.artifacts.filter(F.col("atype") == self.config.metrics.requirement_type)
 
-    def analyze(self, *, suppress_tracing: bool = False) -> str:
-        """The analysis report: violations, metrics, status histogram."""
+    def analyze(self, *, suppress_tracing: bool = False, use_git: bool = False, allow_dirty: bool = False, most: int = 10_000) -> str:
+        """The analysis report: violations, metrics, status histogram; with git also stale links, their tree and tasks.
+
+        A report shows ``most`` violations and counts the rest; all of them are rows of :meth:`violations`."""
         m = self.config.metrics
-        found = self.violations(suppress_tracing).withColumn("place", report.place(self.config.path_as_links, self.config.wiki_links)).orderBy("input_record", "code", "artifact_id").collect()
+        every = scratch.table(self.violations(suppress_tracing), "violations")
+        found = every.withColumn("place", report.place(self.config.path_as_links, self.config.wiki_links)).orderBy("input_record", "code", "artifact_id").limit(most).collect()
+        more = every.count() - len(found)
+        stale, drawn, tasks = [], [], None
+        if use_git:
+            problems = git.faults(self.root, allow_dirty)
+            found += [_Global(f"{report.text('git', self.config.language)}: {p}") for p in problems]
+            if not any("not in" in p for p in problems):
+                revisions = scratch.table(self.git_revisions(), "revisions")
+                links = scratch.table(self.stale_links(revisions), "stale")
+                stale = links.orderBy("child_id", "pid").limit(most).collect()
+                drawn = [r.line for r in self.suspicious_tree(links).orderBy("path").limit(most).collect()]
+                if self.config.impact.tasks_enabled:
+                    tasks = self.write_tasks(links, revisions)
         totals = [r for r in metrics.percentages(self.requirements(), verify=m.verify_field, marker=m.tbd_marker).collect() if r.total]
         parts = metrics.percentages(self.requirements(), "record", verify=m.verify_field, marker=m.tbd_marker).orderBy("record").collect()
         histogram = metrics.by_status(self.requirements(), m.status_field).orderBy("status").collect()
         if not totals:
-            found.append(_Nothing())
-        return report.analysis(found, [*totals, *(parts if len(parts) > 1 else [])], histogram)
+            found.append(_Global(report.text("no_requirements", self.config.language)))
+        return report.analysis(found, [*totals, *(parts if len(parts) > 1 else [])], histogram, stale, drawn, tasks, more)
+
+    def suspicious_tree(self, stale: DataFrame) -> DataFrame:
+        """(path, line): the tree of stale artifacts and their ancestors, with marks."""
+        kept = graph.suspicious_nodes(self.links, stale)
+        edges = self.links.join(kept.select(F.col("aid").alias("child_id")), "child_id", "left_semi")
+        tops = graph.top_level(self.artifacts, self.links).join(kept.select("aid"), "aid", "left_semi")
+        lines = report.tree(graph.tree_paths(edges, tops))
+        updated = stale.select(F.col("pid").alias("__aid")).distinct().withColumn("__new", F.lit(True))
+        marks = kept.filter("outdated").select(F.col("aid").alias("__aid"), F.lit(True).alias("__old")).join(updated, "__aid", "full_outer")
+        named = lines.withColumn("__aid", F.substring_index("path", "/", -1)).join(marks, "__aid", "left")
+        return named.select("path", F.concat("line", F.when(F.col("__old"), " [!] OUTDATED").otherwise(""), F.when(F.col("__new"), " [*] UPDATED").otherwise("")).alias("line"))
+
+    def write_tasks(self, stale: DataFrame, revisions: DataFrame) -> dict[str, int]:
+        """Write a task file for each stale link that is new or whose revisions changed."""
+        folder = Path(self.config.base) / self.config.impact.tasks_dir
+        folder.mkdir(parents=True, exist_ok=True)
+        rev = impact.latest_revision(revisions).select("aid", "hash_short")
+        place = self.artifacts.select("aid", "atype", F.col("loc.file").alias("file"), "record")
+        rows = stale.select("child_id", "pid")
+        for side, key in (("child", "child_id"), ("parent", "pid")):
+            known = place.join(rev, "aid", "left").select(F.col("aid").alias(key), F.col("atype").alias(f"{side}_type"), F.col("file").alias(f"{side}_file"), F.col("record").alias(f"{side}_record"), F.coalesce("hash_short", F.lit("")).alias(f"{side}_rev"))
+            rows = rows.join(known, key)
+        old = small.existing_tasks(scan.files(self.spark, str(folder), "*.md")) if any(folder.glob("*.md")) else self.spark.createDataFrame([], small.TASKS)
+        plan = generate_tasks(rows, old, self.config.impact.task_atype_map)
+        template = Path(self.config.base) / self.config.impact.tasks_template if self.config.impact.tasks_template else None
+        return outputs.write_tasks((r.asDict() for r in plan.orderBy("task_id").toLocalIterator()), folder, template.read_text(encoding="utf-8") if template else outputs.TASK)
 
     def stale_links(self, revisions: DataFrame) -> DataFrame:
         """Suspicious links by the trace mode of their types: newer parents, other pinned commits."""
@@ -227,11 +285,116 @@ class Project:
         return by_time.select(columns).unionByName(by_commit.select(columns))
 
     def git_revisions(self) -> DataFrame:
-        """Revisions of all artifacts from the blame of their lines."""
+        """Revisions of all artifacts: from the blame of their lines, or the last commits of a file and its sidecar."""
+        located = scratch.table(self.located(), "located")
+        side = F.concat(F.regexp_replace("loc.file", "[^/]*$", ""), F.regexp_extract("loc.sidecar", "[^/]*$", 0))
+        own = located.filter("loc.kind = 'file'").select("aid", F.explode(F.array("loc.file", side)).alias("path"))
+        # the files of a repository on the driver's own disk
+        files = [r[0] for r in located.filter("loc.kind != 'file'").select("loc.file").distinct().toLocalIterator()]
+        whole = [r[0] for r in own.select("path").distinct().toLocalIterator()]
+        lines = git.revisions(located.filter("loc.kind != 'file'"), git.blame(self.spark, self.root, files))
+        last = own.join(git.last_commits(self.spark, self.root, whole), "path").select("aid", "hash_long", "hash_short", "ts", "author_email").dropDuplicates(["aid", "hash_long"])
+        return lines.unionByName(last)
+
+    def located(self) -> DataFrame:
+        """The artifacts with paths from the project's base."""
         paths = {r.name: r.dir for r in self.config.input}
-        located = self.artifacts.withColumn("loc", F.col("loc").withField("file", F.concat(_folder(paths), F.col("path"))))
-        files = [r[0] for r in located.select("loc.file").distinct().collect()]  # the files of a repository on the driver's own disk
-        return git.revisions(located, git.blame(self.spark, self.root, files))
+        return self.artifacts.withColumn("loc", F.col("loc").withField("file", F.concat(_folder(paths), F.col("path"))))
+
+    # --- edits: a plan as rows, written file by file ----------------------------------------------------------------
+
+    def _aborts(self) -> None:
+        broken = self.blocks.filter("kind = 'error'").select("path", "message").limit(5).collect()
+        if broken:
+            raise ValueError("; ".join(f"{r.path}: {r.message}" for r in broken))
+
+    def _rewrite(self, plan: DataFrame, write: Callable[[str, list], str], dry_run: bool) -> int:
+        """Apply ``plan`` (record, path, ...) file by file; line ends of a file are kept. The number of files that change."""
+        folders = {r.name: self.root / r.dir for r in self.config.input}
+        files, held, rows = 0, None, []
+
+        def done() -> int:
+            if held is None:
+                return 0
+            file = folders[held[0]] / held[1]
+            raw = file.read_bytes().decode("utf-8")
+            text = raw.replace("\r\n", "\n")
+            new = write(text, rows)
+            if new != text and not dry_run:
+                file.write_bytes((new.replace("\n", "\r\n") if "\r\n" in raw else new).encode("utf-8"))
+            return int(new != text)
+
+        for r in plan.orderBy("record", "path", "block_no").toLocalIterator():
+            if (r.record, r.path) != held:
+                files += done()
+                held, rows = (r.record, r.path), []
+            rows.append(r)
+        return files + done()
+
+    def identification_plan(self, atype: str | None = None, force: bool = False) -> tuple[DataFrame, DataFrame]:
+        """The new ids (record, path, block_no, source_offset, raw_text, atype, aid, new_id), and valid ids that occur twice."""
+        rules = {r["atype"]: r["id_schema"] for r in self.rules.attr_rules if r["attr"] == "id" and r["id_schema"]}
+        rule = F.create_map(*[F.lit(x) for p in rules.items() for x in p])[F.col("atype")] if rules else F.lit(None).cast("string")
+        rows = self.blocks.filter("kind = 'artifact' and loc.kind != 'file'" + ("" if atype is None else f" and atype = '{atype}'")).select("record", "path", "block_no", "source_offset", "raw_text", "atype", "aid", "loc")
+        rows = rows.withColumn("schema", F.replace(edit.schema_of(F.col("aid"), rule), F.lit("{atype}"), F.col("atype")))
+        macro = r"\{num(?::(\d+))?\}"
+        count = F.regexp_count("schema", F.lit(macro))
+        if rows.filter(count > 1).limit(1).count():
+            raise ValueError("an id schema holds more than one number")
+        rows = rows.filter(count == 1).withColumn("width", F.coalesce(F.regexp_extract("schema", macro, 1).try_cast("int"), F.lit(1)))
+        rows = rows.withColumn("before", F.regexp_extract("schema", r"^(.*?)\{num", 1)).withColumn("after", F.regexp_extract("schema", r"\{num(?::\d+)?\}(.*)$", 1))
+        inner = F.substring(F.col("aid"), F.length("before") + 1, F.length("aid") - F.length("before") - F.length("after"))
+        fits = F.col("aid").startswith(F.col("before")) & F.col("aid").endswith(F.col("after")) & inner.rlike(r"^\d+$") & (F.length(inner) >= F.col("width")) & ~F.contains("aid", F.lit("{"))
+        valid, number = F.coalesce(fits, F.lit(False)), F.when(fits, inner.cast("decimal(38,0)"))
+        rows = rows.withColumn("__valid", valid).withColumn("__number", number).withColumn("location", F.concat_ws(":", "path", F.lpad(F.col("loc.line_start").cast("string"), 9, "0")))
+        todo = rows if force else rows.filter(~F.col("__valid"))
+        base = rows.filter("__valid").groupBy("atype").agg(F.max("__number").alias("__max"))
+        plan = numbered(todo, ["atype"], ["location", "record", "block_no"], "__k").join(F.broadcast(base), "atype", "left")  # one row per type
+        n = F.col("__k") + (F.lit(0) if force else F.coalesce("__max", F.lit(0)))
+        plan = plan.withColumn("new_id", F.concat(model.numbered_id(F.col("before"), n, F.col("width")), F.col("after")))
+        return plan.select("record", "path", "block_no", "source_offset", "raw_text", "atype", "aid", "new_id"), edit.duplicate_valid(rows, F.col("__valid"))
+
+    def renumber(self, atype: str | None = None, force: bool = False, dry_run: bool = False) -> dict:
+        """Give artifacts ids by their schema (N1-N5); errors of the extraction stop it before anything is written."""
+        self._aborts()
+        plan, twice = self.identification_plan(atype, force)
+        plan = scratch.table(plan, "plan")
+        files = self._rewrite(plan, lambda text, rows: apply.new_ids(text, [(r.source_offset, r.source_offset + len(r.raw_text), r.new_id) for r in rows]), dry_run)
+        return {"changed": plan.count(), "files": files, "duplicates": [r.aid for r in twice.orderBy("aid").limit(100).collect()]}
+
+    def edit_attributes(self, section: str, operation: str = "add", name: str | None = None, value: str | None = None, mapping: DataFrame | None = None, dry_run: bool = False, inline: bool = False) -> dict:
+        """Add, replace or delete attributes of a record's artifacts (N6, N7, F22); without a name all mandatory ones are added as TBD."""
+        record = next((r for r in self.config.input if r.name == section), None)
+        if record is None or record.driver not in ("obsidian", "markdown"):
+            raise ValueError(f"no input {section} whose attributes can be edited")
+        if operation != "add" and name is None or operation == "replace" and value is None and mapping is None:
+            raise ValueError(f"{operation} needs a name" + (" and a value" if operation == "replace" else ""))
+        names = [name] if name else list(dict.fromkeys(r["attr"] for r in self.rules.attr_rules if r["atype"] == record.atype and r["presence"] == "mandatory" and r["attr"].lower() not in ("contents", "id")))
+        if not names:
+            raise ValueError(f"no mandatory attributes of {record.atype}")
+        value = "TBD" if name is None or operation == "add" and value is None and mapping is None else value
+        rows = self.blocks.filter((F.col("kind") == "artifact") & (F.col("record") == section)).select("record", "path", "block_no", "source_offset", "raw_text", "aid", "fields")
+        plan = scratch.table(edit.attribute_plan(rows, operation, names, value, mapping, keep=("record", "path", "block_no", "source_offset", "raw_text")), "plan")
+        write = lambda text, rows: apply.set_attributes(text, [(r.source_offset, r.source_offset + len(r.raw_text), r.name, r.value, operation, inline) for r in rows])
+        files = self._rewrite(plan.filter("action in ('write', 'delete')"), write, dry_run)
+        return edit.plan_summary(plan).first().asDict() | {"files": files}
+
+    def renumber_fragments(self, section: str | None = None, marker: str | None = None, dry_run: bool = False) -> dict:
+        """Give numbers to fragments without an id."""
+        chosen = [r for r in self.config.input if r.markers and r.driver in ("obsidian", "markdown") and section in (None, r.name)]
+        if not chosen:
+            raise ValueError(f"no input {section or ''} with markers")
+        names = {m.upper() for r in chosen for m in r.markers if marker is None or m.upper() == marker.upper()}
+        blocks = self.blocks.filter(F.col("record").isin([r.name for r in chosen]) & F.col("marker").isin(sorted(names)) & (F.col("kind") == "text")) if names else self.blocks.limit(0)
+        plan = edit.renumber_markers(blocks).join(blocks.select("record", "path", "block_no", "source_offset"), ["record", "path", "block_no"])
+        plan = scratch.table(plan, "plan")
+        files = self._rewrite(plan, lambda text, rows: apply.marker_ids(text, [(r.source_offset, r.marker, r.new_id) for r in rows]), dry_run)
+        return {"changed": plan.count(), "files": files}
+
+    def revisions_text(self, aid: str) -> list[str]:
+        """One artifact's revisions, the newest first (H3)."""
+        row = impact.newest_first(self.git_revisions().filter(F.col("aid") == aid)).first()
+        return row.revisions.split("; ") if row else []
 
     def search(self, query: str) -> DataFrame:
         return edit.search(self.artifacts, query)
@@ -245,18 +408,34 @@ class Project:
         out = self.artifacts.select("aid", "atype", "record").orderBy("aid")
         return out if limit is None else out.limit(limit)
 
-    def documents(self, options: settings.Publish | None = None) -> DataFrame:
+    def documents(self, options: settings.Publish | None = None, several: bool = False) -> DataFrame:
         mandatory: dict[str, set[str]] = {}
         for r in self.rules.attr_rules:
             if r["presence"] == "mandatory":
                 mandatory.setdefault(r["atype"], set()).add(r["attr"])
-        return publish.documents(self.blocks, options or settings.Publish(), mandatory)
-
-    def publish(self, folder: str | Path, options: settings.Publish | None = None, single: bool = False) -> list[Path]:
-        """Write one document per record, or a single one; text hooks run before writing."""
+        parts, breaks = None, not settings.keeps_breaks(self.config)
+        for record in self.config.input:
+            chosen = options or settings.publish_settings(record.publish, self.config.publish, self.config.base)
+            part = publish.documents(self.blocks.filter(F.col("record") == record.name), chosen, mandatory, several=several, breaks=breaks)
+            parts = part if parts is None else parts.unionByName(part)
+        return parts
+
+    def images(self, documents: DataFrame) -> DataFrame:
+        """(url, path): the file of the project that each local image of the documents means."""
+        wanted = publish.image_names(documents)
+        near = settings.vault_settings(self.root)["attachment_folder"]
+        files = scan.names(self.spark, str(self.root)).select("path", (F.col("path").startswith(near.strip("/") + "/") if near else F.lit(False)).alias("preferred"))
+        found = small.first_match(wanted.select("name"), files)
+        return wanted.join(found, "name").select("url", "path").distinct()
+
+    def publish(self, folder: str | Path, options: settings.Publish | None = None, single: bool = False, suffix: str | None = None) -> list[Path]:
+        """Write one document per record, or a single one: blocks and hooks, rendering, text hooks, writing, images, conversion."""
         folder, out = Path(folder), []
         folder.mkdir(parents=True, exist_ok=True)
-        texts = [(r.record, r.document) for r in self.documents(options).orderBy("record").toLocalIterator()]
+        documents = scratch.table(self.documents(options, several=single), "documents")
+        texts = [(r.record, r.document) for r in documents.orderBy("record").toLocalIterator()]
+        manifest = outputs.copy_images(((r.url, r.path) for r in self.images(documents).orderBy("url").toLocalIterator()), self.root, folder)
+        texts = [(name, publish.rewrite_images(text, manifest)) for name, text in texts]
         for name, text in [("publish", "\n".join(t for _, t in texts))] if single else texts:
             for plugin in self.plugins:
                 if plugin.transform_markdown:
@@ -265,6 +444,8 @@ class Project:
                         raise PluginError(f"plugin {plugin.name}: transform_markdown must return text")
             out.append(folder / f"{name}.md")
             out[-1].write_text(text, encoding="utf-8")
+            if suffix:
+                out.append(outputs.convert(out[-1], suffix, (options or settings.Publish()).docx_template))
         return out
 
     def export_matrix(self, matrix: DataFrame, forward: bool = False, attributes: list[str] = (), delimiter: str = ",") -> str | None:
@@ -275,10 +456,13 @@ class Project:
         return None if hooks else report.matrix_csv(matrix, forward, attributes, delimiter)
 
 
-class _Nothing:
-    """The violation of a project without requirements."""
+class _Global:
+    """A violation of the whole project: no requirements (F1, K19), git."""
+
+    input_record, category, artifact_id, place = None, "structure", None, None
 
-    input_record, category, artifact_id, place, message = None, "structure", None, None, report.MESSAGES["en"]["no_requirements"]
+    def __init__(self, message: str):
+        self.message = message
 
 
 def _folder(paths: dict[str, str]):
@@ -320,7 +504,8 @@ def changes(spark: SparkSession, config: settings.Config, rules: metamodel.Metam
     """
     _inside(config, repo)
     ends = [git.resolve(repo, r) for r in (base, target)]
-    with git.snapshot(repo, ends[0]) as a, git.snapshot(repo, ends[1]) as b:
+    shared = None if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local" else scratch.shared_path(spark)
+    with git.snapshot(repo, ends[0], shared) as a, git.snapshot(repo, ends[1], shared) as b:
         inside = Path(config.base).resolve().relative_to(Path(repo).resolve())
         changed = git.changed_files(spark, repo, *ends)
         sides, contents, broken, raw = [], [], None, []
@@ -352,9 +537,11 @@ def changes(spark: SparkSession, config: settings.Config, rules: metamodel.Metam
             raw.append(read)
         empty = spark.createDataFrame([], model.schema(model.BLOCKS))
         sides = [s if s is not None else empty for s in sides]
-        found = [s.filter("kind = 'artifact'").select("record", "aid", "atype", F.to_json(F.array_sort(F.map_entries("fields"))).alias("all"), "fields") for s in sides]
+        # of several artifacts with one id in a record the last counts
+        last = F.max_by(F.struct("atype", "fields", "loc"), F.struct("path", "block_no")).alias("v")
+        found = [s.filter("kind = 'artifact'").groupBy("record", "aid").agg(last).select("record", "aid", "v.atype", F.to_json(F.array_sort(F.map_entries("v.fields"))).alias("all"), "v.fields", F.col("v.loc.file").alias("path")) for s in sides]
         artifacts = diff.artifact_diff(*found, ["record", "aid"], ["atype", "all"]).collect()
-        fields = diff.field_diff(*found).collect()
+        fields = diff.field_diff(*found, keys=("record", "aid")).collect()
         place = F.concat(_folder({r.name: r.dir for r in config.input}), "path")
         plain = [s.filter("kind = 'text'").withColumn("path", place) for s in sides]
         named = F.coalesce(F.col("explicit_id"), F.lit(False)) & (F.coalesce("block_id", F.lit("")) != "")
@@ -365,7 +552,27 @@ def changes(spark: SparkSession, config: settings.Config, rules: metamodel.Metam
         none = spark.createDataFrame([], "aid string, content binary")
         binaries = diff.binary_diff(*[none if c is None else c for c in contents]).collect() if any(c is not None for c in contents) else []
         errors = _fallback(broken, *raw).collect() if broken is not None else []
-    return report.change_report(artifacts, fields, texts, binaries, errors, base=ends[0][:7], target=ends[1][:7], summary=summary)
+        files = changed.join(_inputs(changed, config, inside), "path", "left_semi").select("status").collect()
+    return report.change_report(artifacts, fields, texts, binaries, errors, files=files, base=ends[0][:7], target=ends[1][:7], summary=summary)
+
+
+def _inputs(changed: DataFrame, config: settings.Config, inside: Path) -> DataFrame:
+    """(path) of the changed files in an input folder."""
+    out = None
+    for record in config.input:
+        part = git.of_record(changed, (inside / record.dir).as_posix()).select("path")
+        out = part if out is None else out.unionByName(part)
+    return out.distinct()
+
+
+def change_files(spark: SparkSession, config: settings.Config, rules: metamodel.Metamodel, repo: str | Path, base: str, target: str, folder: str | Path, day: str, *, summary: bool = False) -> list[Path]:
+    """One change report per input record, named by record and revisions."""
+    ends, out = [git.resolve(repo, r) for r in (base, target)], []
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    for record in config.input:
+        out.append(Path(folder) / report.change_name(record.name, *ends, day, summary))
+        out[-1].write_text(changes(spark, replace(config, input=[record]), rules, repo, base, target, summary=summary), encoding="utf-8")
+    return out
 
 
 def generate_tasks(stale: DataFrame, existing: DataFrame, atype_map: dict[str, str]) -> DataFrame:
@@ -376,7 +583,7 @@ def generate_tasks(stale: DataFrame, existing: DataFrame, atype_map: dict[str, s
         kind = F.when(F.concat_ws("/", "parent_type", "child_type") == pair, name).otherwise(kind)
     from threadloom.functions.lines import file_name
 
-    return plan.select("task_id", "action", kind.alias("atype"), F.concat(file_name(F.col("task_id")), F.lit(".md")).alias("file_name"))
+    return plan.withColumns({"atype": kind, "file_name": F.concat(file_name(F.col("task_id")), F.lit(".md"))})
 
 
 def task_rules(rules: metamodel.Metamodel, atype_map: dict[str, str]) -> metamodel.Metamodel:

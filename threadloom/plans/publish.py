@@ -26,18 +26,25 @@ def duplicate_block_ids(blocks: DataFrame) -> DataFrame:
     return blocks.filter("explicit_id").groupBy("marker", "block_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
-def path_headings(blocks: DataFrame, settings: Publish) -> DataFrame:
-    """(record, path, heading): heading lines for the parts of a path that differ from the file before it."""
+def path_headings(blocks: DataFrame, settings: Publish, several: bool = False) -> DataFrame:
+    """(record, path, heading, level): heading lines for the parts of a path that differ from the file before it.
+
+    With ``several`` records in one document each begins with a heading of its own, one level above. A contents file,
+    known by its name without number and in any case, has no heading and stands for its folder."""
     files = blocks.select("record", "path").distinct()
     stem = F.regexp_replace("path", r"\.[^./]+$", "")
     parts = F.filter(F.split(stem, "/"), lambda p: p != "")
-    own = F.when(F.element_at(parts, -1) == settings.contents_marker, F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
-    rows = files.withColumn("parts", own).withColumn("before", F.lag("parts").over(Window.partitionBy("record").orderBy("path")))
+    title = lambda p: strip_number(p) if settings.remove_numeric_prefixes_in_headers else p
+    contents = F.lower(title(F.element_at(parts, -1))) == settings.contents_marker.lower()
+    own = F.when(contents, F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
+    by_path = Window.partitionBy("record").orderBy("path")  # one row per file
+    rows = files.withColumn("parts", own).withColumn("before", F.lag("parts").over(by_path)).withColumn("first", F.row_number().over(by_path) == 1)
     old = F.coalesce("before", F.array().cast("array<string>"))
     differs = F.filter(F.sequence(F.lit(1), F.size("parts")), lambda i: ~F.slice("parts", F.lit(1), i).eqNullSafe(F.slice(old, F.lit(1), i)))
-    title = lambda p: strip_number(p) if settings.remove_numeric_prefixes_in_headers else p
-    lines = F.transform(differs, lambda i: F.concat(F.repeat(F.lit("#"), F.least(F.lit(6), i + settings.start_level - 1)), F.lit(" "), title(F.get("parts", i - 1)), F.lit("\n\n")))
-    return rows.select("record", "path", F.when(F.size("parts") > 0, F.array_join(lines, "")).otherwise("").alias("heading"), F.size("parts").alias("level"))
+    top = settings.start_level + int(several)
+    lines = F.transform(differs, lambda i: F.concat(F.repeat(F.lit("#"), F.least(F.lit(6), i + top - 1)), F.lit(" "), title(F.get("parts", i - 1)), F.lit("\n\n")))
+    lead = F.when(F.lit(several) & F.col("first"), F.concat(F.lit("#" * min(6, settings.start_level) + " "), title(F.col("record")), F.lit("\n\n"))).otherwise("")
+    return rows.select("record", "path", F.concat(lead, F.when(F.size("parts") > 0, F.array_join(lines, "")).otherwise("")).alias("heading"), (F.size("parts") + int(several)).alias("level"))
 
 
 def shown(fields: dict, presence: str, mandatory: set[str]) -> list[tuple[str, str]]:
@@ -85,9 +92,24 @@ def _cell(text: str) -> str:
     return f"`{flat}`" if "<" in text and ">" in text else flat
 
 
-def documents(blocks: DataFrame, settings: Publish, mandatory: dict[str, set[str]] | None = None) -> DataFrame:
+def hard_breaks(text: str) -> str:
+    """Two spaces at the end of lines that a strict renderer would join with the next one, outside code fences."""
+    lines, fenced = text.split("\n"), False
+    for i, line in enumerate(lines[:-1]):
+        fence = line.lstrip().startswith(("```", "~~~"))
+        fenced ^= fence
+        if not (fence or fenced or not line.strip() or not lines[i + 1].strip() or _BLOCK.match(line) or re.search(r"( {2,}|\\)$", line)):
+            lines[i] = line + "  "
+    return "\n".join(lines)
+
+
+_BLOCK = re.compile(r"\s*(#{1,6}\s|[-*+]\s|\d+[.)]\s|>|\||(-{3,}|\*{3,}|_{3,})\s*$)")
+
+
+def documents(blocks: DataFrame, settings: Publish, mandatory: dict[str, set[str]] | None = None, *, several: bool = False, breaks: bool = False) -> DataFrame:
     """(record, document, n_artifacts, n_text): each record's blocks rendered and put together in order."""
-    heads = path_headings(blocks, settings)
+    heads = path_headings(blocks, settings, several)
+    soft = hard_breaks if breaks else (lambda t: t)
     rules = {k.upper(): v for k, v in settings.render.items()}
     mandatory = mandatory or {}
     rows = with_ids(blocks).join(heads.select("record", "path", "level"), ["record", "path"]).select("record", "path", "block_no", "kind", "content", "marker", "block_id", "message", "atype", "aid", "fields", "level")
@@ -104,13 +126,13 @@ def documents(blocks: DataFrame, settings: Publish, mandatory: dict[str, set[str
                     marks = re.match(r"#+", r.content.strip())
                     texts.append("#" * min(6, len(marks[0]) + int(r.level) + settings.start_level - 1) + r.content.strip()[len(marks[0]) :])
                 elif isinstance(r.marker, str):
-                    texts.append(f"**{r.marker} {r.block_id}:** {r.content.strip()}")
+                    texts.append(f"**{r.marker} {r.block_id}:** {soft(r.content.strip())}")
                 else:
-                    texts.append(r.content.strip() if settings.include_plain_text else "")
+                    texts.append(soft(r.content.strip()) if settings.include_plain_text else "")
             yield pd.DataFrame({"record": f["record"], "path": f["path"], "block_no": f["block_no"], "kind": f["kind"], "text": texts})
 
-    texts = rows.mapInPandas(render, "record string, path string, block_no int, kind string, text string")
-    lead = heads.filter("heading != ''").select("record", "path", F.lit(-1).alias("block_no"), F.lit("path").alias("kind"), F.trim("heading").alias("text"))
+    texts = rows.mapInPandas(render, "record string, path string, block_no long, kind string, text string")
+    lead = heads.filter("heading != ''").select("record", "path", F.lit(-1).cast("long").alias("block_no"), F.lit("path").alias("kind"), F.trim("heading").alias("text"))
     parts = texts.unionByName(lead).filter("text != ''")
     ordered = F.array_sort(F.collect_list(F.struct("path", "block_no", "text")))
     text = F.array_join(F.transform(ordered, lambda x: x["text"]), "\n\n")

@@ -21,14 +21,22 @@ MESSAGES = {
         "bad_integer": "not an integer", "bad_boolean": "not a boolean", "bad_enum": "not an allowed value", "dangling_reference": "reference to an unknown id",
         "unknown_type_reference": "reference to an artifact of an unknown type", "id_schema": "id does not match its schema", "forbidden_trace": "trace is not allowed", "missing_trace": "mandatory trace is missing",
         "trace_mode": "trace mode is violated", "duplicate_id": "duplicate id", "no_id": "artifact without an id", "extraction": "extraction error", "conflicting_revisions": "conflicting revisions",
-        "too_deep": "circular or too deep reference", "no_requirements": "no requirements found",
+        "too_deep": "circular or too deep reference", "no_requirements": "no requirements found", "malformed_reference": "malformed reference", "root_count": "there must be exactly one root",
+        "duplicate_block_id": "duplicate fragment id", "git": "revisions are not known",
+    },
+    "ru": {
+        "unknown_type": "неизвестный тип артефакта", "missing_attribute": "нет обязательного атрибута", "extra_attribute": "атрибута нет в метамодели", "multiplicity": "неверная множественность",
+        "bad_integer": "не целое число", "bad_boolean": "не логическое значение", "bad_enum": "недопустимое значение", "dangling_reference": "ссылка на неизвестный идентификатор",
+        "unknown_type_reference": "ссылка на артефакт неизвестного типа", "id_schema": "идентификатор не соответствует схеме", "forbidden_trace": "трассировка не разрешена", "missing_trace": "нет обязательной трассировки",
+        "trace_mode": "нарушен способ трассировки", "duplicate_id": "повторный идентификатор", "no_id": "артефакт без идентификатора", "extraction": "ошибка извлечения", "conflicting_revisions": "противоречивые ревизии",
+        "too_deep": "циклическая или слишком глубокая ссылка", "no_requirements": "требования не найдены", "malformed_reference": "неверная ссылка", "root_count": "должен быть ровно один корень",
+        "duplicate_block_id": "повторный идентификатор фрагмента", "git": "ревизии неизвестны",
     },
-    "ru": {"unknown_type": "неизвестный тип артефакта", "missing_attribute": "нет обязательного атрибута", "duplicate_id": "повторный идентификатор", "no_requirements": "требования не найдены"},
 }
 CATEGORY = {
     "unknown_type": "attribute", "missing_attribute": "attribute", "extra_attribute": "attribute", "multiplicity": "attribute", "bad_integer": "attribute", "bad_boolean": "attribute", "bad_enum": "attribute",
     "dangling_reference": "reference", "unknown_type_reference": "reference", "conflicting_revisions": "reference", "id_schema": "schema", "forbidden_trace": "trace", "missing_trace": "trace", "trace_mode": "trace",
-    "duplicate_id": "duplicate", "no_id": "extraction", "extraction": "extraction", "too_deep": "structure", "no_requirements": "structure",
+    "duplicate_id": "duplicate", "no_id": "extraction", "extraction": "extraction", "too_deep": "structure", "no_requirements": "structure", "malformed_reference": "reference", "root_count": "structure", "duplicate_block_id": "duplicate", "git": "structure",
 }
 
 
@@ -37,6 +45,10 @@ def category(code: Column) -> Column:
     return F.coalesce(pairs[code], F.lit("structure"))
 
 
+def text(code: str, language: str = "en") -> str:
+    return MESSAGES.get(language, {}).get(code) or MESSAGES["en"][code]
+
+
 def message(code: Column, language: str = "en") -> Column:
     texts = MESSAGES["en"] | MESSAGES.get(language, {})
     return F.coalesce(F.create_map(*[F.lit(x) for p in texts.items() for x in p])[code], code)
@@ -53,8 +65,10 @@ def place(links: bool = False, wiki: bool = False) -> Column:
     return F.concat(F.lit("["), shown, F.lit("]("), percent_encode(F.col("file_path")), F.lit(")"))
 
 
-def analysis(violations: Iterable, metrics: Iterable = (), histogram: Iterable = (), stale: Iterable = ()) -> str:
-    """The analysis report as Markdown, from collected rows: errors by input and category, metrics, stale links."""
+def analysis(violations: Iterable, metrics: Iterable = (), histogram: Iterable = (), stale: Iterable = (), tree: Iterable = (), tasks: dict | None = None, more: int = 0) -> str:
+    """The analysis report as Markdown, from collected rows: errors by input and category, metrics, stale links with their pruned tree, tasks.
+
+    ``more`` counts the violations that are not shown."""
     groups: dict = {}
     for v in violations:
         groups.setdefault(v.input_record or "", {}).setdefault(v.category, []).append(v)
@@ -66,13 +80,19 @@ def analysis(violations: Iterable, metrics: Iterable = (), histogram: Iterable =
             out += [f"- {v.message}" + (f" `{v.artifact_id}`" if v.artifact_id else "") + (f" at {v.place}" if v.place else "") for v in groups[record][c]] + [""]
     if not groups:
         out += ["No errors.", ""]
+    if more:
+        out += [f"{more} more errors are not shown.", ""]
     for m in metrics:
         name = f" of {m.record}" if "record" in m.asDict() else ""
         out += [f"## Metrics{name}", "", f"- requirements: {m.total}", f"- without verification: {m.pct_without_verify:.1f} %", f"- to be defined: {m.pct_tbd:.1f} %"]
     if histogram := list(histogram):
         out += ["", "| status | count |", "| --- | --- |", *[f"| {h["status"]} | {h["count"]} |" for h in histogram]]
     if stale := list(stale):
-        out += ["", "## Suspicious links", "", *[f"- {s.child_id} -> {s.pid}" for s in stale]]
+        out += ["", f"## Suspicious links ({len(stale)})", "", *[f"- {s.child_id} -> {s.pid}" + (f" ({s.nominal_revision})" if s.nominal_revision else "") for s in stale]]
+    if tree := list(tree):
+        out += ["", "```", *tree, "```"]
+    if tasks is not None:
+        out += ["", f"Tasks: {tasks['create'] + tasks['update']} written, {tasks['skip']} skipped"]
     return "\n".join(out).rstrip() + "\n"
 
 
@@ -92,15 +112,15 @@ def tree(paths: DataFrame) -> DataFrame:
     return rows.join(drawn, "path", "left").select("path", F.concat(F.coalesce(bars, F.lit("")), "aid").alias("line"))
 
 
-def change_report(artifacts: Iterable, fields: Iterable, texts: Iterable = (), binaries: Iterable = (), errors: Iterable = (), *, base: str = "", target: str = "", summary: bool = False) -> str:
+def change_report(artifacts: Iterable, fields: Iterable, texts: Iterable = (), binaries: Iterable = (), errors: Iterable = (), *, files: Iterable = (), base: str = "", target: str = "", summary: bool = False) -> str:
     """A change report as Markdown, from collected rows (M7, M8)."""
     artifacts, fields, texts, binaries, errors = list(artifacts), list(fields), list(texts), list(binaries), list(errors)
     count = lambda rows, kind: sum(r.change == kind for r in rows)
     out = [f"# Changes {base} .. {target}".rstrip(), "", "| | added | removed | modified |", "| --- | --- | --- | --- |"]
     for name, rows in (("artifacts", artifacts), ("text fragments", texts), ("binaries", binaries)):
         out.append(f"| {name} | {count(rows, 'added')} | {count(rows, 'removed')} | {count(rows, 'modified')} |")
-    if errors:
-        out += ["", f"Files with errors: {len(errors)}"]
+    kinds = [{"A": "added", "D": "removed"}.get(f.status, "changed") for f in files]
+    out += ["", "Files: " + ", ".join(f"{kinds.count(k)} {k}" for k in ("changed", "added", "removed")) + f"; extraction errors: {len(errors)}"]
     if summary:
         return "\n".join(out) + "\n"
     by: dict = {}
@@ -111,10 +131,12 @@ def change_report(artifacts: Iterable, fields: Iterable, texts: Iterable = (), b
         if rows:
             out += ["", f"## {kind.capitalize()}", ""]
         for a in sorted(rows, key=lambda a: a.aid):
-            out.append(f"- {a.aid}")
+            out.append("- " + a.aid.replace("<", "&lt;").replace(">", "&gt;"))
             out += [f"  - {f.field}: {cell(f.old)} -> {cell(f.new)}" for f in sorted(by.get(a.aid, []), key=lambda f: f.field)]
     if texts:
-        out += ["", "## Text", "", *[f"- {t.change} in {t.path}: {cell(t.old)} -> {cell(t.new)}" for t in texts]]
+        out += ["", "## Text"]
+    for t in texts:
+        out += ["", f"- {t.change} in {t.path}: {cell(t.old)} -> {cell(t.new)}", *[f"  {line}" for line in quoted(t.new if t.new is not None else t.old)]]
     if binaries:
         shown = lambda size, digest: "" if digest is None else f"{size} B `{digest[:12]}`"
         out += ["", "## Binaries", ""]
@@ -125,6 +147,21 @@ def change_report(artifacts: Iterable, fields: Iterable, texts: Iterable = (), b
     return "\n".join(out) + "\n"
 
 
+def escape_html(text: Column) -> Column:
+    """Angle brackets as entities, so that Markdown does not take them for HTML."""
+    return F.replace(F.replace(text, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def quoted(text: str | None) -> list[str]:
+    """A text as block quote lines, headings outside code fences escaped."""
+    out, fenced = [], False
+    for line in (text or "").splitlines() if (text or "").strip() else ():
+        bare = line.lstrip()
+        fenced ^= bare.startswith("```")
+        out.append("> " + (line[: len(line) - len(bare)] + "\\" + bare if not fenced and bare.startswith("#") else line))
+    return out
+
+
 def cell(text: str | None) -> str:
     """The first non-blank line of a value for a table cell."""
     lines = [x for x in (text or "").splitlines() if x.strip()]
@@ -143,9 +180,21 @@ def matrix_csv(matrix: DataFrame, forward: bool = True, attributes: list[str] =
     return out.getvalue()
 
 
+def change_name(record: str, base: str, target: str, day: str, summary: bool = False) -> str:
+    """The file name of a record's change report (M9)."""
+    label = lambda r: r if r == "working" else r[:7]
+    return f"{re.sub(r'[/' + chr(92) * 2 + ']', '_', record.replace(' ', '-'))}-{label(base)}-to-{label(target)}-{day}{'-summary' if summary else ''}.md"
+
+
+def matrix_files(matrix: DataFrame, folder: str, forward: bool = True, attributes: list[str] = (), delimiter: str = ",") -> None:
+    """A trace matrix as CSV part files in the order of its numbers, written by the executors: for matrices of any size (B1)."""
+    named = [F.col("record_number").alias("RecordNumber"), F.col("lead_id").alias("ChildID" if forward else "ParentID"), F.col("linked_id").alias("ParentID" if forward else "ChildID")]
+    matrix.repartitionByRange("record_number").sortWithinPartitions("record_number").select(*named, *attributes).write.mode("overwrite").option("header", True).option("sep", delimiter).csv(folder)
+
+
 def output_name(child: str, parent: str, forward: bool, day: str, suffix: str = "csv") -> str:
     """The default file name of a matrix (B2)."""
     return f"trace-{child}-{parent}-{'forward' if forward else 'reverse'}-{day}.{suffix}"
 
 
-__all__ = ["analysis", "category", "cell", "change_report", "matrix_csv", "message", "output_name", "place", "size_text", "tree"]
+__all__ = ["analysis", "category", "cell", "change_name", "change_report", "escape_html", "matrix_csv", "matrix_files", "message", "output_name", "place", "quoted", "size_text", "tree"]

@@ -168,6 +168,8 @@ artifact ORD:
     attribute flag is optional boolean [true: "on", "yes", false: "off", "no"]
     attribute tags is optional multiple string
     attribute reason is mandatory string if urgent
+    attribute note is mandatory string if flag
+    attribute extra is optional string if not flag
     attribute parent is mandatory reference to parent
     attribute see is optional reference
 artifact CUS:
@@ -193,7 +195,7 @@ BAD = """bad AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 101 = 0 THEN 'OR
   CASE WHEN o_orderkey % 3 = 0 THEN 'why' END AS reason,
   CASE WHEN o_orderkey % 19 = 0 THEN 'CUS-x' WHEN o_orderkey % 23 = 0 THEN 'ODD-1' ELSE 'CUS-' || o_custkey END
     || CASE WHEN o_orderkey % 29 = 0 THEN '@abc' ELSE '' END AS parent,
-  CASE WHEN o_orderkey % 37 = 0 THEN 'yes' END AS surplus
+  CASE WHEN o_orderkey % 37 = 0 THEN 'yes' END AS surplus, CASE WHEN o_orderkey % 2 = 0 THEN 'n' END AS note, CASE WHEN o_orderkey % 8 = 0 THEN 'e' END AS extra
   FROM orders)"""
 
 
@@ -218,7 +220,7 @@ def _bad(spark, sf):
             count=model.scalar(case(6, " 1_000 ", "1__0", "99999999999999999999", "x1", "-5")), urgent=model.scalar(case(4, "TRUE", "no", "maybe", "yes")),
             flag=model.scalar(case(5, "On", "off", "true")), reason=model.scalar(F.when(key % 3 == 0, "why")), parent=model.scalar(parent),
             tags=F.when(key % 41 == 0, model.scalar(F.lit("one"))).otherwise(model.listed(F.array(F.lit("a"), F.lit("b")))),
-            surplus=model.scalar(F.when(key % 37 == 0, "yes")),
+            surplus=model.scalar(F.when(key % 37 == 0, "yes")), note=model.scalar(F.when(key % 2 == 0, "n")), extra=model.scalar(F.when(key % 8 == 0, "e")),
         ).alias("fields"),
     )
 
@@ -236,16 +238,19 @@ def unknown_types(spark, sf):
 
 @query(f"""WITH {BAD} SELECT aid AS artifact_id, attr FROM (
   SELECT aid, 'contents' AS attr FROM bad WHERE atype = 'ORD' AND contents IS NULL
-  UNION ALL SELECT aid, 'reason' FROM bad WHERE atype = 'ORD' AND lower(urgent) IN ('true', 'yes', '1') AND reason IS NULL)""")
+  UNION ALL SELECT aid, 'reason' FROM bad WHERE atype = 'ORD' AND lower(urgent) IN ('true', 'yes', '1') AND reason IS NULL
+  UNION ALL SELECT aid, 'note' FROM bad WHERE atype = 'ORD' AND lower(flag) IN ('on', 'yes') AND note IS NULL)""")
 def missing_mandatory_attr(spark, sf):
-    """Mandatory attributes, conditional ones included."""
+    """Mandatory attributes, conditional ones included, also on booleans with labels of their own."""
     rows, rules, _ = _checked(spark, sf)
     return validate.missing_mandatory(rows, rules).select("artifact_id", "attr")
 
 
 @query(f"""WITH {BAD} SELECT aid AS artifact_id, attr FROM (
   SELECT aid, 'surplus' AS attr FROM bad WHERE atype = 'ORD' AND surplus IS NOT NULL
-  UNION ALL SELECT aid, 'reason' FROM bad WHERE atype = 'ORD' AND NOT lower(urgent) IN ('true', 'yes', '1') AND reason IS NOT NULL)""")
+  UNION ALL SELECT aid, 'reason' FROM bad WHERE atype = 'ORD' AND NOT lower(urgent) IN ('true', 'yes', '1') AND reason IS NOT NULL
+  UNION ALL SELECT aid, 'note' FROM bad WHERE atype = 'ORD' AND NOT coalesce(lower(flag) IN ('on', 'yes'), false) AND note IS NOT NULL
+  UNION ALL SELECT aid, 'extra' FROM bad WHERE atype = 'ORD' AND lower(flag) IN ('on', 'yes') AND extra IS NOT NULL)""")
 def extra_attr(spark, sf):
     """Attributes without an active rule."""
     rows, rules, _ = _checked(spark, sf)
@@ -490,6 +495,13 @@ def latest_revision(spark, sf):
     return out.select("aid", "hash_long", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("ts"), "author_email")
 
 
+@query(f"""WITH {_LATEST}, s AS (SELECT DISTINCT aid, ts, hash_long, substr(hash_long, 1, 7) || ' (' || strftime(ts, '%Y-%m-%d %H:%M') || ' by ' || event_type || ')' AS shown FROM rev)
+SELECT aid, count(*) AS n_revisions, first(shown ORDER BY ts DESC, hash_long DESC) AS newest, string_agg(shown, '; ' ORDER BY ts DESC, hash_long DESC) AS revisions FROM s GROUP BY 1""")
+def revisions_newest_first(spark, sf):
+    """H3: all revisions of an artifact, the newest first."""
+    return impact.newest_first(_revisions(spark, sf))
+
+
 @query(f"""WITH {LIN} SELECT aid AS child_id, 'ORD-' || o_orderkey AS pid, strftime(l_shipdate, '%Y-%m-%d %H:%M') AS child_ts, strftime(o_orderdate, '%Y-%m-%d %H:%M') AS parent_ts
 FROM lin JOIN orders ON o_orderkey = l_orderkey WHERE o_orderdate > l_shipdate""")
 def impact_timestamp(spark, sf):
@@ -569,6 +581,35 @@ def change_summary(spark, sf):
     return diff.summary(diff.artifact_diff(base, target, ["record", "aid"], ["status"]), "record")
 
 
+_COUNTED = """c AS (
+  SELECT source AS record, CASE WHEN doc_id % 7 = 0 THEN 'files_added' WHEN doc_id % 7 = 1 THEN 'files_removed' ELSE 'files_changed' END AS what FROM documents WHERE doc_id % 7 IN (0, 1) OR doc_id % 5 <= 1
+  UNION ALL SELECT 'src' || (o_orderkey % 20), CASE WHEN o_orderkey % 10 = 0 THEN 'artifacts_added' WHEN o_orderkey % 10 = 2 THEN 'artifacts_removed' ELSE 'artifacts_modified' END FROM orders
+    WHERE o_orderkey % 10 IN (0, 2) OR (o_orderkey % 10 = 1 AND o_orderstatus <> 'F')
+  UNION ALL SELECT source, 'text_fragments_modified' FROM documents WHERE doc_id % 7 IN (0, 1) OR doc_id % 5 = 1
+  UNION ALL SELECT source, CASE WHEN doc_id % 7 = 0 THEN 'binary_added' WHEN doc_id % 7 = 1 THEN 'binary_removed' ELSE 'binary_modified' END FROM documents WHERE doc_id % 7 IN (0, 1) OR doc_id % 5 <= 1
+  UNION ALL SELECT source, 'extraction_errors' FROM documents WHERE doc_id % 11 = 0)"""
+
+
+@query(f"WITH {_COUNTED} SELECT record, " + ", ".join(f"count(*) FILTER (WHERE what = '{c}') AS {c}" for c in diff.COUNTERS) + " FROM c GROUP BY 1")
+def change_counters(spark, sf):
+    """the eleven counters of a change report, per record."""
+    k = F.col("doc_id")
+    d = t.read(spark, sf, "documents").select(k, F.col("source").alias("record"))
+    files = d.filter((k % 7).isin(0, 1) | (k % 5 <= 1)).withColumn("status", F.when(k % 7 == 0, "A").when(k % 7 == 1, "D").otherwise("M"))
+    record = F.concat(F.lit("src"), (F.col("key") % 20).cast("string"))
+    artifacts = diff.artifact_diff(*(f.select(record.alias("record"), "aid", model.attribute("status").alias("status")) for f in _two_revisions(spark, sf)), ["record", "aid"], ["status"])
+    texts = diff.text_by_id(*_text_sides(spark, sf)).withColumnRenamed("path", "record")
+    sides = (f.select(F.concat_ws("|", "path", "block_id").alias("aid"), F.encode("content", "UTF-8").alias("content")) for f in _text_sides(spark, sf))
+    binaries = diff.binary_diff(*sides).withColumn("record", F.substring_index("aid", "|", 1))
+    return diff.counters(files, artifacts, texts, binaries, d.filter(k % 11 == 0), "record")
+
+
+@query("""SELECT source AS path, count(*) AS n_objects, string_agg('b' || doc_id, ';' ORDER BY 'b' || doc_id) AS objects FROM documents WHERE doc_id % 7 IN (0, 1) OR doc_id % 5 = 1 GROUP BY 1""")
+def fragments_by_file(spark, sf):
+    """F16: changed text fragments of each file."""
+    return diff.by_file(diff.text_by_id(*_text_sides(spark, sf)), name="block_id")
+
+
 @query("""SELECT 'f' || (o_orderkey % 50) AS path, count(*) AS n_objects, string_agg('ORD-' || o_orderkey, ';' ORDER BY 'ORD-' || o_orderkey) AS objects FROM orders
 WHERE o_orderkey % 10 IN (0, 2) OR (o_orderkey % 10 = 1 AND o_orderstatus <> 'F') GROUP BY 1""")
 def objects_by_file(spark, sf):
@@ -662,6 +703,43 @@ def csv_fill(spark, sf):
     return edit.fill_from_mapping(docs, mapping.unionByName(stale), "none").select("doc_id", "value", "outcome")
 
 
+def _attribute_plan(spark, sf):
+    k = F.col("key")
+    mapping = t.orders(spark, sf).filter(k % 3 == 0).select(F.lit(1).alias("line_no"), F.col("aid").alias("id"), F.concat(F.lit("o"), k.cast("string")).alias("value"))
+    return edit.attribute_plan(t.orders(spark, sf), "add", ["status", "owner"], None, mapping)
+
+
+_ATTRIBUTE = """a AS (SELECT 'ORD-' || o_orderkey AS aid, name, CASE WHEN name = 'status' THEN o_orderstatus END AS old, CASE WHEN o_orderkey % 3 = 0 THEN 'o' || o_orderkey END AS value,
+  CASE WHEN name = 'status' THEN 'keep' WHEN o_orderkey % 3 = 0 THEN 'write' ELSE 'skip' END AS action FROM orders, (VALUES ('status'), ('owner')) v(name))"""
+
+
+@query(f"WITH {_ATTRIBUTE} SELECT * FROM a")
+def attribute_plan(spark, sf):
+    """Attributes to add, from a mapping; what is there stays."""
+    return _attribute_plan(spark, sf)
+
+
+@query(f"WITH {_ATTRIBUTE} SELECT count(*) FILTER (WHERE action = 'write') AS modified, count(*) FILTER (WHERE action = 'keep') AS skipped, count(*) FILTER (WHERE action = 'skip') AS unmatched FROM a")
+def attribute_summary(spark, sf):
+    """F22."""
+    return edit.plan_summary(_attribute_plan(spark, sf))
+
+
+@query("""SELECT o_orderkey AS key, CASE WHEN o_orderkey % 5 = 0 THEN 'T-{num:4}' WHEN o_orderkey % 2 = 0 THEN 'ORD-{num}' ELSE '{atype}-{num:3}' END AS schema FROM orders""")
+def id_schemas(spark, sf):
+    """A template id, else the metamodel's schema, else the default."""
+    k = F.col("key")
+    template = F.when(k % 5 == 0, "T-{num:4}").otherwise(F.col("aid"))
+    return t.orders(spark, sf).select("key", edit.schema_of(template, F.when(k % 2 == 0, F.lit("ORD-{num}"))).alias("schema"))
+
+
+@query("""SELECT 'P-' || (o_orderkey % 1000) AS aid, count(*) AS n FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1 HAVING count(*) > 1""")
+def duplicate_valid_ids(spark, sf):
+    """valid ids that occur twice, of which renumbering warns."""
+    k = F.col("key")
+    return edit.duplicate_valid(t.orders(spark, sf).select(F.concat(F.lit("P-"), (k % 1000).cast("string")).alias("aid"), "key"), k % 3 == 0)
+
+
 @query("""SELECT 'CUS-' || c_custkey AS aid FROM customer WHERE contains(lower('CUS-' || c_custkey), 'build') OR contains(lower(c_name), 'build') OR contains(lower(c_mktsegment), 'build')""")
 def search_artifacts(spark, sf):
     """Case-insensitive search over id, type and attributes."""
@@ -821,6 +899,23 @@ def text_functions(spark, sf):
     )
 
 
+@query(r"""SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'Title ' || page_id WHEN page_id % 4 = 3 THEN 'nd part' ELSE 'Title' END AS stripped,
+  repeat('#', least(6, 1 + page_id % 6 + page_id % 3)::INT) || ' Head' AS shifted, 'no head' AS plain, replace(replace(url, '<', '&lt;'), '>', '&gt;') AS escaped FROM (SELECT page_id, url || '<b>' AS url FROM pages)""")
+def heading_functions(spark, sf):
+    """Numbers off headings, deeper headings, angle brackets as entities."""
+    from threadloom.functions import lines
+    from threadloom.plans.report import escape_html
+
+    k = F.col("page_id")
+    number = F.when(k % 4 == 0, F.lit("")).when(k % 4 == 1, F.concat(F.lit("1.2."), k.cast("string"), F.lit(" "))).otherwise(F.concat(k.cast("string"), F.lit("- ")))
+    title = F.when(k % 4 == 3, F.lit("2nd part")).otherwise(F.concat(number, F.when(k % 4 == 0, F.concat(F.lit("Title "), k.cast("string"))).otherwise("Title")))
+    head = F.concat(F.repeat(F.lit("#"), (1 + k % 6).cast("int")), F.lit(" Head"))
+    return t.read(spark, sf, "pages").select(
+        "page_id", lines.strip_number(title).alias("stripped"), lines.shift_heading(head, (k % 3).cast("int")).alias("shifted"), lines.shift_heading(F.lit("no head"), F.lit(2)).alias("plain"),
+        escape_html(F.concat("url", F.lit("<b>"))).alias("escaped"),
+    )
+
+
 @query(rf"""WITH {_FENCED}, q AS (SELECT *, (fences % 2 = 1 OR line LIKE '```%') AS fenced, lead(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS follow FROM p)
 SELECT doc_id, count(*) AS n_soft FROM q WHERE NOT fenced AND trim(line) <> '' AND follow IS NOT NULL AND trim(follow) <> ''
   AND NOT regexp_matches(line, '^\s*(#{{1,6}}\s|[-*+]\s|\d+[.)]\s|>|\||```|~~~|(-{{3,}}|\*{{3,}}|_{{3,}})\s*$)') AND NOT regexp_matches(line, '( {{2,}}|\\)$') GROUP BY 1""")

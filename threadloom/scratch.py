@@ -23,6 +23,14 @@ def folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/threadloom-{spark.sparkContext.applicationId}"
 
 
+def shared_path(spark: SparkSession) -> str:
+    """The shared folder as a path of the file system, for files that the driver writes and executors read."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or ""
+    if not (base.startswith("/") or base.startswith("file:")):
+        raise RuntimeError("this needs a spark.checkpoint.dir that is mounted as a folder")
+    return "/" + base.removeprefix("file:").lstrip("/")
+
+
 def table(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once and return the reader of it."""
     spark = df.sparkSession

@@ -13,6 +13,7 @@ import yaml
 
 DRIVERS = ("text", "sidecar", "obsidian", "ipynb", "simple-markdown")
 ELEMENTS = ("callouts", "headings", "horizontal-rules", "frontmatter", "tags")
+LANGUAGES = ("en", "ru")
 MODES = ("only", "string", "string-on-start")
 _MARKER = re.compile(r"[A-Za-z][A-Za-z0-9_-]*")
 
@@ -35,6 +36,7 @@ class InputRecord:
     publish: str | None = None
     exclude_elements: dict[str, str] = field(default_factory=dict)
     task_template: str | None = None
+    sidecars: list[str] = field(default_factory=lambda: [".stmx", ".side.yaml"])
 
     def __post_init__(self):
         self.marker = self.marker or self.atype
@@ -69,6 +71,8 @@ class Config:
     tag_pattern: str | None = None
     plugins: list[dict] = field(default_factory=list)
     strict_line_breaks: str = "on"
+    language: str = "en"
+    publish: str | None = None
     trace_plugins: list[str] = field(default_factory=list)
 
 
@@ -118,16 +122,26 @@ def load(path: str | Path, home: str | Path | None = None) -> Config:
         records.append(record)
     if not records:
         raise ConfigError("no inputs")
+    if data.get("language", "en") not in LANGUAGES:
+        raise ConfigError(f"unknown language {data['language']}")
     pick = lambda cls, part: cls(**{k: v for k, v in data.get(part, {}).items() if k in cls.__dataclass_fields__})
     report = data.get("report", {})
     return Config(
         base=(path.parent / data.get("base", "..")).resolve(), input=records, output_path=data.get("output_path", "outputs/"), metamodel=data.get("metamodel", {}).get("filename"),
         metrics=pick(Metrics, "metrics"), impact=pick(Impact, "impact"), path_as_links=report.get("path_as_links", False), wiki_links=report.get("wiki_links", False),
-        tag_pattern=data.get("baseline", {}).get("tag_pattern"), plugins=data.get("plugins", []), strict_line_breaks=data.get("drivers", {}).get("obsidian", {}).get("strict_line_breaks", "on"),
+        tag_pattern=data.get("baseline", {}).get("tag_pattern"), plugins=data.get("plugins", []), strict_line_breaks=str(data.get("drivers", {}).get("obsidian", {}).get("strict_line_breaks", "on")).lower(), language=data.get("language", "en"), publish=data.get("publish"),
         trace_plugins=data.get("trace", {}).get("plugins", []),
     )
 
 
+def keeps_breaks(config: Config) -> bool:
+    """Whether single line ends are left as they are; ``auto`` asks the vault (C11)."""
+    if config.strict_line_breaks == "auto":
+        strict = vault_settings(config.base)["strict_line_breaks"]
+        return True if strict is None else strict
+    return config.strict_line_breaks not in ("off", "false")
+
+
 def vault_settings(folder: str | Path) -> dict:
     """``attachmentFolderPath`` and ``strictLineBreaks`` of a vault; missing or unreadable settings are None."""
     try:

@@ -10,7 +10,8 @@ import re
 import shutil
 import subprocess
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -46,10 +47,10 @@ def is_dirty(repo: str | Path) -> bool:
 
 
 def blame(spark: SparkSession, repo: str | Path, paths: list[str]) -> DataFrame:
-    """The commit of each line of the files."""
-    rows = []
-    for path in paths:
-        meta, now, line = {}, None, 0
+    """The commit of each line of the files (A12); some files at a time."""
+
+    def of(path: str) -> list[tuple]:
+        rows, meta, now, line = [], {}, None, 0
         for text in git(repo, "blame", "--line-porcelain", "HEAD", "--", path).splitlines():
             if m := re.match(r"([0-9a-f]{40}) \d+ (\d+)", text):
                 now, line = m[1], int(m[2])
@@ -59,18 +60,27 @@ def blame(spark: SparkSession, repo: str | Path, paths: list[str]) -> DataFrame:
                 meta["ts"] = int(text[15:])
             elif text.startswith("\t"):
                 rows.append((path, line, now, now[:7], meta["ts"], meta["mail"]))
-    return _timestamped(spark, rows, BLAME, 4)
+        return rows
+
+    return _timestamped(spark, _each(of, paths), BLAME, 4)
+
+
+def _each(of: Callable[[str], list], paths: list[str]) -> list:
+    with ThreadPoolExecutor(8) as pool:
+        return [row for rows in pool.map(of, paths) for row in rows]
 
 
 def last_commits(spark: SparkSession, repo: str | Path, paths: list[str]) -> DataFrame:
     """The last commit of each file."""
-    rows = []
-    for path in paths:
+
+    def of(path: str) -> list[tuple]:
         out = git(repo, "log", "-1", "--format=%H%x09%h%x09%ct%x09%ae", "--", path).strip()
-        if out:
-            full, _, ts, mail = out.split("\t")
-            rows.append((path, full, full[:7], int(ts), mail))
-    return _timestamped(spark, rows, COMMITS, 3)
+        if not out:
+            return []
+        full, _, ts, mail = out.split("\t")
+        return [(path, full, full[:7], int(ts), mail)]
+
+    return _timestamped(spark, _each(of, paths), COMMITS, 3)
 
 
 def revisions(artifacts: DataFrame, lines: DataFrame) -> DataFrame:
@@ -105,13 +115,23 @@ def changed_files(spark: SparkSession, repo: str | Path, base: str, target: str)
     return spark.createDataFrame(rows, CHANGES)
 
 
+def faults(repo: str | Path, allow_dirty: bool = False) -> list[str]:
+    """What keeps revisions of a folder from being known (K20): no repository, uncommitted changes."""
+    try:
+        return [f"the repository {repo} has uncommitted changes"] if is_dirty(repo) and not allow_dirty else []
+    except (GitError, OSError):
+        return [f"{repo} is not in a git repository"]
+
+
 @contextmanager
-def snapshot(repo: str | Path, revision: str) -> Iterator[Path]:
-    """A folder with the files of a revision: the repository itself for the work tree, else an exported copy."""
+def snapshot(repo: str | Path, revision: str, parent: str | Path | None = None) -> Iterator[Path]:
+    """A folder with the files of a revision: the repository itself for the work tree, else an exported copy.
+
+    On a cluster ``parent`` must be a folder that the executors see too; a local master reads a temporary one."""
     if revision == WORKING:
         yield Path(repo)
         return
-    folder = Path(tempfile.mkdtemp(prefix="snapshot-"))
+    folder = Path(tempfile.mkdtemp(prefix="snapshot-", dir=parent))
     try:
         archive = subprocess.Popen(["git", "-C", str(repo), "archive", revision], stdout=subprocess.PIPE)
         subprocess.run(["tar", "-x", "-C", str(folder)], stdin=archive.stdout, check=True)

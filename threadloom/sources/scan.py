@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from pathlib import PurePosixPath
 
@@ -31,6 +33,19 @@ def binaries(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     return df.select(F.regexp_replace("path", "^.*?" + _quoted(root) + "/", "").alias("path"), "content", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
+def names(spark: SparkSession, folder: str) -> DataFrame:
+    """(path) of all files under a folder, without their contents."""
+    return binaries(spark, folder).select("path")
+
+
+def glob_pattern(glob: str) -> str:
+    """The regular expression of a glob over relative paths; ``**`` matches any folders, a bare name any file of that name below."""
+    parts, out = (glob if "/" in glob else f"**/{glob}").lstrip("/"), ""
+    for piece in re.split(r"(\*\*/|\*\*|\*|\?)", parts):
+        out += {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(piece, re.escape(piece))
+    return f"^{out}$"
+
+
 def _quoted(text: str) -> str:
     return "\\Q" + text + "\\E"
 
@@ -46,8 +61,9 @@ def _blocks(scan: Callable[[str, str], Iterator[markup.Piece]]) -> Callable:
             for r in frame.itertuples(index=False):
                 text = (r.value or "").replace("\r\n", "\n")
                 cell = getattr(r, "cell", None)
+                ends = [m.start() for m in re.finditer("\n", text)]  # once per text, not once per piece
                 for n, p in enumerate(scan(text, r.path)):
-                    lines = (text.count("\n", 0, p.start) + 1, text.count("\n", 0, max(p.start, p.end - 1)) + 1)
+                    lines = (bisect_left(ends, p.start) + 1, bisect_left(ends, max(p.start, p.end - 1)) + 1)
                     kept = {k: {"is_list": isinstance(v, list), "vals": v if isinstance(v, list) else [v]} for k, v in p.fields.items()}
                     rows.append((
                         r.record, r.path, n + 1_000_000 * int(cell or 0), p.kind, p.content, p.marker, p.block_id, p.block_id is not None, p.start, p.message, text[p.start : p.end], p.atype, p.aid,
@@ -119,7 +135,7 @@ def scan_sidecars(source: DataFrame, names: DataFrame, atype: str, suffixes: tup
     A file with no sidecar or with two is an error; so is a sidecar without its file.
     """
     pattern = "(" + "|".join(s.replace(".", r"\.") for s in suffixes) + ")$"
-    side = source.withColumn("original", F.regexp_replace("path", pattern, "")).groupBy("record", "original").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("value"))
+    side = source.withColumn("original", F.regexp_replace("path", pattern, "")).groupBy("record", "original").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("value"), F.max("path").alias("sidecar"))
     joined = names.withColumnRenamed("path", "original").withColumn("here", F.lit(True)).join(side, ["record", "original"], "full_outer")
     fault = (
         F.when(F.col("here").isNull(), "orphan sidecar").when(F.col("n").isNull(), "missing sidecar").when(F.col("n") > 1, "several sidecars")
@@ -129,7 +145,10 @@ def scan_sidecars(source: DataFrame, names: DataFrame, atype: str, suffixes: tup
     def scan(text: str, path: str) -> Iterator[markup.Piece]:
         yield markup.Piece("error", 0, len(text), "", message=text[1:]) if text[:1] == "!" else markup.sidecar_fields(text[1:], atype)
 
-    return rows.mapInPandas(_blocks(scan), model.BLOCKS)
+    out = rows.mapInPandas(_blocks(scan), model.BLOCKS)
+    held = side.select("record", F.col("original").alias("path"), "sidecar")
+    loc = F.col("loc").withField("kind", F.lit("file")).withField("sidecar", F.col("sidecar")).withField("line_start", F.lit(None).cast("int")).withField("line_end", F.lit(None).cast("int"))
+    return out.join(held, ["record", "path"], "left").withColumn("loc", loc).select(out.columns)
 
 
 def artifacts_of(blocks: DataFrame, driver: str) -> DataFrame:
