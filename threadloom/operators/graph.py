@@ -66,6 +66,8 @@ def too_deep(links: DataFrame, limit: int = DEPTH_LIMIT) -> DataFrame:
         alive = edges.join(alive.withColumnRenamed("start", "pid"), "pid", "left_semi").select(F.col("child_id").alias("start")).distinct()
         if i % 5 == 4:
             alive = scratch.table(alive, "walks")
+            if alive.isEmpty():  # most hierarchies end here
+                break
     return alive
 
 
