@@ -57,6 +57,15 @@ def test_embedding_links_of_few_distinct_vectors(spark, distinct):
     assert [got[i].component_id for i in range(len(x))] == root.tolist()
 
 
+def test_embeddings_of_equal_ids_and_clashing_columns(spark, monkeypatch):
+    a, b = [1.0, 0.0, 0.0, 0.1], [0.0, 1.0, 0.0, 0.0]
+    rows = [(1, a, 9, "x"), (1, a, 9, "x"), (1, b, 9, "x"), (2, [2 * v for v in a], 9, "x"), (3, b, 9, "x"), (4, [0.0, 0.0, 1.0] + [0.0] * 3000, 9, "x"), (5, [0.0, 0.0, 1.0] + [0.0] * 3000, 9, "x")]
+    for most in (32_000_000, 1):  # one vector to a group at the least
+        monkeypatch.setattr(embedding_dedup, "GROUP_BYTES", most)
+        out = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, n_links int, kept string")).collect()
+        assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in out) == [(1, 1, 1, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 1, 1, False), (4, 1, 4, True), (5, 1, 4, False)]
+
+
 def test_quantised_bound_holds():
     rng = np.random.default_rng(4)
     u = rng.normal(size=(300, 64))

@@ -13,7 +13,8 @@ per class and a spanning forest of its links, never the links themselves.
 Edge cases: vectors that are null, empty, zero or hold null or non-finite
 components link with nothing; vectors of different lengths do not link; a null
 id takes no part in links and is kept; repeated rows are separate vectors; an
-empty table gives an empty result; other input columns are dropped.
+empty table gives an empty result; other input columns, whatever their names, are
+dropped. Very long vectors make smaller groups.
 """
 
 from __future__ import annotations
