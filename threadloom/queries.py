@@ -369,6 +369,7 @@ def trace_mode_violations(spark, sf):
   SELECT 'orders' AS input_record, 'attribute' AS category FROM bad WHERE atype = 'XXX'
   UNION ALL SELECT 'orders', 'attribute' FROM bad WHERE atype = 'ORD' AND contents IS NULL
   UNION ALL SELECT 'orders', 'attribute' FROM bad WHERE atype = 'ORD' AND lower(urgent) IN ('true', 'yes', '1') AND reason IS NULL
+  UNION ALL SELECT 'orders', 'attribute' FROM bad WHERE atype = 'ORD' AND lower(flag) IN ('on', 'yes') AND note IS NULL
   UNION ALL SELECT 'orders', 'schema' FROM bad WHERE atype = 'ORD' AND aid LIKE 'ORDER-%') GROUP BY 1, 2""")
 def error_groups(spark, sf):
     """Violations by input and category."""
