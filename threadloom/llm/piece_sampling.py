@@ -22,7 +22,7 @@ give equal samples; null keys are keyed by their text; U+2581 decodes as a
 space, as in SentencePiece; an empty table gives an empty result; columns of the
 input other than the two that are used are dropped, whatever their names. Texts
 are handled together up to half a megabyte; a longer one alone, as a whole, in
-some 500 times its bytes of one worker's memory.
+some 300 times its bytes of one worker's memory.
 """
 
 from __future__ import annotations
