@@ -14,7 +14,8 @@ Edge cases: null ids, null, empty and short texts (under three content lines)
 pass unchanged; rows of equal id are ordered by line, and equal positions of
 equal ids both stay, so repeated rows share one fate; an empty table gives an
 empty result; columns named like an added one are replaced; a very long text is
-one row of many windows, handled as a whole in the JVM.
+one row of many windows, handled as a whole in the JVM; its work may grow with
+the square of its lines (texts of 40,000 to 100,000 lines took over four minutes).
 """
 
 from __future__ import annotations
