@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import embedding_dedup, line_dedup, ngram_join, pii_surrogates, piece_sampling, quality_rules, secret_scan, source_mixing, store, substring_dedup, url_filters
+from threadloom.llm import embedding_dedup, line_dedup, ngram_join, pii_surrogates, piece_sampling, quality_rules, secret_scan, source_mixing, store, substring_dedup, url_filters, word_bpe
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,7 +75,14 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_ngram_join, op3_embedding_dedup, op4_pii_surrogates, op5_piece_sampling, op6_url_filters, op7_secret_scan, op8_quality_rules, op9_substring_dedup, op10_source_mixing)}
+def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of every document, encoded and decoded, as digests."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = word_bpe.decode(word_bpe.encode(docs, word_bpe.build(docs)))
+    return out.select("doc_id", "n_tokens", word_bpe.digest("ids").alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_ngram_join, op3_embedding_dedup, op4_pii_surrogates, op5_piece_sampling, op6_url_filters, op7_secret_scan, op8_quality_rules, op9_substring_dedup, op10_source_mixing, op11_word_bpe)}
 ORACLES: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE, "op2_ngram_join": ngram_join.ORACLE, "op3_embedding_dedup": embedding_dedup.ORACLE, "op6_url_filters": url_filters.ORACLE,
     "op9_substring_dedup": substring_dedup.ORACLE, "op10_source_mixing": source_mixing.ORACLE,
