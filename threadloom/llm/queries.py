@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import embedding_dedup, line_dedup, ngram_join, pii_surrogates, piece_sampling, quality_rules, secret_scan, source_mixing, store, substring_dedup, url_filters, word_bpe
+from threadloom.llm import conversation_repair, embedding_dedup, line_dedup, ngram_join, pii_surrogates, piece_sampling, quality_rules, secret_scan, source_mixing, store, substring_dedup, url_filters, word_bpe
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,7 +82,13 @@ def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", word_bpe.digest("ids").alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_ngram_join, op3_embedding_dedup, op4_pii_surrogates, op5_piece_sampling, op6_url_filters, op7_secret_scan, op8_quality_rules, op9_substring_dedup, op10_source_mixing, op11_word_bpe)}
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged by a hash, with its faults, its cheapest repair and a digest of the repaired rows."""
+    rows = read(spark, sf_dir, "conversations")
+    return conversation_repair.with_all(conversation_repair.digests(conversation_repair.repair(conversation_repair.damage(rows))), rows)
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_ngram_join, op3_embedding_dedup, op4_pii_surrogates, op5_piece_sampling, op6_url_filters, op7_secret_scan, op8_quality_rules, op9_substring_dedup, op10_source_mixing, op11_word_bpe, op12_conversation_repair)}
 ORACLES: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE, "op2_ngram_join": ngram_join.ORACLE, "op3_embedding_dedup": embedding_dedup.ORACLE, "op6_url_filters": url_filters.ORACLE,
     "op9_substring_dedup": substring_dedup.ORACLE, "op10_source_mixing": source_mixing.ORACLE,
