@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import conversation_repair, embedding_dedup, line_dedup, ngram_join, pii_surrogates, piece_sampling, quality_rules, secret_scan, source_mixing, store, substring_dedup, url_filters, word_bpe
+from threadloom.llm import conversation_repair, embedding_dedup, line_dedup, ngram_join, pii_surrogates, piece_sampling, quality_rules, secret_scan, source_mixing, spelling_variants, store, substring_dedup, url_filters, word_bpe
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,7 +88,12 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.with_all(conversation_repair.digests(conversation_repair.repair(conversation_repair.damage(rows))), rows)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_ngram_join, op3_embedding_dedup, op4_pii_surrogates, op5_piece_sampling, op6_url_filters, op7_secret_scan, op8_quality_rules, op9_substring_dedup, op10_source_mixing, op11_word_bpe, op12_conversation_repair)}
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents, some of which lose a letter by a hash, with their near words, forms and roots."""
+    return spelling_variants.variants(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_ngram_join, op3_embedding_dedup, op4_pii_surrogates, op5_piece_sampling, op6_url_filters, op7_secret_scan, op8_quality_rules, op9_substring_dedup, op10_source_mixing, op11_word_bpe, op12_conversation_repair, op13_spelling_variants)}
 ORACLES: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE, "op2_ngram_join": ngram_join.ORACLE, "op3_embedding_dedup": embedding_dedup.ORACLE, "op6_url_filters": url_filters.ORACLE,
     "op9_substring_dedup": substring_dedup.ORACLE, "op10_source_mixing": source_mixing.ORACLE,
