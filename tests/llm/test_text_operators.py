@@ -305,3 +305,30 @@ def test_class_numbers_are_unique(spark):
     numbered, turns = ngram_join._class_numbers(classes)
     got = {bytes(r.digest): r.cls for r in numbered.collect()}
     assert len(set(got.values())) == 6 and turns and got == {d: ngram_join._number(d, turns) for d in digests}
+
+
+def test_line_and_shingle_operators_on_a_megabyte(spark):
+    import random
+
+    rng = random.Random(6)
+    long = "\n".join(f"line {rng.randrange(10**6)} of the text" for _ in range(40_000))
+    rows = [(1, long, "a"), (2, "head\n" + long[300_000:] + "\nend", "a"), (3, long + "\none more line", "a"), (4, "same\n" * 100_000, "a"), (5, "x" * 1_000_000, "a")]
+    out = {r.doc_id: r for r in line_dedup.remove_repeated_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for d, x in brute_lines(rows).items():
+        assert (out[d].n_lines, out[d].n_removed, out[d].text) == x
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == brute_classes(rows) and got[3][1] == 1 and got[2][1] == 2
+
+
+def test_line_dedup_grows_with_the_lines_of_a_text(spark):
+    import time
+
+    took = {}
+    for n in (5_000, 20_000, 80_000):
+        text = "\n".join(f"line {i} of the text" for i in range(n))
+        docs = spark.createDataFrame([(1, text, "a"), (2, text + "\nend", "a")], SCHEMA)
+        began = time.perf_counter()
+        out = {r.doc_id: r for r in line_dedup.remove_repeated_lines(docs).collect()}
+        took[n] = time.perf_counter() - began
+        assert (out[1].n_removed, out[2].n_lines, out[2].n_removed, out[2].text) == (0, n + 1, n, "end")
+    assert took[80_000] < 2 + 8 * took[20_000]  # in proportion it is 4 times, by the square 16 times
