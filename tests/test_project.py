@@ -6,7 +6,7 @@ import pytest
 
 from threadloom import metamodel, model
 from threadloom.plans import apply, project, publish, report
-from threadloom.sources import config, files, git
+from threadloom.sources import config, files, git, history
 
 RULES = """
 artifact SYS:
@@ -91,7 +91,8 @@ def test_git_sources_impact_and_change_report(spark, home):
     assert git.tag_baseline([home, home], "v1", "m", pattern=r"v\d+") and git.git(home, "tag").strip() == "v1"
     with pytest.raises(git.GitError):
         git.tag_baseline([home], "x", "m", pattern=r"v\d+")
-    assert [r.hash_short for r in git.last_commits(spark, home, ["REQ/new.md", "absent"]).collect()] == [git.git(home, "rev-parse", "HEAD").strip()[:7]]
+    paths = spark.createDataFrame([("new.md",), ("absent",)], "path string")
+    assert [(r.path, r.hash_short, r.error) for r in history.last_commits(spark, home / "REQ", paths).collect()] == [("new.md", git.git(home, "rev-parse", "HEAD").strip()[:7], None)]
 
 
 def test_change_report_of_ids_binaries_and_errors(spark, tmp_path):
@@ -396,3 +397,143 @@ def test_globs_jpeg_csv_and_conditions(spark, tmp_path):
     rows = spark.createDataFrame([(x, "A", "r", {"contents": value("c"), "on": value(x)}) for x in ("On", "ON", " on", "true", "off", "")], f"aid string, atype string, record string, fields map<string,{model.VALUE}>")
     missing = validate.missing_mandatory(rows, rules.frames(spark)[0]).collect()
     assert {r.artifact_id for r in missing} == {"On", "ON"}
+
+
+def _tree(edges, tops):
+    """(depth, aid, line) of a tree by recursion."""
+    below = {}
+    for c, p in sorted(edges):
+        below.setdefault(p, []).append(c)
+
+    def walk(node, bars, mark, depth):
+        yield depth, node, bars + mark + node
+        kids = below.get(node, []) if depth < 20 else []
+        for k in kids:
+            more = {"": "", "├── ": "│   ", "└── ": "    "}[mark]
+            yield from walk(k, bars + more, "└── " if k == kids[-1] else "├── ", depth + 1)
+
+    return [x for t in sorted(tops) for x in walk(t, "", "", 0)]
+
+
+def test_first_lines_of_a_tree(spark, monkeypatch):
+    import random
+
+    from threadloom.operators import graph
+
+    rng = random.Random(7)
+    names = ["A", "A-1", "A/x", "B", "B.2", "Ä", *(f"n{i}" for i in range(14))]
+    edges = {(names[j], names[i]) for i in range(len(names)) for j in range(i + 1, len(names)) if rng.random() < 0.16}
+    tops = sorted(set(names) - {c for c, _ in edges})
+    want = _tree(edges, tops)
+    frames = spark.createDataFrame(sorted(edges) * 2, "child_id string, pid string"), spark.createDataFrame([(t,) for t in tops], "aid string")
+    for most, counts in ((100_000, (7, 10_000)), (0, (9,))):  # siblings by a window, and by ranges
+        monkeypatch.setattr(graph._placed, "__defaults__", (most,))
+        for n in counts:
+            lines, total = graph.first_lines(*frames, n)
+            got = sorted((r.line_no, r.depth, r.aid, r.line) for r in lines.collect())
+            assert total == len(want) > 60 and got == [(i, *w) for i, w in enumerate(want[:n])]
+    monkeypatch.setattr(graph._placed, "__defaults__", (100_000,))
+    # 20 levels of two nodes that share all their children: 2^20 paths and more, of which few are made
+    ladder = [(f"L{i + 1:02}{x}", f"L{i:02}{y}") for i in range(20) for x in "ab" for y in "ab"]
+    lines, total = graph.first_lines(spark.createDataFrame(ladder, "child_id string, pid string"), spark.createDataFrame([("L00a",), ("L00b",)], "aid string"), 100)
+    got = [r.line for r in lines.orderBy("line_no").collect()]
+    assert total == 2 * (2**21 - 1) and len(got) == 100 and got[:3] == ["L00a", "├── L01a", "│   ├── L02a"] and got[21].endswith("└── L20b")
+    ring = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "top")], "child_id string, pid string")
+    assert graph.first_lines(ring, spark.createDataFrame([("top",)], "aid string"), 100)[1] == 21
+
+
+def test_closure_by_doubling_matches_walks(spark):
+    import random
+
+    from threadloom.operators import graph
+
+    rng = random.Random(9)
+    names = [f"n{i}" for i in range(40)]
+    edges = {(rng.choice(names), rng.choice(names)) for _ in range(45)} | {(f"c{i + 1}", f"c{i}") for i in range(30)}
+    for limit in (1, 2, 3, 5, 20):
+        want, level = {}, {(p, c) for c, p in edges}
+        for depth in range(1, limit + 1):
+            for pair in level:
+                want.setdefault(pair, depth)
+            level = {(a, c) for a, m in level for c, p in edges if p == m}
+        got = {(r.anc_id, r.desc_id): r.depth for r in graph.closure(spark.createDataFrame(sorted(edges), "child_id string, pid string"), limit).collect()}
+        assert got == want
+
+
+def _by_line(repo, path):
+    """(line, hash) by the long form of blame."""
+    out, now = [], None
+    for text in git.git(repo, "blame", "--line-porcelain", "HEAD", "--", path).splitlines():
+        if text.startswith("\t"):
+            out.append((int(now[2]), now[0]))
+        elif len(text.split(" ")[0]) == 40:
+            now = text.split(" ")
+    return out
+
+
+def test_blame_in_executors(spark, home):
+    import random
+
+    rng = random.Random(5)
+    run = lambda *a: subprocess.run(["git", "-C", str(home), *a], check=True, capture_output=True)
+    lines = [f"line {i}" for i in range(400)]
+    for n in range(6):
+        for _ in range(25):
+            lines[rng.randrange(400)] = f"again {n} {rng.random()}"
+        (home / "REQ/long \u00e9.md").write_text("\n".join(lines) + "\n", encoding="utf-8")
+        run("add", ".")
+        run("commit", "-qm", str(n))
+    want = {("REQ/long \u00e9.md", *x) for x in _by_line(home, "REQ/long \u00e9.md")} | {("SYS/a.md", *x) for x in _by_line(home, "SYS/a.md")}
+    paths = spark.createDataFrame([("REQ/long \u00e9.md",), ("SYS/a.md",), ("SYS/a.md",), ("SYS/none.md",)], "path string")
+    runs = history.blame(spark, home, paths).collect()
+    told = [r for r in runs if r.error is None]
+    assert {(r.path, n, r.hash_long) for r in told for n in range(r.first, r.last + 1)} == want and len(told) < 400
+    assert [(r.path, r.first) for r in runs if r.error] == [("SYS/none.md", None)] and all(r.author_email == "a@b.c" and r.ts for r in told)
+    # the interval join: each artifact has the commits of its lines
+    spans = [(f"A{i}", ("REQ/long \u00e9.md", a := rng.randint(1, 400), min(400, a + rng.choice([0, 3, 70, 399])))) for i in range(80)]
+    frame = spark.createDataFrame(spans, "aid string, loc struct<file:string,line_start:int,line_end:int>")
+    got = {(r.aid, r.hash_long) for r in history.revisions(frame, history.blame(spark, home, paths)).collect()}
+    assert got == {(aid, h) for aid, (f, a, b) in spans for p, n, h in want if p == f and a <= n <= b}
+    # the same as a data source, of a revision or a folder of it
+    table = history.blame_table(spark, home)
+    assert {(r.path, n, r.hash_long) for r in table.filter("path in ('REQ/long \u00e9.md', 'SYS/a.md')").collect() for n in range(r.first, r.last + 1)} == want
+    assert {r.path for r in table.select("path").distinct().collect()} > {"SYS/a.md", "REQ/b.md", ".tl/config.toml"}
+    few = history.blame_table(spark, home, "HEAD~6", "SYS").collect()
+    assert {r.path for r in few} == {"SYS/a.md"} and {r.hash_long for r in few} == {git.git(home, "rev-parse", "HEAD~6").strip()}
+
+
+def test_files_that_git_cannot_tell_about_are_violations(spark, home):
+    (home / "REQ/new.md").write_text("[REQ]\nNo errors. at all\n[id] REQ-010\n[status] active\n[parent] SYS-001\n", encoding="utf-8")
+    text = project.Project.load(spark, home / ".tl/config.toml").analyze(use_git=True, allow_dirty=True)
+    assert "revisions are not known: fatal: no such path" in text and "at REQ/new.md" in text and text.errors == 7
+    assert project.Project.load(spark, home / ".tl/config.toml").git_revisions().filter("aid = 'REQ-001'").count() == 1
+
+
+def test_reports_count_what_they_do_not_show(spark, home):
+    rules = RULES.replace("SYS-{num:3}", "SYS-{num:3}")
+    names = [f"[REQ]\nr{i}\n[id] REQ-{i:03}\n[status] active\n[parent] SYS-001\n\n" for i in range(40, 52)]
+    (home / "REQ/many.md").write_text("".join(names), encoding="utf-8")
+    subprocess.run(["git", "-C", str(home), "add", "."], check=True)
+    subprocess.run(["git", "-C", str(home), "commit", "-qm", "many"], check=True)
+    (home / "SYS/a.md").write_text(SYS.replace("The system flies.", "The system flies on."), encoding="utf-8")
+    subprocess.run(["git", "-C", str(home), "commit", "-qam", "later"], check=True, env={"GIT_COMMITTER_DATE": "2038-01-01T00:00:00Z", "PATH": "/usr/bin:/bin"})
+    text = project.Project.load(spark, home / ".tl/config.toml").analyze(use_git=True, most=5)
+    assert "## Suspicious links (13)" in text and "8 more links are not shown." in text and "(9 more lines)" in text and rules == RULES
+
+
+def test_yaml_booleans_take_the_labels_of_their_attribute(spark, tmp_path):
+    rules = metamodel.parse(
+        "artifact A:\n    id is string\n    attribute contents is mandatory string\n    attribute active is optional boolean [true: On, yes, false: off]\n    attribute plain is optional boolean\n"
+        "    attribute extra is mandatory string if active\n"
+    )
+    for name, text in {
+        "m/a.md": "[A]\nx\n```yaml\nattrs:\n  id: A-1\n  active: true\n  plain: false\n```\n", "f/A-2.md": "---\nactive: false\nplain: true\n---\nbody\n",
+        "s/p.png": "x", "s/p.png.stmx": "id: A-3\nactive: yes\ncontents: c\n", "n/n.ipynb": '{"cells": [{"cell_type": "markdown", "source": "[A]\\nx\\n```yaml\\nattrs:\\n  id: A-4\\n  active: false\\n```\\n"}]}',
+    }.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    inputs = [config.InputRecord(d, d, driver, atype="A", marker="A") for d, driver in (("m", "obsidian"), ("f", "simple-markdown"), ("s", "sidecar"), ("n", "ipynb"))]
+    p = project.Project(spark, config.Config(tmp_path, inputs), rules)
+    got = {r.aid: {k: v.vals[0] for k, v in r.fields.items() if k in ("active", "plain")} for r in p.artifacts.collect()}
+    assert got == {"A-1": {"active": "On", "plain": "no"}, "A-2": {"active": "off", "plain": "yes"}, "A-3": {"active": "On"}, "A-4": {"active": "off"}}
+    assert {(r.code, r.artifact_id) for r in p.violations().collect()} == {("missing_attribute", "A-1"), ("missing_attribute", "A-3")}

@@ -128,7 +128,7 @@ def main(argv: list[str] | None = None) -> int:
             if args.violations:
                 project.violations(args.suppress_tracing).write.mode("overwrite").parquet(args.violations)
             print(text)
-            return int("No errors." not in text)
+            return int(text.errors > 0)
         if args.command == "trace":
             matrix = project.matrix(args.child, args.parent, forward=args.forward, flat=args.flat, attributes=args.attribute)
             text = project.export_matrix(matrix, args.forward, args.attribute, args.delimiter)

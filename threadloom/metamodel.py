@@ -39,6 +39,8 @@ class MetamodelError(ValueError):
 class Metamodel:
     attr_rules: list[dict] = field(default_factory=list)
     trace_rules: list[dict] = field(default_factory=list)
+    #: How the booleans of (type, attribute) with labels of their own are written.
+    labels: dict[tuple[str, str], tuple[str, str]] = field(default_factory=dict)
 
     @property
     def types(self) -> list[str]:
@@ -75,7 +77,7 @@ def _labels(items: str | None) -> tuple[list[str], list[str]]:
     m = re.fullmatch(r"\s*true\s*:(.*?),\s*false\s*:(.*)", items, re.S)
     if not m:
         raise MetamodelError(f"boolean values must name true and false: [{items}]")
-    return [v.lower() for v in _values(m[1])], [v.lower() for v in _values(m[2])]
+    return _values(m[1]), _values(m[2])
 
 
 def parse(text: str) -> Metamodel:
@@ -116,7 +118,10 @@ def parse(text: str) -> Metamodel:
                     raise MetamodelError(f"line {number}: an enum needs values")
                 rule["allowed"] = _values(m["items"])
             elif m["type"] == "boolean":
-                rule["true_vals"], rule["false_vals"] = _labels(m["items"])
+                own = _labels(m["items"])
+                rule["true_vals"], rule["false_vals"] = ([v.lower() for v in side] for side in own)
+                if m["items"] is not None and all(own):
+                    out.labels.setdefault((current, m["name"]), (own[0][0], own[1][0]))
             elif m["items"] is not None or (m["parent"] and m["type"] != "reference"):
                 raise MetamodelError(f"line {number}: {body}")
             rule["to_parent"] = bool(m["parent"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from threadloom import scratch
 from threadloom.model import DEPTH_LIMIT, link_revision, link_target, split_list
+from threadloom.operators.order import running
 
 
 def parent_links(artifacts: DataFrame, parent_rules: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -43,18 +44,21 @@ def children_index(links: DataFrame) -> DataFrame:
 def closure(links: DataFrame, limit: int = DEPTH_LIMIT) -> DataFrame:
     """(anc_id, desc_id, depth) of all ancestor pairs, with the least depth, up to ``limit`` edges.
 
-    Semi-naive: only pairs that are new in a level are joined again, so cycles
-    end and diamonds stay polynomial.
-    """
-    edges = scratch.table(links.select(F.col("pid").alias("anc_id"), F.col("child_id").alias("desc_id")).distinct(), "edges")
-    found = edges.withColumn("depth", F.lit(1))
-    fresh = edges
-    for depth in range(2, limit + 1):
-        step = fresh.select(F.col("anc_id"), F.col("desc_id").alias("__mid")).join(edges.select(F.col("anc_id").alias("__mid"), "desc_id"), "__mid").select("anc_id", "desc_id").distinct()
-        fresh = scratch.table(step.join(found.select("anc_id", "desc_id"), ["anc_id", "desc_id"], "left_anti"), "level")
-        if fresh.isEmpty():
+    Doubling: from all least walks of up to k edges those of up to 2k follow, each cut behind its first
+    k edges, so that only the walks of exactly k edges are prolonged: 5 rounds for 20 edges, and one more
+    than the hierarchy's depth needs. Cycles end and diamonds stay polynomial."""
+    edges = links.select(F.col("pid").alias("anc_id"), F.col("child_id").alias("desc_id")).distinct()
+    found = scratch.table(edges.withColumn("depth", F.lit(1)), "pairs")
+    reach = 1
+    while reach < limit:
+        rim = found.filter(F.col("depth") == reach).select("anc_id", F.col("desc_id").alias("__mid"))
+        if rim.isEmpty():
             break
-        found = found.unionByName(fresh.withColumn("depth", F.lit(depth)))
+        on = found.filter(F.col("depth") <= limit - reach).select(F.col("anc_id").alias("__mid"), "desc_id", (F.col("depth") + reach).alias("depth"))
+        longer = rim.join(on, "__mid").groupBy("anc_id", "desc_id").agg(F.min("depth").alias("depth"))
+        fresh = scratch.table(longer.join(found.select("anc_id", "desc_id"), ["anc_id", "desc_id"], "left_anti"), "pairs")
+        found = found.unionByName(fresh)
+        reach = min(2 * reach, limit)
     return found
 
 
@@ -84,6 +88,69 @@ def tree_paths(links: DataFrame, tops: DataFrame, limit: int = DEPTH_LIMIT) -> D
     return out
 
 
+#: Lines from which on a subtree counts as one of so many.
+_MANY = 10**28
+
+
+def subtree_lines(edges: DataFrame, limit: int = DEPTH_LIMIT) -> list[DataFrame]:
+    """(__n, lines) of the nodes with children, for 0, 1, ... levels below: how many lines a tree under the node has.
+
+    The list ends at the height of the graph; deeper ones are equal. Shared subtrees are counted once per level, not once per path."""
+    parents = edges.select(F.col("pid").alias("__n")).distinct()
+    out = [scratch.table(parents.withColumn("lines", F.lit(1).cast("decimal(29,0)")), "sizes")]
+    for _ in range(limit):
+        below = edges.join(out[-1].withColumnRenamed("__n", "child_id"), "child_id", "left")
+        total = F.least(F.sum(F.coalesce("lines", F.lit(1).cast("decimal(29,0)"))) + 1, F.lit(str(_MANY)).cast("decimal(29,0)"))
+        now = scratch.table(below.groupBy(F.col("pid").alias("__n")).agg(total.cast("decimal(29,0)").alias("lines")), "sizes")
+        changed = now.join(out[-1].withColumnRenamed("lines", "__old"), "__n").filter("lines != __old")
+        if changed.isEmpty():
+            break
+        out.append(now)
+    return out
+
+
+def _placed(rows: DataFrame, group: list[str], most: int = 100_000) -> DataFrame:
+    """``rows`` with the lines of the siblings before each; many siblings are summed by ranges."""
+    kept = scratch.table(rows, "siblings")
+    if kept.count() > most:
+        return running(kept, group, ["aid"], before=F.col("lines"))
+    earlier = Window.partitionBy(*(group or [F.lit(0)])).orderBy("aid").rowsBetween(Window.unboundedPreceding, -1)
+    return kept.withColumn("before", F.coalesce(F.sum("lines").over(earlier), F.lit(0)))
+
+
+def first_lines(links: DataFrame, tops: DataFrame, n: int, limit: int = DEPTH_LIMIT) -> tuple[DataFrame, int]:
+    """The first ``n`` lines of the tree under the top-level nodes, as (line_no, aid, depth, line), and how many lines it has.
+
+    Sizes of subtrees tell where the line of each node stands, so that of each level only the nodes among the first ``n``
+    lines are made: the work follows ``n`` and the edges, not the paths, of which diamonds have exponentially many."""
+    edges = scratch.table(links.select("pid", "child_id").distinct(), "edges")
+    sizes = subtree_lines(edges, limit)
+    one = F.lit(1).cast("decimal(29,0)")
+    sized = lambda rows, room: rows.join(sizes[min(room, len(sizes) - 1)], F.col("aid") == F.col("__n"), "left").withColumn("lines", F.coalesce("lines", one)).drop("__n")
+    roots = sized(tops.select("aid").distinct(), limit)
+    total = int(roots.agg(F.coalesce(F.sum("lines"), F.lit(0))).first()[0])
+    level = _placed(roots, []).select(F.col("before").alias("line_no"), "aid", F.lit(0).alias("depth"), F.col("aid").alias("line"), F.lit("").alias("bars"))
+    level = scratch.table(level.filter(F.col("line_no") < n), "lines")
+    lasts = edges.groupBy(F.col("pid").alias("__l")).agg(F.max("child_id").alias("__last"))
+    out = level
+    for depth in range(1, limit + 1):
+        above = F.broadcast(level) if n <= 100_000 else level
+        above = above.select(F.col("line_no").alias("__up"), F.col("aid").alias("__p"), "bars")
+        below = edges.join(above, F.col("pid") == F.col("__p")).join(lasts, F.col("pid") == F.col("__l"))
+        rows = sized(below.select("__up", "bars", F.col("child_id").alias("aid"), (F.col("child_id") == F.col("__last")).alias("last")), limit - depth)
+        placed = _placed(rows, ["__up"]).withColumn("line_no", (F.col("__up") + 1 + F.col("before")).cast("decimal(38,0)")).filter(F.col("line_no") < n)
+        level = scratch.table(
+            placed.select(
+                "line_no", "aid", F.lit(depth).alias("depth"), F.concat("bars", F.when(F.col("last"), "└── ").otherwise("├── "), "aid").alias("line"), F.concat("bars", F.when(F.col("last"), "    ").otherwise("│   ")).alias("bars")
+            ),
+            "lines",
+        )
+        if level.isEmpty():
+            break
+        out = out.unionByName(level)
+    return out.select(F.col("line_no").cast("long").alias("line_no"), "aid", "depth", "line"), total
+
+
 def suspicious_nodes(links: DataFrame, stale_children: DataFrame, limit: int = DEPTH_LIMIT) -> DataFrame:
     """(aid, outdated): the nodes that a pruned tree keeps: stale children (outdated) and all their ancestors."""
     edges = scratch.table(links.select("child_id", "pid").distinct(), "edges")

@@ -23,7 +23,7 @@ from threadloom.operators.order import numbered
 from threadloom.plans import apply, outputs, publish, report
 from threadloom.sources import config as settings
 from threadloom.sources import files as small
-from threadloom.sources import git, scan
+from threadloom.sources import git, history, scan
 
 
 _HOOKS = ("transform_blocks", "filter_block", "transform_markdown", "export_trace")
@@ -106,6 +106,8 @@ class Project:
     def load(cls, spark: SparkSession, path: str | Path, home: str | Path | None = None) -> Project:
         conf = settings.load(path, home)
         rules = metamodel.parse((Path(path).parent / conf.metamodel).read_text(encoding="utf-8")) if conf.metamodel else metamodel.Metamodel()
+        if conf.impact.tasks_enabled and conf.metamodel:
+            rules = task_rules(rules, conf.impact.task_atype_map)
         plugins = [load_plugin(p["name"], Path(path).parent / "plugins") for p in conf.plugins if p.get("enabled", True)]
         return cls(spark, conf, rules, plugins)
 
@@ -115,7 +117,7 @@ class Project:
 
     def _attribute_rules(self, atype: str) -> dict:
         own = [r for r in self.rules.attr_rules if r["atype"] == atype and r["multiple"]]
-        return {"multiple": {r["attr"] for r in own}, "split": {r["attr"] for r in own if r["type"] in ("reference", "enum")}}
+        return {"multiple": {r["attr"] for r in own}, "split": {r["attr"] for r in own if r["type"] in ("reference", "enum")}, "labels": self.rules.labels}
 
     def record_blocks(self, record: settings.InputRecord, only: DataFrame | None = None) -> DataFrame:
         """Blocks of one input; ``only`` (path) prunes files before they are parsed."""
@@ -130,7 +132,7 @@ class Project:
             # a file and its sidecar are read when either of them changed
             near = lambda df: df if only is None else df.withColumn("__of", F.regexp_replace("path", side, "")).join(only.select(F.regexp_replace("path", side, "").alias("__of")).distinct(), "__of", "left_semi").drop("__of")
             names = near(scan.names(self.spark, folder).filter(~F.col("path").rlike(side) & F.col("path").rlike(scan.glob_pattern(pattern))))
-            return scan.scan_sidecars(named(near(scan.files(self.spark, folder).filter(F.col("path").rlike(side)))), named(names), record.atype, ends)
+            return scan.scan_sidecars(named(near(scan.files(self.spark, folder).filter(F.col("path").rlike(side)))), named(names), record.atype, ends, self.rules.labels)
         source = named(prune(scan.files(self.spark, folder, pattern.split("/")[-1]).filter(F.col("path").rlike(scan.glob_pattern(pattern)))))
         if record.driver in ("obsidian", "markdown"):
             return scan.scan_markdown(source, record.marker, record.atype, fragments=tuple(record.markers), exclude=record.exclude_elements, **rules)
@@ -200,9 +202,22 @@ class Project:
             F.lit("duplicate_block_id").alias("code"), none.alias("artifact_id"), none.alias("artifact_type"), none.alias("input_record"), none.alias("attr"), F.concat_ws(" ", "marker", "block_id").alias("detail"),
             none.alias("file_path"), F.lit(None).cast("int").alias("line_start"), F.lit(None).cast("int").alias("line_end"),
         ))
+        return self._worded(every)
+
+    def _worded(self, every: DataFrame) -> DataFrame:
+        """Violations with their category and message."""
         text = F.concat_ws(": ", report.message(F.col("code"), self.config.language), F.concat_ws(" ", "attr", "detail"))
         return every.withColumn("category", report.category(F.col("code"))).withColumn("message", F.regexp_replace(text, ": $", ""))
 
+    def git_violations(self, faults: DataFrame) -> DataFrame:
+        """Files (path, error) that git cannot tell about, as violations of their input."""
+        record = self.located().select(F.col("loc.file").alias("path"), F.col("record").alias("input_record")).distinct()
+        none, line = F.lit(None).cast("string"), F.lit(None).cast("int")
+        rows = faults.join(record, "path", "left").select(
+            F.lit("git").alias("code"), none.alias("artifact_id"), none.alias("artifact_type"), "input_record", none.alias("attr"), F.col("error").alias("detail"), F.col("path").alias("file_path"), line.alias("line_start"), line.alias("line_end")
+        )
+        return self._worded(rows)
+
     # --- questions -----------------------------------------------------------------------------------------------
 
     def matrix(self, child: str, parent: str, *, forward: bool = False, flat: bool = False, attributes: list[str] = ()) -> DataFrame:
@@ -221,42 +236,47 @@ class Project:
     def requirements(self) -> DataFrame:
         return self.artifacts.filter(F.col("atype") == self.config.metrics.requirement_type)
 
-    def analyze(self, *, suppress_tracing: bool = False, use_git: bool = False, allow_dirty: bool = False, most: int = 10_000) -> str:
+    def analyze(self, *, suppress_tracing: bool = False, use_git: bool = False, allow_dirty: bool = False, most: int = 10_000) -> Analysis:
         """The analysis report: violations, metrics, status histogram; with git also stale links, their tree and tasks.
 
-        A report shows ``most`` violations and counts the rest; all of them are rows of :meth:`violations`."""
+        A report shows ``most`` violations, links and lines of the tree and counts the rest; all of them are rows of :meth:`violations`, :meth:`stale_links`."""
         m = self.config.metrics
-        every = scratch.table(self.violations(suppress_tracing), "violations")
-        found = every.withColumn("place", report.place(self.config.path_as_links, self.config.wiki_links)).orderBy("input_record", "code", "artifact_id").limit(most).collect()
-        more = every.count() - len(found)
-        stale, drawn, tasks = [], [], None
+        every, problems = self.violations(suppress_tracing), []
+        stale, n_stale, drawn, n_drawn, tasks = [], 0, [], 0, None
         if use_git:
             problems = git.faults(self.root, allow_dirty)
-            found += [_Global(f"{report.text('git', self.config.language)}: {p}") for p in problems]
             if not any("not in" in p for p in problems):
-                revisions = scratch.table(self.git_revisions(), "revisions")
+                known = scratch.table(self._history(), "revisions")
+                revisions = known.filter("error is null").drop("path", "error")
+                every = every.unionByName(self.git_violations(known.filter("error is not null").select("path", "error")))
                 links = scratch.table(self.stale_links(revisions), "stale")
-                stale = links.orderBy("child_id", "pid").limit(most).collect()
-                drawn = [r.line for r in self.suspicious_tree(links).orderBy("path").limit(most).collect()]
+                n_stale, stale = links.count(), links.orderBy("child_id", "pid").limit(most).collect()
+                lines, n_drawn = self.suspicious_tree(links, most)
+                drawn = [r.line for r in lines.orderBy("line_no").collect()]
                 if self.config.impact.tasks_enabled:
                     tasks = self.write_tasks(links, revisions)
+        every = scratch.table(every, "violations")
+        found = every.withColumn("place", report.place(self.config.path_as_links, self.config.wiki_links)).orderBy("input_record", "code", "artifact_id").limit(most).collect()
+        more = every.count() - len(found)
+        found += [_Global(f"{report.text('git', self.config.language)}: {p}") for p in problems]
         totals = [r for r in metrics.percentages(self.requirements(), verify=m.verify_field, marker=m.tbd_marker).collect() if r.total]
         parts = metrics.percentages(self.requirements(), "record", verify=m.verify_field, marker=m.tbd_marker).orderBy("record").collect()
         histogram = metrics.by_status(self.requirements(), m.status_field).orderBy("status").collect()
         if not totals:
             found.append(_Global(report.text("no_requirements", self.config.language)))
-        return report.analysis(found, [*totals, *(parts if len(parts) > 1 else [])], histogram, stale, drawn, tasks, more)
+        text = report.analysis(found, [*totals, *(parts if len(parts) > 1 else [])], histogram, stale, drawn, tasks, more, n_stale, n_drawn)
+        return Analysis(text, len(found) + more)
 
-    def suspicious_tree(self, stale: DataFrame) -> DataFrame:
-        """(path, line): the tree of stale artifacts and their ancestors, with marks."""
-        kept = graph.suspicious_nodes(self.links, stale)
+    def suspicious_tree(self, stale: DataFrame, most: int) -> tuple[DataFrame, int]:
+        """The first lines (line_no, line) of the tree of stale artifacts and their ancestors, with marks, and how many it has."""
+        kept = scratch.table(graph.suspicious_nodes(self.links, stale), "kept")
         edges = self.links.join(kept.select(F.col("aid").alias("child_id")), "child_id", "left_semi")
         tops = graph.top_level(self.artifacts, self.links).join(kept.select("aid"), "aid", "left_semi")
-        lines = report.tree(graph.tree_paths(edges, tops))
+        lines, total = graph.first_lines(edges, tops, most)
         updated = stale.select(F.col("pid").alias("__aid")).distinct().withColumn("__new", F.lit(True))
         marks = kept.filter("outdated").select(F.col("aid").alias("__aid"), F.lit(True).alias("__old")).join(updated, "__aid", "full_outer")
-        named = lines.withColumn("__aid", F.substring_index("path", "/", -1)).join(marks, "__aid", "left")
-        return named.select("path", F.concat("line", F.when(F.col("__old"), " [!] OUTDATED").otherwise(""), F.when(F.col("__new"), " [*] UPDATED").otherwise("")).alias("line"))
+        named = lines.join(marks, F.col("aid") == F.col("__aid"), "left")
+        return named.select("line_no", F.concat("line", F.when(F.col("__old"), " [!] OUTDATED").otherwise(""), F.when(F.col("__new"), " [*] UPDATED").otherwise("")).alias("line")), total
 
     def write_tasks(self, stale: DataFrame, revisions: DataFrame) -> dict[str, int]:
         """Write a task file for each stale link that is new or whose revisions changed."""
@@ -286,15 +306,23 @@ class Project:
 
     def git_revisions(self) -> DataFrame:
         """Revisions of all artifacts: from the blame of their lines, or the last commits of a file and its sidecar."""
+        return self._history().filter("error is null").drop("path", "error")
+
+    def _history(self) -> DataFrame:
+        """:meth:`git_revisions` with, for each file that git cannot tell about, a row of its path and error."""
         located = scratch.table(self.located(), "located")
         side = F.concat(F.regexp_replace("loc.file", "[^/]*$", ""), F.regexp_extract("loc.sidecar", "[^/]*$", 0))
         own = located.filter("loc.kind = 'file'").select("aid", F.explode(F.array("loc.file", side)).alias("path"))
-        # the files of a repository on the driver's own disk
-        files = [r[0] for r in located.filter("loc.kind != 'file'").select("loc.file").distinct().toLocalIterator()]
-        whole = [r[0] for r in own.select("path").distinct().toLocalIterator()]
-        lines = git.revisions(located.filter("loc.kind != 'file'"), git.blame(self.spark, self.root, files))
-        last = own.join(git.last_commits(self.spark, self.root, whole), "path").select("aid", "hash_long", "hash_short", "ts", "author_email").dropDuplicates(["aid", "hash_long"])
-        return lines.unionByName(last)
+        lined = located.filter("loc.kind != 'file'")
+        runs = scratch.table(history.blame(self.spark, self.root, lined.select(F.col("loc.file").alias("path"))), "runs")
+        lasts = scratch.table(history.last_commits(self.spark, self.root, own.select("path")), "commits")
+        columns = ["aid", "hash_long", "hash_short", "ts", "author_email"]
+        known = history.revisions(lined, runs).unionByName(own.join(lasts.filter("error is null"), "path").select(columns).dropDuplicates(["aid", "hash_long"]))
+        none = F.lit(None).cast("string")
+        faults = runs.select("path", "error").unionByName(lasts.select("path", "error")).filter("error is not null").distinct()
+        return known.select(*columns, none.alias("path"), none.alias("error")).unionByName(
+            faults.select(none.alias("aid"), none.alias("hash_long"), none.alias("hash_short"), F.lit(None).cast("timestamp").alias("ts"), none.alias("author_email"), "path", "error")
+        )
 
     def located(self) -> DataFrame:
         """The artifacts with paths from the project's base."""
@@ -456,6 +484,15 @@ class Project:
         return None if hooks else report.matrix_csv(matrix, forward, attributes, delimiter)
 
 
+class Analysis(str):
+    """The text of an analysis, and how many violations there are."""
+
+    def __new__(cls, text: str, errors: int) -> Analysis:
+        out = super().__new__(cls, text)
+        out.errors = errors
+        return out
+
+
 class _Global:
     """A violation of the whole project: no requirements (F1, K19), git."""
 
@@ -588,10 +625,10 @@ def generate_tasks(stale: DataFrame, existing: DataFrame, atype_map: dict[str, s
 
 def task_rules(rules: metamodel.Metamodel, atype_map: dict[str, str]) -> metamodel.Metamodel:
     """The metamodel with the implicit types of generated tasks."""
-    lines = ["    id is string", "    attribute contents is mandatory string", "    attribute status is mandatory enum [open, done]", "    attribute parent is optional reference to parent"]
+    lines = ["    id is string", "    attribute contents is mandatory string", "    attribute status is mandatory enum [open, closed]"]
     names = [n for n in dict.fromkeys(["TASK", *atype_map.values()]) if n not in rules.types]
     extra = metamodel.parse("\n".join(x for n in names for x in (f"artifact {n}:", *lines)))
-    return metamodel.Metamodel(rules.attr_rules + extra.attr_rules, rules.trace_rules)
+    return metamodel.Metamodel(rules.attr_rules + extra.attr_rules, rules.trace_rules, rules.labels)
 
 
 __all__ = ["Plugin", "PluginError", "Project", "apply_plugins", "changes", "generate_tasks", "load_plugin", "small", "task_rules"]

@@ -65,10 +65,10 @@ def place(links: bool = False, wiki: bool = False) -> Column:
     return F.concat(F.lit("["), shown, F.lit("]("), percent_encode(F.col("file_path")), F.lit(")"))
 
 
-def analysis(violations: Iterable, metrics: Iterable = (), histogram: Iterable = (), stale: Iterable = (), tree: Iterable = (), tasks: dict | None = None, more: int = 0) -> str:
+def analysis(violations: Iterable, metrics: Iterable = (), histogram: Iterable = (), stale: Iterable = (), tree: Iterable = (), tasks: dict | None = None, more: int = 0, n_stale: int = 0, n_tree: int = 0) -> str:
     """The analysis report as Markdown, from collected rows: errors by input and category, metrics, stale links with their pruned tree, tasks.
 
-    ``more`` counts the violations that are not shown."""
+    ``more`` counts the violations that are not shown, ``n_stale`` and ``n_tree`` all links and lines of the tree."""
     groups: dict = {}
     for v in violations:
         groups.setdefault(v.input_record or "", {}).setdefault(v.category, []).append(v)
@@ -88,9 +88,11 @@ def analysis(violations: Iterable, metrics: Iterable = (), histogram: Iterable =
     if histogram := list(histogram):
         out += ["", "| status | count |", "| --- | --- |", *[f"| {h["status"]} | {h["count"]} |" for h in histogram]]
     if stale := list(stale):
-        out += ["", f"## Suspicious links ({len(stale)})", "", *[f"- {s.child_id} -> {s.pid}" + (f" ({s.nominal_revision})" if s.nominal_revision else "") for s in stale]]
+        out += ["", f"## Suspicious links ({max(n_stale, len(stale))})", "", *[f"- {s.child_id} -> {s.pid}" + (f" ({s.nominal_revision})" if s.nominal_revision else "") for s in stale]]
+        if n_stale > len(stale):
+            out += ["", f"{n_stale - len(stale)} more links are not shown."]
     if tree := list(tree):
-        out += ["", "```", *tree, "```"]
+        out += ["", "```", *tree, *([f"({n_tree - len(tree)} more lines)"] if n_tree > len(tree) else []), "```"]
     if tasks is not None:
         out += ["", f"Tasks: {tasks['create'] + tasks['update']} written, {tasks['skip']} skipped"]
     return "\n".join(out).rstrip() + "\n"

@@ -475,6 +475,20 @@ def tree_paths(spark, sf):
     return graph.tree_paths(links, t.identities(spark, sf, "region"))
 
 
+@query("""WITH p AS (
+  SELECT 'RGN-' || r_regionkey AS r, '' AS n, '' AS c FROM region UNION ALL SELECT 'RGN-' || n_regionkey, 'NTN-' || n_nationkey, '' FROM nation
+  UNION ALL SELECT 'RGN-' || n_regionkey, 'NTN-' || n_nationkey, 'CUS-' || c_custkey FROM customer JOIN nation ON n_nationkey = c_nationkey),
+l AS (SELECT *, max(n) OVER (PARTITION BY r) = n AS ln, max(c) OVER (PARTITION BY r, n) = c AS lc, row_number() OVER (ORDER BY r, n, c) - 1 AS line_no, count(*) OVER () AS total FROM p)
+SELECT line_no, CASE WHEN n = '' THEN r WHEN c = '' THEN CASE WHEN ln THEN '└── ' ELSE '├── ' END || n
+  ELSE CASE WHEN ln THEN '    ' ELSE '│   ' END || CASE WHEN lc THEN '└── ' ELSE '├── ' END || c END AS line, total FROM l WHERE line_no < 200""")
+def tree_head(spark, sf):
+    """The first 200 lines of the tree of regions, nations and customers, and how many it has (the limit is the feature)."""
+    links = t.read(spark, sf, "nation").select(t.make_id("NTN", "n_nationkey").alias("child_id"), t.make_id("RGN", "n_regionkey").alias("pid"))
+    links = links.unionByName(t.read(spark, sf, "customer").select(t.make_id("CUS", "c_custkey").alias("child_id"), t.make_id("NTN", "c_nationkey").alias("pid")))
+    lines, total = graph.first_lines(links, t.identities(spark, sf, "region"), 200)
+    return lines.select("line_no", "line", F.lit(total).cast("long").alias("total"))
+
+
 # --- impact -----------------------------------------------------------------------------------------------------
 
 
@@ -801,22 +815,23 @@ def notebook_cells(spark, sf):
     return out.select(F.col("path").cast("long").alias("conv_id"), F.get("turns", F.col("cell"))["turn"].alias("turn"), F.col("cell_type").alias("kind"), F.when(~F.get("turns", F.col("cell"))["gone"], F.length("source")).alias("n_chars"))
 
 
-@query("""SELECT 'ORD-' || o_orderkey AS aid, 'ORD' AS atype, 'CUS-' || o_custkey AS parent, o_orderstatus AS status, 'Order of ' || o_orderpriority AS contents FROM orders""")
+@query("""SELECT 'ORD-' || o_orderkey AS aid, 'ORD' AS atype, 'CUS-' || o_custkey AS parent, o_orderstatus AS status, 'Order of ' || o_orderpriority AS contents,
+  CASE WHEN o_orderkey % 3 = 1 THEN CASE WHEN o_custkey % 2 = 0 THEN 'On' ELSE 'off' END END AS active FROM orders""")
 def roundtrip_scan(spark, sf):
-    """Orders rendered as marked blocks, 50 to a file, scanned back into artifacts."""
+    """Orders rendered as marked blocks, 50 to a file, scanned back into artifacts."""
     from threadloom.sources.scan import scan_markdown
 
     o = t.read(spark, sf, "orders")
     block = F.concat(
         F.lit("Some text before.\n\n[ORD]\nOrder of "), F.col("o_orderpriority"), F.lit("\n[id] ORD-"), F.col("o_orderkey").cast("string"), F.lit("\n[parent] CUS-"), F.col("o_custkey").cast("string"),
         F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("\n[status] "), F.col("o_orderstatus"), F.lit("\n[/ORD]\n")))
-        .when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("\n```yaml\nattrs:\n  status: "), F.col("o_orderstatus"), F.lit("\n```\n")))
+        .when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("\n```yaml\nattrs:\n  status: "), F.col("o_orderstatus"), F.lit("\n  active: "), (F.col("o_custkey") % 2 == 0).cast("string"), F.lit("\n```\n")))
         .otherwise(F.concat(F.lit("\n[status] "), F.col("o_orderstatus"), F.lit("\n\n"))),
     )
     files = o.groupBy(F.floor(F.col("o_orderkey") / 50).alias("f")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", block.alias("b")))), lambda x: x["b"]), "\n").alias("value"))
-    blocks = scan_markdown(files.select(F.lit("orders").alias("record"), F.concat(F.lit("f"), F.col("f").cast("string"), F.lit(".md")).alias("path"), "value"), marker="ORD", atype="ORD")
+    blocks = scan_markdown(files.select(F.lit("orders").alias("record"), F.concat(F.lit("f"), F.col("f").cast("string"), F.lit(".md")).alias("path"), "value"), marker="ORD", atype="ORD", labels={("ORD", "active"): ("On", "off")})
     value = lambda n: F.col("fields")[n]["vals"][0].alias(n)
-    return blocks.filter("kind = 'artifact'").select("aid", "atype", value("parent"), value("status"), value("contents"))
+    return blocks.filter("kind = 'artifact'").select("aid", "atype", value("parent"), value("status"), value("contents"), value("active"))
 
 
 # --- ranges, images, headings, text functions ----------------------------------------------------------------------
@@ -838,14 +853,14 @@ def suspicious_subtree(spark, sf):
 ON e.event_id % 20 = c_custkey % 20 AND e.event_id BETWEEN c_custkey * 3 AND c_custkey * 3 + 60""")
 def blame_ranges(spark, sf):
     """Commits of the lines that an artifact spans."""
-    from threadloom.sources.git import revisions
+    from threadloom.sources.history import revisions
 
     key = F.col("c_custkey")
     spans = t.read(spark, sf, "customer").select(
         t.make_id("CUS", "c_custkey").alias("aid"), F.struct(F.concat(F.lit("f"), (key % 20).cast("string")).alias("file"), (key * 3).cast("int").alias("line_start"), (key * 3 + 60).cast("int").alias("line_end")).alias("loc")
     )
     digest = F.sha2(F.concat("event_type", (F.col("event_id") % 40).cast("string")), 256)
-    lines = t.read(spark, sf, "events").select(F.concat(F.lit("f"), (F.col("event_id") % 20).cast("string")).alias("path"), F.col("event_id").alias("line"), digest.alias("hash_long"), F.substring(digest, 1, 7).alias("hash_short"), "ts", F.col("event_type").alias("author_email"))
+    lines = t.read(spark, sf, "events").select(F.concat(F.lit("f"), (F.col("event_id") % 20).cast("string")).alias("path"), F.col("event_id").alias("first"), F.col("event_id").alias("last"), digest.alias("hash_long"), F.substring(digest, 1, 7).alias("hash_short"), "ts", F.col("event_type").alias("author_email"))
     return revisions(spans, lines).select("aid", "hash_long")
 
 

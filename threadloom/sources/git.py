@@ -1,7 +1,6 @@
-"""Git history as DataFrames, read with the git command line on the driver.
+"""Revisions, changed files, snapshots and tags of a repository on the driver's disk, by the git command line.
 
-A repository lives on the driver's disk, so its log is read there, one command
-per file or revision pair, and handed to Spark as rows.
+What is asked of every file is in :mod:`threadloom.sources.history` and runs in the executors.
 """
 
 from __future__ import annotations
@@ -10,16 +9,13 @@ import re
 import shutil
 import subprocess
 import tempfile
-from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLAME = "path string, line int, hash_long string, hash_short string, ts timestamp, author_email string"
-COMMITS = "path string, hash_long string, hash_short string, ts timestamp, author_email string"
 CHANGES = "path string, status string, old_path string"
 WORKING = "working"
 
@@ -35,61 +31,11 @@ def git(repo: str | Path, *args: str) -> str:
     return done.stdout
 
 
-def _timestamped(spark: SparkSession, rows: list[tuple], schema: str, at: int) -> DataFrame:
-    names = [c.strip().split(" ")[0] for c in schema.split(",")]
-    plain = schema.replace("ts timestamp", "ts long")
-    return spark.createDataFrame(rows, plain).withColumn("ts", F.timestamp_seconds("ts")).select(*names)
-
-
 def is_dirty(repo: str | Path) -> bool:
     """Whether the work tree has changed or untracked files."""
     return bool(git(repo, "status", "--porcelain").strip())
 
 
-def blame(spark: SparkSession, repo: str | Path, paths: list[str]) -> DataFrame:
-    """The commit of each line of the files (A12); some files at a time."""
-
-    def of(path: str) -> list[tuple]:
-        rows, meta, now, line = [], {}, None, 0
-        for text in git(repo, "blame", "--line-porcelain", "HEAD", "--", path).splitlines():
-            if m := re.match(r"([0-9a-f]{40}) \d+ (\d+)", text):
-                now, line = m[1], int(m[2])
-            elif text.startswith("author-mail "):
-                meta["mail"] = text[12:].strip("<>")
-            elif text.startswith("committer-time "):
-                meta["ts"] = int(text[15:])
-            elif text.startswith("\t"):
-                rows.append((path, line, now, now[:7], meta["ts"], meta["mail"]))
-        return rows
-
-    return _timestamped(spark, _each(of, paths), BLAME, 4)
-
-
-def _each(of: Callable[[str], list], paths: list[str]) -> list:
-    with ThreadPoolExecutor(8) as pool:
-        return [row for rows in pool.map(of, paths) for row in rows]
-
-
-def last_commits(spark: SparkSession, repo: str | Path, paths: list[str]) -> DataFrame:
-    """The last commit of each file."""
-
-    def of(path: str) -> list[tuple]:
-        out = git(repo, "log", "-1", "--format=%H%x09%h%x09%ct%x09%ae", "--", path).strip()
-        if not out:
-            return []
-        full, _, ts, mail = out.split("\t")
-        return [(path, full, full[:7], int(ts), mail)]
-
-    return _timestamped(spark, _each(of, paths), COMMITS, 3)
-
-
-def revisions(artifacts: DataFrame, lines: DataFrame) -> DataFrame:
-    """(aid, hash_long, hash_short, ts, author_email): the distinct commits of each artifact's line range."""
-    spans = artifacts.select("aid", F.col("loc.file").alias("path"), F.col("loc.line_start").alias("__a"), F.col("loc.line_end").alias("__b"))
-    met = spans.join(lines, "path").filter("line between __a and __b")
-    return met.select("aid", "hash_long", "hash_short", "ts", "author_email").dropDuplicates(["aid", "hash_long"])
-
-
 def resolve(repo: str | Path, revision: str) -> str:
     """A commit hash, or the word for the work tree (M1)."""
     return WORKING if revision == WORKING else git(repo, "rev-parse", "--verify", f"{revision}^{{commit}}").strip()

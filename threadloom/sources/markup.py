@@ -54,10 +54,14 @@ class Attributes:
         return {name: [] for name in self.multiple if name not in self.values} | self.values
 
 
-def yaml_text(value, labels: tuple[str, str] = ("yes", "no")) -> str:
-    """A YAML scalar as attribute text; booleans become labels."""
+#: The labels of booleans by (type, attribute), where the metamodel names some.
+Labels = dict[tuple[str, str], tuple[str, str]]
+
+
+def yaml_text(value, labels: tuple[str, str] | None = None) -> str:
+    """A YAML scalar as attribute text; booleans become the attribute's first labels, or yes and no."""
     if isinstance(value, bool):
-        return labels[0] if value else labels[1]
+        return (labels or ("yes", "no"))[0 if value else 1]
     return str(value)
 
 
@@ -69,7 +73,7 @@ _BLANK = re.compile(r"^[ \t]*\r?\n(?:[ \t]*\r?\n)*", re.M)
 _FIELD = re.compile(r"\[([^\]\r\n]+)\][ \t]*(.*)$")
 
 
-def scan_segments(text: str, marker: str, atype: str, *, fragments: tuple[str, ...] = (), multiple: set[str] = frozenset(), split: set[str] = frozenset()) -> Iterator[Piece]:
+def scan_segments(text: str, marker: str, atype: str, *, fragments: tuple[str, ...] = (), multiple: set[str] = frozenset(), split: set[str] = frozenset(), labels: Labels = {}) -> Iterator[Piece]:
     """Split a Markdown text into plain text and artifacts opened by ``[MARKER]`` (any case).
 
     A segment ends, in this order of preference: after the closing fence of its
@@ -102,13 +106,13 @@ def scan_segments(text: str, marker: str, atype: str, *, fragments: tuple[str, .
             blank = _BLANK.search(text, begin, limit)
             first = min((h.start() for h in hits), default=limit)
             end = blank.end() if blank and blank.start() < first else first
-        yield _segment(text, m.end(), end, m.start(), block, close if block is None else None, atype, multiple, split)
+        yield _segment(text, m.end(), end, m.start(), block, close if block is None else None, atype, multiple, split, labels)
         at = end
     if at < len(text):
         yield Piece("text", at, len(text), text[at:])
 
 
-def _segment(text: str, begin: int, end: int, start: int, block, close, atype: str, multiple: set[str], split: set[str]) -> Piece:
+def _segment(text: str, begin: int, end: int, start: int, block, close, atype: str, multiple: set[str], split: set[str], labels: Labels) -> Piece:
     body = text[begin : block[0] if block else close.start() if close else end]
     raw = text[start:end]
     if " " in raw:
@@ -143,7 +147,7 @@ def _segment(text: str, begin: int, end: int, start: int, block, close, atype: s
         if n in ("id", "atype") or value is None:
             continue
         for item in value if isinstance(value, list) else [value]:
-            found.add(str(n), yaml_text(item))
+            found.add(str(n), yaml_text(item, labels.get((str(kind), str(n)))))
     found.add("contents", "\n".join(contents).strip())
     if found.errors:
         return Piece("error", start, end, raw, message="; ".join(found.errors))
@@ -156,7 +160,7 @@ _SECTION = re.compile(r"\[<(?P<header>(?:(?!>>>|>\]|\[<).)*)(?:>>>(?P<body>(?:(?
 _DIRECTIVE = re.compile(r"([A-Za-z0-9_-]+)[ \t]*=[ \t]*([^\r\n>\[\]]+)")
 
 
-def scan_sections(text: str, atype: str, *, multiple: set[str] = frozenset(), split: set[str] = frozenset()) -> Iterator[Piece]:
+def scan_sections(text: str, atype: str, *, multiple: set[str] = frozenset(), split: set[str] = frozenset(), labels: Labels = {}) -> Iterator[Piece]:
     """Artifacts in ``[< header >>> body >]`` sections of any text; what lies between is text, an open section is an error."""
     at = 0
     for m in _SECTION.finditer(text):
@@ -194,7 +198,7 @@ def _between(text: str, start: int, end: int) -> Iterator[Piece]:
 _FRONT = re.compile(r"﻿?---[ \t]*\r?\n(?P<yaml>.*?)(?:^)---[ \t]*(?:\r?\n|\Z)(?P<body>.*)\Z", re.S | re.M)
 
 
-def scan_frontmatter(text: str, stem: str, atype: str, *, multiple: set[str] = frozenset(), split: set[str] = frozenset()) -> Iterator[Piece]:
+def scan_frontmatter(text: str, stem: str, atype: str, *, multiple: set[str] = frozenset(), split: set[str] = frozenset(), labels: Labels = {}) -> Iterator[Piece]:
     """A whole file as one artifact: YAML frontmatter and body; the id defaults to the file's stem; null values are skipped."""
     if not text.strip("﻿ \t\r\n"):
         return
@@ -208,18 +212,18 @@ def scan_frontmatter(text: str, stem: str, atype: str, *, multiple: set[str] = f
             return
         if isinstance(loaded, dict):
             data, body = loaded, m["body"]
-    found = Attributes(multiple, split)
+    found, kind = Attributes(multiple, split), str(data.get("atype") or atype)
     for name, value in data.items():
         if name in ("id", "atype") or value is None:
             continue
         for item in value if isinstance(value, list) else [value]:
-            found.add(str(name), yaml_text(item))
+            found.add(str(name), yaml_text(item, labels.get((kind, str(name)))))
     if "contents" not in found.values:
         found.add("contents", body.strip())
-    yield Piece("artifact", 0, len(text), text, str(data.get("id") or stem), str(data.get("atype") or atype), found.done())
+    yield Piece("artifact", 0, len(text), text, str(data.get("id") or stem), kind, found.done())
 
 
-def sidecar_fields(text: str, atype: str) -> Piece:
+def sidecar_fields(text: str, atype: str, labels: Labels = {}) -> Piece:
     """The artifact that a sidecar's YAML describes; nulls become the text ``None``."""
     try:
         data = yaml.safe_load(text)
@@ -230,8 +234,10 @@ def sidecar_fields(text: str, atype: str) -> Piece:
     lower = {str(k).lower(): v for k, v in data.items()}
     if lower.get("id") is None:
         return Piece("error", 0, len(text), text, message="a sidecar needs an id")
-    values = {str(k): [yaml_text(x) for x in v] if isinstance(v, list) else yaml_text(v) for k, v in data.items() if str(k).lower() not in ("id", "atype")}
-    return Piece("artifact", 0, len(text), text, str(lower["id"]), str(lower.get("atype") or atype), values)
+    kind = str(lower.get("atype") or atype)
+    shown = lambda k, x: yaml_text(x, labels.get((kind, str(k))))
+    values = {str(k): [shown(k, x) for x in v] if isinstance(v, list) else shown(k, v) for k, v in data.items() if str(k).lower() not in ("id", "atype")}
+    return Piece("artifact", 0, len(text), text, str(lower["id"]), kind, values)
 
 
 # --- fragments, headings, filters -----------------------------------------------------------------------------------

@@ -74,12 +74,12 @@ def _blocks(scan: Callable[[str, str], Iterator[markup.Piece]]) -> Callable:
     return run
 
 
-def scan_markdown(source: DataFrame, marker: str, atype: str, *, fragments: tuple[str, ...] = (), exclude: dict[str, str] | None = None, multiple: set[str] = frozenset(), split: set[str] = frozenset()) -> DataFrame:
+def scan_markdown(source: DataFrame, marker: str, atype: str, *, fragments: tuple[str, ...] = (), exclude: dict[str, str] | None = None, multiple: set[str] = frozenset(), split: set[str] = frozenset(), labels: markup.Labels = {}) -> DataFrame:
     """Blocks of Markdown files (record, path, value): artifacts, fragments, headings, text and errors."""
 
     def scan(text: str, path: str) -> Iterator[markup.Piece]:
         first = True
-        for piece in markup.scan_segments(text, marker, atype, fragments=fragments, multiple=multiple, split=split):
+        for piece in markup.scan_segments(text, marker, atype, fragments=fragments, multiple=multiple, split=split, labels=labels):
             if piece.kind != "text":
                 yield piece
                 continue
@@ -129,7 +129,7 @@ def scan_notebooks(source: DataFrame, marker: str, atype: str, **rules) -> DataF
 
 
 
-def scan_sidecars(source: DataFrame, names: DataFrame, atype: str, suffixes: tuple[str, ...]) -> DataFrame:
+def scan_sidecars(source: DataFrame, names: DataFrame, atype: str, suffixes: tuple[str, ...], labels: markup.Labels = {}) -> DataFrame:
     """Files with a YAML sidecar each. ``source``: (record, path, value) of the sidecars, ``names``: (record, path) of all other files.
 
     A file with no sidecar or with two is an error; so is a sidecar without its file.
@@ -143,7 +143,7 @@ def scan_sidecars(source: DataFrame, names: DataFrame, atype: str, suffixes: tup
     rows = joined.select("record", F.col("original").alias("path"), F.when(fault.isNotNull(), F.concat(F.lit("!"), fault)).otherwise(F.concat(F.lit(":"), F.col("value"))).alias("value"))
 
     def scan(text: str, path: str) -> Iterator[markup.Piece]:
-        yield markup.Piece("error", 0, len(text), "", message=text[1:]) if text[:1] == "!" else markup.sidecar_fields(text[1:], atype)
+        yield markup.Piece("error", 0, len(text), "", message=text[1:]) if text[:1] == "!" else markup.sidecar_fields(text[1:], atype, labels)
 
     out = rows.mapInPandas(_blocks(scan), model.BLOCKS)
     held = side.select("record", F.col("original").alias("path"), "sidecar")
