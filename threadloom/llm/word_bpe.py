@@ -17,7 +17,7 @@ this Python knows nothing of are left to the library's own normaliser and splitt
 Edge cases: null and empty texts have no tokens; an empty table gives an empty
 result and an empty lexicon; equal rows give equal ids; null ids pass through;
 columns other than the two that are used are dropped, whatever their names. A long
-text is worked off in stretches of a megabyte cut at spaces; a word of any length
+text is worked off in stretches of half a megabyte cut at spaces; a word of any length
 is merged over a heap. A null list decodes to null, an empty one to an empty text.
 """
 
@@ -47,7 +47,7 @@ from threadloom.llm.words import slices
 
 MODEL = "/opt/tokenizers/word_bpe_49k.json"
 #: Words of the lexicon at most; code points of a stretch; distinct words that a task holds; symbols from which on a heap is used.
-LEXICON_WORDS, STRETCH, HELD, HEAP = 1 << 16, 1 << 20, 300_000, 48
+LEXICON_WORDS, STRETCH, HELD, HEAP = 1 << 16, 1 << 19, 150_000, 48
 #: Fixed values of the tokenizer file's kind: the end of a word, and what is kept of a text.
 WORD_END = "</w>"
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
