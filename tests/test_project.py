@@ -3,6 +3,7 @@
 import subprocess
 
 import pytest
+from pyspark.sql.functions import col as column
 
 from threadloom import metamodel, model
 from threadloom.plans import apply, project, publish, report
@@ -537,3 +538,46 @@ def test_yaml_booleans_take_the_labels_of_their_attribute(spark, tmp_path):
     got = {r.aid: {k: v.vals[0] for k, v in r.fields.items() if k in ("active", "plain")} for r in p.artifacts.collect()}
     assert got == {"A-1": {"active": "On", "plain": "no"}, "A-2": {"active": "off", "plain": "yes"}, "A-3": {"active": "On"}, "A-4": {"active": "off"}}
     assert {(r.code, r.artifact_id) for r in p.violations().collect()} == {("missing_attribute", "A-1"), ("missing_attribute", "A-3")}
+
+
+def test_rows_before_and_files_of_many_tasks(spark, tmp_path, monkeypatch):
+    import csv
+    import io
+
+    from threadloom.operators.order import previous
+    from threadloom.plans import writer
+
+    rows = [(i % 3 if i % 7 else None, i, f"v{i}") for i in range(500)]
+    frame = spark.createDataFrame(rows, "g int, k int, v string").repartition(7)
+    got = {r.k: r.before for r in previous(frame, ["g"], ["k"], before=column("v")).collect()}
+    last, want = {}, {}
+    for g, k, v in rows:
+        want[k], last[g] = last.get(g), v
+    assert got == want
+    texts = [("a.txt" if i % 5 else "sub/b.txt", i, f"text {i} é" + "x" * (i % 50)) for i in range(3000)]
+    files = spark.createDataFrame(texts, "file string, k int, text string").repartition(9)
+    out = writer.write_files(files, ["k"], tmp_path / "out", between="\n\n", heads={"a.txt": "head\n", "none.txt": "only a head\n"}, tail="\nend")
+    assert [p.relative_to(tmp_path / "out").as_posix() for p in out] == ["a.txt", "none.txt", "sub/b.txt"] and len(list((tmp_path / "out").rglob("*"))) == 4
+    for name in ("a.txt", "sub/b.txt"):
+        assert (tmp_path / "out" / name).read_text() == ("head\n" if name == "a.txt" else "") + "\n\n".join(t for f, _, t in texts if f == name) + "\nend"
+    odd = ["plain", 'quo"te', "a,b", "two\nlines", "cr\rx", "semi;colon", "", None, " space "]
+    matrix = spark.createDataFrame([(i + 1, f"L{i}", odd[i % 9], odd[(i * 2) % 9]) for i in range(900)], "record_number long, lead_id string, linked_id string, status string").repartition(5)
+    for delimiter in (",", ";", "\t"):
+        whole = io.StringIO()
+        lines = csv.writer(whole, delimiter=delimiter, lineterminator="\n")
+        lines.writerow(["RecordNumber", "ParentID", "ChildID", "status"])
+        lines.writerows((i + 1, f"L{i}", odd[i % 9], odd[(i * 2) % 9]) for i in range(900))
+        path = report.matrix_file(matrix, tmp_path / "m" / "matrix.csv", False, ["status"], delimiter)
+        assert path.read_bytes().decode() == whole.getvalue() == report.matrix_csv(matrix, False, ["status"], delimiter)
+    assert report.matrix_file(matrix.limit(0), tmp_path / "m" / "empty.csv", True).read_text() == "RecordNumber,ChildID,ParentID\n"
+
+
+def test_documents_are_written_by_many_tasks(spark, tmp_path):
+    (tmp_path / "REQ").mkdir()
+    for i in range(60):
+        (tmp_path / "REQ" / f"{i:02}.md").write_text(f"Text {i}.\n\n\n\n# Head\n\n[REQ]\ncontents {i}\n[id] R-{i}\n\nmore text\n", encoding="utf-8")
+    p = project.Project(spark, config.Config(tmp_path, [config.InputRecord("req", "REQ", "obsidian", atype="REQ", marker="REQ")]))
+    out = p.publish(tmp_path / "out")[0].read_text(encoding="utf-8")
+    whole = {r.record: r.document for r in publish.documents(p.pieces()).collect()}
+    assert out == whole["req"] and "\n\n\n" not in out and out.count("contents ") == 60 and out.index("Text 9.") < out.index("# R-9") < out.index("Text 10.")
+    assert [tuple(r) for r in publish.piece_counts(p.pieces()).collect()] == [("req", 60, 120)]

@@ -131,12 +131,11 @@ def main(argv: list[str] | None = None) -> int:
             return int(text.errors > 0)
         if args.command == "trace":
             matrix = project.matrix(args.child, args.parent, forward=args.forward, flat=args.flat, attributes=args.attribute)
-            text = project.export_matrix(matrix, args.forward, args.attribute, args.delimiter)
-            if text is not None and args.output == "console":
-                print(text, end="")
-            elif text is not None:
-                suffix = "tsv" if args.delimiter == "\t" else "csv"
-                Path(args.output or report.output_name(args.child, args.parent, args.forward, datetime.date.today().isoformat(), suffix)).write_text(text, encoding="utf-8")
+            suffix = "tsv" if args.delimiter == "\t" else "csv"
+            path = None if args.output == "console" else args.output or report.output_name(args.child, args.parent, args.forward, datetime.date.today().isoformat(), suffix)
+            done = project.export_matrix(matrix, args.forward, args.attribute, args.delimiter, path)
+            if path is None and done is not None:
+                sys.stdout.writelines(done)
         elif args.command == "change" and args.output != "console":
             for path in plans.change_files(spark, project.config, project.rules, args.repo, args.base, args.target, args.output, f"{datetime.date.today():%Y%m%d}", summary=args.summary):
                 print(path)

@@ -1,4 +1,4 @@
-"""Numbers and running sums in an order, without a task that sees all rows or a whole group.
+"""Numbers, running sums and rows before in an order, without a task that sees all rows or a whole group.
 
 Rows are dealt by ranges of all their order keys and written once, so that the
 ranges stay what they are. Each range is summed on its own and shifted by what
@@ -36,3 +36,22 @@ def running(df: DataFrame, group: list[str], order: list[str], **values: Column)
 def numbered(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
     """``df`` with the row's number 1..n in its group."""
     return running(df, group, order, **{name: F.lit(1).cast("long")}).withColumn(name, F.col(name) + 1)
+
+
+def previous(df: DataFrame, group: list[str], order: list[str], **values: Column) -> DataFrame:
+    """``df`` with, for each name, its value in the row before within the group (null for the first).
+
+    What a range hands on is its last row, not a sum; a range without rows of the group hands on nothing."""
+    valued = df.withColumn("__v", F.struct(*[v.alias(n) for n, v in values.items()]))
+    ranged = scratch.table(valued.repartitionByRange(*group, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    held = ranged.groupBy("__range", *group).agg(F.max_by("__v", F.struct(*order)).alias("__last"))
+    ranges = Window.partitionBy(*(group or [F.lit(0)])).orderBy("__range")
+    keys = {c: f"__g_{i}" for i, c in enumerate(group)}
+    base = held.select(F.col("__range").alias("__r"), *[F.col(c).alias(k) for c, k in keys.items()], F.lag("__last").over(ranges).alias("__carry"))
+    inside = Window.partitionBy("__range", *group).orderBy(*order)
+    own = ranged.withColumn("__before", F.lag("__v").over(inside))
+    on = F.col("__range") == F.col("__r")
+    for c, k in keys.items():
+        on &= F.col(c).eqNullSafe(F.col(k))
+    out = own.join(base if group else F.broadcast(base), on).withColumn("__p", F.coalesce("__before", "__carry"))
+    return out.select(*df.columns, *[F.col(f"__p.{n}").alias(n) for n in values])

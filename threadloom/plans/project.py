@@ -9,7 +9,7 @@ import difflib
 import importlib.metadata
 import importlib.util
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 from functools import cached_property
 from pathlib import Path
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from threadloom import metamodel, model, scratch
 from threadloom.operators import diff, edit, graph, impact, metrics, trace, validate
 from threadloom.operators.order import numbered
-from threadloom.plans import apply, outputs, publish, report
+from threadloom.plans import apply, outputs, publish, report, writer
 from threadloom.sources import config as settings
 from threadloom.sources import files as small
 from threadloom.sources import git, history, scan
@@ -436,7 +436,8 @@ class Project:
         out = self.artifacts.select("aid", "atype", "record").orderBy("aid")
         return out if limit is None else out.limit(limit)
 
-    def documents(self, options: settings.Publish | None = None, several: bool = False) -> DataFrame:
+    def pieces(self, options: settings.Publish | None = None, several: bool = False) -> DataFrame:
+        """(record, path, block_no, kind, text): the rendered blocks of all records."""
         mandatory: dict[str, set[str]] = {}
         for r in self.rules.attr_rules:
             if r["presence"] == "mandatory":
@@ -444,44 +445,53 @@ class Project:
         parts, breaks = None, not settings.keeps_breaks(self.config)
         for record in self.config.input:
             chosen = options or settings.publish_settings(record.publish, self.config.publish, self.config.base)
-            part = publish.documents(self.blocks.filter(F.col("record") == record.name), chosen, mandatory, several=several, breaks=breaks)
+            part = publish.pieces(self.blocks.filter(F.col("record") == record.name), chosen, mandatory, several=several, breaks=breaks)
             parts = part if parts is None else parts.unionByName(part)
         return parts
 
-    def images(self, documents: DataFrame) -> DataFrame:
-        """(url, path): the file of the project that each local image of the documents means."""
-        wanted = publish.image_names(documents)
+    def images(self, pieces: DataFrame) -> DataFrame:
+        """(url, path): the file of the project that each local image of the pieces means."""
+        wanted = publish.image_names(pieces)
         near = settings.vault_settings(self.root)["attachment_folder"]
         files = scan.names(self.spark, str(self.root)).select("path", (F.col("path").startswith(near.strip("/") + "/") if near else F.lit(False)).alias("preferred"))
         found = small.first_match(wanted.select("name"), files)
         return wanted.join(found, "name").select("url", "path").distinct()
 
     def publish(self, folder: str | Path, options: settings.Publish | None = None, single: bool = False, suffix: str | None = None) -> list[Path]:
-        """Write one document per record, or a single one: blocks and hooks, rendering, text hooks, writing, images, conversion."""
-        folder, out = Path(folder), []
+        """Write one document per record, or a single one: blocks and hooks, rendering, images, writing, conversion.
+
+        Pieces go from the tasks that render them to their places in the files; only a hook on texts gets a document as a whole."""
+        folder, hooks = Path(folder), [p for p in self.plugins if p.transform_markdown]
         folder.mkdir(parents=True, exist_ok=True)
-        documents = scratch.table(self.documents(options, several=single), "documents")
-        texts = [(r.record, r.document) for r in documents.orderBy("record").toLocalIterator()]
-        manifest = outputs.copy_images(((r.url, r.path) for r in self.images(documents).orderBy("url").toLocalIterator()), self.root, folder)
-        texts = [(name, publish.rewrite_images(text, manifest)) for name, text in texts]
-        for name, text in [("publish", "\n".join(t for _, t in texts))] if single else texts:
-            for plugin in self.plugins:
-                if plugin.transform_markdown:
+        pieces = scratch.table(self.pieces(options, several=single), "pieces")
+        manifest = outputs.copy_images(((r.url, r.path) for r in self.images(pieces).orderBy("url").toLocalIterator()), self.root, folder)
+        if manifest:
+            pieces = publish.with_images(pieces, manifest)
+        if single and hooks:  # a hook sees the single document
+            pieces = pieces.select(F.lit("publish").alias("record"), F.concat_ws("\0", "record", "path").alias("path"), "block_no", "kind", "text")
+        file = F.concat(F.lit("publish") if single else F.col("record"), F.lit(".md"))
+        if not hooks:
+            out = writer.write_files(pieces.withColumn("file", file), ["record", "path", "block_no"], folder, between="\n\n", tail="\n")
+        else:
+            out = []
+            for r in publish.documents(pieces).orderBy("record").toLocalIterator():
+                text = r.document
+                for plugin in hooks:
                     text = plugin.transform_markdown(text)
                     if not isinstance(text, str):
                         raise PluginError(f"plugin {plugin.name}: transform_markdown must return text")
-            out.append(folder / f"{name}.md")
-            out[-1].write_text(text, encoding="utf-8")
-            if suffix:
-                out.append(outputs.convert(out[-1], suffix, (options or settings.Publish()).docx_template))
-        return out
+                out.append(folder / f"{r.record}.md")
+                out[-1].write_text(text, encoding="utf-8")
+        return [x for path in out for x in ([path, outputs.convert(path, suffix, (options or settings.Publish()).docx_template)] if suffix else [path])]
 
-    def export_matrix(self, matrix: DataFrame, forward: bool = False, attributes: list[str] = (), delimiter: str = ",") -> str | None:
-        """Give a matrix to the trace plugins, or return it as CSV."""
+    def export_matrix(self, matrix: DataFrame, forward: bool = False, attributes: list[str] = (), delimiter: str = ",", path: str | Path | None = None) -> Iterator[str] | Path | None:
+        """Give a matrix to the trace plugins, or write it as one CSV file, or without a path give its lines."""
         hooks = [p for p in self.plugins if p.export_trace and p.name in self.config.trace_plugins]
         for p in hooks:
             p.export_trace(matrix)
-        return None if hooks else report.matrix_csv(matrix, forward, attributes, delimiter)
+        if hooks:
+            return None
+        return report.matrix_lines(matrix, forward, attributes, delimiter) if path is None else report.matrix_file(matrix, path, forward, attributes, delimiter)
 
 
 class Analysis(str):

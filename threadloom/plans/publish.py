@@ -6,11 +6,12 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions.lines import strip_number, table_cell
 from threadloom.operators.edit import block_id
+from threadloom.operators.order import previous
 from threadloom.sources.config import Publish
 
 
@@ -37,8 +38,7 @@ def path_headings(blocks: DataFrame, settings: Publish, several: bool = False) -
     title = lambda p: strip_number(p) if settings.remove_numeric_prefixes_in_headers else p
     contents = F.lower(title(F.element_at(parts, -1))) == settings.contents_marker.lower()
     own = F.when(contents, F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
-    by_path = Window.partitionBy("record").orderBy("path")  # one row per file
-    rows = files.withColumn("parts", own).withColumn("before", F.lag("parts").over(by_path)).withColumn("first", F.row_number().over(by_path) == 1)
+    rows = previous(files.withColumn("parts", own), ["record"], ["path"], before=F.col("parts")).withColumn("first", F.col("before").isNull())
     old = F.coalesce("before", F.array().cast("array<string>"))
     differs = F.filter(F.sequence(F.lit(1), F.size("parts")), lambda i: ~F.slice("parts", F.lit(1), i).eqNullSafe(F.slice(old, F.lit(1), i)))
     top = settings.start_level + int(several)
@@ -106,8 +106,11 @@ def hard_breaks(text: str) -> str:
 _BLOCK = re.compile(r"\s*(#{1,6}\s|[-*+]\s|\d+[.)]\s|>|\||(-{3,}|\*{3,}|_{3,})\s*$)")
 
 
-def documents(blocks: DataFrame, settings: Publish, mandatory: dict[str, set[str]] | None = None, *, several: bool = False, breaks: bool = False) -> DataFrame:
-    """(record, document, n_artifacts, n_text): each record's blocks rendered and put together in order."""
+def pieces(blocks: DataFrame, settings: Publish, mandatory: dict[str, set[str]] | None = None, *, several: bool = False, breaks: bool = False) -> DataFrame:
+    """(record, path, block_no, kind, text): each record's blocks rendered, with headings for its paths.
+
+    In order of path and number, with a blank line between, they are the record's document; a piece neither begins nor
+    ends with a line end and holds no two blank lines in a row."""
     heads = path_headings(blocks, settings, several)
     soft = hard_breaks if breaks else (lambda t: t)
     rules = {k.upper(): v for k, v in settings.render.items()}
@@ -133,26 +136,44 @@ def documents(blocks: DataFrame, settings: Publish, mandatory: dict[str, set[str
 
     texts = rows.mapInPandas(render, "record string, path string, block_no long, kind string, text string")
     lead = heads.filter("heading != ''").select("record", "path", F.lit(-1).cast("long").alias("block_no"), F.lit("path").alias("kind"), F.trim("heading").alias("text"))
-    parts = texts.unionByName(lead).filter("text != ''")
+    parts = texts.unionByName(lead)
+    trimmed = F.regexp_replace(F.regexp_replace("text", r"\A\n+|\n+\z", ""), "\n{3,}", "\n\n")
+    return parts.withColumn("text", trimmed).filter("text != ''")
+
+
+def piece_counts(parts: DataFrame) -> DataFrame:
+    """(record, n_artifacts, n_text) of rendered pieces."""
+    return parts.groupBy("record").agg(F.count(F.when(F.col("kind") == "artifact", 1)).alias("n_artifacts"), F.count(F.when(F.col("kind") == "text", 1)).alias("n_text"))
+
+
+def documents(parts: DataFrame) -> DataFrame:
+    """(record, document): whole documents of :func:`pieces`, for hooks that take a document as one text."""
     ordered = F.array_sort(F.collect_list(F.struct("path", "block_no", "text")))
-    text = F.array_join(F.transform(ordered, lambda x: x["text"]), "\n\n")
-    return parts.groupBy("record").agg(
-        F.concat(F.regexp_replace(text, "\n{3,}", "\n\n"), F.lit("\n")).alias("document"), F.count(F.when(F.col("kind") == "artifact", 1)).alias("n_artifacts"), F.count(F.when(F.col("kind") == "text", 1)).alias("n_text")
-    )
+    return parts.groupBy("record").agg(F.concat(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n\n"), F.lit("\n")).alias("document"))
 
 
 _IMAGE = re.compile(r"!\[\[(?P<wiki>[^\]|]+)(?:\|[^\]]*)?\]\]|!\[(?P<alt>[^\]]*)\]\((?P<url>[^)\s]+)\)")
 
 
-def image_names(documents: DataFrame) -> DataFrame:
-    """(record, name): local images that documents refer to, outside code fences."""
-    bare = F.regexp_replace("document", r"(?s)```.*?```", "")
+def image_names(parts: DataFrame) -> DataFrame:
+    """(record, url, name): local images that pieces refer to, outside code fences."""
+    bare = F.regexp_replace("text", r"(?s)```.*?```", "")
     wiki = F.regexp_extract_all(bare, F.lit(r"!\[\[([^\]|]+)"), F.lit(1))
     plain = F.regexp_extract_all(bare, F.lit(r"!\[[^\]]*\]\(([^)\s]+)\)"), F.lit(1))
-    rows = documents.select("record", F.explode(F.array_union(wiki, plain)).alias("url")).filter("not url rlike '^[a-z]+://'")
+    rows = parts.select("record", F.explode(F.array_union(wiki, plain)).alias("url")).filter("not url rlike '^[a-z]+://'")
     return rows.select("record", "url", F.substring_index(F.url_decode(F.replace("url", F.lit("+"), F.lit("%2B"))), "/", -1).alias("name")).distinct()
 
 
+def with_images(parts: DataFrame, manifest: dict[str, str]) -> DataFrame:
+    """Pieces whose image references point at their published copies (one entry for each image that was copied)."""
+
+    def rewrite(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield f.assign(text=[rewrite_images(t, manifest) for t in f["text"]])
+
+    return parts.mapInPandas(rewrite, parts.schema)
+
+
 def rewrite_images(text: str, manifest: dict[str, str]) -> str:
     """Point image references at their published copies; fences and remote images stay."""
     def put(m: re.Match) -> str:
@@ -164,4 +185,4 @@ def rewrite_images(text: str, manifest: dict[str, str]) -> str:
     return "".join(p if p.startswith("```") else _IMAGE.sub(put, p) for p in parts)
 
 
-__all__ = ["artifact_text", "documents", "duplicate_block_ids", "image_names", "path_headings", "rewrite_images", "table_cell", "with_ids"]
+__all__ = ["artifact_text", "documents", "duplicate_block_ids", "image_names", "path_headings", "pieces", "rewrite_images", "table_cell", "with_ids"]

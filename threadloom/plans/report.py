@@ -5,7 +5,8 @@ from __future__ import annotations
 import csv
 import io
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from threadloom.functions.lines import percent_encode
 from threadloom.operators.diff import size_text
 from threadloom.operators.metrics import CATEGORIES
+from threadloom.plans.writer import write_files
 
 #: Message of each violation code; localised texts may replace them.
 MESSAGES = {
@@ -172,14 +174,38 @@ def cell(text: str | None) -> str:
     return f"`{lines[0].strip().replace('|', chr(92) + '|').replace('`', chr(39))}`" + (" …" if len(lines) > 1 else "")
 
 
+def _csv_cell(value: Column, delimiter: str) -> Column:
+    """A CSV cell, quoted if it must be."""
+    text = F.coalesce(value.cast("string"), F.lit(""))
+    return F.when(text.rlike(r'["\r\n\Q' + delimiter + r"\E]"), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+
+
+def _matrix_rows(matrix: DataFrame, forward: bool, attributes: list[str], delimiter: str) -> tuple[str, DataFrame]:
+    """The heading of a matrix and its lines (record_number, text)."""
+    head = io.StringIO()
+    csv.writer(head, delimiter=delimiter, lineterminator="\n").writerow(["RecordNumber", *(["ChildID", "ParentID"] if forward else ["ParentID", "ChildID"]), *attributes])
+    cells = [_csv_cell(F.col(c), delimiter) for c in ("record_number", "lead_id", "linked_id", *attributes)]
+    line = F.concat(*[x for c in cells for x in (F.lit(delimiter), c)][1:], F.lit("\n"))
+    return head.getvalue(), matrix.select("record_number", line.alias("text"))
+
+
+def matrix_lines(matrix: DataFrame, forward: bool = True, attributes: list[str] = (), delimiter: str = ",") -> Iterator[str]:
+    """The lines of a trace matrix as CSV, one partition at a time (B1)."""
+    head, rows = _matrix_rows(matrix, forward, attributes, delimiter)
+    yield head
+    for r in rows.orderBy("record_number").toLocalIterator():
+        yield r.text
+
+
 def matrix_csv(matrix: DataFrame, forward: bool = True, attributes: list[str] = (), delimiter: str = ",") -> str:
-    """A trace matrix as CSV text (B1); rows come one partition at a time."""
-    out = io.StringIO()
-    writer = csv.writer(out, delimiter=delimiter, lineterminator="\n")
-    writer.writerow(["RecordNumber", *(["ChildID", "ParentID"] if forward else ["ParentID", "ChildID"]), *attributes])
-    for r in matrix.orderBy("record_number").toLocalIterator():
-        writer.writerow([r.record_number, r.lead_id, r.linked_id, *[r[a] for a in attributes]])
-    return out.getvalue()
+    return "".join(matrix_lines(matrix, forward, attributes, delimiter))
+
+
+def matrix_file(matrix: DataFrame, path: str | Path, forward: bool = True, attributes: list[str] = (), delimiter: str = ",") -> Path:
+    """A trace matrix as one CSV file in the order of its numbers, written by the executors (B1)."""
+    path = Path(path)
+    head, rows = _matrix_rows(matrix, forward, attributes, delimiter)
+    return write_files(rows.withColumn("file", F.lit(path.name)), ["record_number"], path.parent, heads={path.name: head})[0]
 
 
 def change_name(record: str, base: str, target: str, day: str, summary: bool = False) -> str:
@@ -188,15 +214,9 @@ def change_name(record: str, base: str, target: str, day: str, summary: bool = F
     return f"{re.sub(r'[/' + chr(92) * 2 + ']', '_', record.replace(' ', '-'))}-{label(base)}-to-{label(target)}-{day}{'-summary' if summary else ''}.md"
 
 
-def matrix_files(matrix: DataFrame, folder: str, forward: bool = True, attributes: list[str] = (), delimiter: str = ",") -> None:
-    """A trace matrix as CSV part files in the order of its numbers, written by the executors: for matrices of any size (B1)."""
-    named = [F.col("record_number").alias("RecordNumber"), F.col("lead_id").alias("ChildID" if forward else "ParentID"), F.col("linked_id").alias("ParentID" if forward else "ChildID")]
-    matrix.repartitionByRange("record_number").sortWithinPartitions("record_number").select(*named, *attributes).write.mode("overwrite").option("header", True).option("sep", delimiter).csv(folder)
-
-
 def output_name(child: str, parent: str, forward: bool, day: str, suffix: str = "csv") -> str:
     """The default file name of a matrix (B2)."""
     return f"trace-{child}-{parent}-{'forward' if forward else 'reverse'}-{day}.{suffix}"
 
 
-__all__ = ["analysis", "category", "cell", "change_name", "change_report", "escape_html", "matrix_csv", "matrix_files", "message", "output_name", "place", "quoted", "size_text", "tree"]
+__all__ = ["analysis", "category", "cell", "change_name", "change_report", "escape_html", "matrix_csv", "matrix_file", "matrix_lines", "message", "output_name", "place", "quoted", "size_text", "tree"]
