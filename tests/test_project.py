@@ -581,3 +581,53 @@ def test_documents_are_written_by_many_tasks(spark, tmp_path):
     whole = {r.record: r.document for r in publish.documents(p.pieces()).collect()}
     assert out == whole["req"] and "\n\n\n" not in out and out.count("contents ") == 60 and out.index("Text 9.") < out.index("# R-9") < out.index("Text 10.")
     assert [tuple(r) for r in publish.piece_counts(p.pieces()).collect()] == [("req", 60, 120)]
+
+
+def test_kept_artifacts_answer_without_parsing(spark, home, monkeypatch, capsys):
+    import os
+    import random
+
+    from threadloom.plans import kept
+
+    rng = random.Random(11)
+    (home / "pic").mkdir()
+    (home / "pic/a.png").write_bytes(b"one")
+    (home / "pic/a.png.stmx").write_text("id: P-1\ntitle: A Picture of SYSTEMS\n")
+    conf = home / ".tl/config.toml"
+    conf.write_text(conf.read_text() + '[[input]]\nname = "pic"\ndir = "pic"\ndriver = "sidecar"\natype = "PIC"\n')
+    words = ["Fly", "High", "land", "\u00c9t\u00e9", "\u00dfx", "a b", "I\u0307", "%_", "REQ", "tbd"]
+    for i in range(12):
+        (home / f"REQ/g{i}.md").write_text("".join(f"[REQ]\n{' '.join(rng.choices(words, k=9))}\n[id] G-{rng.randrange(40)}\n[status] active\n\n" for _ in range(5)), encoding="utf-8")
+    load = lambda: project.Project.load(spark, conf)
+    folder = str(home / "kept")
+
+    def compare(parsed, dropped):
+        p = load()
+        done = p.keep(folder)
+        assert (done["parsed"], done["dropped"]) == (parsed, dropped)
+        monkeypatch.setattr(project.Project, "record_blocks", lambda *a: 1 / 0)
+        assert p.keep(folder)["parsed"] == 0
+        texts = [" ".join(r.vals) for r in load_all.values() for r in r.fields.values() if r.vals] if (load_all := {r.aid: r for r in p.store.occurrences().collect()}) else []
+        queries = ["", "f", "hi", "SYS", "req", "none at all", "G-1", "systems"] + [t[(a := rng.randrange(len(t))) : a + n] for n in (1, 3, 4, 7, 12, 25, 40) for t in rng.choices([t for t in texts if t], k=1)]
+        got = {q: sorted(r.aid for r in p.search(q).collect()) for q in queries}
+        shown = {a: p.content(a) for a in ("REQ-001", "G-3", "P-1", "absent")}
+        listed = [tuple(r) for r in p.listing().collect()]
+        monkeypatch.undo()
+        plain = load()
+        assert {q: sorted(r.aid for r in plain.search(q).collect()) for q in queries} == got
+        assert {a: plain.content(a) for a in shown} == shown and [tuple(r) for r in plain.listing().collect()] == listed
+
+    compare(16, 0)
+    (home / "REQ/g3.md").write_text("[REQ]\nnew words here\n[id] G-3\n\n", encoding="utf-8")
+    (home / "REQ/g4.md").unlink()
+    (home / "pic/a.png").write_bytes(b"two")
+    os.utime(home / "REQ/g5.md")  # touched, not changed
+    monkeypatch.setattr(kept, "SEGMENTS", 1)  # all segments are written as one
+    seen = kept.SEGMENTS
+    compare(2, 1)
+    assert seen == 1
+    from threadloom import cli
+
+    for args, want in ((["search", "new words", "--store", folder], "G-3 REQ\n"), (["list", "--limit", "1", "--store", folder], "G-0 REQ req\n")):
+        capsys.readouterr()
+        assert cli.main(["--config", str(conf), *args]) == 0 and capsys.readouterr().out.splitlines(True)[-1].split()[0] == want.split()[0]

@@ -1,4 +1,4 @@
-"""Command line: analyze, trace, change, baseline, publish, edit, search, show, schema, init."""
+"""Command line: analyze, trace, change, baseline, publish, edit, search, show, list, schema, init."""
 
 from __future__ import annotations
 
@@ -75,6 +75,10 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("query")
     w = sub.add_parser("show")
     w.add_argument("aid")
+    li = sub.add_parser("list")
+    li.add_argument("--limit", type=int)
+    for x in (s, w, li):
+        x.add_argument("--store", help="a folder where the artifacts are kept from one command to the next")
     w.add_argument("--revisions", action="store_true")
     sub.add_parser("schema")
     return top
@@ -123,6 +127,8 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("threadloom").getOrCreate()
     try:
         project = plans.Project.load(spark, args.config, settings.home())
+        if getattr(args, "store", None):
+            project.keep(args.store)
         if args.command == "analyze":
             text = project.analyze(suppress_tracing=args.suppress_tracing, use_git=not args.no_git, allow_dirty=args.allow_dirty_worktree)
             if args.violations:
@@ -155,6 +161,9 @@ def main(argv: list[str] | None = None) -> int:
         elif args.command == "publish":
             for path in project.publish(args.output, single=args.single, suffix=args.format):
                 print(path)
+        elif args.command == "list":
+            for r in project.listing(args.limit).toLocalIterator():
+                print(r.aid, r.atype, r.record)
         elif args.command == "search":
             for r in project.search(args.query).select("aid", "atype").orderBy("aid").toLocalIterator():
                 print(r.aid, r.atype)

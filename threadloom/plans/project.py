@@ -101,6 +101,7 @@ class Project:
     rules: metamodel.Metamodel = field(default_factory=metamodel.Metamodel)
     plugins: list[Plugin] = field(default_factory=list)
     base: Path | None = None
+    store: object | None = field(default=None, repr=False)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str | Path, home: str | Path | None = None) -> Project:
@@ -425,15 +426,26 @@ class Project:
         return row.revisions.split("; ") if row else []
 
     def search(self, query: str) -> DataFrame:
-        return edit.search(self.artifacts, query)
+        return self.store.search(query) if self.store else edit.search(self.artifacts, query)
+
+    def keep(self, folder: str) -> dict[str, int]:
+        """Answer lookups and searches from a store in a folder, brought up to date first."""
+        from threadloom.plans.kept import ArtifactStore
+
+        store = ArtifactStore(self, folder)
+        done = store.refresh()
+        self.store = store
+        return done
 
     def content(self, aid: str) -> str | None:
         """One artifact as Markdown."""
-        row = self.artifacts.filter(F.col("aid") == aid).select("aid", F.to_json("fields").alias("j"), "fields").first()
+        found = self.store.artifact(aid) if self.store else self.artifacts.filter(F.col("aid") == aid)
+        row = found.select("aid", "fields").first()
         return None if row is None else publish.artifact_text(row.aid, {k: {"vals": list(v.vals)} for k, v in row.fields.items()}, 1, settings.Publish(attribute_presence="all"))
 
     def listing(self, limit: int | None = None) -> DataFrame:
-        out = self.artifacts.select("aid", "atype", "record").orderBy("aid")
+        out = validate.first_wins(self.store.occurrences(), "record", "path", "block_no") if self.store else self.artifacts
+        out = out.select("aid", "atype", "record").orderBy("aid")
         return out if limit is None else out.limit(limit)
 
     def pieces(self, options: settings.Publish | None = None, several: bool = False) -> DataFrame:
