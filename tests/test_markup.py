@@ -79,3 +79,47 @@ def test_fragments_headings_and_exclusions():
     assert m.exclude_elements("keep #tag x\n#start x\n", {"tags": "string-on-start"}) == "keep #tag x\n"
     assert m.exclude_elements("keep #tag x\nz\n", {"tags": "string"}) == "z\n"
     assert m.exclude_elements("keep #tag x #ff00aa\n", {"tags": "only"}) == "keep x #ff00aa\n"
+
+
+def _passes(text, names):
+    """Fragments by patterns, pass by pass over the text that is left: (start, marker, id, content)."""
+    import re
+
+    some = "|".join(names)
+    closed = re.compile(rf"\[({some})(?:\s+([^\]]+))?\](.*?)\[/\1\]", re.I | re.S)
+    still = re.compile(rf"\[({some})(?:\s+([^\]]+))?\](.*?)(?=\n\s*\n|\n\s*\[(?:{some})(?:\s+[^\]]+)?\]|\n\s*#{{1,6}}\s|\Z)", re.I | re.S)
+    left, out = [(0, text)], []
+    for pattern in (closed, still):
+        rest = []
+        for base, part in left:
+            at = 0
+            for hit in pattern.finditer(part):
+                if part[at : hit.start()]:
+                    rest.append((base + at, part[at : hit.start()]))
+                content = hit[3] if pattern is closed else hit[3].strip()
+                out.append((base + hit.start(), hit[1].upper(), hit[2] and hit[2].strip(), content))
+                gap = re.match(r"\n\s*\n", part[hit.end() :]) if pattern is still else None
+                at = hit.end() + (gap.end() if gap else 0)
+            if part[at:]:
+                rest.append((base + at, part[at:]))
+        left = rest
+    return sorted([*out, *((a, None, None, t) for a, t in left)], key=lambda x: x[0])
+
+
+def test_fragments_match_passes_over_patterns():
+    import random
+    import time
+
+    rng = random.Random(4)
+    parts = ["[COM]", "[com n1]", "[NOTE]", "[Note a.b-c]", "[/COM]", "[/note]", "[COM x [NOTE]", "[NOTE \n y]", "\n", "\n\n", "\n \t\n", "# H", "\n# H\n", "\n  ## x", "text", " ", "[", "]", "[OTHER]", "#no", "[COMx]"]
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        want = _passes(text, ("COM", "NOTE"))
+        got = [(p.start, p.marker, p.block_id, p.content) for p in m.scan_fragments(text, ("COM", "NOTE")) if p.kind == "text"]
+        bad = [(p.start, p.message.removeprefix("bad fragment id ")) for p in m.scan_fragments(text, ("COM", "NOTE")) if p.kind == "error"]
+        assert got == [w for w in want if w[2] is None or m._ID.fullmatch(w[2])], text
+        assert bad == [(w[0], w[2]) for w in want if w[2] is not None and not m._ID.fullmatch(w[2])]
+        assert "".join(text[p.start : p.end] for p in m.scan_fragments(text, ("COM", "NOTE"))) == text
+    began = time.perf_counter()
+    assert len(list(m.scan_fragments("[COM] never closed\n" * 40_000, ("COM", "NOTE")))) == 40_000 + 39_999
+    assert time.perf_counter() - began < 20

@@ -6,6 +6,7 @@ Every function takes one text and yields plain tuples; nothing here needs Spark.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -83,7 +84,7 @@ def scan_segments(text: str, marker: str, atype: str, *, fragments: tuple[str, .
     """
     opening = re.compile(rf"\[{re.escape(marker)}\]", re.I)
     closing = re.compile(rf"\[/{re.escape(marker)}\]", re.I)
-    boundary = [_HEADING, *([re.compile(rf"^\[(?:{'|'.join(map(re.escape, fragments))})\b", re.M | re.I)] if fragments else [])]
+    boundary = [_HEADING, *([re.compile(rf"^\[(?:{'|'.join(map(re.escape, fragments))})(?:\s+[^\]]+)?\]", re.M | re.I)] if fragments else [])]
     at = 0
     while m := opening.search(text, at):
         if m.start() > at:
@@ -245,33 +246,77 @@ def sidecar_fields(text: str, atype: str, labels: Labels = {}) -> Piece:
 _ID = re.compile(r"[A-Za-z0-9_.-]+")
 
 
+def _opening(markers: tuple[str, ...]) -> str:
+    return rf"\[(?P<m>{'|'.join(map(re.escape, markers))})(?:\s+(?P<id>[^\]]+))?\]"
+
+
+class Free:
+    """The stretches of a text that no pass has taken yet, in order."""
+
+    def __init__(self, length: int):
+        self.stretches = [(0, length)]
+
+    def take(self, spans: list[tuple[int, int]]) -> None:
+        """Subtract ascending spans, each inside one stretch."""
+        left, i = [], 0
+        for a, b in self.stretches:
+            while i < len(spans) and spans[i][0] < b:
+                left.append((a, spans[i][0]))
+                a, i = spans[i][1], i + 1
+            left.append((a, b))
+        self.stretches = [x for x in left if x[0] < x[1]]
+
+
 def scan_fragments(text: str, markers: tuple[str, ...]) -> Iterator[Piece]:
-    """Marked fragments ``[M id] .. [/M]`` of plain text; unclosed ones end at a blank line, heading, marker or the end."""
+    """Marked fragments ``[M]`` or ``[M id]`` of plain text, found in passes over what earlier ones have left.
+
+    First closed ones, up to the next ``[/M]`` whatever lies between; then, in each stretch left, open ones, which end before a blank
+    line (it is swallowed), a line that begins with a marker or is a heading, or with the stretch. A marker at the start of a line is
+    an open one like any other, so that nothing is left for a pass of its own. Openings and ends are looked up once for the text."""
     if not markers:
         yield Piece("text", 0, len(text), text)
         return
-    names = "|".join(map(re.escape, markers))
-    opening = re.compile(rf"\[(?P<m>{names})(?:[ \t]+(?P<id>[^\]\r\n]*))?\]", re.I)
-    stop = re.compile(rf"^[ \t]*\r?\n|^#{{1,6}}\s|\[/?(?:{names})\b", re.M | re.I)
+    tag = _opening(markers)
+    opened = [(m.start(), m.end(1), m["m"].upper(), m["id"]) for m in re.finditer(f"(?=({tag}))", text, re.I)]  # one may begin inside another
+    closed: dict[str, list[tuple[int, int]]] = {}
+    for m in re.finditer(rf"\[/({'|'.join(map(re.escape, markers))})\]", text, re.I):
+        closed.setdefault(m[1].upper(), []).append(m.span())
+    starts = {name: [x[0] for x in spans] for name, spans in closed.items()}
+    found, free = [], Free(len(text))
+
     at = 0
-    while m := opening.search(text, at):
-        if m.start() > at:
-            yield Piece("text", at, m.start(), text[at : m.start()])
-        close = re.compile(rf"\[/{re.escape(m['m'])}\]", re.I).search(text, m.end())
-        if close:
-            inner, end = text[m.end() : close.start()], close.end()
-        else:
-            hit = stop.search(text, m.end() + 1) if m.end() < len(text) else None
-            end = hit.start() if hit else len(text)
-            inner = text[m.end() : end]
-        given = (m["id"] or "").strip() or None
-        if given and not _ID.fullmatch(given):
-            yield Piece("error", m.start(), end, text[m.start() : end], message=f"bad fragment id {given}")
+    for start, end, name, given in opened:
+        i = bisect_left(starts.get(name, ()), end)
+        if start >= at and i < len(starts.get(name, ())):
+            inner, at = (end, closed[name][i][0]), closed[name][i][1]
+            found.append((start, at, at, name, given, text[slice(*inner)]))
+    free.take([x[:2] for x in found])
+
+    stop = re.compile(rf"\n\s*(?:\n|{re.sub(r'[?]P<[a-z]+>', '?:', tag)}|#{{1,6}}\s)", re.I)
+    blank, later = re.compile(r"\n\s*\n"), []
+    order = [x[0] for x in opened]
+    for a, b in free.stretches:
+        at = a
+        for i in range(bisect_left(order, a), bisect_left(order, b)):
+            start, end, name, given = opened[i]
+            if start < at or end > b:
+                continue
+            hit = stop.search(text, end, b)
+            last = hit.start() if hit else b
+            gap = blank.match(text, last, b)
+            at = gap.end() if gap else last
+            later.append((start, at, last, name, given, text[end:last].strip()))
+    free.take([x[:2] for x in later])
+
+    plain = [(a, b, b, None, None, text[a:b]) for a, b in free.stretches]
+    for start, end, last, name, given, inner in sorted([*found, *later, *plain]):
+        block_id = given.strip() if given else None
+        if name is None:
+            yield Piece("text", start, end, inner)
+        elif block_id is not None and not _ID.fullmatch(block_id):
+            yield Piece("error", start, end, text[start:last], message=f"bad fragment id {block_id}")
         else:
-            yield Piece("text", m.start(), end, inner.strip(), marker=m["m"].upper(), block_id=given)
-        at = end
-    if at < len(text):
-        yield Piece("text", at, len(text), text[at:])
+            yield Piece("text", start, end, inner, marker=name, block_id=block_id)
 
 
 def scan_headings(text: str) -> Iterator[Piece]:
