@@ -58,12 +58,33 @@ def by_hand(a, b):
 
 
 def test_alignment_matches_brute_force():
-    from threadloom.operators.diff import _aligned
+    from threadloom.operators.diff import aligned
 
     rng = random.Random(3)
-    for _ in range(300):
-        a, b = ([rng.choice("abcde") for _ in range(rng.randint(0, 9))] for _ in range(2))
-        assert list(_aligned(a, b)) == by_hand(a, b)
+    told = lambda a, b, **k: [(c, None if i is None else a[i], None if j is None else b[j]) for c, i, j in aligned(a, b, **k)]
+    for n in range(600):
+        signs = "abcde" if n % 2 else "abcdefghijklmnop"
+        a, b = ([rng.choice(signs) for _ in range(rng.randint(0, 11))] for _ in range(2))
+        assert told(a, b) == told(a, b, pairs=-10**6) == by_hand(a, b)  # by runs, and rectangle by rectangle
+
+
+def test_alignment_follows_the_pairs_of_equal_blocks():
+    import difflib
+    import time
+
+    from threadloom.operators.diff import matched
+
+    rng = random.Random(6)
+    a = [f"block {i}" if i % 9 else "---" if i % 900 == 0 else f"again {i % 3000}" for i in range(100_000)]
+    b = [x for i, x in enumerate(a) if i % 11] + ["end"]
+    for i in range(0, len(b), 10):  # runs of one length, the first of which is always the longest left
+        b[i] = f"new {i}"
+    began = time.perf_counter()
+    runs = matched(a, b)
+    assert time.perf_counter() - began < 30 and all(a[i : i + n] == b[j : j + n] for i, j, n in runs) and sum(n for *_, n in runs) > 70_000
+    few = a[:1500], b[:1400]
+    rng.shuffle(few[1][700:900])
+    assert matched(*few) == [tuple(m) for m in difflib.SequenceMatcher(None, *few, autojunk=False).get_matching_blocks() if m.size]
 
 
 def test_alignment_groups_are_bounded(spark, tmp_path):

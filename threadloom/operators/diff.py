@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import difflib
+import heapq
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,10 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def artifact_diff(base: DataFrame, target: DataFrame, keys: list[str], compared: list[str]) -> DataFrame:
-    """Full outer join on ``keys``: (keys, change, base_<c>, target_<c>) of added, removed and modified rows."""
-    b = base.select(*keys, *[F.col(c).alias(f"base_{c}") for c in compared], F.lit(True).alias("__b"))
-    t = target.select(*keys, *[F.col(c).alias(f"target_{c}") for c in compared], F.lit(True).alias("__t"))
+def artifact_diff(base: DataFrame, target: DataFrame, keys: list[str], compared: list[str], carried: list[str] = ()) -> DataFrame:
+    """Full outer join on ``keys``: (keys, change, base_<c>, target_<c>) of added, removed and modified rows; ``carried`` columns are shown, not compared."""
+    b = base.select(*keys, *[F.col(c).alias(f"base_{c}") for c in (*compared, *carried)], F.lit(True).alias("__b"))
+    t = target.select(*keys, *[F.col(c).alias(f"target_{c}") for c in (*compared, *carried)], F.lit(True).alias("__t"))
     same = F.lit(True)
     for c in compared:
         same = same & F.col(f"base_{c}").eqNullSafe(F.col(f"target_{c}"))
@@ -24,51 +26,113 @@ def artifact_diff(base: DataFrame, target: DataFrame, keys: list[str], compared:
 def field_diff(base: DataFrame, target: DataFrame, keys: tuple[str, ...] = ("aid",)) -> DataFrame:
     """(keys, field, old, new) of artifacts on both sides; lists compare as multisets, ``contents`` is left out."""
 
-    def entries(df: DataFrame, name: str) -> DataFrame:
-        rows = df.select(*keys, F.explode(F.map_entries("fields")).alias("e")).filter("e.key != 'contents'")
-        return rows.select(*keys, F.col("e.key").alias("field"), F.struct(F.col("e.value.is_list").alias("is_list"), F.array_sort("e.value.vals").alias("vals")).alias(name))
-
-    both = base.select(*keys).join(target.select(*keys), list(keys))
-    old = entries(base.join(both, list(keys), "left_semi"), "o")
-    new = entries(target.join(both, list(keys), "left_semi"), "n")
-    changed = old.join(new, [*keys, "field"], "full_outer").filter(~F.col("o").eqNullSafe(F.col("n")))
-    return changed.select(*keys, "field", F.array_join("o.vals", "; ").alias("old"), F.array_join("n.vals", "; ").alias("new"))
+    pairs = base.select(*keys, F.col("fields").alias("__o")).join(target.select(*keys, F.col("fields").alias("__n")), list(keys))
+    at = F.element_at
+    value = lambda side, f: F.when(at(side, f).isNotNull(), F.struct(at(side, f)["is_list"].alias("is_list"), F.array_sort(at(side, f)["vals"]).alias("vals")))
+    names = F.array_remove(F.array_union(F.coalesce(F.map_keys("__o"), F.array()), F.coalesce(F.map_keys("__n"), F.array())), "contents")
+    each = F.transform(names, lambda f: F.struct(f.alias("field"), value(F.col("__o"), f).alias("o"), value(F.col("__n"), f).alias("n")))
+    changed = F.filter(each, lambda x: ~x["o"].eqNullSafe(x["n"]))
+    rows = pairs.select(*keys, F.explode(changed).alias("x"))
+    return rows.select(*keys, "x.field", F.array_join("x.o.vals", "; ").alias("old"), F.array_join("x.n.vals", "; ").alias("new"))
 
 
 def text_by_id(base: DataFrame, target: DataFrame) -> DataFrame:
-    """Text blocks matched by (path, block_id), compared stripped."""
+    """Text blocks matched by (path, block_id), compared stripped; a column ``line`` is shown."""
     from threadloom.model import strip
 
-    b = base.select("path", "block_id", strip(F.col("content")).alias("content"))
-    t = target.select("path", "block_id", strip(F.col("content")).alias("content"))
-    return artifact_diff(b, t, ["path", "block_id"], ["content"])
+    more = [c for c in ("line",) if c in base.columns]
+    b = base.select("path", "block_id", strip(F.col("content")).alias("content"), *more)
+    t = target.select("path", "block_id", strip(F.col("content")).alias("content"), *more)
+    return artifact_diff(b, t, ["path", "block_id"], ["content"], more)
 
 
 def text_alignment(base: DataFrame, target: DataFrame) -> DataFrame:
-    """(path, change, old, new) of blocks without ids, aligned in file order; replaced runs pair up, the surplus is added or removed.
+    """(path, change, old, new, old_line, new_line) of blocks (path, block_no, content, line) without ids, aligned in file order;
+    replaced runs pair up, the surplus is added or removed.
 
     The unit of work is one file of one revision pair, which fits a task.
     """
 
     def align(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-        a, b = ([x.strip() for x in f.sort_values(f.columns[1]).iloc[:, 2]] if len(f) else [] for f in (old, new))
+        sides = [f.sort_values(f.columns[1]) if len(f) else None for f in (old, new)]
+        a, b = ([x.strip() for x in f.iloc[:, 2]] if f is not None else [] for f in sides)
+        lines = [list(f.iloc[:, 3]) if f is not None else [] for f in sides]
         path = (old if len(old) else new).iloc[0, 0]
-        return pd.DataFrame([(path, *r) for r in _aligned(a, b)], columns=["path", "change", "old", "new"])
+        at = lambda x, i: None if i is None else x[i]
+        rows = [(path, change, at(a, i), at(b, j), at(lines[0], i), at(lines[1], j)) for change, i, j in aligned(a, b)]
+        return pd.DataFrame(rows, columns=["path", "change", "old", "new", "old_line", "new_line"]).astype(object)
 
-    columns = ["path", "block_no", "content"]
+    columns = ["path", "block_no", "content", "line"]
+    sides = [side if "line" in side.columns else side.withColumn("line", F.lit(None).cast("string")) for side in (base, target)]
     # fresh attributes on one side: a cogroup of two plans of one origin would mix its columns up
-    other = target.select(*[F.col(c).alias(f"__{c}") for c in columns])
-    return base.select(*columns).groupBy("path").cogroup(other.groupBy("__path")).applyInPandas(align, "path string, change string, old string, new string")
-
-
-def _aligned(a: list[str], b: list[str]) -> Iterator[tuple]:
-    for op, i, j, k, m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-        if op == "equal":
+    other = sides[1].select(*[F.col(c).alias(f"__{c}") for c in columns])
+    schema = "path string, change string, old string, new string, old_line string, new_line string"
+    return sides[0].select(*columns).groupBy("path").cogroup(other.groupBy("__path")).applyInPandas(align, schema)
+
+
+#: Pairs of equal blocks, per block of a file, up to which runs are listed.
+PAIRS = 32
+
+
+def aligned(a: list[str], b: list[str], pairs: int = PAIRS) -> Iterator[tuple[str, int | None, int | None]]:
+    """(change, place in a, place in b) of what lies between the matched runs."""
+    i = j = 0
+    for x, y, n in [*matched(a, b, pairs), (len(a), len(b), 0)]:
+        k = min(x - i, y - j)
+        yield from (("modified", i + z, j + z) for z in range(k))
+        yield from (("removed", z, None) for z in range(i + k, x))
+        yield from (("added", None, z) for z in range(j + k, y))
+        i, j = x + n, y + n
+
+
+def matched(a: list[str], b: list[str], pairs: int = PAIRS) -> list[tuple[int, int, int]]:
+    """The matched runs (place in a, place in b, length): the longest common run, the first in a, then in b; before and after it likewise.
+
+    All maximal runs lie in a queue by length. One that is popped is cut to what the runs matched before leave of it, and matched if
+    it is whole: matches divide what is left into rectangles that do not touch, so that the longest of all is the longest of its own.
+    The work follows the pairs of equal blocks; where there are too many, each rectangle is searched on its own."""
+    where: dict[str, list[int]] = {}
+    for j, x in enumerate(b):
+        where.setdefault(x, []).append(j)
+    if sum(len(where.get(x, ())) for x in a) > pairs * (len(a) + len(b)) + 100_000:
+        return [tuple(m) for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if m.size]
+    runs, open_ = [], {}
+    for i, x in enumerate(a):  # runs by their diagonal, while they go on
+        now = {}
+        for j in where.get(x, ()):
+            now[j] = open_.pop(j - 1, (i, j))
+        runs += [(i - s, s, t) for s, t in open_.values()]
+        open_ = now
+    runs += [(len(a) - s, s, t) for s, t in open_.values()]
+    queue = [(-n, i, j) for n, i, j in runs]
+    heapq.heapify(queue)
+    starts, found = [], []  # matches in order, by their place in a
+    while queue:
+        n, i, j = heapq.heappop(queue)
+        n = -n
+        k = bisect_right(starts, i) - 1  # the match before the run's start
+        before = found[k] if k >= 0 else (0, 0, 0)
+        after = found[k + 1] if k + 1 < len(found) else (len(a), len(b), 0)
+        skip = max(0, before[0] + before[2] - i, before[1] + before[2] - j)
+        left = min(n, after[0] - i, after[1] - j)
+        if skip == 0 and left == n:
+            starts.insert(k + 1, i)
+            found.insert(k + 1, (i, j, n))
             continue
-        n = min(j - i, m - k)
-        yield from (("modified", a[i + x], b[k + x]) for x in range(n))
-        yield from (("removed", x, None) for x in a[i + n : j])
-        yield from (("added", None, x) for x in b[k + n : m])
+        if left > skip:
+            heapq.heappush(queue, (skip - left, i + skip, j + skip))
+        if after[0] < i + n:  # what reaches over the next match is looked at from its start
+            reach = max(after[0] - i, left, skip)
+            if reach < n:
+                heapq.heappush(queue, (reach - n, i + reach, j + reach))
+    # runs that meet are one
+    out: list[list[int]] = []
+    for i, j, n in found:
+        if out and out[-1][0] + out[-1][2] == i and out[-1][1] + out[-1][2] == j:
+            out[-1][2] += n
+        else:
+            out.append([i, j, n])
+    return [tuple(x) for x in out]
 
 
 def binary_diff(base: DataFrame, target: DataFrame) -> DataFrame:

@@ -42,11 +42,14 @@ def missing_mandatory(artifacts: DataFrame, rules: DataFrame) -> DataFrame:
 
 def extra_attributes(artifacts: DataFrame, rules: DataFrame) -> DataFrame:
     """K6: attributes that no active rule of the type covers. The covered names of a row are gathered from its few rules, without a join on attributes."""
-    names = F.collect_list(F.struct("attr", "cond_anchor", "cond_negated", "cond_true")).alias("__rules")
-    by_type = F.broadcast(rules.groupBy("atype").agg(names))
+    plain = F.collect_list(F.when(F.col("cond_anchor").isNull(), F.col("attr"))).alias("__names")
+    others = F.collect_list(F.when(F.col("cond_anchor").isNotNull(), F.struct("attr", "cond_anchor", "cond_negated", "cond_true"))).alias("__rules")
+    by_type = F.broadcast(rules.groupBy("atype").agg(plain, others))
+    # only names that no unconditional rule covers are held against conditions, and most rows have none
+    rest = F.array_except(F.map_keys("fields"), F.col("__names"))
     held = F.transform(F.filter("__rules", lambda r: condition(r["cond_anchor"], r["cond_negated"], r["cond_true"])), lambda r: r["attr"])
-    rows = artifacts.join(by_type, "atype").withColumn("__attr", F.explode(F.array_except(F.map_keys("fields"), held)))
-    return _emit(rows, "extra_attribute", F.col("__attr"))
+    rows = artifacts.join(by_type, "atype").withColumn("__rest", rest).filter(F.size("__rest") > 0)
+    return _emit(rows.withColumn("__attr", F.explode(F.array_except("__rest", held))), "extra_attribute", F.col("__attr"))
 
 
 def _values(artifacts: DataFrame, rules: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom import metamodel, model, scratch
+from threadloom.functions.lines import lines_text
 from threadloom.operators import diff, edit, graph, impact, metrics, trace, validate
 from threadloom.operators.order import numbered
 from threadloom.plans import apply, outputs, publish, report, writer
@@ -602,11 +603,12 @@ def changes(spark: SparkSession, config: settings.Config, rules: metamodel.Metam
         artifacts = diff.artifact_diff(*found, ["record", "aid"], ["atype", "all"]).collect()
         fields = diff.field_diff(*found, keys=("record", "aid")).collect()
         place = F.concat(_folder({r.name: r.dir for r in config.input}), "path")
-        plain = [s.filter("kind = 'text'").withColumn("path", place) for s in sides]
+        line = lines_text(F.col("loc.line_start"), F.col("loc.line_end"))
+        plain = [s.filter("kind = 'text'").withColumn("path", place).withColumn("line", line) for s in sides]
         named = F.coalesce(F.col("explicit_id"), F.lit(False)) & (F.coalesce("block_id", F.lit("")) != "")
         # of several blocks with one id the last counts
-        own = [p.filter(named).groupBy("path", "block_id").agg(F.max_by("content", "block_no").alias("content")) for p in plain]
-        by_id = diff.text_by_id(*own).select("path", "change", F.col("base_content").alias("old"), F.col("target_content").alias("new"))
+        own = [p.filter(named).groupBy("path", "block_id").agg(F.max_by(F.struct("content", "line"), "block_no").alias("x")).select("path", "block_id", "x.*") for p in plain]
+        by_id = diff.text_by_id(*own).select("path", "change", *[F.col(f"{side}_{c}").alias(n) for c, names in (("content", ("old", "new")), ("line", ("old_line", "new_line"))) for side, n in zip(("base", "target"), names)])
         texts = by_id.unionByName(diff.text_alignment(*[p.filter(~named) for p in plain])).orderBy("path", "change", "old", "new").collect()
         none = spark.createDataFrame([], "aid string, content binary")
         binaries = diff.binary_diff(*[none if c is None else c for c in contents]).collect() if any(c is not None for c in contents) else []

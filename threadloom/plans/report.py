@@ -140,7 +140,8 @@ def change_report(artifacts: Iterable, fields: Iterable, texts: Iterable = (), b
     if texts:
         out += ["", "## Text"]
     for t in texts:
-        out += ["", f"- {t.change} in {t.path}: {cell(t.old)} -> {cell(t.new)}", *[f"  {line}" for line in quoted(t.new if t.new is not None else t.old)]]
+        where = " → ".join(x for x in (t.old_line, t.new_line) if x)
+        out += ["", f"- {t.change} in {t.path}{f' ({where})' if where else ''}: {cell(t.old)} -> {cell(t.new)}", *[f"  {line}" for line in quoted(t.new if t.new is not None else t.old)]]
     if binaries:
         shown = lambda size, digest: "" if digest is None else f"{size} B `{digest[:12]}`"
         out += ["", "## Binaries", ""]

@@ -656,6 +656,22 @@ def text_alignment_diff(spark, sf):
     return diff.text_alignment(*[side.withColumn("path", name) for side in _text_sides(spark, sf)]).select("path", "change", F.length("old").alias("n_old"), F.length("new").alias("n_new"))
 
 
+@query("""SELECT source || '/' || (doc_id // 200) AS path, CASE WHEN doc_id // 200 % 3 = 0 THEN 'added' WHEN doc_id // 200 % 3 = 1 THEN 'removed' ELSE 'modified' END AS change, 'b' || doc_id AS block_id,
+  CASE WHEN doc_id // 200 % 3 <> 0 THEN 'lines ' || (doc_id * 2) || '–' || (doc_id * 2 + 1) END AS old_line, CASE WHEN doc_id // 200 % 3 <> 1 THEN 'line ' || doc_id END AS new_line
+FROM documents WHERE doc_id // 200 % 3 < 2 OR doc_id % 5 = 1""")
+def text_file_changes(spark, sf):
+    """Texts of added and removed files and texts changed in place, with their lines."""
+    from threadloom.functions.lines import lines_text
+
+    k, part = F.col("doc_id"), F.floor(F.col("doc_id") / 200)
+    rows = t.read(spark, sf, "documents").select(F.concat("source", F.lit("/"), part.cast("string")).alias("path"), k.alias("block_no"), F.concat(F.lit("b"), k.cast("string")).alias("content"))
+    part, k = F.floor(F.col("block_no") / 200), F.col("block_no")
+    edited = F.when((part % 3 == 2) & (k % 5 == 1), F.concat("content", F.lit("!"))).otherwise(F.col("content"))
+    base = rows.filter(part % 3 != 0).withColumn("line", lines_text(k * 2, k * 2 + 1))
+    out = diff.text_alignment(base, rows.withColumn("content", edited).filter(part % 3 != 1).withColumn("line", lines_text(k, k)))
+    return out.select("path", "change", F.regexp_replace(F.coalesce("new", "old"), "!", "").alias("block_id"), "old_line", "new_line")
+
+
 @query("""SELECT 'b' || doc_id AS aid, CASE WHEN doc_id % 7 = 0 THEN 'added' WHEN doc_id % 7 = 1 THEN 'removed' ELSE 'modified' END AS change,
   CASE WHEN doc_id % 7 <> 0 THEN sha256(text) END AS base_sha256, CASE WHEN doc_id % 7 <> 0 THEN strlen(text) ELSE 0 END AS base_size
 FROM documents WHERE doc_id % 7 IN (0, 1) OR doc_id % 5 <= 1""")
