@@ -631,3 +631,28 @@ def test_kept_artifacts_answer_without_parsing(spark, home, monkeypatch, capsys)
     for args, want in ((["search", "new words", "--store", folder], "G-3 REQ\n"), (["list", "--limit", "1", "--store", folder], "G-0 REQ req\n")):
         capsys.readouterr()
         assert cli.main(["--config", str(conf), *args]) == 0 and capsys.readouterr().out.splitlines(True)[-1].split()[0] == want.split()[0]
+
+
+def test_trees_read_what_is_asked_for(spark, home):
+    from threadloom.sources import trees
+
+    (home / "REQ/bin.dat").write_bytes(bytes(range(256)) * 40_000)
+    (home / "REQ/empty.md").write_bytes(b"")
+    for args in (("add", "."), ("commit", "-qm", "two")):
+        subprocess.run(["git", "-C", str(home), *args], check=True)
+    (home / "REQ/b.md").unlink()
+    paths = spark.createDataFrame([("b.md",), ("bin.dat",), ("empty.md",), ("2. part/c.md",), ("2. part",), ("none.md",), ("b.md",)], "path string")
+    at = lambda end, folder="REQ": trees.tree(spark, home, git.resolve(home, end), folder)
+    kept = {r.path: bytes(r.content) for r in at("HEAD").contents(paths).collect()}
+    assert set(kept) == {"b.md", "bin.dat", "empty.md", "2. part/c.md"} and kept["bin.dat"] == bytes(range(256)) * 40_000 and kept["empty.md"] == b"" and kept["b.md"].decode() == REQ
+    assert {r.path for r in at("HEAD~1").names(paths).collect()} == {"b.md", "2. part/c.md"}
+    now = {r.path: r.value for r in at("working").texts(paths.filter("path != 'bin.dat'")).collect()}
+    assert now == {"empty.md": "", "2. part/c.md": "[REQ]\nno id\n[status] draft\n"}
+    assert {r.path for r in at("HEAD", ".").names(spark.createDataFrame([("SYS/a.md",)], "path string")).collect()} == {"SYS/a.md"}
+
+
+def test_sources_in_another_encoding_give_nothing(spark, tmp_path):
+    (tmp_path / "a.py").write_bytes("# [< ID=A-1 >>> größe >]\n".encode("latin-1"))
+    (tmp_path / "b.py").write_bytes("# [< ID=B-1 >>> größe >]\n".encode())
+    p = project.Project(spark, config.Config(tmp_path, [config.InputRecord("src", ".", "text", filter="*.py", atype="SRC")]))
+    assert {r.aid for r in p.artifacts.collect()} == {"B-1"} and {r.path for r in p.blocks.collect()} == {"b.py"}

@@ -24,7 +24,7 @@ from threadloom.operators.order import numbered
 from threadloom.plans import apply, outputs, publish, report, writer
 from threadloom.sources import config as settings
 from threadloom.sources import files as small
-from threadloom.sources import git, history, scan
+from threadloom.sources import git, history, scan, trees
 
 
 _HOOKS = ("transform_blocks", "filter_block", "transform_markdown", "export_trace")
@@ -121,26 +121,37 @@ class Project:
         own = [r for r in self.rules.attr_rules if r["atype"] == atype and r["multiple"]]
         return {"multiple": {r["attr"] for r in own}, "split": {r["attr"] for r in own if r["type"] in ("reference", "enum")}, "labels": self.rules.labels}
 
-    def record_blocks(self, record: settings.InputRecord, only: DataFrame | None = None) -> DataFrame:
-        """Blocks of one input; ``only`` (path) prunes files before they are parsed."""
+    def record_blocks(self, record: settings.InputRecord, only: DataFrame | None = None, tree: trees.Tree | None = None) -> DataFrame:
+        """Blocks of one input; ``only`` (path) prunes files before they are parsed; with it, they may come from a ``tree``."""
         folder = str(self.root / record.dir)
         pattern = record.filter or scan.GLOBS.get(record.driver, "*")
+        wanted = F.col("path").rlike(scan.glob_pattern(pattern))
         rules = self._attribute_rules(record.atype)
         named = lambda df: df.select(F.lit(record.name).alias("record"), *df.columns)
-        prune = lambda df: df if only is None else df.join(only.select("path"), "path", "left_semi")
         if record.driver == "sidecar":
             ends = tuple("." + e.lstrip(".") for e in record.sidecars)
             side = "(" + "|".join(re.escape(e) for e in ends) + ")$"
             # a file and its sidecar are read when either of them changed
-            near = lambda df: df if only is None else df.withColumn("__of", F.regexp_replace("path", side, "")).join(only.select(F.regexp_replace("path", side, "").alias("__of")).distinct(), "__of", "left_semi").drop("__of")
-            names = near(scan.names(self.spark, folder).filter(~F.col("path").rlike(side) & F.col("path").rlike(scan.glob_pattern(pattern))))
-            return scan.scan_sidecars(named(near(scan.files(self.spark, folder).filter(F.col("path").rlike(side)))), named(names), record.atype, ends, self.rules.labels)
-        source = named(prune(scan.files(self.spark, folder, pattern.split("/")[-1]).filter(F.col("path").rlike(scan.glob_pattern(pattern)))))
+            units = None if only is None else only.select(F.regexp_replace("path", side, "").alias("__of")).distinct()
+            if tree is None:
+                near = lambda df: df if only is None else df.withColumn("__of", F.regexp_replace("path", side, "")).join(units, "__of", "left_semi").drop("__of")
+                names, sides = near(scan.names(self.spark, folder).filter(~F.col("path").rlike(side) & wanted)), near(scan.files(self.spark, folder).filter(F.col("path").rlike(side)))
+            else:
+                names = tree.names(units.select(F.col("__of").alias("path")).filter(wanted))
+                sides = tree.texts(units.select(F.explode(F.array(*[F.concat("__of", F.lit(e)) for e in ends])).alias("path")))
+            return scan.scan_sidecars(named(sides), named(names), record.atype, ends, self.rules.labels)
+        if tree is not None:
+            source = named(tree.texts(only.select("path").filter(wanted)))
+        else:
+            files = scan.files(self.spark, folder, pattern.split("/")[-1]).filter(wanted)
+            source = named(files if only is None else files.join(only.select("path"), "path", "left_semi"))
         if record.driver in ("obsidian", "markdown"):
             return scan.scan_markdown(source, record.marker, record.atype, fragments=tuple(record.markers), exclude=record.exclude_elements, **rules)
         if record.driver == "ipynb":
             return scan.scan_notebooks(source, record.marker, record.atype, **rules)
-        return (scan.scan_code if record.driver == "text" else scan.scan_simple)(source, record.atype, **rules)
+        if record.driver == "text":  # sources in another encoding give nothing (A7)
+            return scan.scan_code(source.filter(F.is_valid_utf8("value")), record.atype, **rules)
+        return scan.scan_simple(source, record.atype, **rules)
 
     @cached_property
     def blocks(self) -> DataFrame:
@@ -564,56 +575,58 @@ def changes(spark: SparkSession, config: settings.Config, rules: metamodel.Metam
     """
     _inside(config, repo)
     ends = [git.resolve(repo, r) for r in (base, target)]
-    shared = None if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local" else scratch.shared_path(spark)
-    with git.snapshot(repo, ends[0], shared) as a, git.snapshot(repo, ends[1], shared) as b:
-        inside = Path(config.base).resolve().relative_to(Path(repo).resolve())
-        changed = git.changed_files(spark, repo, *ends)
-        sides, contents, broken, raw = [], [], None, []
-        for place in (a, b):
-            project, out = Project(spark, config, rules, base=Path(place) / inside), None
-            held, read = None, None
-            for record in config.input:
-                folder = str((inside / record.dir).as_posix())
-                only = git.of_record(changed, folder)
-                if folder.strip("./"):
-                    only = only.withColumn("path", F.expr(f"substring(path, {len(folder.strip('/')) + 2})"))
-                if not (Path(place) / inside / record.dir).is_dir():
-                    continue
-                part = project.record_blocks(record, only)
-                out = part if out is None else out.unionByName(part)
-                touched = only.select(F.regexp_replace("path", SIDE, "").alias("path")) if record.driver == "sidecar" else only.select("path")
-                faults = part.filter("kind = 'error'").join(touched, "path", "left_semi").select("record", "path", "message")
-                broken = faults if broken is None else broken.unionByName(faults)
-                texts = scan.files(spark, str(Path(place) / inside / record.dir))
-                texts = texts.filter(F.col("path").rlike(SIDE)).withColumn("path", F.regexp_replace("path", SIDE, "")) if record.driver == "sidecar" else texts
-                texts = texts.select(F.lit(record.name).alias("record"), "path", "value")
-                read = texts if read is None else read.unionByName(texts)
-                if record.driver == "sidecar":
-                    held_by = part.filter("kind = 'artifact'").groupBy("aid").agg(F.max("path").alias("path"))
-                    files = held_by.join(scan.binaries(spark, str(Path(place) / inside / record.dir)), "path").select("aid", "content")
-                    held = files if held is None else held.unionByName(files)
-            sides.append(out)
-            contents.append(held)
-            raw.append(read)
-        empty = spark.createDataFrame([], model.schema(model.BLOCKS))
-        sides = [s if s is not None else empty for s in sides]
-        # of several artifacts with one id in a record the last counts
-        last = F.max_by(F.struct("atype", "fields", "loc"), F.struct("path", "block_no")).alias("v")
-        found = [s.filter("kind = 'artifact'").groupBy("record", "aid").agg(last).select("record", "aid", "v.atype", F.to_json(F.array_sort(F.map_entries("v.fields"))).alias("all"), "v.fields", F.col("v.loc.file").alias("path")) for s in sides]
-        artifacts = diff.artifact_diff(*found, ["record", "aid"], ["atype", "all"]).collect()
-        fields = diff.field_diff(*found, keys=("record", "aid")).collect()
-        place = F.concat(_folder({r.name: r.dir for r in config.input}), "path")
-        line = lines_text(F.col("loc.line_start"), F.col("loc.line_end"))
-        plain = [s.filter("kind = 'text'").withColumn("path", place).withColumn("line", line) for s in sides]
-        named = F.coalesce(F.col("explicit_id"), F.lit(False)) & (F.coalesce("block_id", F.lit("")) != "")
-        # of several blocks with one id the last counts
-        own = [p.filter(named).groupBy("path", "block_id").agg(F.max_by(F.struct("content", "line"), "block_no").alias("x")).select("path", "block_id", "x.*") for p in plain]
-        by_id = diff.text_by_id(*own).select("path", "change", *[F.col(f"{side}_{c}").alias(n) for c, names in (("content", ("old", "new")), ("line", ("old_line", "new_line"))) for side, n in zip(("base", "target"), names)])
-        texts = by_id.unionByName(diff.text_alignment(*[p.filter(~named) for p in plain])).orderBy("path", "change", "old", "new").collect()
-        none = spark.createDataFrame([], "aid string, content binary")
-        binaries = diff.binary_diff(*[none if c is None else c for c in contents]).collect() if any(c is not None for c in contents) else []
-        errors = _fallback(broken, *raw).collect() if broken is not None else []
-        files = changed.join(_inputs(changed, config, inside), "path", "left_semi").select("status").collect()
+    inside = Path(config.base).resolve().relative_to(Path(repo).resolve())
+    changed = scratch.table(git.changed_files(spark, repo, *ends), "changed")
+    project, sides, contents, broken, places = Project(spark, config, rules), [], [], None, []
+    for end in ends:
+        out, held, where = None, None, {}
+        for record in config.input:
+            folder = (inside / record.dir).as_posix()
+            only = git.of_record(changed, folder)
+            if folder.strip("./"):
+                only = only.withColumn("path", F.expr(f"substring(path, {len(folder.strip('/')) + 2})"))
+            where[record.name] = tree = trees.tree(spark, repo, end, folder)
+            part = scratch.table(project.record_blocks(record, only, tree), "blocks")
+            out = part if out is None else out.unionByName(part)
+            touched = only.select(F.regexp_replace("path", SIDE, "").alias("path")) if record.driver == "sidecar" else only.select("path")
+            faults = part.filter("kind = 'error'").join(touched, "path", "left_semi").select("record", "path", "message")
+            broken = faults if broken is None else broken.unionByName(faults)
+            if record.driver == "sidecar":
+                held_by = part.filter("kind = 'artifact'").groupBy("aid").agg(F.max("path").alias("path"))
+                files = held_by.join(tree.contents(held_by), "path").select("aid", "content")
+                held = files if held is None else held.unionByName(files)
+        sides.append(out)
+        contents.append(held)
+        places.append(where)
+    raw = []
+    for where in places:  # the texts of broken files only
+        read = None
+        for record in config.input:
+            some = broken.filter(F.col("record") == record.name).select("path")
+            if record.driver == "sidecar":
+                some = some.select(F.explode(F.array(*[F.concat("path", F.lit("." + e.lstrip("."))) for e in record.sidecars])).alias("path"))
+            part = where[record.name].texts(some).select(F.lit(record.name).alias("record"), F.regexp_replace("path", SIDE, "").alias("path") if record.driver == "sidecar" else "path", "value")
+            read = part if read is None else read.unionByName(part)
+        raw.append(read)
+    empty = spark.createDataFrame([], model.schema(model.BLOCKS))
+    sides = [s if s is not None else empty for s in sides]
+    # of several artifacts with one id in a record the last counts
+    last = F.max_by(F.struct("atype", "fields", "loc"), F.struct("path", "block_no")).alias("v")
+    found = [s.filter("kind = 'artifact'").groupBy("record", "aid").agg(last).select("record", "aid", "v.atype", F.to_json(F.array_sort(F.map_entries("v.fields"))).alias("all"), "v.fields", F.col("v.loc.file").alias("path")) for s in sides]
+    artifacts = diff.artifact_diff(*found, ["record", "aid"], ["atype", "all"]).collect()
+    fields = diff.field_diff(*found, keys=("record", "aid")).collect()
+    place = F.concat(_folder({r.name: r.dir for r in config.input}), "path")
+    line = lines_text(F.col("loc.line_start"), F.col("loc.line_end"))
+    plain = [s.filter("kind = 'text'").withColumn("path", place).withColumn("line", line) for s in sides]
+    named = F.coalesce(F.col("explicit_id"), F.lit(False)) & (F.coalesce("block_id", F.lit("")) != "")
+    # of several blocks with one id the last counts
+    own = [p.filter(named).groupBy("path", "block_id").agg(F.max_by(F.struct("content", "line"), "block_no").alias("x")).select("path", "block_id", "x.*") for p in plain]
+    by_id = diff.text_by_id(*own).select("path", "change", *[F.col(f"{side}_{c}").alias(n) for c, names in (("content", ("old", "new")), ("line", ("old_line", "new_line"))) for side, n in zip(("base", "target"), names)])
+    texts = by_id.unionByName(diff.text_alignment(*[p.filter(~named) for p in plain])).orderBy("path", "change", "old", "new").collect()
+    none = spark.createDataFrame([], "aid string, content binary")
+    binaries = diff.binary_diff(*[none if c is None else c for c in contents]).collect() if any(c is not None for c in contents) else []
+    errors = _fallback(broken, *raw).collect() if broken is not None else []
+    files = changed.join(_inputs(changed, config, inside), "path", "left_semi").select("status").collect()
     return report.change_report(artifacts, fields, texts, binaries, errors, files=files, base=ends[0][:7], target=ends[1][:7], summary=summary)
 
 

@@ -1,4 +1,4 @@
-"""Revisions, changed files, snapshots and tags of a repository on the driver's disk, by the git command line.
+"""Revisions, changed files and tags of a repository on the driver's disk, by the git command line.
 
 What is asked of every file is in :mod:`threadloom.sources.history` and runs in the executors.
 """
@@ -6,11 +6,7 @@ What is asked of every file is in :mod:`threadloom.sources.history` and runs in
 from __future__ import annotations
 
 import re
-import shutil
 import subprocess
-import tempfile
-from collections.abc import Iterator
-from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,25 +65,6 @@ def faults(repo: str | Path, allow_dirty: bool = False) -> list[str]:
         return [f"{repo} is not in a git repository"]
 
 
-@contextmanager
-def snapshot(repo: str | Path, revision: str, parent: str | Path | None = None) -> Iterator[Path]:
-    """A folder with the files of a revision: the repository itself for the work tree, else an exported copy.
-
-    On a cluster ``parent`` must be a folder that the executors see too; a local master reads a temporary one."""
-    if revision == WORKING:
-        yield Path(repo)
-        return
-    folder = Path(tempfile.mkdtemp(prefix="snapshot-", dir=parent))
-    try:
-        archive = subprocess.Popen(["git", "-C", str(repo), "archive", revision], stdout=subprocess.PIPE)
-        subprocess.run(["tar", "-x", "-C", str(folder)], stdin=archive.stdout, check=True)
-        if archive.wait():
-            raise GitError(f"git archive {revision} failed")
-        yield folder
-    finally:
-        shutil.rmtree(folder, ignore_errors=True)
-
-
 def of_record(changes: DataFrame, folder: str) -> DataFrame:
     """Changed files of an input folder; the root folder holds all (D10). Both sides of a rename count."""
     every = changes.select("path", "status").union(changes.filter("old_path is not null").select("old_path", F.lit("D")))
