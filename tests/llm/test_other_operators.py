@@ -144,7 +144,7 @@ def test_pii_names_keep_their_script(spark):
         (entity,) = r.entities
         assert re.fullmatch(script, entity.surrogate) and entity.surrogate not in name and entity.surrogate.istitle()
         assert r.text == name.split(" ")[0] + " " + entity.surrogate
-    assert pii_surrogates.render("name:m:greek", "Κώστας", "γιώργοσ") == "Γιώργος"
+    assert pii_surrogates.render("given:m:greek", "Κώστας", "γιώργοσ") == "Γιώργος"
 
 
 def test_pii_finds_more_formats(spark):
@@ -203,6 +203,46 @@ def test_pii_spans_match_brute_force(spark):
     assert all(len(x) == 1 for x in made.values())
 
 
+def test_pii_forms_of_one_person_share_their_surrogates(spark):
+    text = "Mr Smith met Dr Smith, John Smith and Smith's dog; John left. Mrs Garcia is Maria Garcia. Call +1 555 123 4567, 555-123-4567, (0)555 123 4567 or +44 555 123 4567. The smith works."
+    rows = [(1, text), (2, "Ms Smith, Prof. Maria Lopez, name: Zorblax Quux; Quux signed"), (3, "from 2001:db8::1 and 2001:0db8:0000:0000:0000:0000:0000:0001, FE80::AB:12:1; at 12:30:45, std::vector a::b"), (4, "Mohammed Ali, Wei Zhang and Priya Patel")]
+    out = {r.doc_id: r for r in pii_surrogates.replace(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    shown = [(text[e.start : e.end], e.surrogate) for e in out[1].entities]
+    assert [s for s, _ in shown] == ["Smith", "Smith", "John Smith", "Smith", "John", "Garcia", "Maria Garcia", "+1 555 123 4567", "555-123-4567", "555 123 4567", "+44 555 123 4567"]
+    new = dict(shown)
+    assert len({x for s, x in shown if s == "Smith"}) == 1 and new["John Smith"] == f"{new['John']} {new['Smith']}" and new["Maria Garcia"].endswith(" " + new["Garcia"])
+    digits = lambda x: "".join(c for c in x if c.isdigit())
+    assert digits(new["+1 555 123 4567"]) == "1" + digits(new["555-123-4567"]) == "1" + digits(new["555 123 4567"]) and new["+44 555 123 4567"].startswith("+44 ") and new["+1 555 123 4567"].startswith("+1 ")
+    assert out[1].text.endswith("The smith works.") and new["Smith"] + "'s dog" in out[1].text
+    second = [e.surrogate for e in out[2].entities]
+    assert second[0] == new["Smith"] and second[1].split(" ")[0] == new["Maria Garcia"].split(" ")[0] and second[2].split(" ")[1] == second[3] and len(second) == 4
+    third = [e.surrogate for e in out[3].entities]
+    import ipaddress
+
+    assert [e.type for e in out[3].entities] == ["ipv6"] * 3 and ipaddress.ip_address(third[0]) == ipaddress.ip_address(third[1]) and third[2].startswith("FE80:") and "12:30:45" in out[3].text
+    assert [e.type for e in out[4].entities] == ["name"] * 3
+
+
+def test_pii_persons_stay_distinct_in_all_their_forms(spark):
+    syllables = "ba ce di fo gu ha ke li mo nu pa re si to vu wa xe yi zo qu da fe".split()
+    families = ["".join(p).capitalize() for p in itertools.product(syllables, repeat=3)][:1000]
+    givens = sorted(n for n in pii_surrogates._GENDER if n.isascii())[:40]
+    persons = [(g, f) for i, f in enumerate(families) for g in [givens[(i * 7 + j * 4) % 40] for j in range(10)]]
+    rows = [(i, f"{g} {f} came. Then Dr {f} spoke, and Dr {g} {f}. {g} went.") for i, (g, f) in enumerate(persons)]
+    out = pii_surrogates.replace(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    given, family, full = {}, {}, {}
+    for r in out:
+        g, f = persons[r.doc_id]
+        forms = [e.surrogate for e in r.entities]
+        assert len(forms) == 4 and forms[0] == forms[2] == f"{forms[3]} {forms[1]}", (rows[r.doc_id], forms)
+        assert given.setdefault(g, forms[3]) == forms[3] and family.setdefault(f, forms[1]) == forms[1]
+        full[g, f] = forms[0]
+        if forms[3].split("-")[0] in pii_surrogates._GIVEN["latin", "f"]:
+            assert pii_surrogates._GENDER[g] == "f"
+    assert len(set(full.values())) == len(set(persons)) == 10_000 and len(set(given.values())) == len(given) and len(set(family.values())) == 1000
+    assert not set(given.values()) & set(givens) and not set(family.values()) & set(families)
+
+
 def test_pii_formats_widen_when_they_are_full(spark, monkeypatch):
     entities = spark.createDataFrame([("phone", f"555{i:04d}") for i in range(30)] + [("ip", "10.0.0.1"), ("ip", "10.0.0.2")], "type string, norm string")
     original = pii_surrogates.canonical_surrogate
