@@ -303,31 +303,81 @@ def test_secret_candidates_match_brute_force(spark):
     assert got == want and sum(want.values()) > 60
 
 
-def test_secret_forest_against_a_walk_and_on_held_out_paths(spark, tmp_path):
+def test_secret_forest_against_a_walk_and_on_held_out_candidates(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     found, known = secret_scan.candidates(docs, "doc_id", "text", "source").cache(), secret_scan.dictionary(docs)
     assert len(known) == secret_scan.DICTIONARY_WORDS == len(set(known))
-    figures = secret_scan.held_out(found, known, spark)
-    assert figures["secrets"] > 20 and figures["others"] > 50 and figures["precision"] > 0.95 and figures["recall"] > 0.95
-    forest = secret_scan.train(secret_scan.label(found).select("before", "candidate", "after", "path", "is_secret").unionByName(secret_scan.findings_by_rule(spark)), known)
-    rows = secret_scan.judge(found, forest, known).join(found.select("doc_id", "no", *[c.alias(n) for n, c in secret_scan.features(known).items()]), ["doc_id", "no"]).collect()
+    for without in ((), secret_scan.NEIGHBOURS):
+        figures = secret_scan.held_out(found, known, spark, without=without)
+        assert figures["secrets"] > 20 and figures["others"] > 50 and figures["precision"] > 0.95 and figures["recall"] > 0.95
+    around = secret_scan.beside(found, secret_scan.label(found))
+    made = secret_scan.findings_by_rule(spark)
+    forest = secret_scan.train(secret_scan.label(found).select("before", "candidate", "after", "path", "is_secret"), around, known, made)
+    rows = secret_scan.judge(found, forest, around, known).join(around.on(found).select("doc_id", "no", *[c.alias(n) for n, c in secret_scan.features(known).items()]), ["doc_id", "no"]).collect()
     assert len(rows) == found.count() > 400
     for r in rows:  # every score and verdict of the table
         assert abs(forest.score(r.asDict()) - r.score) < 1e-8 and r.is_secret == (r.score >= 0.5)
-    made = secret_scan.judge(secret_scan.findings_by_rule(spark, 1200, seed=99).withColumnRenamed("is_secret", "wanted"), forest, known).collect()
-    assert sum(r.is_secret == r.wanted for r in made) / len(made) > 0.9
+    counts = collections.Counter((r.before or "").lower() for r in found.collect())
+    words = collections.defaultdict(set)
+    for r in found.collect():
+        words[(r.before or "").lower()].add(r.candidate)
+    for r in around.on(found).collect():
+        word = (r.before or "").lower()
+        assert r["__before_n"] == counts[word] and abs(r["__before_fresh"] - len(words[word]) / counts[word]) < 1e-9
+
+
+def overlapping_findings(seed, n=1500):
+    """(before, candidate, after, path, assigned) where neither the candidate nor its neighbour tells by itself: hex digests are secrets
+    behind words of keys only, and behind those words numbers and names are none."""
+    rng = random.Random(seed)
+    digits = lambda k, signs: "".join(rng.choice(signs) for _ in range(k))
+    keys, plain = ["token", "apikey", "auth", "pass"], ["commit", "sha", "blob", "tree"]
+    rows = []
+    for i in range(n):
+        kind = rng.randrange(6)
+        candidate = digits(40, "0123456789abcdef") if kind in (0, 2) else digits(28, "abcXYZ0189+/") if kind in (1, 3) else digits(16, "0123456789") if kind == 4 else "_".join(rng.choices(secret_scan.NAMING, k=3)) + "_7"
+        before = rng.choice(keys if kind in (0, 1) else plain if kind in (2, 3) else keys + plain)
+        rows.append((i, 0, before, candidate, rng.choice(["the", "end", ""]), f"src/{rng.randrange(4)}/{'test' if rng.random() < 0.2 else 'main'}", kind in (0, 1)))
+    return rows
+
+
+def test_secret_labels_are_no_single_feature(spark):
+    schema = "doc_id long, no int, before string, candidate string, after string, path string, assigned boolean"
+    found = spark.createDataFrame(overlapping_findings(1), schema).cache()
+    around = secret_scan.beside(found, secret_scan.label(found))
+    rows = around.on(found).select("assigned", *[c.alias(n) for n, c in secret_scan.features().items()]).collect()
+    for name in secret_scan.features():
+        values = sorted({r[name] for r in rows})
+        right = max(max(k := sum((r[name] <= t) == r.assigned for r in rows), len(rows) - k) for t in values)
+        assert right < 0.9 * len(rows), name
+    whole, alone = secret_scan.held_out(found), secret_scan.held_out(found, without=secret_scan.NEIGHBOURS)
+    assert whole["precision"] > 0.95 and whole["recall"] > 0.95 and alone["precision"] < 0.8 < whole["precision"]
+
+
+def test_a_repeated_finding_counts_as_one(spark):
+    schema = "doc_id long, no int, before string, candidate string, after string, path string, assigned boolean"
+    rows = overlapping_findings(2, 400) + [(9, 9, "commit", "f" * 39 + "0", "", "src", False)] * 20_000
+    found = spark.createDataFrame(rows, schema).cache()
+    around = secret_scan.beside(found, secret_scan.label(found))
+    forest = secret_scan.train(secret_scan.label(found).select("before", "candidate", "after", "path", "is_secret"), around, max_findings=300)
+    out = secret_scan.judge(found, forest, around).groupBy("assigned").agg({"is_secret": "max", "*": "count"}).collect()
+    judged = secret_scan.judge(found.filter("doc_id != 9 or no != 9"), forest, around).collect()
+    assert len(out) == 2 and sum(r.is_secret == r.assigned for r in judged) > 0.9 * len(judged)
 
 
 def test_secret_scan_edge_cases(spark):
-    forest = secret_scan.train(secret_scan.findings_by_rule(spark, 2400))
+    made = secret_scan.findings_by_rule(spark, 2400)
+    nothing = spark.createDataFrame([], "doc_id long, no int, before string, candidate string, after string, path string, is_secret boolean")
+    around = secret_scan.beside(nothing)
+    forest = secret_scan.train(nothing, around, made=made)
     docs = spark.createDataFrame([(1, 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" end', "src0", "x"), (2, "card 9807915762804490 here", None, "x"), (2, "card 9807915762804490 here", None, "x"), (None, None, None, None)], SCHEMA + ", score string")
-    out = sorted((r.doc_id, r.is_secret) for r in secret_scan.scan(docs, forest).collect())
-    assert out == [(1, True), (2, False), (2, False)]
-    assert secret_scan.scan(docs.limit(0), forest).count() == 0 and secret_scan.dictionary(docs.limit(0)) == []
-    none = secret_scan.train(secret_scan.findings_by_rule(spark, 10).filter("false"))
-    assert none.trees == [] and all(r.is_secret for r in secret_scan.scan(docs, none).collect())
-    few = secret_scan.train(secret_scan.findings_by_rule(spark, 3000), max_findings=500)
-    assert len(few.trees) == 15
+    out = sorted((r.doc_id, r.is_secret) for r in secret_scan.scan(docs, forest, around).collect())
+    assert [x[0] for x in out] == [1, 2, 2] and out[1] == out[2] == (2, False)
+    assert secret_scan.scan(docs.limit(0), forest, around).count() == 0 and secret_scan.dictionary(docs.limit(0)) == []
+    none = secret_scan.train(nothing, around)
+    assert none.trees == [] and all(r.is_secret for r in secret_scan.scan(docs, none, around).collect())
+    few = secret_scan.train(nothing, around, made=made, max_findings=500)
+    assert len(few.trees) == 21
 
 
 def size_of(text):

@@ -56,9 +56,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     found, known = store.table(secret_scan.candidates(docs, "doc_id", "text", "source"), "candidates"), secret_scan.dictionary(docs)
     learn = secret_scan.label(found).select("before", "candidate", "after", "path", "is_secret")
+    around = secret_scan.beside(found, learn)
     # findings made by rule stand for the kinds that this corpus lacks
-    forest = secret_scan.train(learn.unionByName(secret_scan.findings_by_rule(spark)), known)
-    out = secret_scan.judge(found, forest, known)
+    forest = secret_scan.train(learn, around, known, secret_scan.findings_by_rule(spark))
+    out = secret_scan.judge(found, forest, around, known)
     return out.select("doc_id", "no", "before", F.sha2("candidate", 256).alias("candidate_sha256"), F.length("candidate").alias("n_chars"), "score", "is_secret")
 
 

@@ -6,11 +6,17 @@ random forest over its length, character classes and transitions, dictionary
 coverage, path and neighbouring words decides whether it is a secret. The
 dictionary is the corpus's own: its most frequent words, counted over all texts.
 
-The forest is trained on labelled findings (``MAX_FINDINGS`` of them at most).
-``label`` makes labels from the corpus by a rule that looks at nothing the forest
-sees: a candidate is a secret if it is assigned, that is, stands in quotes after
-``=`` or ``:``. ``findings_by_rule`` adds kinds that a corpus may lack. The forest
-is applied as ordinary nested conditionals, one per tree.
+Neighbours enter by what the corpus says of them, not by lists of words: how many
+candidates stand beside a word (or in a path), how many of them are distinct, and a
+hash of the word; and what the labelled findings say of them: the share of secrets
+beside the word, drawn towards the share of all. The same holds for words after a candidate.
+
+The forest is trained on labelled findings (``MAX_FINDINGS`` distinct ones at most, each
+weighing by the logarithm of its repetitions). ``label`` makes labels from the corpus by
+a rule that looks at nothing the forest sees: a candidate is a secret if it is assigned,
+that is, stands in quotes after ``=`` or ``:``. ``findings_by_rule`` adds kinds that a
+corpus may lack; together they weigh ``RULE_WEIGHT`` of the corpus's own. The forest is
+applied as ordinary nested conditionals, one per tree.
 
 Edge cases: null and empty texts have no candidates; null ids, paths and
 neighbours are allowed; a neighbour is empty where no word stands within four
@@ -34,9 +40,9 @@ from threadloom.llm import store
 RUN = r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{16,}+"
 MAX_FINDINGS, DICTIONARY_WORDS = 20_000, 400
 _BEFORE, _AFTER = r"(?:^|\W)(\w{1,40})\W{1,4}$", r"^\W{1,4}(\w{1,40})(?:\W|$)"
-_SECRET_WORD = r"(?i)key|token|secret|passw|pwd|auth|cred|bearer|signature"
-_PLAIN_WORD = r"(?i)sha|commit|md5|hash|uuid|guid|check|digest|version|etag|revision|order|invoice|card|iban|phone|serial|trace|isbn"
-_TEST_PATH = r"(?i)test|example|sample|fixture|mock|doc|demo"
+RULE_WEIGHT, PRIOR = 0.2, 5
+#: Features that look at neighbours and path, not at the candidate.
+NEIGHBOURS = tuple(f"{side}_{what}" for side in ("before", "after", "path") for what in ("count", "fresh", "hash", "rate")) + ("path_depth",)
 
 
 def candidates(docs: DataFrame, doc_id: str, text: str, path: str | None) -> DataFrame:
@@ -63,17 +69,51 @@ def dictionary(docs: DataFrame, text: str = "text", size: int = DICTIONARY_WORDS
     return [r.word for r in words.groupBy("word").count().orderBy(F.col("count").desc(), "word").limit(size).collect()]
 
 
+@dataclass
+class Beside:
+    """What the corpus says of the words and paths beside candidates: tables (word, n, fresh, rate) by side; the rate of unknown words."""
+
+    tables: dict[str, DataFrame]
+    rate: float
+
+    def on(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with ``__<side>_n``, ``__<side>_fresh`` and ``__<side>_rate`` for each side; unknown words count 0."""
+        for side, table in self.tables.items():
+            word = F.lower(F.coalesce(F.col(side), F.lit("")))
+            rows = rows.join(table, word == F.col(f"__{side}_word"), "left").drop(f"__{side}_word")
+            rows = rows.withColumn(f"__{side}_rate", F.coalesce(f"__{side}_rate", F.lit(float(self.rate))))
+        return rows
+
+
+def beside(found: DataFrame, labelled: DataFrame | None = None) -> Beside:
+    """Counts of candidates, and shares of distinct ones, behind each neighbouring word and path of all candidates;
+    with ``labelled`` findings also the share of secrets behind it, drawn towards the share of all as if by ``PRIOR`` more."""
+    tables, total = {}, None
+    if labelled is not None:
+        total = labelled.agg(F.avg(F.col("is_secret").cast("double"))).first()[0]
+    for side in ("before", "after", "path"):
+        word = F.lower(F.coalesce(F.col(side), F.lit(""))).alias(f"__{side}_word")
+        table = found.groupBy(word).agg(F.count(F.lit(1)).alias(f"__{side}_n"), (F.count_distinct("candidate") / F.count(F.lit(1))).alias(f"__{side}_fresh"))
+        if total is None:
+            table = table.withColumn(f"__{side}_rate", F.lit(None).cast("double"))
+        else:
+            rate = (F.sum(F.col("is_secret").cast("double")) + PRIOR * total) / (F.count("is_secret") + PRIOR)
+            table = table.join(labelled.groupBy(word).agg(rate.alias(f"__{side}_rate")), f"__{side}_word", "full_outer")
+        table = store.table(table, "beside")
+        tables[side] = F.broadcast(table) if table.count() <= 200_000 else table.hint("merge")
+    return Beside(tables, 0.5 if total is None else total)
+
+
 def _share(pattern: str) -> Column:
     c = F.col("candidate")
     return (F.length(c) - F.length(F.regexp_replace(c, pattern, ""))) / F.length(c)
 
 
 def features(known: list[str] = ()) -> dict[str, Column]:
-    """Feature name -> expression over (before, candidate, after, path); ``known`` is the dictionary."""
+    """Feature name -> expression over rows with what is :class:`Beside` them; ``known`` is the dictionary."""
     spelled = "|".join(sorted((w for w in {*known, *NAMING} if len(w) > 3), key=lambda w: (-len(w), w)))
     c, low = F.col("candidate"), F.lower("candidate")
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[a-z]", "a"), "[A-Z]", "B"), "[0-9]", "1")
-    near = lambda name, pattern: F.coalesce(F.col(name).rlike(pattern), F.lit(False)).cast("double")
     return {
         "length": F.length(c).cast("double"),
         "digits": _share("[0-9]"),
@@ -86,10 +126,11 @@ def features(known: list[str] = ()) -> dict[str, Column]:
         "repeats": (F.length(c) - F.length(F.regexp_replace(c, r"(.)\1\1+", "$1"))) / F.length(c),
         "dictionary": (F.length(c) - F.length(F.regexp_replace(low, f"(?:{spelled})", ""))) / F.length(c),
         "letters_run": F.length(F.regexp_extract(c, "([A-Za-z]{5,})", 1)) / F.length(c),
-        "secret_before": near("before", _SECRET_WORD),
-        "plain_before": near("before", _PLAIN_WORD),
-        "plain_after": near("after", _PLAIN_WORD),
-        "test_path": near("path", _TEST_PATH),
+        "path_depth": F.coalesce(F.regexp_count("path", F.lit("/")), F.lit(0)).cast("double"),
+        **{f"{side}_count": F.floor(F.log2(1 + F.coalesce(F.col(f"__{side}_n"), F.lit(0)))).cast("double") for side in ("before", "after", "path")},
+        **{f"{side}_fresh": F.round(F.coalesce(F.col(f"__{side}_fresh"), F.lit(0.0)), 1) for side in ("before", "after", "path")},
+        **{f"{side}_rate": F.round(f"__{side}_rate", 2) for side in ("before", "after", "path")},
+        **{f"{side}_hash": F.pmod(F.xxhash64(F.lower(F.coalesce(F.col(side), F.lit("")))), F.lit(64)).cast("double") for side in ("before", "after", "path")},
     }
 
 
@@ -157,43 +198,59 @@ class Forest:
         return sum(t.score(row) for t in self.trees) / len(self.trees) if self.trees else 0.5
 
 
-def train(findings: DataFrame, known: list[str] = (), *, trees: int = 15, depth: int = 6, least: int = 4, seed: int = 7, max_findings: int = MAX_FINDINGS) -> Forest:
-    """Fit on labelled findings (before, candidate, after, path, is_secret), picked by a hash of the candidate if there are more."""
-    named = features(known)
-    rows = findings.filter("is_secret is not null and candidate is not null").select("before", "candidate", "after", "path", "is_secret")
-    rows = store.pick(rows, F.xxhash64("candidate", "before", "after", "path"), max_findings, "candidate", "before", "after", "path", "is_secret")
-    rows = rows.select(*[c.alias(n) for n, c in named.items()], F.col("is_secret").cast("double").alias("y")).collect()
-    if not rows:
+def train(
+    findings: DataFrame, around: Beside, known: list[str] = (), made: DataFrame | None = None, *, without: tuple[str, ...] = (), trees: int = 21, depth: int = 8, least: int = 4, seed: int = 7,
+    max_findings: int = MAX_FINDINGS,
+) -> Forest:
+    """Fit on labelled findings (before, candidate, after, path, is_secret) and findings ``made`` by rule; ``without`` names features to leave out.
+
+    Equal findings are one, which weighs 1 + ln(times); of more than ``max_findings`` distinct ones those are picked that a hash puts first."""
+    keys = ["before", "candidate", "after", "path", "is_secret"]
+    named = {n: c for n, c in features(known).items() if n not in without}
+
+    def rows(source: DataFrame) -> np.ndarray:
+        each = source.filter("is_secret is not null and candidate is not null").groupBy(*keys).agg((1 + F.ln(F.count(F.lit(1)))).alias("w"))
+        few = around.on(store.pick(each, F.xxhash64(*keys[:4]), max_findings, "candidate", "before", "after", "path", "is_secret"))
+        got = few.select(*[c.alias(n) for n, c in named.items()], F.col("is_secret").cast("double").alias("y"), "w").collect()
+        return np.array([tuple(r) for r in got], dtype=float).reshape(len(got), len(named) + 2)
+
+    data = rows(findings)
+    if made is not None:
+        extra = rows(made)
+        extra[:, -1] *= RULE_WEIGHT * data[:, -1].sum() / max(1.0, extra[:, -1].sum()) if len(data) else 1.0
+        data = np.concatenate([data, extra])
+    if not len(data):
         return Forest([])
-    data = np.array([tuple(r) for r in rows], dtype=float)
-    x, y, names, rng = data[:, :-1], data[:, -1], list(named), np.random.default_rng(seed)
+    order = np.lexsort(data.T)  # rows come in any order
+    data = data[order]
+    x, y, w, names, rng = data[:, :-2], data[:, -2], data[:, -1] / data[:, -1].sum(), list(named), np.random.default_rng(seed)
     out = []
     for _ in range(trees):
-        pick = rng.integers(0, len(y), len(y))
+        pick = rng.choice(len(y), size=len(y), p=w)
         out.append(_grow(x[pick], y[pick], names, rng, depth, least))
     return Forest(out)
 
 
-def judge(found: DataFrame, forest: Forest, known: list[str] = (), *, at_least: float = 0.5) -> DataFrame:
+def judge(found: DataFrame, forest: Forest, around: Beside, known: list[str] = (), *, at_least: float = 0.5) -> DataFrame:
     """``found`` with ``score`` and ``is_secret``."""
     columns = [c for c in found.columns if c not in ("score", "is_secret")]
-    scored = found.select("*", *[c.alias(n) for n, c in features(known).items()]).select(*columns, F.round(forest.column(), 9).alias("score"))
+    scored = around.on(found).select("*", *[c.alias(n) for n, c in features(known).items()]).select(*columns, F.round(forest.column(), 9).alias("score"))
     return scored.withColumn("is_secret", F.col("score") >= at_least)
 
 
-def scan(docs: DataFrame, forest: Forest, doc_id: str = "doc_id", text: str = "text", path: str | None = "source", *, known: list[str] = (), at_least: float = 0.5) -> DataFrame:
+def scan(docs: DataFrame, forest: Forest, around: Beside, doc_id: str = "doc_id", text: str = "text", path: str | None = "source", *, known: list[str] = (), at_least: float = 0.5) -> DataFrame:
     """(doc_id, no, before, candidate, after, assigned, path, score, is_secret) per candidate."""
-    return judge(candidates(docs, doc_id, text, path), forest, known, at_least=at_least)
+    return judge(candidates(docs, doc_id, text, path), forest, around, known, at_least=at_least)
 
 
-def held_out(found: DataFrame, known: list[str] = (), spark: SparkSession | None = None) -> dict[str, float]:
-    """Precision and recall against the rule's labels on half of the paths, trained on the other half."""
-    side = F.pmod(F.xxhash64(F.coalesce("path", F.lit(""))), F.lit(2))
+def held_out(found: DataFrame, known: list[str] = (), spark: SparkSession | None = None, *, without: tuple[str, ...] = ()) -> dict[str, float]:
+    """Precision and recall against the rule's labels on half of the candidates, by a hash of them, trained on the other half."""
+    side = F.pmod(F.xxhash64("candidate"), F.lit(2))
     learn = label(found).filter(side == 0).select("before", "candidate", "after", "path", "is_secret")
-    forest = train(learn if spark is None else learn.unionByName(findings_by_rule(spark)), known)
-    # what the training paths hold as well says nothing: copies are left out
-    fresh = label(found).filter(side == 1).join(learn.select("candidate").distinct(), "candidate", "left_anti").withColumnRenamed("is_secret", "wanted")
-    n = judge(fresh, forest, known).agg(*[F.count(F.when(F.col("is_secret") == x, F.when(F.col("wanted") == y, 1))).alias(f"{a}{b}") for a, x in (("p", True), ("n", False)) for b, y in (("t", True), ("f", False))]).first()
+    around = beside(learn, learn)
+    forest = train(learn, around, known, None if spark is None else findings_by_rule(spark), without=without)
+    fresh = label(found).filter(side == 1).withColumnRenamed("is_secret", "wanted")
+    n = judge(fresh, forest, around, known).agg(*[F.count(F.when(F.col("is_secret") == x, F.when(F.col("wanted") == y, 1))).alias(f"{a}{b}") for a, x in (("p", True), ("n", False)) for b, y in (("t", True), ("f", False))]).first()
     return {"secrets": n.pt + n.nt, "others": n.pf + n.nf, "precision": n.pt / max(1, n.pt + n.pf), "recall": n.pt / max(1, n.pt + n.nt)}
 
 
