@@ -66,6 +66,18 @@ def test_embeddings_of_equal_ids_and_clashing_columns(spark, monkeypatch):
         assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in out) == [(1, 1, 1, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 1, 1, False), (4, 1, 4, True), (5, 1, 4, False)]
 
 
+def test_embedding_classes_of_one_number_stay_apart(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(rng.normal(size=(40, 8)))] + [(100, [1.0] * 8), (101, [1.0] * 7 + [1.1])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = sorted(tuple(r) for r in embedding_dedup.near_duplicates(frame).collect())
+    own = embedding_dedup._key
+    monkeypatch.setattr(embedding_dedup, "_key", lambda turn: F.pmod(own(turn), F.lit(9 if turn < 3 else 1 << 40)))
+    assert sorted(tuple(r) for r in embedding_dedup.near_duplicates(frame).collect()) == want and want[-1][1:] == (1, 100, False)
+
+
 def test_quantised_bound_holds():
     rng = np.random.default_rng(4)
     u = rng.normal(size=(300, 64))

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm import store
@@ -130,6 +130,26 @@ def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"vec_id": batch.column(0), "digest": pa.array(digests, pa.binary()), "vec": pa.array(vectors, pa.binary())})
 
 
+def _key(turn: int) -> Column:
+    return F.xxhash64("digest") if turn == 0 else F.xxhash64("digest", F.lit(turn))
+
+
+def _numbered(classes: DataFrame) -> DataFrame:
+    """``classes`` (digest, ...) with a number ``key`` that no two share: a class whose number another one has takes its next
+    (one class in 1e9, some three hundred in 1e11)."""
+    turns: dict[str, int] = {}
+    while True:
+        key = _key(0)
+        for turn in sorted(set(turns.values())):
+            key = F.when(F.hex("digest").isin([d for d, t in turns.items() if t == turn]), _key(turn)).otherwise(key)
+        numbered = classes.withColumn("key", key)
+        twice = numbered.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.hex(F.max("digest")).alias("digest")).filter("n > 1").select("digest").collect()
+        if not twice:
+            return numbered
+        for r in twice:
+            turns[r.digest] = turns.get(r.digest, 0) + 1
+
+
 def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", *, threshold: float = 0.9, group: int = GROUP) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row: exact links by cosine and their components."""
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("vec"))
@@ -137,7 +157,7 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     able = checked.filter("vec_id is not null and digest is not null")
     classes = store.table(able.groupBy("digest", "vec").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
     # rows of one id may hold different vectors: classes are told apart by a number of their own
-    classes = classes.withColumn("key", F.xxhash64("digest"))
+    classes = _numbered(classes)
     total, longest = classes.agg(F.count(F.lit(1)), F.coalesce(F.max(F.length("vec")), F.lit(1))).first()
     groups = max(LEAST_GROUPS, -(-total // max(1, min(group, GROUP_BYTES // longest))))
     dealt = classes.select(F.col("key").alias("rep"), "n", "vec", F.pmod("key", F.lit(groups)).cast("int").alias("g"))
