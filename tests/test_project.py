@@ -212,6 +212,13 @@ def test_stream_upserts_files(spark, tmp_path):
     (source / "b.md").write_text("two")
     stream()
     assert sorted(r.value for r in incremental.current(spark, table).collect()) == ["one", "two"]
+    (source / "b.md").unlink()
+    (source / "c.md").write_text("three")
+    (source / "a.md").write_text("one again")
+    # a new checkpoint counts its batches from 0 and keeps what the table holds
+    again = incremental.file_stream(spark, str(source)).select("path", "value").writeStream.option("checkpointLocation", str(tmp_path / "cp2"))
+    again.foreachBatch(incremental.upsert(spark, table)).trigger(availableNow=True).start().awaitTermination(60)
+    assert sorted(r.value for r in incremental.current(spark, table).collect()) == ["one again", "three", "two"]
 
 
 def test_command_line_init_and_schema(tmp_path, capsys):
