@@ -67,7 +67,7 @@ def test_publish(spark, home, tmp_path):
     paths = p.publish(tmp_path / "out")
     req = next(x for x in paths if x.name == "req.md").read_text(encoding="utf-8")
     assert req.startswith("# 2. part\n\n## c\n\n") or req.startswith("# part\n\n## c\n\n")
-    assert "**NOTE n1:** mind this" in req and "| status | active |" in req and req.endswith("END\n") and "\n\n\n" not in req
+    assert "\n\nmind this\n\n" in req and "| status | active |" in req and req.endswith("END\n") and "\n\n\n" not in req
     assert publish.duplicate_block_ids(p.blocks).count() == 0
     assert publish.rewrite_images("![[a b.png]] ![x](i/y.png) ```\n![x](i/y.png)\n```", {"a b.png": "images/1.png", "i/y.png": "images/2.png"}) == "![](images/1.png) ![x](images/2.png) ```\n![x](i/y.png)\n```"
 
@@ -663,3 +663,30 @@ def test_sources_in_another_encoding_give_nothing(spark, tmp_path):
     (tmp_path / "b.py").write_bytes("# [< ID=B-1 >>> größe >]\n".encode())
     p = project.Project(spark, config.Config(tmp_path, [config.InputRecord("src", ".", "text", filter="*.py", atype="SRC")]))
     assert {r.aid for r in p.artifacts.collect()} == {"B-1"} and {r.path for r in p.blocks.collect()} == {"b.py"}
+
+
+def test_sections_of_types_and_markers(spark, home, tmp_path, capsys):
+    (home / "pic").mkdir()
+    (home / "pic/a b.png").write_bytes(b"png")
+    (home / "pic/a b.png.stmx").write_text("id: P-1\ntitle: A plan\n")
+    conf = home / ".tl/config.toml"
+    conf.write_text(conf.read_text() + '[[input]]\nname = "pic"\ndir = "pic"\ndriver = "sidecar"\natype = "PIC"\n')
+    (home / "publish.yaml").write_text(
+        "render:\n  req:\n  - {type: text, mode: block, attributes: [{contents: {alias: Text}}]}\n  - {type: text, mode: inline, attributes: [{status: {alias: State}}, {none: {alias: N}}]}\n"
+        "  - {type: table, spacer: 2, attribute-presence: all, attributes: [{id: {alias: Key}}, {tag: {alias: Tags}}, {owner: {alias: Owner}}]}\n  Note:\n  - {type: text, mode: inline, alias: Remark}\n"
+    )
+    p = project.Project.load(spark, conf)
+    out = {x.name: x.read_text(encoding="utf-8") for x in p.publish(tmp_path / "o")}
+    assert "**Text**\n\nFly high.\n\nVery high, TBD.\n\n**State**: active\n\n&nbsp;\n\n&nbsp;\n\n|  |  |\n| --- | --- |\n| Key | REQ-001 |\n| Tags | a, b |\n| Owner |  |\n" in out["req.md"]
+    assert "**Remark**: mind this" in out["req.md"] and "# REQ-001" not in out["req.md"] and "# SYS-001\n\nThe system flies." in out["sys.md"]
+    assert "![A plan](images/a b.png)" in out["pic.md"] and (tmp_path / "o/images/a b.png").read_bytes() == b"png" and "| title | A plan |" in out["pic.md"]
+    for bad in ("render: {A: [{type: list}]}", "render: {A: [{type: text, mode: block}]}", "render: {A: [{type: table, attributes: [{a: {alias: x}, b: {alias: y}}]}]}", "contents_marker: a/b"):
+        (home / "publish.yaml").write_text(bad)
+        with pytest.raises(config.ConfigError):
+            config.publish_settings(None, None, home)
+    import json
+
+    from threadloom import cli
+
+    assert cli.main(["schema", "publish"]) == 0 and "oneOf" in json.loads(capsys.readouterr().out)["properties"]["render"]["additionalProperties"]["items"]
+    assert publish.shifted("# 1. One\n```\n# no\n```\n## 2.1 Two", 3, config.Publish()) == "### One\n```\n# no\n```\n#### Two"

@@ -80,7 +80,7 @@ def parser() -> argparse.ArgumentParser:
     for x in (s, w, li):
         x.add_argument("--store", help="a folder where the artifacts are kept from one command to the next")
     w.add_argument("--revisions", action="store_true")
-    sub.add_parser("schema")
+    sub.add_parser("schema").add_argument("of", nargs="?", choices=["config", "publish"], default="config")
     return top
 
 
@@ -116,7 +116,7 @@ def main(argv: list[str] | None = None) -> int:
                 (folder / name).write_text(text, encoding="utf-8")
         return 0
     if args.command == "schema":
-        print(json.dumps(settings.json_schema(), indent=2))
+        print(json.dumps(settings.publish_schema() if args.of == "publish" else settings.json_schema(), indent=2))
         return 0
     from pyspark.sql import SparkSession
 

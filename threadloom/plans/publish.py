@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -47,44 +48,61 @@ def path_headings(blocks: DataFrame, settings: Publish, several: bool = False) -
     return rows.select("record", "path", F.concat(lead, F.when(F.size("parts") > 0, F.array_join(lines, "")).otherwise("")).alias("heading"), (F.size("parts") + int(several)).alias("level"))
 
 
-def shown(fields: dict, presence: str, mandatory: set[str]) -> list[tuple[str, str]]:
-    """Attributes to print, sorted: all, the mandatory ones, or those with a value."""
-    out = []
-    for name, value in sorted(fields.items()):
-        if name in ("id", "contents"):
-            continue
-        text = ", ".join(x for x in value["vals"] if x)
-        if text.strip() or presence == "all" or (presence == "mandatory" and name in mandatory):
-            out.append((name, text))
-    return out
-
-
-def artifact_text(aid: str, fields: dict, level: int, settings: Publish, rule: dict | None = None, mandatory: set[str] = frozenset()) -> str:
-    """One artifact as Markdown: by its render rule, else heading, contents and a table of attributes."""
-    value = {k.lower(): ", ".join(x for x in v["vals"] if x) for k, v in fields.items()}
-    head = "#" * min(6, level)
-    contents = value.get("contents", "")
-    if rule is None:
-        parts = [f"{head} {aid}", contents]
-        if rows := shown(fields, settings.attribute_presence, mandatory):
-            parts.append("\n".join(["| Attribute | Value |", "| --- | --- |", *[f"| {n} | {_cell(v)} |" for n, v in rows]]))
-    else:
-        parts = [f"{head} {rule['heading'].format_map(_Known(value | {'id': aid}))}" if rule.get("heading") else f"{head} {aid}"]
-        for section in rule.get("sections", []):
-            names = section.get("attributes", [])
-            alias = section.get("aliases", {})
-            found = [(alias.get(n, n), aid if n.lower() == "id" else value.get(n.lower(), "")) for n in names]
-            found = [x for x in found if x[1] or settings.attribute_presence == "all"]
-            if section.get("kind") == "table" and found:
-                parts.append("\n".join(["| Attribute | Value |", "| --- | --- |", *[f"| {n} | {_cell(v)} |" for n, v in found]]))
-            elif found:
-                parts.append("\n\n".join(v if section.get("bare") else f"**{n}:** {v}" for n, v in found))
-    return ("\n" * (1 + settings.table_spacer)).join(p for p in parts if p)
-
-
-class _Known(dict):
-    def __missing__(self, key: str) -> str:
-        return ""
+def _shows(name: str, text: str, presence: str, mandatory: set[str]) -> bool:
+    """Whether an attribute is printed: all, the mandatory ones, or those with a value."""
+    return bool(text.strip()) or presence == "all" or (presence == "mandatory" and name in mandatory)
+
+
+def _table(head: str, rows: list[tuple[str, str]], spacer: int) -> str:
+    return "&nbsp;\n\n" * spacer + "\n".join([head, "| --- | --- |", *[f"| {n} | {_cell(v)} |" for n, v in rows]])
+
+
+def _text(alias: str, value: str, mode: str) -> str:
+    return f"**{alias}**\n\n{value}" if mode == "block" else f"**{alias}**: {value}"
+
+
+def shifted(text: str, level: int, settings: Publish) -> str:
+    """A text whose headings, outside code fences, begin at a level, without numbers where the settings say so."""
+    lines, fenced = text.split("\n"), False
+    for i, line in enumerate(lines):
+        fenced ^= line.lstrip().startswith(("```", "~~~"))
+        if not fenced and (m := re.match(r" {0,3}(#{1,6})\s+(.*)", line)):
+            title = re.sub(r"^\d+(?:\.\d+)*[.)\-]?\s+", "", m[2]) if settings.remove_numeric_prefixes_in_headers else m[2]
+            lines[i] = "#" * min(6, len(m[1]) + level - 1) + " " + title
+    return "\n".join(lines)
+
+
+def _named(section: dict) -> list[tuple[str, str]]:
+    """(attribute, alias) of a section."""
+    return [(name, how["alias"]) for each in section["attributes"] for name, how in each.items()]
+
+
+def artifact_text(aid: str, fields: dict, level: int, settings: Publish, sections: list[dict] | None = None, mandatory: set[str] = frozenset(), image: str | None = None) -> str:
+    """One artifact as Markdown: the sections of its type, else heading, contents and a table of its attributes; a picture's own file first."""
+    value = {k.lower(): ", ".join(x for x in v["vals"] if x) for k, v in fields.items()} | {"id": aid}
+    parts = [f"![{value.get('title') or aid}]({image})"] if image else []
+    if not sections:
+        parts += [f"{'#' * min(6, level)} {aid}", value.get("contents", "").strip()]
+        if rows := [(n, value[n.lower()]) for n in sorted(fields) if n not in ("id", "contents")]:
+            parts.append(_table("| Field | Value |", rows, settings.table_spacer))
+        return "\n\n".join(p for p in parts if p)
+    for section in sections:
+        presence = section.get("attribute_presence") or settings.attribute_presence
+        found = [(name, alias, value.get(name.lower(), "")) for name, alias in (_named(section) if "attributes" in section else ())]
+        if section["type"] == "table":
+            if rows := [(alias, text) for name, alias, text in found if _shows(name, text, presence, mandatory)]:
+                spacer = section.get("spacer")
+                parts.append(_table("|  |  |", rows, settings.table_spacer if spacer is None else spacer))
+        else:
+            parts += [_text(alias, shifted(text, level, settings).strip(), section["mode"]) for _, alias, text in found if text]
+    return "\n\n".join(p for p in parts if p)
+
+
+def fragment_text(content: str, level: int, settings: Publish, sections: list[dict] | None) -> str:
+    """A marked fragment: by the sections of its marker, else as plain text."""
+    if not sections:
+        return shifted(content, level, settings).strip()
+    return "\n\n".join(_text(s["alias"], content.strip(), s["mode"]) for s in sections if "alias" in s)
 
 
 def _cell(text: str) -> str:
@@ -115,7 +133,7 @@ def pieces(blocks: DataFrame, settings: Publish, mandatory: dict[str, set[str]]
     soft = hard_breaks if breaks else (lambda t: t)
     rules = {k.upper(): v for k, v in settings.render.items()}
     mandatory = mandatory or {}
-    rows = with_ids(blocks).join(heads.select("record", "path", "level"), ["record", "path"]).select("record", "path", "block_no", "kind", "content", "marker", "block_id", "message", "atype", "aid", "fields", "level")
+    rows = with_ids(blocks).join(heads.select("record", "path", "level"), ["record", "path"]).select("record", "path", "block_no", "kind", "content", "marker", "block_id", "message", "atype", "aid", "fields", "level", F.col("loc.kind").alias("file_kind"))
 
     def render(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -124,12 +142,13 @@ def pieces(blocks: DataFrame, settings: Publish, mandatory: dict[str, set[str]]
                 if r.kind == "error":
                     texts.append(f"> **Error:** {r.message}")
                 elif r.kind == "artifact":
-                    texts.append(artifact_text(r.aid, dict(r.fields or {}), int(r.level) + settings.start_level, settings, rules.get((r.atype or "").upper()), mandatory.get(r.atype, set())))
+                    image = quote(r.path) if r.file_kind == "file" and r.path.lower().endswith(_PICTURES) else None
+                    texts.append(artifact_text(r.aid, dict(r.fields or {}), int(r.level) + settings.start_level, settings, rules.get((r.atype or "").upper()), mandatory.get(r.atype, set()), image))
                 elif r.kind == "heading":
                     marks = re.match(r"#+", r.content.strip())
                     texts.append("#" * min(6, len(marks[0]) + int(r.level) + settings.start_level - 1) + r.content.strip()[len(marks[0]) :])
                 elif isinstance(r.marker, str):
-                    texts.append(f"**{r.marker} {r.block_id}:** {soft(r.content.strip())}")
+                    texts.append(soft(fragment_text(r.content, int(r.level) + settings.start_level, settings, rules.get(r.marker.upper()))))
                 else:
                     texts.append(soft(r.content.strip()) if settings.include_plain_text else "")
             yield pd.DataFrame({"record": f["record"], "path": f["path"], "block_no": f["block_no"], "kind": f["kind"], "text": texts})
@@ -152,6 +171,8 @@ def documents(parts: DataFrame) -> DataFrame:
     return parts.groupBy("record").agg(F.concat(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n\n"), F.lit("\n")).alias("document"))
 
 
+#: Endings of the pictures that a published sidecar shows (fixed values).
+_PICTURES = (".png", ".jpg", ".jpeg", ".gif", ".svg", ".webp", ".bmp")
 _IMAGE = re.compile(r"!\[\[(?P<wiki>[^\]|]+)(?:\|[^\]]*)?\]\]|!\[(?P<alt>[^\]]*)\]\((?P<url>[^)\s]+)\)")
 
 

@@ -183,11 +183,32 @@ def publish_settings(named: str | None, common: str | None, folder: str | Path)
     if unknown:
         raise ConfigError(f"unknown publish settings: {', '.join(sorted(unknown))}")
     out = Publish(**data)
-    if out.attribute_presence not in ("all", "mandatory", "values-only") or not 0 <= out.table_spacer <= 20:
+    if out.attribute_presence not in PRESENCE or not 0 <= out.table_spacer <= 20 or not out.contents_marker.strip() or set("/\\") & set(out.contents_marker):
         raise ConfigError("bad publish settings")
+    out.render = {name: [_section(name, s) for s in sections] for name, sections in out.render.items()}
     return out
 
 
+PRESENCE = ("all", "mandatory", "values-only")
+
+
+def _section(name: str, section: dict) -> dict:
+    """One section of a type or marker: a table of attributes, texts of attributes, or a marker's own text."""
+    if not isinstance(section, dict):
+        raise ConfigError(f"render {name}: a section must be a mapping")
+    section = {k.replace("-", "_"): v for k, v in section.items()}
+    allowed = {"table": {"type", "spacer", "attribute_presence", "attributes"}, "text": {"type", "mode", "attributes", "alias"}}.get(section.get("type"), set())
+    named = section.get("attributes", [])
+    good = set(section) <= allowed and all(isinstance(a, dict) and len(a) == 1 and all(set(how) == {"alias"} for how in a.values()) for a in named)
+    if section.get("type") == "table":
+        good &= "attributes" in section and section.get("attribute_presence") in (None, *PRESENCE) and (section.get("spacer") is None or 0 <= section["spacer"] <= 20)
+    else:
+        good &= section.get("mode") in ("block", "inline") and ("attributes" in section) != ("alias" in section)
+    if not good:
+        raise ConfigError(f"render {name}: bad section {section}")
+    return section
+
+
 def agents(path: str | Path) -> dict[str, dict]:
     """Named agents of a YAML registry."""
     data = yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {}
@@ -212,3 +233,17 @@ def json_schema(cls=Config) -> dict:
         return json_schema(nested) if nested else {"type": kinds.get(name, "string")}
 
     return {"type": "object", "properties": {k: of(str(f.type)) for k, f in cls.__dataclass_fields__.items()}}
+
+
+def publish_schema() -> dict:
+    """A JSON Schema of the publish settings, sections included."""
+    presence, mode = {"enum": list(PRESENCE)}, {"enum": ["block", "inline"]}
+    alias = {"type": "object", "properties": {"alias": {"type": "string"}}, "required": ["alias"], "additionalProperties": False}
+    named = {"type": "array", "items": {"type": "object", "additionalProperties": alias, "minProperties": 1, "maxProperties": 1}}
+    spacer = {"type": "integer", "minimum": 0, "maximum": 20}
+    kind = lambda name, required, **more: {"type": "object", "properties": {"type": {"const": name}, **more}, "required": ["type", *required], "additionalProperties": False}
+    sections = [kind("table", ["attributes"], **{"spacer": spacer, "attribute-presence": presence, "attributes": named}), kind("text", ["mode", "attributes"], mode=mode, attributes=named), kind("text", ["mode", "alias"], mode=mode, alias={"type": "string"})]
+    out = json_schema(Publish)
+    known = {k.replace("_", "-") if k in ("table_spacer", "attribute_presence", "docx_template") else k: v for k, v in out["properties"].items()}
+    known |= {"table-spacer": spacer, "attribute-presence": presence, "render": {"type": "object", "additionalProperties": {"type": "array", "items": {"oneOf": sections}}}}
+    return {"type": "object", "properties": known}
