@@ -551,16 +551,21 @@ def test_rows_before_and_files_of_many_tasks(spark, tmp_path, monkeypatch):
     import csv
     import io
 
-    from threadloom.operators.order import previous
+    from threadloom.operators import order
     from threadloom.plans import writer
 
     rows = [(i % 3 if i % 7 else None, i, f"v{i}") for i in range(500)]
     frame = spark.createDataFrame(rows, "g int, k int, v string").repartition(7)
-    got = {r.k: r.before for r in previous(frame, ["g"], ["k"], before=column("v")).collect()}
-    last, want = {}, {}
+    last, count, want = {}, {}, {}
     for g, k, v in rows:
-        want[k], last[g] = last.get(g), v
-    assert got == want
+        want[k], last[g], count[g] = (last.get(g), count.get(g, 0) + 1), v, count.get(g, 0) + 1
+    for small in (order.SMALL, 0):  # in one task, and by ranges
+        monkeypatch.setattr(order, "SMALL", small)
+        got = {r.k: r.before for r in order.previous(frame, ["g"], ["k"], before=column("v")).collect()}
+        numbers = {r.k: r.n for r in order.numbered(frame, ["g"], ["k"], "n").collect()}
+        assert {k: (got[k], numbers[k]) for k in got} == want
+        whole = {r.k: (r.b, r.n) for r in order.numbered(order.previous(frame, [], ["k"], b=column("v")), [], ["k"], "n").collect()}
+        assert whole == {k: (f"v{k - 1}" if k else None, k + 1) for _, k, _ in rows}
     texts = [("a.txt" if i % 5 else "sub/b.txt", i, f"text {i} é" + "x" * (i % 50)) for i in range(3000)]
     files = spark.createDataFrame(texts, "file string, k int, text string").repartition(9)
     out = writer.write_files(files, ["k"], tmp_path / "out", between="\n\n", heads={"a.txt": "head\n", "none.txt": "only a head\n"}, tail="\nend")

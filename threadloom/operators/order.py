@@ -14,9 +14,16 @@ from pyspark.sql import functions as F
 from threadloom import scratch
 
 
+#: Rows that one task numbers as they are.
+SMALL = 4096
+
+
 def running(df: DataFrame, group: list[str], order: list[str], **values: Column) -> DataFrame:
     """``df`` with, for each name, the sum of its value over the earlier rows of the same group (0 for the first)."""
-    valued = df.withColumns({f"__v_{n}": v for n, v in values.items()})
+    valued = scratch.table(df.withColumns({f"__v_{n}": v for n, v in values.items()}), "rows")  # read twice: for the ranges' borders and to be dealt
+    if valued.count() <= SMALL:
+        earlier = Window.partitionBy(*(group or [F.lit(0)])).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return valued.select(*df.columns, *[F.coalesce(F.sum(f"__v_{n}").over(earlier), F.lit(0)).alias(n) for n in values])
     ranged = scratch.table(valued.repartitionByRange(*group, *order).withColumn("__range", F.spark_partition_id()), "ranges")
     held = ranged.groupBy("__range", *group).agg(*[F.sum(f"__v_{n}").alias(f"__s_{n}") for n in values])
     earlier = Window.partitionBy(*(group or [F.lit(0)])).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
@@ -42,7 +49,10 @@ def previous(df: DataFrame, group: list[str], order: list[str], **values: Column
     """``df`` with, for each name, its value in the row before within the group (null for the first).
 
     What a range hands on is its last row, not a sum; a range without rows of the group hands on nothing."""
-    valued = df.withColumn("__v", F.struct(*[v.alias(n) for n, v in values.items()]))
+    valued = scratch.table(df.withColumn("__v", F.struct(*[v.alias(n) for n, v in values.items()])), "rows")
+    if valued.count() <= SMALL:
+        before = F.lag("__v").over(Window.partitionBy(*(group or [F.lit(0)])).orderBy(*order))
+        return valued.withColumn("__p", before).select(*df.columns, *[F.col(f"__p.{n}").alias(n) for n in values])
     ranged = scratch.table(valued.repartitionByRange(*group, *order).withColumn("__range", F.spark_partition_id()), "ranges")
     held = ranged.groupBy("__range", *group).agg(F.max_by("__v", F.struct(*order)).alias("__last"))
     ranges = Window.partitionBy(*(group or [F.lit(0)])).orderBy("__range")
