@@ -51,7 +51,10 @@ def test_validation_and_matrices(spark, home):
         ("duplicate_id", "SYS-001"), ("no_id", model.UNDEFINED), ("bad_enum", "REQ-2"), ("id_schema", "REQ-2"), ("dangling_reference", "REQ-2"), ("missing_trace", "REQ-2"),
     }
     assert {r.code for r in p.violations(suppress_tracing=True).collect()} == {"duplicate_id", "no_id", "bad_enum", "id_schema"}
+    quiet = p.analyze(suppress_tracing=True)
+    assert "## Warnings (1)\n\n- reference to an unknown id: parent SYS-009 `REQ-2` at b.md:" in quiet and quiet.errors == 4
     text = p.analyze()
+    assert "Warnings" not in text
     assert "## req" in text and "without verification: 100.0 %" in text and "to be defined: 50.0 %" in text
     reverse = [(r.record_number, r.lead_id, r.linked_id) for r in p.matrix("REQ", "SYS").orderBy("record_number").collect()]
     assert reverse == [(1, "SYS-001", "REQ-001"), (2, "SYS-002", "")]

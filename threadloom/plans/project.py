@@ -222,6 +222,15 @@ class Project:
         text = F.concat_ws(": ", report.message(F.col("code"), self.config.language), F.concat_ws(" ", "attr", "detail"))
         return every.withColumn("category", report.category(F.col("code"))).withColumn("message", F.regexp_replace(text, ": $", ""))
 
+    def warnings(self) -> DataFrame:
+        """What is no violation while tracing is suppressed: references that are malformed, or to unknown ids and types."""
+        rules, _ = self.rule_frames
+        rows = validate.known_types(self.artifacts, rules)
+        refs = validate.references(rows, rules)
+        place = self.artifacts.select(F.col("aid").alias("artifact_id"), F.col("loc.file").alias("file_path"), F.col("loc.line_start").alias("line_start"), F.col("loc.line_end").alias("line_end"))
+        found = validate.all_of(validate.malformed(refs), validate.dangling(refs, self.artifacts), validate.unknown_type_references(refs, self.artifacts, rules))
+        return self._worded(found.join(place, "artifact_id", "left"))
+
     def git_violations(self, faults: DataFrame) -> DataFrame:
         """Files (path, error) that git cannot tell about, as violations of their input."""
         record = self.located().select(F.col("loc.file").alias("path"), F.col("record").alias("input_record")).distinct()
@@ -277,7 +286,8 @@ class Project:
         histogram = metrics.by_status(self.requirements(), m.status_field).orderBy("status").collect()
         if not totals:
             found.append(_Global(report.text("no_requirements", self.config.language)))
-        text = report.analysis(found, [*totals, *(parts if len(parts) > 1 else [])], histogram, stale, drawn, tasks, more, n_stale, n_drawn)
+        told = self.warnings().withColumn("place", report.place(self.config.path_as_links, self.config.wiki_links)).orderBy("input_record", "artifact_id", "message").limit(most + 1).collect() if suppress_tracing else []
+        text = report.analysis(found, [*totals, *(parts if len(parts) > 1 else [])], histogram, stale, drawn, tasks, more, n_stale, n_drawn, told[:most], len(told) > most)
         return Analysis(text, len(found) + more)
 
     def suspicious_tree(self, stale: DataFrame, most: int) -> tuple[DataFrame, int]:

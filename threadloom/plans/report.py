@@ -67,7 +67,7 @@ def place(links: bool = False, wiki: bool = False) -> Column:
     return F.concat(F.lit("["), shown, F.lit("]("), percent_encode(F.col("file_path")), F.lit(")"))
 
 
-def analysis(violations: Iterable, metrics: Iterable = (), histogram: Iterable = (), stale: Iterable = (), tree: Iterable = (), tasks: dict | None = None, more: int = 0, n_stale: int = 0, n_tree: int = 0) -> str:
+def analysis(violations: Iterable, metrics: Iterable = (), histogram: Iterable = (), stale: Iterable = (), tree: Iterable = (), tasks: dict | None = None, more: int = 0, n_stale: int = 0, n_tree: int = 0, warnings: Iterable = (), more_warnings: bool = False) -> str:
     """The analysis report as Markdown, from collected rows: errors by input and category, metrics, stale links with their pruned tree, tasks.
 
     ``more`` counts the violations that are not shown, ``n_stale`` and ``n_tree`` all links and lines of the tree."""
@@ -84,6 +84,8 @@ def analysis(violations: Iterable, metrics: Iterable = (), histogram: Iterable =
         out += ["No errors.", ""]
     if more:
         out += [f"{more} more errors are not shown.", ""]
+    if warnings := list(warnings):
+        out += [f"## Warnings ({len(warnings)}{' and more' if more_warnings else ''})", "", *[f"- {w.message} `{w.artifact_id}`" + (f" at {w.place}" if w.place else "") for w in warnings], ""]
     for m in metrics:
         name = f" of {m.record}" if "record" in m.asDict() else ""
         out += [f"## Metrics{name}", "", f"- requirements: {m.total}", f"- without verification: {m.pct_without_verify:.1f} %", f"- to be defined: {m.pct_tbd:.1f} %"]
