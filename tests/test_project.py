@@ -698,3 +698,25 @@ def test_sections_of_types_and_markers(spark, home, tmp_path, capsys):
 
     assert cli.main(["schema", "publish"]) == 0 and "oneOf" in json.loads(capsys.readouterr().out)["properties"]["render"]["additionalProperties"]["items"]
     assert publish.shifted("# 1. One\n```\n# no\n```\n## 2.1 Two", 3, config.Publish()) == "### One\n```\n# no\n```\n#### Two"
+
+
+def test_check_task_and_picture_sizes(spark, home, capsys):
+    from threadloom import cli
+    from threadloom.plans import outputs
+
+    text = outputs.TASK.format_map(dict.fromkeys("task_id atype child_rev parent_rev child_id pid parent_type parent_file parent_record child_type child_file child_record".split(), "x"))
+    (home / "t.md").write_text(text)
+    (home / "pic").mkdir()
+    png = lambda w, h: bytes.fromhex("89504E470D0A1A0A0000000D49484452") + w.to_bytes(4) + h.to_bytes(4)
+    (home / "pic/a.png").write_bytes(png(3, 4))
+    (home / "pic/a.png.stmx").write_text("id: P-1\n")
+    for args in (("add", "."), ("commit", "-qm", "two")):
+        subprocess.run(["git", "-C", str(home), *args], check=True)
+    assert cli.main(["check-task", str(home / "t.md")]) == 0
+    (home / "t.md").write_text(text.replace("status: open", "status: closed").replace("child_revision: x", "child_revision: y"))
+    assert cli.main(["check-task", str(home / "t.md")]) == 1 and "child revision was changed" in capsys.readouterr().out
+    assert cli.main(["check-task", str(home / "none.md")]) == 3
+    (home / "pic/a.png").write_bytes(png(30, 40) + b"more")
+    conf = config.Config(home, [config.InputRecord("pic", "pic", "sidecar", atype="PIC")])
+    report_text = project.changes(spark, conf, metamodel.Metamodel(), home, "HEAD", "working")
+    assert "- modified P-1: 24 B `" in report_text and " 3×4 -> 28 B `" in report_text and "30×40" in report_text

@@ -1,4 +1,4 @@
-"""Command line: analyze, trace, change, baseline, publish, edit, search, show, list, schema, init."""
+"""Command line: analyze, trace, change, baseline, publish, edit, search, show, list, check-task, schema, init."""
 
 from __future__ import annotations
 
@@ -80,6 +80,9 @@ def parser() -> argparse.ArgumentParser:
     for x in (s, w, li):
         x.add_argument("--store", help="a folder where the artifacts are kept from one command to the next")
     w.add_argument("--revisions", action="store_true")
+    k = sub.add_parser("check-task", help="what an edit of a task file must not have changed")
+    k.add_argument("file")
+    k.add_argument("--base", default="HEAD")
     sub.add_parser("schema").add_argument("of", nargs="?", choices=["config", "publish"], default="config")
     return top
 
@@ -105,6 +108,21 @@ def edit(project, args) -> int:
     return 0
 
 
+def check_task(args) -> int:
+    """Compare a task file with its state at a revision."""
+    from threadloom.plans import outputs
+    from threadloom.sources import git
+
+    file = Path(args.file)
+    try:
+        problems = outputs.check_task(git.git(file.parent, "show", f"{args.base}:./{file.name}"), file.read_text(encoding="utf-8"))
+    except (git.GitError, OSError) as e:
+        print(f"fatal: {e}", file=sys.stderr)
+        return 3
+    print("\n".join(problems) or "unchanged")
+    return int(bool(problems))
+
+
 def main(argv: list[str] | None = None) -> int:
     """Exit codes: 0 well, 1 violations, 2 wrong use, 3 fatal."""
     args = parser().parse_args(argv)
@@ -118,6 +136,8 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "schema":
         print(json.dumps(settings.publish_schema() if args.of == "publish" else settings.json_schema(), indent=2))
         return 0
+    if args.command == "check-task":
+        return check_task(args)
     from pyspark.sql import SparkSession
 
     from threadloom.plans import project as plans

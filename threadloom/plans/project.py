@@ -634,7 +634,8 @@ def changes(spark: SparkSession, config: settings.Config, rules: metamodel.Metam
     by_id = diff.text_by_id(*own).select("path", "change", *[F.col(f"{side}_{c}").alias(n) for c, names in (("content", ("old", "new")), ("line", ("old_line", "new_line"))) for side, n in zip(("base", "target"), names)])
     texts = by_id.unionByName(diff.text_alignment(*[p.filter(~named) for p in plain])).orderBy("path", "change", "old", "new").collect()
     none = spark.createDataFrame([], "aid string, content binary")
-    binaries = diff.binary_diff(*[none if c is None else c for c in contents]).collect() if any(c is not None for c in contents) else []
+    measured = [small.binary_properties((none if c is None else c).withColumnRenamed("aid", "path")).withColumnRenamed("path", "aid") for c in contents]
+    binaries = diff.artifact_diff(*measured, ["aid"], ["sha256", "size"], ["width", "height"]).collect() if any(c is not None for c in contents) else []
     errors = _fallback(broken, *raw).collect() if broken is not None else []
     files = changed.join(_inputs(changed, config, inside), "path", "left_semi").select("status").collect()
     return report.change_report(artifacts, fields, texts, binaries, errors, files=files, base=ends[0][:7], target=ends[1][:7], summary=summary)

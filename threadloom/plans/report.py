@@ -145,9 +145,9 @@ def change_report(artifacts: Iterable, fields: Iterable, texts: Iterable = (), b
         where = " → ".join(x for x in (t.old_line, t.new_line) if x)
         out += ["", f"- {t.change} in {t.path}{f' ({where})' if where else ''}: {cell(t.old)} -> {cell(t.new)}", *[f"  {line}" for line in quoted(t.new if t.new is not None else t.old)]]
     if binaries:
-        shown = lambda size, digest: "" if digest is None else f"{size} B `{digest[:12]}`"
+        shown = lambda size, digest, w, h: "" if digest is None else f"{size} B `{digest[:12]}`" + (f" {w}×{h}" if w is not None else "")
         out += ["", "## Binaries", ""]
-        out += [f"- {b.change} {b.aid}: {shown(b.base_size, b.base_sha256)} -> {shown(b.target_size, b.target_sha256)}" for b in sorted(binaries, key=lambda b: b.aid)]
+        out += [f"- {b.change} {b.aid}: {shown(b.base_size, b.base_sha256, b.base_width, b.base_height)} -> {shown(b.target_size, b.target_sha256, b.target_width, b.target_height)}" for b in sorted(binaries, key=lambda b: b.aid)]
     for e in errors:
         fence = "`" * max(3, 1 + max((len(x) for x in re.findall("`+", e.diff)), default=0))
         out += ["", f"## Errors in {e.path}", "", e.message or "", *(["", f"{fence}diff", e.diff, fence] if e.diff else [])]
