@@ -177,7 +177,8 @@ def main(argv: list[str] | None = None) -> int:
                 print("\n".join(f"- {r}" for r in project.revisions_text(args.aid)))
             return int(text is None)
         elif args.command == "change":
-            print(plans.changes(spark, project.config, project.rules, args.repo, args.base, args.target, summary=args.summary))
+            for line in plans.change_lines(plans.change_rows(spark, project.config, project.rules, args.repo, args.base, args.target, summary=args.summary)):
+                print(line)
         elif args.command == "publish":
             for path in project.publish(args.output, single=args.single, suffix=args.format):
                 print(path)

@@ -574,11 +574,21 @@ def _fallback(broken: DataFrame, base: DataFrame | None, target: DataFrame | Non
     out = broken.groupBy("record", "path").agg(F.array_join(F.array_sort(F.collect_set("message")), "; ").alias("message"))
     for name, side in (("old", base), ("new", target)):
         out = out.withColumn(name, F.lit(None).cast("string")) if side is None else out.join(side.groupBy("record", "path").agg(F.max("value").alias(name)), ["record", "path"], "left")
-    return out.mapInPandas(compare, "record string, path string, message string, diff string").orderBy("record", "path")
+    return out.mapInPandas(compare, "record string, path string, message string, diff string")
 
 
 def changes(spark: SparkSession, config: settings.Config, rules: metamodel.Metamodel, repo: str | Path, base: str, target: str, *, summary: bool = False) -> str:
-    """The change report between two revisions: only changed files are parsed, on both sides (M1-M8).
+    """The change report between two revisions as one text."""
+    return "".join(f"{line}\n" for line in change_lines(change_rows(spark, config, rules, repo, base, target, summary=summary)))
+
+
+def change_lines(rows: DataFrame) -> Iterator[str]:
+    """The lines of a report in order, one partition at a time."""
+    return (r.text for r in rows.orderBy("part", "a", "b", "c").toLocalIterator())
+
+
+def change_rows(spark: SparkSession, config: settings.Config, rules: metamodel.Metamodel, repo: str | Path, base: str, target: str, *, summary: bool = False) -> DataFrame:
+    """The lines of the change report between two revisions: only changed files are parsed, on both sides (M1-M8).
 
     Texts with ids of their own meet by id, all others by position; files of sidecar
     records are compared by content; changed files with error blocks are shown as a unified diff.
@@ -623,8 +633,8 @@ def changes(spark: SparkSession, config: settings.Config, rules: metamodel.Metam
     # of several artifacts with one id in a record the last counts
     last = F.max_by(F.struct("atype", "fields", "loc"), F.struct("path", "block_no")).alias("v")
     found = [s.filter("kind = 'artifact'").groupBy("record", "aid").agg(last).select("record", "aid", "v.atype", F.to_json(F.array_sort(F.map_entries("v.fields"))).alias("all"), "v.fields", F.col("v.loc.file").alias("path")) for s in sides]
-    artifacts = diff.artifact_diff(*found, ["record", "aid"], ["atype", "all"]).collect()
-    fields = diff.field_diff(*found, keys=("record", "aid")).collect()
+    artifacts = scratch.table(diff.artifact_diff(*found, ["record", "aid"], ["atype", "all"]).select("record", "aid", "change"), "artifacts")
+    fields = diff.field_diff(*found, keys=("record", "aid"))
     place = F.concat(_folder({r.name: r.dir for r in config.input}), "path")
     line = lines_text(F.col("loc.line_start"), F.col("loc.line_end"))
     plain = [s.filter("kind = 'text'").withColumn("path", place).withColumn("line", line) for s in sides]
@@ -632,13 +642,14 @@ def changes(spark: SparkSession, config: settings.Config, rules: metamodel.Metam
     # of several blocks with one id the last counts
     own = [p.filter(named).groupBy("path", "block_id").agg(F.max_by(F.struct("content", "line"), "block_no").alias("x")).select("path", "block_id", "x.*") for p in plain]
     by_id = diff.text_by_id(*own).select("path", "change", *[F.col(f"{side}_{c}").alias(n) for c, names in (("content", ("old", "new")), ("line", ("old_line", "new_line"))) for side, n in zip(("base", "target"), names)])
-    texts = by_id.unionByName(diff.text_alignment(*[p.filter(~named) for p in plain])).orderBy("path", "change", "old", "new").collect()
+    texts = scratch.table(by_id.unionByName(diff.text_alignment(*[p.filter(~named) for p in plain])), "texts")
     none = spark.createDataFrame([], "aid string, content binary")
     measured = [small.binary_properties((none if c is None else c).withColumnRenamed("aid", "path")).withColumnRenamed("path", "aid") for c in contents]
-    binaries = diff.artifact_diff(*measured, ["aid"], ["sha256", "size"], ["width", "height"]).collect() if any(c is not None for c in contents) else []
-    errors = _fallback(broken, *raw).collect() if broken is not None else []
-    files = changed.join(_inputs(changed, config, inside), "path", "left_semi").select("status").collect()
-    return report.change_report(artifacts, fields, texts, binaries, errors, files=files, base=ends[0][:7], target=ends[1][:7], summary=summary)
+    binaries = diff.artifact_diff(*measured, ["aid"], ["sha256", "size"], ["width", "height"]) if any(c is not None for c in contents) else None
+    binaries = None if binaries is None else scratch.table(binaries, "binaries")
+    errors = None if broken is None else scratch.table(_fallback(broken, *raw), "errors")
+    files = changed.join(_inputs(changed, config, inside), "path", "left_semi").select("status")
+    return report.change_rows(artifacts, fields, texts, binaries, errors, files=files, base=ends[0][:7], target=ends[1][:7], summary=summary)
 
 
 def _inputs(changed: DataFrame, config: settings.Config, inside: Path) -> DataFrame:
@@ -655,8 +666,9 @@ def change_files(spark: SparkSession, config: settings.Config, rules: metamodel.
     ends, out = [git.resolve(repo, r) for r in (base, target)], []
     Path(folder).mkdir(parents=True, exist_ok=True)
     for record in config.input:
-        out.append(Path(folder) / report.change_name(record.name, *ends, day, summary))
-        out[-1].write_text(changes(spark, replace(config, input=[record]), rules, repo, base, target, summary=summary), encoding="utf-8")
+        rows = change_rows(spark, replace(config, input=[record]), rules, repo, base, target, summary=summary)
+        name = report.change_name(record.name, *ends, day, summary)
+        out += writer.write_files(rows.withColumn("file", F.lit(name)), ["part", "a", "b", "c"], folder, between="\n", tail="\n")
     return out
 
 

@@ -118,40 +118,54 @@ def tree(paths: DataFrame) -> DataFrame:
     return rows.join(drawn, "path", "left").select("path", F.concat(F.coalesce(bars, F.lit("")), "aid").alias("line"))
 
 
-def change_report(artifacts: Iterable, fields: Iterable, texts: Iterable = (), binaries: Iterable = (), errors: Iterable = (), *, files: Iterable = (), base: str = "", target: str = "", summary: bool = False) -> str:
-    """A change report as Markdown, from collected rows (M7, M8)."""
-    artifacts, fields, texts, binaries, errors = list(artifacts), list(fields), list(texts), list(binaries), list(errors)
-    count = lambda rows, kind: sum(r.change == kind for r in rows)
-    out = [f"# Changes {base} .. {target}".rstrip(), "", "| | added | removed | modified |", "| --- | --- | --- | --- |"]
-    for name, rows in (("artifacts", artifacts), ("text fragments", texts), ("binaries", binaries)):
-        out.append(f"| {name} | {count(rows, 'added')} | {count(rows, 'removed')} | {count(rows, 'modified')} |")
-    kinds = [{"A": "added", "D": "removed"}.get(f.status, "changed") for f in files]
-    out += ["", "Files: " + ", ".join(f"{kinds.count(k)} {k}" for k in ("changed", "added", "removed")) + f"; extraction errors: {len(errors)}"]
+def change_rows(
+    artifacts: DataFrame, fields: DataFrame, texts: DataFrame, binaries: DataFrame | None, errors: DataFrame | None, *, files: DataFrame, base: str = "", target: str = "", summary: bool = False
+) -> DataFrame:
+    """(part, a, b, c, text): the lines of a change report; joined by line ends in the order of the other columns they are Markdown (M7, M8).
+
+    Only counts come to the driver."""
+    spark = artifacts.sparkSession
+    counted = lambda rows: {} if rows is None else {r.change: r.n for r in rows.groupBy("change").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {"artifacts": counted(artifacts), "text fragments": counted(texts), "binaries": counted(binaries)}
+    statuses = {r.status: r.n for r in files.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
+    added, removed = statuses.get("A", 0), statuses.get("D", 0)
+    head = [f"# Changes {base} .. {target}".rstrip(), "", "| | added | removed | modified |", "| --- | --- | --- | --- |"]
+    head += [f"| {name} | {n.get('added', 0)} | {n.get('removed', 0)} | {n.get('modified', 0)} |" for name, n in counts.items()]
+    head += ["", f"Files: {sum(statuses.values()) - added - removed} changed, {added} added, {removed} removed; extraction errors: {errors.count() if errors is not None else 0}"]
+    fixed = [(0, "\n".join(head))]
+    if not summary:
+        fixed += [(i, f"\n## {kind.capitalize()}\n") for i, kind in ((1, "added"), (3, "removed"), (5, "modified")) if counts["artifacts"].get(kind)]
+        fixed += [(7, "\n## Text")] * bool(counts["text fragments"]) + [(9, "\n## Binaries\n")] * bool(counts["binaries"])
+    row = lambda rows, part, a, b, c, text: rows.select(part.cast("int").alias("part"), a.alias("a"), b.alias("b"), c.alias("c"), text.alias("text"))
+    none = F.lit("")
+    out = spark.createDataFrame([(p, "", "", "", t) for p, t in fixed], "part int, a string, b string, c string, text string")
     if summary:
-        return "\n".join(out) + "\n"
-    by: dict = {}
-    for f in fields:
-        by.setdefault(f.aid, []).append(f)
-    for kind in ("added", "removed", "modified"):
-        rows = [a for a in artifacts if a.change == kind]
-        if rows:
-            out += ["", f"## {kind.capitalize()}", ""]
-        for a in sorted(rows, key=lambda a: a.aid):
-            out.append("- " + a.aid.replace("<", "&lt;").replace(">", "&gt;"))
-            out += [f"  - {f.field}: {cell(f.old)} -> {cell(f.new)}" for f in sorted(by.get(a.aid, []), key=lambda f: f.field)]
-    if texts:
-        out += ["", "## Text"]
-    for t in texts:
-        where = " → ".join(x for x in (t.old_line, t.new_line) if x)
-        out += ["", f"- {t.change} in {t.path}{f' ({where})' if where else ''}: {cell(t.old)} -> {cell(t.new)}", *[f"  {line}" for line in quoted(t.new if t.new is not None else t.old)]]
-    if binaries:
-        shown = lambda size, digest, w, h: "" if digest is None else f"{size} B `{digest[:12]}`" + (f" {w}×{h}" if w is not None else "")
-        out += ["", "## Binaries", ""]
-        out += [f"- {b.change} {b.aid}: {shown(b.base_size, b.base_sha256, b.base_width, b.base_height)} -> {shown(b.target_size, b.target_sha256, b.target_width, b.target_height)}" for b in sorted(binaries, key=lambda b: b.aid)]
-    for e in errors:
-        fence = "`" * max(3, 1 + max((len(x) for x in re.findall("`+", e.diff)), default=0))
-        out += ["", f"## Errors in {e.path}", "", e.message or "", *(["", f"{fence}diff", e.diff, fence] if e.diff else [])]
-    return "\n".join(out) + "\n"
+        return out
+    shown = F.pandas_udf(lambda x: x.map(cell), "string")
+    block = F.pandas_udf(lambda x: x.map(lambda t: "".join(f"\n  {line}" for line in quoted(t))), "string")
+    arrow = lambda old, new: F.concat(shown(old), F.lit(" -> "), shown(new))
+    kind = F.when(F.col("change") == "added", 2).when(F.col("change") == "removed", 4).otherwise(6)
+    out = out.unionByName(row(artifacts, kind, F.col("aid"), F.col("record"), none, F.concat(F.lit("- "), escape_html(F.col("aid")))))
+    out = out.unionByName(row(fields, F.lit(6), F.col("aid"), F.col("record"), F.col("field"), F.concat(F.lit("  - "), "field", F.lit(": "), arrow("old", "new"))))
+    where = F.concat_ws(" → ", "old_line", "new_line")
+    line = F.concat(F.lit("\n- "), "change", F.lit(" in "), "path", F.when(where == "", "").otherwise(F.concat(F.lit(" ("), where, F.lit(")"))), F.lit(": "), arrow("old", "new"))
+    order = F.concat(F.coalesce("old", none), F.lit("\0"), F.coalesce("new", none))
+    out = out.unionByName(row(texts, F.lit(8), F.col("path"), F.col("change"), order, F.concat(line, block(F.coalesce("new", "old")))))
+    if binaries is not None:
+        picture = lambda side: F.when(F.col(f"{side}_width").isNotNull(), F.format_string(" %d×%d", f"{side}_width", f"{side}_height")).otherwise("")
+        dims = lambda side: F.when(F.col(f"{side}_sha256").isNull(), "").otherwise(F.concat(F.col(f"{side}_size").cast("string"), F.lit(" B `"), F.substring(f"{side}_sha256", 1, 12), F.lit("`"), picture(side)))
+        out = out.unionByName(row(binaries, F.lit(10), F.col("aid"), none, none, F.concat(F.lit("- "), "change", F.lit(" "), "aid", F.lit(": "), dims("base"), F.lit(" -> "), dims("target"))))
+    if errors is not None:
+        fenced = F.pandas_udf(lambda x: x.map(_fenced), "string")
+        text = F.concat(F.lit("\n## Errors in "), "path", F.lit("\n\n"), F.coalesce("message", none), F.when(F.col("diff") != "", F.concat(F.lit("\n"), fenced("diff"))).otherwise(none))
+        out = out.unionByName(row(errors, F.lit(11), F.col("path"), F.col("record"), none, text))
+    return out
+
+
+def _fenced(diff: str) -> str:
+    """A diff in a fence longer than any in it."""
+    fence = "`" * max(3, 1 + max((len(x) for x in re.findall("`+", diff or "")), default=0))
+    return f"{fence}diff\n{diff}\n{fence}"
 
 
 def escape_html(text: Column) -> Column:
@@ -222,4 +236,4 @@ def output_name(child: str, parent: str, forward: bool, day: str, suffix: str =
     return f"trace-{child}-{parent}-{'forward' if forward else 'reverse'}-{day}.{suffix}"
 
 
-__all__ = ["analysis", "category", "cell", "change_name", "change_report", "escape_html", "matrix_csv", "matrix_file", "matrix_lines", "message", "output_name", "place", "quoted", "size_text", "tree"]
+__all__ = ["analysis", "category", "cell", "change_name", "change_rows", "escape_html", "matrix_csv", "matrix_file", "matrix_lines", "message", "output_name", "place", "quoted", "size_text", "tree"]
