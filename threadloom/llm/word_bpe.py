@@ -28,7 +28,6 @@ import heapq
 import json
 import os
 import re
-import tempfile
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -42,6 +41,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom import scratch
 from threadloom.llm import store
 from threadloom.llm.words import slices
 
@@ -383,13 +383,15 @@ def frequent(counts: DataFrame, most: int = LEXICON_WORDS) -> list[str]:
 
 
 def publish(spark: SparkSession, lexicon: bytes) -> str:
-    """Give the file to all executors, those that come later too; the name to pass to :func:`encode`."""
+    """Write the file to the shared folder and give it to all executors, those that come later too; the name to pass to :func:`encode`."""
     name = f"lexicon-{hashlib.sha256(lexicon).hexdigest()[:32]}.bin"
-    folder = tempfile.mkdtemp(prefix="threadloom-")  # the driver serves it from here
-    with open(os.path.join(folder, name), "wb") as f:
-        f.write(lexicon)
-    if not any(os.path.basename(x) == name for x in spark.sparkContext.listFiles):
-        spark.sparkContext.addFile(os.path.join(folder, name))
+    if not any(x.rsplit("/", 1)[-1] == name for x in spark.sparkContext.listFiles):
+        where = f"{scratch.folder(spark)}/{name}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(where)
+        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+        out.write(bytearray(lexicon))
+        out.close()
+        spark.sparkContext.addFile(where)
     return name
 
 
