@@ -123,3 +123,41 @@ def test_fragments_match_passes_over_patterns():
     began = time.perf_counter()
     assert len(list(m.scan_fragments("[COM] never closed\n" * 40_000, ("COM", "NOTE")))) == 40_000 + 39_999
     assert time.perf_counter() - began < 20
+
+
+class Handed:
+    """Stands for a DataFrame of one batch; gives what a task hands on, part by part."""
+
+    columns = ["record", "path", "value"]
+
+    def __init__(self, values):
+        import pandas as pd
+
+        self.frame = pd.DataFrame({"record": "r", "path": [f"f{i}.md" for i in range(len(values))], "value": values})
+
+    def mapInPandas(self, run, _):
+        return [(len(x), x.to_dict("records")) for x in run(iter([self.frame]))]
+
+    def mapInArrow(self, run, _):
+        import pyarrow as pa
+
+        return [(x.num_rows, x.to_pylist()) for x in run(iter([pa.RecordBatch.from_pandas(self.frame)]))]
+
+
+def test_a_scan_hands_on_bounded_parts(spark):
+    from threadloom.sources import scan
+
+    # many files in one batch, and one file of many blocks
+    for values in (["text\n\n[ORD]\na\n[id] O-1\n[/ORD]\n" * 20] * 300, ["text\n\n[ORD]\na\n[id] O-1\n[/ORD]\n" * 6000]):
+        parts = scan.scan_markdown(Handed(values), "ORD", "ORD")
+        rows = [r for _, part in parts for r in part]
+        assert len(rows) == 12_000 and max(n for n, _ in parts) <= 2000
+        assert [r["block_no"] for r in rows] == [n for _ in values for n in range(12_000 // len(values))]
+        assert sum(r["kind"] == "artifact" and dict(r["fields"])["contents"]["vals"] == ["a"] for r in rows) == 6000
+
+
+def test_a_scan_hands_on_large_blocks_one_by_one(spark):
+    from threadloom.sources import scan
+
+    parts = scan.scan_markdown(Handed(["x" * 3_000_000, None, "", "y" * 3_000_000]), "ORD", "ORD")
+    assert [[(r["path"], r["kind"], len(r["content"]), r["fields"]) for r in part] for _, part in parts] == [[("f0.md", "text", 3_000_000, [])], [("f3.md", "text", 3_000_000, [])]]

@@ -7,9 +7,10 @@ from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from pathlib import PurePosixPath
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from threadloom import model
 from threadloom.sources import markup
@@ -17,6 +18,8 @@ from threadloom.sources.notebook import cells
 
 #: Default file patterns of the drivers.
 GLOBS = {"obsidian": "*.md", "markdown": "*.md", "simple-markdown": "*.md", "ipynb": "*.ipynb"}
+#: Blocks, and characters of them, that a scanning task gathers before it hands them on.
+HELD_BLOCKS, HELD_CHARS = 2000, 1 << 22
 
 
 def files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
@@ -50,28 +53,41 @@ def _quoted(text: str) -> str:
     return "\\Q" + text + "\\E"
 
 
-def _blocks(scan: Callable[[str, str], Iterator[markup.Piece]]) -> Callable:
-    """A mapInPandas function over (record, path, value[, cell, cell_type]) made of a scanner of (text, path)."""
+def _blocks(source: DataFrame, scan: Callable[[str, str], Iterator[markup.Piece]]) -> DataFrame:
+    """The blocks of (record, path, value[, cell]) that a scanner of (text, path) finds.
 
-    columns = model.schema(model.BLOCKS).names
+    A task holds a few thousand blocks, or some megabytes of them, however many files a batch brings and however many blocks a file."""
+    names, arrow = model.schema(model.BLOCKS).names, to_arrow_schema(model.schema(model.BLOCKS))
+    here = [n for n in ("record", "path", "value", "cell") if n in source.columns]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for r in frame.itertuples(index=False):
-                text = (r.value or "").replace("\r\n", "\n")
-                cell = getattr(r, "cell", None)
-                ends = [m.start() for m in re.finditer("\n", text)]  # once per text, not once per piece
-                for n, p in enumerate(scan(text, r.path)):
-                    lines = (bisect_left(ends, p.start) + 1, bisect_left(ends, max(p.start, p.end - 1)) + 1)
-                    kept = {k: {"is_list": isinstance(v, list), "vals": v if isinstance(v, list) else [v]} for k, v in p.fields.items()}
-                    rows.append((
-                        r.record, r.path, n + 1_000_000 * int(cell or 0), p.kind, p.content, p.marker, p.block_id, p.block_id is not None, p.start, p.message, text[p.start : p.end], p.atype, p.aid,
-                        {"kind": "cell" if cell is not None else "lines", "file": r.path, "sidecar": None, "line_start": lines[0], "line_end": lines[1], "cell": None if cell is None else int(cell)}, kept,
-                    ))
-            yield pd.DataFrame(rows, columns=columns)
+    def found(record: str, path: str, value: str | None, cell: int | None = None) -> Iterator[tuple[tuple, int]]:
+        text = (value or "").replace("\r\n", "\n")
+        ends = [m.start() for m in re.finditer("\n", text)]  # once per text, not once per piece
+        for n, p in enumerate(scan(text, path)):
+            lines = (bisect_left(ends, p.start) + 1, bisect_left(ends, max(p.start, p.end - 1)) + 1)
+            kept = [(k, {"is_list": isinstance(v, list), "vals": v if isinstance(v, list) else [v]}) for k, v in p.fields.items()]
+            yield (
+                record, path, n + 1_000_000 * int(cell or 0), p.kind, p.content, p.marker, p.block_id, p.block_id is not None, p.start, p.message, text[p.start : p.end], p.atype, p.aid,
+                {"kind": "cell" if cell is not None else "lines", "file": path, "sidecar": None, "line_start": lines[0], "line_end": lines[1], "cell": None if cell is None else int(cell)}, kept,
+            ), len(p.content or "") + p.end - p.start
 
-    return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], names=names)
+
+        rows, size = [], 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                for row, chars in found(*(batch.column(n)[i].as_py() for n in here)):
+                    rows.append(row)
+                    size += chars
+                    if len(rows) >= HELD_BLOCKS or size >= HELD_CHARS:
+                        yield made(rows)
+                        rows, size = [], 0
+        if rows:
+            yield made(rows)
+
+    return source.mapInArrow(run, model.BLOCKS)
 
 
 def scan_markdown(source: DataFrame, marker: str, atype: str, *, fragments: tuple[str, ...] = (), exclude: dict[str, str] | None = None, multiple: set[str] = frozenset(), split: set[str] = frozenset(), labels: markup.Labels = {}) -> DataFrame:
@@ -93,17 +109,17 @@ def scan_markdown(source: DataFrame, marker: str, atype: str, *, fragments: tupl
                         yield last
             first = False
 
-    return source.mapInPandas(_blocks(scan), model.BLOCKS)
+    return _blocks(source, scan)
 
 
 def scan_code(source: DataFrame, atype: str, **rules) -> DataFrame:
     """Artifacts in ``[< .. >>> .. >]`` sections of source files."""
-    return source.mapInPandas(_blocks(lambda text, path: markup.scan_sections(text, atype, **rules)), model.BLOCKS)
+    return _blocks(source, lambda text, path: markup.scan_sections(text, atype, **rules))
 
 
 def scan_simple(source: DataFrame, atype: str, **rules) -> DataFrame:
     """Frontmatter files, one artifact each."""
-    return source.mapInPandas(_blocks(lambda text, path: markup.scan_frontmatter(text, PurePosixPath(path).stem, atype, **rules)), model.BLOCKS)
+    return _blocks(source, lambda text, path: markup.scan_frontmatter(text, PurePosixPath(path).stem, atype, **rules))
 
 
 def scan_notebooks(source: DataFrame, marker: str, atype: str, **rules) -> DataFrame:
@@ -121,9 +137,9 @@ def scan_notebooks(source: DataFrame, marker: str, atype: str, **rules) -> DataF
         yield markup.Piece("text", 0, len(text), text)
 
     parts = [
-        good.filter(marked).drop("cell_type").mapInPandas(_blocks(lambda text, path: markup.scan_segments(text, marker, atype, **rules)), model.BLOCKS),
-        good.filter(~marked).drop("cell_type").mapInPandas(_blocks(whole), model.BLOCKS),
-        bad.mapInPandas(_blocks(error), model.BLOCKS),
+        _blocks(good.filter(marked).drop("cell_type"), lambda text, path: markup.scan_segments(text, marker, atype, **rules)),
+        _blocks(good.filter(~marked).drop("cell_type"), whole),
+        _blocks(bad, error),
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -145,7 +161,7 @@ def scan_sidecars(source: DataFrame, names: DataFrame, atype: str, suffixes: tup
     def scan(text: str, path: str) -> Iterator[markup.Piece]:
         yield markup.Piece("error", 0, len(text), "", message=text[1:]) if text[:1] == "!" else markup.sidecar_fields(text[1:], atype, labels)
 
-    out = rows.mapInPandas(_blocks(scan), model.BLOCKS)
+    out = _blocks(rows, scan)
     held = side.select("record", F.col("original").alias("path"), "sidecar")
     loc = F.col("loc").withField("kind", F.lit("file")).withField("sidecar", F.col("sidecar")).withField("line_start", F.lit(None).cast("int")).withField("line_end", F.lit(None).cast("int"))
     return out.join(held, ["record", "path"], "left").withColumn("loc", loc).select(out.columns)
