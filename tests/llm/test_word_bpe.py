@@ -95,6 +95,48 @@ def test_lexicon_is_minimal_and_numbers_its_words(model, tmp_path):
         assert lexicon.ids[lexicon.first[i] : lexicon.first[i + 1]].tolist() == model.merge(w)
 
 
+def test_pieces_that_occur_again_are_not_cut_again(library, model, tmp_path):
+    path = tmp_path / "lexicon"
+    path.write_bytes(word_bpe.compile_lexicon([b"word"], model))
+    work = word_bpe.Encoder(model, word_bpe.Lexicon(str(path)))
+    find, seen = work.split._find, []
+    work.split._find = lambda text: seen.append(text) or find(text)
+    text = " ".join(f"Word{i % 700}'s, it" for i in range(70_000))
+    n, ids = work.encode([text, text])
+    assert ids.tolist() == 2 * library.encode(text, add_special_tokens=False).ids and n.tolist() == [len(ids) // 2] * 2
+    assert sum(map(len, seen)) < 20_000  # the texts have 1.9 million code points
+
+
+def test_pieces_hold_the_words_of_the_library(library, model):
+    split = word_bpe.Splitter(model)
+    back = {s: b for b, s in enumerate(word_bpe.byte_signs())}
+    for text in [*ODD, "a\x1cb \x1d\x1e! c\u2028d\xa0e\u3000f", "'S'RE x'sy ''s !'s 's's"]:
+        plain = text.replace("<|endoftext|>", " ").replace("<|startoftext|>", " ")
+        want = [bytes(back[c] for c in w).decode() for w, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(plain))]
+        assert [w for piece in split(plain) for w in split.words(piece)] == want
+
+
+def test_forgotten_pieces_change_nothing(library, model, tmp_path, monkeypatch):
+    path = tmp_path / "lexicon"
+    path.write_bytes(word_bpe.compile_lexicon([b"the", b"a"], model))
+    work = word_bpe.Encoder(model, word_bpe.Lexicon(str(path)))
+    for held, stretch in ((3, 40), (30, 7)):
+        monkeypatch.setattr(word_bpe, "HELD", held)
+        monkeypatch.setattr(word_bpe, "STRETCH", stretch)
+        n, ids = work.encode(ODD)
+        want = [library.encode(t, add_special_tokens=False).ids for t in ODD]
+        assert n.tolist() == list(map(len, want)) and ids.tolist() == [x for w in want for x in w]
+
+
+def test_words_merged_together_are_those_merged_alone(model):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("aeinorst'-é中") for _ in range(rng.randint(1, 30))).encode() for _ in range(3000)] + [b"a", b"aaaa" * 12, b"\xff\x00", b"the"] + [bytes([b]) for b in range(256)]
+    first, ids = word_bpe.Merger(model)(words)
+    assert [ids[a:b].tolist() for a, b in zip(first, first[1:])] == [model.merge(w) for w in words]
+    first, ids = word_bpe.Merger(model)([])
+    assert first.tolist() == [0] and not len(ids)
+
+
 def test_frequent_words_stay_within_the_bound(spark):
     counts = spark.createDataFrame([(f"w{i}", 1000 - i if i < 20 else 1) for i in range(500)], "word string, n long")
     for most in (0, 1, 20, 100, 1000):

@@ -5,9 +5,10 @@ number, a parameter) are encoded once and compiled into a minimal acyclic
 transducer: words share prefixes and suffixes, the outputs on the arcs add up to
 the word's number, and under that number lie its ids. The file goes to every
 executor once (``SparkContext.addFile``), where all workers map it into memory.
-All distinct words of some texts walk the automaton together, a byte at a time.
-A word that it does not hold is merged exactly: the pair of least rank first, the
-leftmost of equal ones. So the lexicon changes the speed and never the ids.
+Texts are cut at white space; a piece is cut into words and encoded once, as long as a
+task holds it. All distinct words of new pieces walk the automaton together, a byte at a time.
+Words that it does not hold are merged exactly, many at a time: the pair of least rank first,
+the leftmost of equal ones. So neither the lexicon nor what is held changes the ids.
 
 Texts are normalised and split as the tokenizer file says: composed (NFC), lower
 case code point by code point, contractions, letters, single digits, other signs;
@@ -32,7 +33,7 @@ import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
-from itertools import count
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +47,8 @@ from threadloom.llm import store
 from threadloom.llm.words import slices
 
 MODEL = "/opt/tokenizers/word_bpe_49k.json"
-#: Words of the lexicon at most; code points of a stretch; distinct words that a task holds; symbols from which on a heap is used.
-LEXICON_WORDS, STRETCH, HELD, HEAP = 1 << 16, 1 << 19, 150_000, 48
+#: Words of the lexicon at most; code points of a stretch; distinct pieces or words that a task holds, and code points of them; symbols from which on a heap is used.
+LEXICON_WORDS, STRETCH, HELD, HELD_CHARS, HEAP = 1 << 16, 1 << 19, 150_000, 1 << 22, 48
 #: Fixed values of the tokenizer file's kind: the end of a word, and what is kept of a text.
 WORD_END = "</w>"
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -118,8 +119,50 @@ class Model:
         return [x for x in ids if x >= 0]
 
 
+class Merger:
+    """The ids of many words at once: in each round, every word that is not done makes its pair of least rank, the leftmost of equal ones, one symbol."""
+
+    def __init__(self, model: Model):
+        pairs = sorted(model.rank.items())
+        self.model, self.none = model, len(model.made)
+        self.pair, self.rank = np.array([k for k, _ in pairs] or [-1], np.int64), np.array([r for _, r in pairs] or [self.none], np.int64)
+        self.inner, self.last, self.made = (np.array(x, np.int64) for x in (model.inner, model.last, model.made))
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        want = left << 16 | right
+        at = np.minimum(self.pair.searchsorted(want), len(self.pair) - 1)
+        return np.where(self.pair[at] == want, self.rank[at], self.none)
+
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Where each word's ids begin, and all of them; the words are not empty."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        data, ends = np.frombuffer(b"".join(words), np.uint8), np.cumsum(size)
+        sign, of = self.inner[data], np.repeat(np.arange(len(words)), size)
+        sign[ends - 1] = self.last[data[ends - 1]]
+        rank = np.full(len(sign), self.none)  # of the pair that begins here, within a word
+        here = np.flatnonzero(of[1:] == of[:-1])
+        rank[here] = self._ranks(sign[here], sign[here + 1])
+        done = []
+        while len(sign):
+            start = np.flatnonzero(np.diff(of, prepend=-1))
+            least = np.minimum.reduceat(rank << 32 | np.arange(len(sign)), start)
+            go = least >> 32 < self.none
+            at, stay = least[go] & 0xFFFFFFFF, np.repeat(go, np.diff(start, append=len(sign)))
+            done.append((of[~stay], sign[~stay]))
+            sign[at] = self.made[least[go] >> 32]
+            stay[at + 1] = False
+            at = np.cumsum(stay)[at] - 1
+            sign, of, rank = sign[stay], of[stay], rank[stay]
+            rank[at] = self.none
+            for left in (at[at > 0] - 1, at[at < len(sign) - 1]):
+                left = left[of[left] == of[left + 1]]
+                rank[left] = self._ranks(sign[left], sign[left + 1])
+        of, sign = (np.concatenate([x[i] for x in done] or [np.zeros(0, np.int64)]) for i in (0, 1))
+        return np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(words)))]), sign[of.argsort(kind="stable")]
+
+
 class Splitter:
-    """Words of a text, normalised; special tokens as they stand."""
+    """Pieces of a text, normalised, and their words; special tokens as they stand. A piece that occurs often is cut into words once."""
 
     def __init__(self, model: Model):
         import regex
@@ -127,7 +170,7 @@ class Splitter:
         self._find = regex.compile(SPLIT).findall
         self._cut = re.compile("(" + "|".join(map(re.escape, model.special)) + ")") if model.special else None
         self._marks, self._source, self._special = sorted({s[0] for s in model.special}), model.source, model.special
-        self._known: dict[str, bool] = {}
+        self._known: set[str] = set()
 
     @cached_property
     def _library(self):
@@ -136,18 +179,25 @@ class Splitter:
         return Tokenizer.from_str(self._source)
 
     def __call__(self, text: str) -> list[str]:
+        """The pieces of a text between white space, normalised, in order; no word reaches beyond its piece.
+
+        A piece that begins with a space is a word as it stands: a special token, or one that only the library could cut out."""
         if self._cut is None or not any(m in text for m in self._marks):
             return self._plain(text)
-        return [w for i, part in enumerate(self._cut.split(text)) for w in ([part] if i % 2 else self._plain(part))]
+        return [w for i, part in enumerate(self._cut.split(text)) for w in ([" " + part] if i % 2 else self._plain(part))]
+
+    def words(self, piece: str) -> list[str]:
+        """The words of a piece; one of letters is a word."""
+        if piece.isascii() and piece.isalpha():
+            return [piece]
+        return [piece[1:]] if piece[:1] == " " else self._find(piece)
 
     def _settled(self, text: str) -> bool:
         """Whether this Python knows every code point of the text."""
-        known = self._known
-        for c in set(text):
-            if c not in known:
-                known[c] = unicodedata.category(c) != "Cn"
-            if not known[c]:
-                return False
+        new = set(text) - self._known
+        if any(unicodedata.category(c) == "Cn" for c in new):
+            return False
+        self._known |= new
         return True
 
     def _plain(self, text: str) -> list[str]:
@@ -155,10 +205,11 @@ class Splitter:
             if not self._settled(text):
                 shown = self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(text))
                 back = {s: b for b, s in enumerate(byte_signs())}
-                return [bytes(back[c] for c in w).decode() for w, _ in shown]
+                return [" " + bytes(back[c] for c in w).decode() for w, _ in shown]
             # a sigma at the end of a word has no form of its own here
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return self._find(text.lower())
+        # these four are white space to split() alone
+        return text.lower().split(" " if any(c in text for c in "\x1c\x1d\x1e\x1f") else None)
 
 
 def minimal_automaton(words: list[bytes]) -> tuple[list[tuple[tuple[int, int], ...]], list[bool]]:
@@ -273,31 +324,32 @@ class Encoder:
 
     def __init__(self, model: Model, lexicon: Lexicon):
         self.model, self.lexicon, self.split = model, lexicon, Splitter(model)
-        self.merged: dict[bytes, list[int]] = {}
-
-    def _ids(self, word: bytes) -> list[int]:
-        known = self.merged.get(word)
-        if known is None:
-            known = self.model.merge(word)
-            if len(word) <= HEAP:
-                if len(self.merged) >= HELD:
-                    self.merged.clear()
-                self.merged[word] = known
-        return known
+        self.merge = Merger(model)
+        self._forget()
+
+    def _forget(self) -> None:
+        """Hold no pieces: their numbers, where the ids of each begin, and all of these."""
+        self.index: dict[str, int] = defaultdict(count().__next__)
+        self.first, self.ids, self.chars = np.zeros(1, np.int64), np.zeros(0, np.int32), 0
 
     def _resolve(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct words: where each word's begin, and all of them."""
         raw = [w.encode() for w in words]
         number = self.lexicon.numbers(raw)
-        seen, other = np.flatnonzero(number >= 0), np.flatnonzero(number < 0)
-        special = self.model.special
-        made = [[special[words[i]]] if words[i] in special else self._ids(raw[i]) for i in other.tolist()]
+        special, seen = self.model.special, np.flatnonzero(number >= 0)
+        short, other = [], []  # merged together, and one by one
+        for i in np.flatnonzero(number < 0).tolist():
+            (other if words[i] in special or len(raw[i]) > HEAP else short).append(i)
+        short, other = np.array(short, np.int64), np.array(other, np.int64)
+        made = [[special[words[i]]] if words[i] in special else self.model.merge(raw[i]) for i in other]
+        merged, of_short = self.merge([raw[i] for i in short])
         size = np.zeros(len(words), np.int64)
         own = self.lexicon.first[number[seen]]
-        size[seen], size[other] = self.lexicon.first[number[seen] + 1] - own, [len(m) for m in made]
+        size[seen], size[short], size[other] = self.lexicon.first[number[seen] + 1] - own, np.diff(merged), [len(m) for m in made]
         first = np.concatenate([[0], np.cumsum(size)])
         ids = np.empty(first[-1], np.int32)
         ids[_within(first[seen], size[seen])] = self.lexicon.ids[_within(own, size[seen])]
+        ids[_within(first[short], size[short])] = of_short
         ids[_within(first[other], size[other])] = [x for m in made for x in m]
         return first, ids
 
@@ -316,19 +368,38 @@ class Encoder:
         return total, np.concatenate(out)
 
     def _encode(self, parts: list[tuple[int, str]], total: np.ndarray) -> np.ndarray:
-        index: dict[str, int] = defaultdict(count().__next__)
+        if len(self.index) > HELD or self.chars > HELD_CHARS:
+            self._forget()
+        known = len(self.index)
         codes, per = [], []
         for _, part in parts:
             found = self.split(part)
+            codes += map(self.index.__getitem__, found)
+            per.append(len(found))
+        if new := list(islice(self.index, known, None)):
+            first, ids = self._pieces(new)
+            self.first, self.ids = np.concatenate([self.first, self.first[-1] + first[1:]]), np.concatenate([self.ids, ids])
+            self.chars += sum(map(len, new))
+        at = np.array(codes, np.int64)
+        size = np.diff(self.first)[at]
+        held = np.concatenate([[0], np.cumsum(size)])
+        ends = np.cumsum(per, dtype=np.int64)
+        np.add.at(total, [d for d, _ in parts], held[ends] - held[ends - per] if parts else [])
+        return self.ids[_within(self.first[at], size)]
+
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pieces: where each piece's begin, and all of them."""
+        index: dict[str, int] = defaultdict(count().__next__)
+        codes, per = [], [0]
+        for piece in pieces:
+            found = self.split.words(piece)
             codes += map(index.__getitem__, found)
             per.append(len(found))
         first, ids = self._resolve(list(index))
         at = np.array(codes, np.int64)
         size = np.diff(first)[at]
         held = np.concatenate([[0], np.cumsum(size)])
-        ends = np.cumsum(per, dtype=np.int64)
-        np.add.at(total, [d for d, _ in parts], held[ends] - held[ends - per] if parts else [])
-        return ids[_within(first[at], size)]
+        return held[np.cumsum(per, dtype=np.int64)], ids[_within(first[at], size)]
 
 
 @lru_cache(1)
@@ -347,12 +418,15 @@ def word_counts(docs: DataFrame, text: str = "text", *, model: str = MODEL) -> D
     source = open(model, encoding="utf-8").read()
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, seen = _splitter(source), Counter()
+        split, seen = _splitter(source), Counter()  # of pieces
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
+            n: Counter = Counter()
+            for piece, times in seen.items():
+                for word in split.words(piece):
+                    n[word] += times
             seen.clear()
-            return out
+            return pa.RecordBatch.from_pydict({"word": pa.array(list(n), pa.string()), "n": pa.array(list(n.values()), pa.int64())})
 
         for batch in batches:
             for t in batch.column(0):
