@@ -161,3 +161,15 @@ def test_a_scan_hands_on_large_blocks_one_by_one(spark):
 
     parts = scan.scan_markdown(Handed(["x" * 3_000_000, None, "", "y" * 3_000_000]), "ORD", "ORD")
     assert [[(r["path"], r["kind"], len(r["content"]), r["fields"]) for r in part] for _, part in parts] == [[("f0.md", "text", 3_000_000, [])], [("f3.md", "text", 3_000_000, [])]]
+
+
+def test_a_scan_for_fragments_hands_on_bounded_parts(spark):
+    from threadloom.sources import scan
+
+    text = "Before. [Note n.1] closed\n\nx [/NOTE] after\n\n[com]lead [REM] y\n## Heading\n"
+    for values in ([text * 10] * 500, [text * 5000]):
+        parts = scan.scan_markdown(Handed(values), "ORD", "ORD", fragments=("NOTE", "COM", "REM"))
+        rows = [r for _, part in parts for r in part]
+        assert max(n for n, _ in parts) <= 2000
+        assert [r["marker"] for r in rows if r["marker"] in ("NOTE", "COM")] == ["NOTE", "COM"] * 5000
+        assert {r["content"] for r in rows if r["marker"] == "NOTE"} == {" closed\n\nx "} and {r["content"] for r in rows if r["marker"] == "COM"} == {"lead [REM] y"}
