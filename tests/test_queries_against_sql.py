@@ -96,3 +96,9 @@ def test_alignment_groups_are_bounded(spark, tmp_path):
     changes = collections.Counter(r.change for r in got)
     added, removed = sum(i % 7 == 0 for i in range(1000)), sum(i % 7 == 1 for i in range(1000))
     assert changes["added"] - changes["removed"] == added - removed
+
+
+def test_fragments_shuffle_keys_and_not_texts(spark):
+    plan = QUERIES["marked_fragments"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    below = plan.split("Exchange", 1)[1]
+    assert "o_custkey" in below and "collect_list" in below and "Before. [Note" not in below

@@ -857,13 +857,17 @@ def marked_fragments(spark, sf):
     """Orders as closed fragments with ids, open ones before a blank line and open ones before a heading, 40 to a file, scanned back."""
     from threadloom.sources.scan import scan_markdown
 
-    o, k, p = t.read(spark, sf, "orders"), F.col("o_orderkey"), F.col("o_orderpriority")
-    text = (
-        F.when(k % 3 == 0, F.concat(F.lit("Before. [Note n."), F.col("o_custkey").cast("string"), F.lit("] closed "), k.cast("string"), F.lit("\n\n"), p, F.lit(" [/NOTE] after\n\n")))
-        .when(k % 3 == 1, F.concat(F.lit("[COM] open "), k.cast("string"), F.lit("\n"), p, F.lit("\n \nplain text\n")))
-        .otherwise(F.concat(F.lit("[com]lead "), k.cast("string"), F.lit(" [REM] "), p, F.lit("\n## Heading\n")))
-    )
-    files = o.groupBy(F.floor(k / 40).alias("f")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", text.alias("b")))), lambda x: x["b"]), "\n").alias("value"))
+    def text(x):
+        k, p = x["o_orderkey"], x["o_orderpriority"]
+        return (
+            F.when(k % 3 == 0, F.concat(F.lit("Before. [Note n."), x["o_custkey"].cast("string"), F.lit("] closed "), k.cast("string"), F.lit("\n\n"), p, F.lit(" [/NOTE] after\n\n")))
+            .when(k % 3 == 1, F.concat(F.lit("[COM] open "), k.cast("string"), F.lit("\n"), p, F.lit("\n \nplain text\n")))
+            .otherwise(F.concat(F.lit("[com]lead "), k.cast("string"), F.lit(" [REM] "), p, F.lit("\n## Heading\n")))
+        )
+
+    # the keys are gathered and made text afterwards: less to sort and to shuffle
+    held = F.array_sort(F.collect_list(F.struct("o_orderkey", "o_custkey", "o_orderpriority")))
+    files = t.read(spark, sf, "orders").groupBy(F.floor(F.col("o_orderkey") / 40).alias("f")).agg(F.array_join(F.transform(held, text), "\n").alias("value"))
     blocks = scan_markdown(files.select(F.lit("notes").alias("record"), F.concat(F.col("f").cast("string"), F.lit(".md")).alias("path"), "value"), marker="ORD", atype="ORD", fragments=("NOTE", "COM", "REM"))
     marked = blocks.filter("marker in ('NOTE', 'COM', 'REM')")
     return marked.select(F.regexp_extract("content", r"^\s*\w+ (\d+)", 1).cast("long").alias("o_orderkey"), "marker", "block_id", "content")
